@@ -45,7 +45,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def words(text):
     """Native array of the words of a text column; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != "")
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_SEPARATORS))
+
+
+def bound(value, use):
+    """``use(value)`` with ``value`` computed once: as a lambda's variable it isn't repeated for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (joins then shuffle)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ascii_lower(text):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import bound, table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -27,11 +27,6 @@ def domain(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host, r"^www\.", ""), url)
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once: as a lambda's variable it isn't repeated for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(w: Column) -> Column:
     """Words that lie in three-word windows found twice or more in the text."""
 

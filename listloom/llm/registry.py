@@ -1,14 +1,17 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import hilbert, host_rules, perspectives
+from . import decontaminate, hilbert, host_rules, line_dedup, perspectives
 
 QUERIES = {
     "op3_host_rules": host_rules.op3_host_rules,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_perspectives": perspectives.op9_perspectives,
 }
 
 SQL = {
     "op3_host_rules": host_rules.OP3_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_perspectives": perspectives.OP9_SQL,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that tasks can import it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_listloom_shipped", False):
+        root = pathlib.Path(__file__).parents[1]
+        path = pathlib.Path(tempfile.mkdtemp(prefix="listloom-")) / "listloom_tasks.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in root.rglob("*.py"):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._listloom_shipped = True
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -1,11 +1,12 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import decontaminate, hilbert, host_rules, line_dedup, packing, perspectives, sstable
+from . import decontaminate, hilbert, host_rules, line_dedup, packing, perspectives, quality, sstable
 
 QUERIES = {
     "op2_sstable": sstable.op2_sstable,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_quality": quality.op5_quality,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import decontaminate, hilbert, host_rules, line_dedup, packing, perspectives, quality, sstable
+from . import context_mixing, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable
 
 QUERIES = {
+    "op1_context_mixing": context_mixing.op1_context_mixing,
     "op2_sstable": sstable.op2_sstable,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -11,6 +12,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_perspectives": perspectives.op9_perspectives,
+    "op10_lsh_forest": lsh_forest.op10_lsh_forest,
 }
 
 SQL = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def normalize(text: Column) -> Column:
 
 def normalize_exact(text: Column) -> Column:
     """T01 with full compatibility decomposition, in Arrow batches: for texts beyond Latin letters."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decompose(s: pd.Series) -> pd.Series:
         return s.fillna("").str.normalize("NFKD").str.replace("[̀-ͯ]", "", regex=True)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix64, ship, stored, table, text_bytes, word_hashes, word_spans
+from .common import LOWER, blocks, mix64, ship, small, stored, table, text_bytes, word_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, STEP = 16, 8, 3, 1
 REGION = 1024
+#: Regions' members (16 bytes a row) and groups of equal sets are broadcast up to this many rows; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _LAST = 2**63 - 1
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -102,8 +104,13 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 def regions(texts: DataFrame) -> DataFrame:
     """region, doc: texts that share a prefix in some tree, at the depth that the region needs. Each set of members once."""
     n_depths = len(range(MIN_DEPTH, DEPTH + 1, STEP))
-    level = texts.select("doc", F.posexplode("prefixes").alias("at", "key")).withColumn("depth", F.col("at") % n_depths).withColumn("tree", F.floor(F.col("at") / n_depths))
-    rows = level.filter("depth = 0").select("doc", "tree", "key")
+
+    def level(depth: int) -> DataFrame:
+        """doc, tree, key of the prefixes of one depth."""
+        at_depth = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("prefixes", t * n_depths + depth))
+        return texts.select("doc", F.posexplode(at_depth).alias("tree", "key"))
+
+    rows = level(0)
     found = []
     for depth in range(n_depths):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least"))
@@ -116,7 +123,7 @@ def regions(texts: DataFrame) -> DataFrame:
             break
         inside = rows.join(large, "key").select("doc", "tree", "key", "size", "least")
         if depth + 1 < n_depths:
-            deeper = level.filter(F.col("depth") == depth + 1).select("doc", "tree", F.col("key").alias("next"))
+            deeper = level(depth + 1).withColumnRenamed("key", "next")
             rows = stored(inside.join(deeper, ["doc", "tree"]).select("doc", "tree", F.col("next").alias("key")), "deeper")
         else:
             # equal in the whole tree: dealt by another tree's deepest prefix, the first text goes to every part
@@ -167,7 +174,7 @@ def region_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: each text and the smallest text of its component within a region. ``docs``: doc, text."""
-    rows = members.join(docs, "doc").repartition(F.col("region")).sortWithinPartitions("region", "doc")
+    rows = docs.join(small(members, BROADCAST_ROWS), "doc").repartition(F.col("region")).sortWithinPartitions("region", "doc")
 
     def compare(batches):
         now, ids, sets = None, [], []
@@ -218,8 +225,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     all_ = stored(signed(rows, n), "signatures")
     full = all_.filter("n_shingles > 0")
     # equal sets are one text; its smallest document stands for it
-    texts = full.groupBy("d1", "d2").agg(F.min("doc").alias("least"))
-    same = stored(full.select("doc", "d1", "d2").join(texts, ["d1", "d2"]).select("doc", "least"), "equal-sets")
+    equal = full.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = stored(equal, "equal-sets")
+    same = full.select("doc", "d1", "d2").join(small(equal, BROADCAST_ROWS), ["d1", "d2"], "left")
+    same = stored(same.select("doc", F.coalesce("least", "doc").alias("least")), "representatives")
     first = full.join(same.filter("doc = least").select("doc"), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "prefixes")
     members = stored(regions(first), "regions")
     near = links(rows.dropDuplicates(["doc"]) if _repeats(all_) else rows, members, n, percent)

@@ -142,7 +142,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.01, seed: int = 3):
         self.share = float(y.mean()) if len(y) else 0.5
-        self.fitted = 0 < self.share < 1
+        self.fitted = len(y) > 0 and 0 < self.share < 1
         if not self.fitted:
             return
         random = np.random.default_rng(seed)

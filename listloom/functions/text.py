@@ -101,9 +101,15 @@ def variants(term: str, aliases: dict[str, list[str]]) -> list[str]:
 
 def ngrams(normalized: Column, longest: int = 6, tokens: int = 1200) -> Column:
     """T09."""
-    w = F.slice(F.filter(F.split(normalized, " "), lambda x: x != ""), 1, tokens)
-    return F.array_distinct(F.flatten(F.transform(w, lambda _, i: F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: i + n <= F.size(w)), lambda n: F.array_join(F.slice(w, i + 1, n), " ")))))
+    words = F.slice(F.filter(F.split(normalized, " "), lambda x: x != ""), 1, tokens)
+
+    def of(w: Column) -> Column:
+        grams = F.transform(w, lambda _, i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: F.array_join(F.slice(w, i + 1, n), " ")))
+        return F.array_distinct(F.flatten(grams))
+
+    # as a lambda's variable the words aren't split again for each element
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def snippet(text: Column, n: int = 260) -> Column:

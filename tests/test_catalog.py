@@ -1,6 +1,6 @@
 import pytest
 
-from listloom.plans import catalog
+from listloom.plans import catalog, details  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

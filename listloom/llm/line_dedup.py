@@ -153,6 +153,30 @@ def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     out = dedup_lines(docs)
     return out.select(
-        "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
     )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d
+), w AS (
+  SELECT *, doc_id * 1000000 + pos AS o FROM l WHERE regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]')
+), u AS (
+  SELECT line, length(line) AS n, min(o) AS o FROM w GROUP BY line
+), m AS (
+  SELECT line, o, unnest([n, n - 1]) AS m FROM u
+), h AS (
+  SELECT line, o, 'p' || m || ':' || left(line, m // 2) AS key FROM m UNION ALL SELECT line, o, 's' || m || ':' || right(line, m - m // 2) FROM m
+), near AS (
+  SELECT DISTINCT a.line FROM h a JOIN h b ON a.key = b.key AND b.o < a.o WHERE abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1
+), r AS (
+  SELECT w.doc_id, list_sort(list(pos)) AS gone FROM w JOIN u USING (line) WHERE w.o <> u.o OR line IN (SELECT line FROM near) GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines,
+       md5(coalesce(array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_contains(gone, i - 1), false)), chr(10)), '')) AS text_md5
+FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 SQL = {
     "op3_host_rules": host_rules.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_perspectives": perspectives.OP9_SQL,
 }

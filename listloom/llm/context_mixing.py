@@ -8,7 +8,8 @@ All of it is learnt from the training rows only, all of them:
 1. every task counts its training texts' grams of six bytes and their words; Spark adds the counts (they grow with the
    corpus and are only ever shuffled);
 2. the grams, dealt by their last two context bytes into REGIONS regions, fill the tables: a region's slots are its own,
-   so no tables are merged. The tables are bounded (about 40 MB), so they are broadcast;
+   so no tables are merged. The tables grow with the
+   grams up to a bound (105 MB), so they are broadcast;
 3. the weights learn online, gram by gram in small batches: each is predicted from the counts without itself, as it would
    be before it was seen, then the weights move. Regions start from the same weights and are averaged by mass, EPOCHS times; the
    probability map is counted in the same way with the final weights.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,7 @@ ORDER = 5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = 0x5EED  # stands for the end among word hashes
 REGIONS = 64
-#: log2 of the slots of a region, for orders 0 to 5; order 0 and 1 fit whole in each region.
-SLOT_BITS = (8, 13, 13, 15, 16, 16)
+MAX_SLOT_BITS = 17
 HEAD_WORDS = 200_000
 EMIT = 1 << 21
 BUCKETS = 33  # of the probability map
@@ -132,10 +133,16 @@ def region_of(context: np.ndarray) -> np.ndarray:
     return (mix64((context & 0xFFFF).astype(U) + U(7)) >> U(58)).astype(np.int64)
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+def slot_bits(grams_: int) -> tuple[int, ...]:
+    """log2 of the slots of a region for orders 0 to 5: eight or more for each of its distinct grams, up to a bound (105 MB in all)."""
+    top = int(min(MAX_SLOT_BITS, max(10, np.ceil(np.log2(max(1, grams_) / REGIONS)) + 3)))
+    return (8, min(13, top), min(13, top), top, top, top)
+
+
+def slots(context: np.ndarray, node: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """Slot in its region's table, for each order, of the bits so far (``node``) after a context."""
     out = []
-    for order, bits in enumerate(SLOT_BITS):
+    for order, bits in enumerate(sizes):
         if order == 0:
             out.append(node.astype(np.int64))
         else:
@@ -154,20 +161,20 @@ def bits_of(keys: np.ndarray):
 class Tables:
     """Counts of zeros and ones: for each order an array (region, slot, bit)."""
 
-    def __init__(self, arrays: list[np.ndarray]):
-        self.arrays = arrays
+    def __init__(self, arrays: list[np.ndarray], sizes: tuple[int, ...]):
+        self.arrays, self.sizes = arrays, sizes
 
     def look(self, keys: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         context = keys >> 8
         region = region_of(context)
-        return [a[region if len(a) > 1 else 0, s] for a, s in zip(self.arrays, slots(context, node), strict=True)]
+        return [a[region if len(a) > 1 else 0, s] for a, s in zip(self.arrays, slots(context, node, self.sizes), strict=True)]
 
 
-def fill(keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def fill(keys: np.ndarray, n: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """The tables of one region, from its grams and their counts."""
-    tables = [np.zeros((1 << bits) * 2) for bits in SLOT_BITS]
+    tables = [np.zeros((1 << bits) * 2) for bits in sizes]
     for _, node, bit in bits_of(keys):
-        for t, s in zip(tables, slots(keys >> 8, node), strict=True):
+        for t, s in zip(tables, slots(keys >> 8, node, sizes), strict=True):
             t += np.bincount(2 * s + bit, weights=n, minlength=len(t))
     return tables
 
@@ -239,12 +246,13 @@ def log10_bytes(tables: Tables, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(counts: DataFrame) -> tuple[Tables, Mixer]:
-    """Tables and mixer from the counts of the corpus."""
+def train(counts: DataFrame) -> tuple[Broadcast, Mixer]:
+    """Tables, shared with the executors, and mixer from the counts of the corpus."""
     spark = counts.sparkSession
+    sizes = slot_bits(counts.filter("kind = 0").count())
     by_context = counts.filter("kind = 0").select("key", "n", F.pmod(F.shiftright("key", 8).bitwiseAND(0xFFFF), 65536).cast("int").alias("c"))
     regions = spark.createDataFrame([(int(c), int(r)) for c, r in enumerate(region_of(np.arange(65536)))], "c int, region int")
-    dealt = stored(by_context.join(F.broadcast(regions), "c").select("region", "key", "n").repartition(REGIONS, "region"), "grams")
+    dealt = stored(by_context.join(F.broadcast(regions), "c").select("region", "key", "n"), "grams")
 
     def make(batches):
         sums: dict[int, list[np.ndarray]] = {}
@@ -252,15 +260,15 @@ def train(counts: DataFrame) -> tuple[Tables, Mixer]:
             r, k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for own in np.unique(r):
                 some = r == own
-                new = fill(k[some], n[some])
+                new = fill(k[some], n[some], sizes)
                 sums[own] = [a + b for a, b in zip(sums[own], new, strict=True)] if own in sums else new
         for own, ts in sums.items():
             small = np.concatenate(ts[:1]).tobytes()
             big = b"".join(saturated(t).tobytes() for t in ts[1:])
             yield pa.RecordBatch.from_pydict({"region": pa.array([own], pa.int32()), "zero": [small], "tables": [big]})
 
-    arrays = [np.zeros((REGIONS, 1 << bits, 2), dtype=np.uint16) for bits in SLOT_BITS]
-    zero = np.zeros(2 << SLOT_BITS[0])
+    arrays = [np.zeros((REGIONS, 1 << bits, 2), dtype=np.uint16) for bits in sizes]
+    zero = np.zeros(2 << sizes[0])
     dealt = dealt.repartition(REGIONS, "region")
     for row in dealt.mapInArrow(make, "region int, zero binary, tables binary").toLocalIterator():
         zero += np.frombuffer(row["zero"])
@@ -270,8 +278,8 @@ def train(counts: DataFrame) -> tuple[Tables, Mixer]:
             a[row["region"]] = np.frombuffer(row["tables"], dtype=np.uint16, count=size // 2, offset=at).reshape(a[0].shape)
             at += size
     arrays[0] = saturated(zero)[None]
-    tables, mixer = Tables(arrays), Mixer()
-    shared = spark.sparkContext.broadcast(tables)
+    mixer = Mixer()
+    shared = spark.sparkContext.broadcast(Tables(arrays, sizes))
 
     def passes(start: Mixer, mapping: bool):
         def one(batches):
@@ -304,8 +312,7 @@ def train(counts: DataFrame) -> tuple[Tables, Mixer]:
             mixer.by_node = mean[mixer.weights.size :].reshape(mixer.by_node.shape).copy()
     for r in passes(mixer, True):
         mixer.map = mixer.map + np.frombuffer(r["made"]).reshape(mixer.map.shape)
-    shared.unpersist()
-    return tables, mixer
+    return shared, mixer
 
 
 # ------------------------------------------------------------------- scoring
@@ -321,13 +328,12 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
     total, distinct = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = sorted((r["key"], r["n"]) for r in counts.filter("kind = 1").orderBy(F.desc("n"), "key").limit(HEAD_WORDS).collect())
     head_keys, head_n = np.array([k for k, _ in head], dtype=np.int64), np.array([n for _, n in head], dtype=np.int64)
-    model = spark.sparkContext.broadcast((*train(counts), head_keys, np.log10(head_n + 0.1)))
+    tables_shared, mixer = train(counts)
+    model = spark.sparkContext.broadcast((mixer, head_keys, np.log10(head_n + 0.1)))
     base = float(np.log10(total + 0.1 * (distinct + 1)))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        tables, mixer, keys, logs = model.value
+        tables, (mixer, keys, logs) = tables_shared.value, model.value
         uid = TaskContext.get().partitionId() << 40
         cache_keys, cache_logs = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20)
         for batch in batches:

@@ -13,6 +13,7 @@ pairs. Components are the limit of smallest labels over these links, with pointe
 
 Two texts with Jaccard similarity s share MIN_DEPTH minima in none of the trees with probability (1 - s^MIN_DEPTH)^TREES:
 2e-7 at 0.85, 1e-5 at 0.8. Memory of a task: REGION texts, and a REGION x REGION matrix.
+Texts are shuffled only once the regions' members are too many to broadcast.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; repeated rows of an id are one document; a null id comes last, as the largest long;

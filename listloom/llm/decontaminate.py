@@ -7,7 +7,8 @@ partition's largest size. A document that lacks all k of them lacks too many shi
 search loses nothing, however long the document (signatures of whole documents would: a short item inside a long document
 has a Jaccard similarity near 0). Candidates are verified by the exact count of shared shingles.
 
-Documents are scanned once; their texts are never shuffled. Shingles are compared by 64-bit hashes of lower-cased words.
+The search joins documents with the sketches alone; only documents that hold a candidate are read again to verify it, and
+texts are never shuffled. Shingles are compared by 64-bit hashes of lower-cased words.
 
 Defined results: null and blank texts and items have no shingle and match nothing; with fewer than five words the whole
 sequence is the one shingle, so a short item is found only in a document equal to it; repeated rows of an id count once;
@@ -51,13 +52,19 @@ def sketched(items: DataFrame, item_id: str, text: str, n: int = WORDS, threshol
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item, n_shared of every item found in a document."""
     index = stored(sketched(items, item_id, text, n, threshold), "items")
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(shingles(F.col(text), n)).alias("shingle")).join(small(index, BROADCAST_ROWS), "shingle")
-    counted = found.groupBy("doc_id", "item_id").agg(
-        F.first("n_item").alias("n_item"), F.count_distinct("shingle").alias("n_shared"), F.bool_or("in_sketch").alias("candidate")
-    )
-    return counted.filter(F.col("candidate") & (100 * F.col("n_shared") >= threshold * F.col("n_item"))).select(
-        "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared"
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # the search meets the sketches only
+    sketch = index.filter("in_sketch").select("item_id", "shingle")
+    met = rows.select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle")).join(small(sketch, BROADCAST_ROWS), "shingle")
+    candidates = stored(met.select("doc_id", "item_id").distinct(), "candidates")
+    # candidates are verified by all shingles of both; other documents are not looked at again
+    few = small(candidates.select(F.col("doc_id").alias("_doc")).distinct(), BROADCAST_ROWS)
+    again = rows.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle"))
+    shared = again.join(small(index.select("item_id", "n_item", "shingle"), BROADCAST_ROWS), "shingle")
+    pairs = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")), BROADCAST_ROWS)
+    shared = shared.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
+    counted = shared.groupBy("doc_id", "item_id").agg(F.first("n_item").cast("long").alias("n_item"), F.count_distinct("shingle").alias("n_shared"))
+    return counted.filter(100 * F.col("n_shared") >= threshold * F.col("n_item"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,11 @@ Within a region all links are found exactly, on whole shingle sets: shared shing
 that two or more of its texts have. A region sends on one row for each text, its smallest neighbour in the region, never
 pairs. Components are the limit of smallest labels over these links, with pointer jumping, in rounds that are written out.
 
+Splitting may part texts that are linked. So a region over REGION texts whose members don't end as one component is
+searched again, exactly: its texts' rarest shingles, as many as a linked text can't lack all of, are joined, and texts of
+different components that share one are compared. A shingle shared by more than REGION texts is compared in blocks: those
+outside its largest component with all. Links between texts of one component would change nothing and aren't looked for.
+
 Two texts with Jaccard similarity s share MIN_DEPTH minima in none of the trees with probability (1 - s^MIN_DEPTH)^TREES:
 2e-7 at 0.85, 1e-5 at 0.8. Memory of a task: REGION texts, and a REGION x REGION matrix.
 Texts are shuffled only once the regions' members are too many to broadcast.
@@ -31,6 +36,8 @@ from .common import LOWER, blocks, mix64, ship, small, stored, table, text_bytes
 
 TREES, DEPTH, MIN_DEPTH, STEP = 16, 8, 3, 1
 REGION = 1024
+RARITY_BITS = 20
+RARITY_MASK = (1 << RARITY_BITS) - 1
 #: Regions' members (16 bytes a row) and groups of equal sets are broadcast up to this many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _LAST = 2**63 - 1
@@ -102,8 +109,9 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc long, n_shingles long, d1 long, d2 long, prefixes array<long>")
 
 
-def regions(texts: DataFrame) -> DataFrame:
-    """region, doc: texts that share a prefix in some tree, at the depth that the region needs. Each set of members once."""
+def regions(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """region, doc: texts that share a prefix in some tree, at the depth that the region needs. Each set of members once.
+    And the members of the regions that had to be split, if there are any."""
     n_depths = len(range(MIN_DEPTH, DEPTH + 1, STEP))
 
     def level(depth: int) -> DataFrame:
@@ -112,7 +120,7 @@ def regions(texts: DataFrame) -> DataFrame:
         return texts.select("doc", F.posexplode(at_depth).alias("tree", "key"))
 
     rows = level(0)
-    found = []
+    found, split = [], None
     for depth in range(n_depths):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least"))
         sizes = sizes.filter("size > 1")
@@ -123,6 +131,8 @@ def regions(texts: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         inside = rows.join(large, "key").select("doc", "tree", "key", "size", "least")
+        if split is None:
+            split = inside.select(F.col("key").alias("region"), "doc")
         if depth + 1 < n_depths:
             deeper = level(depth + 1).withColumnRenamed("key", "next")
             rows = stored(inside.join(deeper, ["doc", "tree"]).select("doc", "tree", F.col("next").alias("key")), "deeper")
@@ -136,6 +146,64 @@ def regions(texts: DataFrame) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
+    return out.distinct(), split
+
+
+def unsettled(split: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc, label of the members of split regions that hold several components."""
+    named = split.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("region", "doc", F.coalesce("component", "doc").alias("label"))
+    several = named.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
+    return named.join(several, "region", "left_semi").select("doc", "label").distinct()
+
+
+def across(docs: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
+    """region, doc: texts of ``open_`` (doc, label) to compare so that no link between different labels is missed."""
+    rows = docs.join(small(open_, BROADCAST_ROWS), "doc").select("doc", "label", "text")
+
+    def tally(batches):
+        for batch in batches:
+            counts = np.bincount(np.concatenate([np.zeros(0, U), *shingle_sets(batch.column("text"), n)]).view(np.int64) >> (64 - RARITY_BITS) & RARITY_MASK, minlength=1)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["bucket", "n"])
+
+    # how common shingles are, by bucket: a table of fixed size, and any order would be right
+    tallied = rows.mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    common[tallied.column("bucket").to_numpy()] = tallied.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def rarest(batches):
+        weight = shared.value
+        for batch in batches:
+            kept = []
+            for s in shingle_sets(batch.column("text"), n):
+                order = np.lexsort((s, weight[s.view(np.int64) >> (64 - RARITY_BITS) & RARITY_MASK]))
+                kept.append(s[order[: len(s) - -(-len(s) * percent // 100) + 1]])
+            each = np.array([len(k) for k in kept], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(kept)), each))
+            keys = pa.array(np.concatenate([np.zeros(0, U), *kept]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, batch.column("doc").take(at), batch.column("label").take(at)], names=["key", "doc", "label"])
+
+    found = stored(rows.mapInArrow(rarest, "key long, doc long, label long"), "rarest")
+    counts = found.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least"))
+    sizes = counts.groupBy("key").agg(
+        F.sum("n").alias("size"), F.sum("who").alias("who"), F.min("least").alias("least"), F.count("*").alias("labels"),
+        F.max(F.struct("n", "label")).alias("largest"),
+    ).filter("labels > 1")
+    # a set of texts is compared once, whatever shingles they share
+    once = sizes.groupBy("size", "who", "least").agg(F.min(F.struct("key", "largest")).alias("x")).select("x.key", "size", "x.largest")
+    met = stored(found.join(once, "key"), "across")
+    out = met.filter(F.col("size") <= REGION).select(F.col("key").alias("region"), "doc")
+    large = met.filter(F.col("size") > REGION).withColumns({
+        "every": F.ceil(2 * F.col("size") / REGION).cast("int"),
+        "others": F.ceil(2 * (F.col("size") - F.col("largest.n")) / REGION).cast("int"),
+    })
+    block = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
+    upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    one = large.select("key", "doc", block("every").alias("a"), upto("others").alias("b"))
+    other = large.filter(F.col("label") != F.col("largest.label")).select("key", "doc", upto("every").alias("a"), block("others").alias("b"))
+    for x in (one, other):
+        out = out.unionByName(x.select(F.xxhash64("key", "a", "b").alias("region"), "doc"))
     return out.distinct()
 
 
@@ -231,9 +299,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     same = full.select("doc", "d1", "d2").join(small(equal, BROADCAST_ROWS), ["d1", "d2"], "left")
     same = stored(same.select("doc", F.coalesce("least", "doc").alias("least")), "representatives")
     first = full.join(same.filter("doc = least").select("doc"), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "prefixes")
-    members = stored(regions(first), "regions")
-    near = links(rows.dropDuplicates(["doc"]) if _repeats(all_) else rows, members, n, percent)
-    labels = components(stored(near, "links")).withColumnRenamed("node", "_node")
+    members, split = regions(first)
+    texts = rows.dropDuplicates(["doc"]) if _repeats(all_) else rows
+    near = stored(links(texts, stored(members, "regions"), n, percent), "links")
+    labels = components(near)
+    if split is not None:
+        open_ = stored(unsettled(split, labels), "unsettled")
+        if not open_.isEmpty():
+            more = links(texts, stored(across(texts, open_, n, percent), "across-regions"), n, percent)
+            labels = components(near.unionByName(stored(more, "more-links")))
+    labels = labels.withColumnRenamed("node", "_node")
     out = same.join(labels, F.col("least") == F.col("_node"), "left").select("doc", F.coalesce("component", "least").alias("component_id")).distinct()
     out = out.groupBy(F.col("doc").alias("_doc")).agg(F.min("component_id").alias("component_id"))
     sizes = all_.groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"))

@@ -240,6 +240,25 @@ def test_near_duplicates_are_brute_force(spark, sf, n, percent, region, monkeypa
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in r)
 
 
+def test_split_regions_lose_no_link(spark, monkeypatch):
+    """Chains of texts each linked with its neighbours only, in regions split far below their size."""
+    random.seed(4)
+    docs = {}
+    for c in range(6):
+        w = [f"{c % 2}w{i}" for i in range(60)] + [f"c{c}x{i}" for i in range(40)]
+        for k in range(40):
+            docs[c * 100 + k] = " ".join(w)
+            w[random.randrange(100)] = f"c{c}y{k}"
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    r = lsh_forest.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 3, 85).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in r} == components_by_hand(docs, 3, 85)
+    # every link across labels is found, though each label is one text
+    frame = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    members = lsh_forest.across(frame, frame.select("doc", F.col("doc").alias("label")), 3, 85)
+    labels = {x["node"]: x["component"] for x in lsh_forest.components(lsh_forest.links(frame, members, 3, 85)).collect()}
+    assert {k: labels.get(k, k) for k in docs} == {k: v for k, (_, v) in components_by_hand(docs, 3, 85).items()}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     r = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in lsh_forest.near_duplicates(odd, 3, 85).collect()}
     assert len(r) == 7 and r[1] == (5, 1, True) and r[6] == (5, 1, False) and r[2] == (0, 2, True) and r[5][0] == 0 and r[None][0] == 1

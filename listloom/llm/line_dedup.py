@@ -1,7 +1,10 @@
 """Operator 7: line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is dropped if an earlier line of the corpus (by document id, then place) lies within one edit of it: equal, or one
-character inserted, deleted or replaced. Lines of fewer than ``MIN_WORDS`` words recur in any prose and always stay.
+character inserted, deleted or replaced. Lines of fewer than ``MIN_WORDS`` words always stay in the query (so says its SQL);
+with ``short``, as in the pipeline, every line that isn't blank takes part. A line of few words is then dropped if an earlier
+one equals it, and from ``NEAR_CHARS`` characters on (a paragraph in a script without spaces is one word) also if one lies
+within one edit; the edit of a shorter line would make another word or number of it.
 
 Equal lines meet first, by hash, and leave one representative, so a line that a third of all documents share is one row
 from then on. Lines that can have a neighbour are then found without loss: one edit leaves either the first or the second
@@ -24,15 +27,20 @@ from pyspark.sql import functions as F
 from .common import bound, small, stored, table
 
 MIN_WORDS = 5
+NEAR_CHARS = 25
 BLOCK = 64
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 
 
+def _has_words(line: Column, n: int) -> Column:
+    return F.regexp_like(line, F.lit(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{n - 1}}}[^\x20\x09-\x0D]"))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """doc, pos, line of the lines with enough words."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.regexp_like("line", F.lit(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{min_words - 1}}}[^\x20\x09-\x0D]")))
+    return rows.filter(_has_words(F.col("line"), min_words))
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -94,12 +102,15 @@ def _variant_keys(line: Column) -> Column:
     return bound(line, with_blocks)
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """doc (the id; a null id is the largest long), pos of every line to drop."""
     line, n = F.col("line"), F.length("line")
-    all_lines = stored(
-        _lines(docs, doc_id, text, min_words).select("doc", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), _half_keys(line, n).alias("halves")), "lines"
-    )
+    halves = _half_keys(line, n)
+    if short:
+        # the others meet equal lines only
+        halves = F.when((n >= NEAR_CHARS) | _has_words(line, min_words), halves)
+        min_words = 1
+    all_lines = stored(_lines(docs, doc_id, text, min_words).select("doc", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
     first = F.min(F.struct("doc", "pos")).alias("first")
     distinct = stored(all_lines.groupBy("h", "n").agg(first, F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
 
@@ -138,9 +149,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return hit.filter(F.col("near") | (F.struct("doc", "pos") != F.col("first"))).select("doc", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and the numbers (from 0) of the cut lines in ``removed_lines``."""
-    gone = repeated_lines(docs, doc_id, text, min_words).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))
+    gone = repeated_lines(docs, doc_id, text, min_words, short).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))
     gone = stored(gone.withColumnRenamed("doc", "_doc"), "removed")
     both = docs.drop("removed_lines").join(small(gone, BROADCAST_ROWS // 4), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").drop("_doc")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")

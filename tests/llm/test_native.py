@@ -119,6 +119,19 @@ def test_line_dedup_is_brute_force(spark):
     assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    long, script = "one line of more than five words", "\u6587" * 30
+    rows = [(1, f"Les.\n{long}\n\n{script}\nNo 12"), (2, f"Les.\n{long}\n\n{script}\nNo 12"), (3, f"Des.\n{script[1:]}\nNo 13\n \nLes."), (4, "Les.\nLes.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs).collect()} == {(2, 1)}
+    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs, short=True).collect()} == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 1), (3, 4), (4, 0), (4, 1)}
+
+    import corpus_pipeline
+
+    docs = docs.selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS long) AS n_chars")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 3: "Des.\nNo 13\n "}
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     r = line_dedup.dedup_lines(odd).collect()
     assert len(r) == 8

@@ -11,8 +11,9 @@ The search joins documents with the sketches alone; only documents that hold a c
 texts are never shuffled. Shingles are compared by 64-bit hashes of lower-cased words.
 
 Defined results: null and blank texts and items have no shingle and match nothing; with fewer than five words the whole
-sequence is the one shingle, so a short item is found only in a document equal to it; repeated rows of an id count once;
-null ids match like any others; empty tables give an empty result.
+sequence is the one shingle, so a short item is found only in a document equal to it; items that share an id, or have none,
+are items of their own if their shingles differ, and once if not; null ids match like any others; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -39,32 +40,35 @@ def shingles(text: Column, n: int = WORDS) -> Column:
 
 
 def sketched(items: DataFrame, item_id: str, text: str, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """item_id, n_item (shingles), shingle, in_sketch: the shingles of the items, those of the size-partitioned sketch marked."""
+    """item (a hash of id and shingles), item_id, n_item (shingles), shingle, in_sketch: the shingles of the items, those of
+    the size-partitioned sketch marked."""
     s = items.select(F.col(item_id).alias("item_id"), F.array_sort(shingles(F.col(text), n)).alias("s")).filter(F.size("s") > 0)
-    s = s.dropDuplicates(["item_id"])
+    s = s.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull(), "s")).dropDuplicates(["item"])
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("s")))).cast("int")
     k = largest - F.ceil(largest * threshold / 100).cast("int") + 1
-    return s.select("item_id", F.size("s").alias("n_item"), k.alias("k"), F.posexplode("s").alias("at", "shingle")).select(
-        "item_id", "n_item", "shingle", (F.col("at") < F.col("k")).alias("in_sketch")
+    return s.select("item", "item_id", F.size("s").alias("n_item"), k.alias("k"), F.posexplode("s").alias("at", "shingle")).select(
+        "item", "item_id", "n_item", "shingle", (F.col("at") < F.col("k")).alias("in_sketch")
     )
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared of every item found in a document."""
+    """doc_id, item_id, n_item, n_shared of every item found in a document; a row for each of the items that share an id."""
     index = stored(sketched(items, item_id, text, n, threshold), "items")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # the search meets the sketches only
-    sketch = index.filter("in_sketch").select("item_id", "shingle")
+    sketch = index.filter("in_sketch").select("item", "shingle")
     met = rows.select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle")).join(small(sketch, BROADCAST_ROWS), "shingle")
-    candidates = stored(met.select("doc_id", "item_id").distinct(), "candidates")
+    candidates = stored(met.select("doc_id", "item").distinct(), "candidates")
     # candidates are verified by all shingles of both; other documents are not looked at again
     few = small(candidates.select(F.col("doc_id").alias("_doc")).distinct(), BROADCAST_ROWS)
     again = rows.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle"))
-    shared = again.join(small(index.select("item_id", "n_item", "shingle"), BROADCAST_ROWS), "shingle")
-    pairs = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")), BROADCAST_ROWS)
-    shared = shared.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
-    counted = shared.groupBy("doc_id", "item_id").agg(F.first("n_item").cast("long").alias("n_item"), F.count_distinct("shingle").alias("n_shared"))
-    return counted.filter(100 * F.col("n_shared") >= threshold * F.col("n_item"))
+    shared = again.join(small(index.select("item", "item_id", "n_item", "shingle"), BROADCAST_ROWS), "shingle")
+    pairs = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("item").alias("_item")), BROADCAST_ROWS)
+    shared = shared.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("item") == F.col("_item")), "left_semi")
+    counted = shared.groupBy("doc_id", "item").agg(
+        F.first("item_id").alias("item_id"), F.first("n_item").cast("long").alias("n_item"), F.count_distinct("shingle").alias("n_shared")
+    )
+    return counted.filter(100 * F.col("n_shared") >= threshold * F.col("n_item")).drop("item")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -63,6 +63,15 @@ def test_items_are_found_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()) == [3, 5]
 
 
+def test_items_that_share_an_id_are_all_searched(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(9)) for c in "abcd"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "nothing of the kind is in this one")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3])], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontaminate.contained(docs, items).collect())
+    assert got == [(0, 1, 5, 5), (1, 1, 5, 5), (2, None, 5, 5), (3, None, 5, 5)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [9]
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.contained(odd, items).collect()} == {1, 6}

@@ -12,8 +12,8 @@ texts are never shuffled. Shingles are compared by 64-bit hashes of lower-cased
 
 Defined results: null and blank texts and items have no shingle and match nothing; with fewer than five words the whole
 sequence is the one shingle, so a short item is found only in a document equal to it; items that share an id, or have none,
-are items of their own if their shingles differ, and once if not; null ids match like any others; empty tables give an
-empty result.
+are items of their own if their shingles differ, and once if not; so are documents if their texts differ; null ids match
+like any others; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -51,30 +51,37 @@ def sketched(items: DataFrame, item_id: str, text: str, n: int = WORDS, threshol
     )
 
 
-def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared of every item found in a document; a row for each of the items that share an id."""
+def found(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, row (a hash of the document's text), item_id, n_item, n_shared of every item found in a document."""
     index = stored(sketched(items, item_id, text, n, threshold), "items")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     # the search meets the sketches only
     sketch = index.filter("in_sketch").select("item", "shingle")
-    met = rows.select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle")).join(small(sketch, BROADCAST_ROWS), "shingle")
-    candidates = stored(met.select("doc_id", "item").distinct(), "candidates")
+    met = rows.select("doc_id", "row", F.explode(shingles(F.col("text"), n)).alias("shingle")).join(small(sketch, BROADCAST_ROWS), "shingle")
+    candidates = stored(met.select("doc_id", "row", "item").distinct(), "candidates")
     # candidates are verified by all shingles of both; other documents are not looked at again
-    few = small(candidates.select(F.col("doc_id").alias("_doc")).distinct(), BROADCAST_ROWS)
-    again = rows.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", F.explode(shingles(F.col("text"), n)).alias("shingle"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))
+    few = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct(), BROADCAST_ROWS)
+    again = rows.join(few, same, "left_semi").select("doc_id", "row", F.explode(shingles(F.col("text"), n)).alias("shingle"))
     shared = again.join(small(index.select("item", "item_id", "n_item", "shingle"), BROADCAST_ROWS), "shingle")
-    pairs = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("item").alias("_item")), BROADCAST_ROWS)
-    shared = shared.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("item") == F.col("_item")), "left_semi")
-    counted = shared.groupBy("doc_id", "item").agg(
+    pairs = small(candidates.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("item").alias("_item")), BROADCAST_ROWS)
+    shared = shared.join(pairs, same & (F.col("item") == F.col("_item")), "left_semi")
+    counted = shared.groupBy("doc_id", "row", "item").agg(
         F.first("item_id").alias("item_id"), F.first("n_item").cast("long").alias("n_item"), F.count_distinct("shingle").alias("n_shared")
     )
     return counted.filter(100 * F.col("n_shared") >= threshold * F.col("n_item")).drop("item")
 
 
+def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared of every item found in a document; a row for each of those that share an id."""
+    return found(docs, items, **options).drop("row")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    hits = stored(contained(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    return docs.join(small(hits, BROADCAST_ROWS), F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_hit")), "left_anti")
+    hits = stored(found(docs, items, **options).select(F.col("doc_id").alias("_hit"), F.col("row").alias("_row")).distinct(), "hits")
+    same = F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_hit")) & (F.xxhash64(options.get("text", "text")) == F.col("_row"))
+    return docs.join(small(hits, BROADCAST_ROWS), same, "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir):

@@ -15,8 +15,9 @@ earliest line of a key is looked for, so no pairs are emitted within a group; th
 earliest neighbour is then verified on the texts. Variants are hashed block by block (``BLOCK`` characters), so a line of L
 characters costs about L * BLOCK, not L * L, steps.
 
-Defined results: null and empty texts stay as they are; lines keep their order and separators; rows that share an id are
-one document, whose equal lines at equal places are one line; a null id comes last; an empty table gives an empty result.
+Defined results: null and empty texts stay as they are; lines keep their order and separators; rows that share an id (or
+have none) and their text are one document, those with other texts are documents of their own, by a hash of the text; a
+null id comes last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def _has_words(line: Column, n: int) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """doc, pos, line of the lines with enough words."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    """doc, row, pos, line of the lines with enough words."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
     return rows.filter(_has_words(F.col("line"), min_words))
 
 
@@ -103,15 +104,15 @@ def _variant_keys(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
-    """doc (the id; a null id is the largest long), pos of every line to drop."""
+    """doc (the id; a null id is the largest long), row (a hash of the text), pos of every line to drop."""
     line, n = F.col("line"), F.length("line")
     halves = _half_keys(line, n)
     if short:
         # the others meet equal lines only
         halves = F.when((n >= NEAR_CHARS) | _has_words(line, min_words), halves)
         min_words = 1
-    all_lines = stored(_lines(docs, doc_id, text, min_words).select("doc", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
-    first = F.min(F.struct("doc", "pos")).alias("first")
+    all_lines = stored(_lines(docs, doc_id, text, min_words).select("doc", "row", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
+    first = F.min(F.struct("doc", "row", "pos")).alias("first")
     distinct = stored(all_lines.groupBy("h", "n").agg(first, F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
 
     # lines that have a companion of a fitting length in one half
@@ -126,7 +127,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # their texts, from the documents, at the place of the representative
     texts = _lines(docs, doc_id, text, min_words).withColumn("h", F.xxhash64(line, n)).join(small(wanted, BROADCAST_ROWS), "h")
-    texts = texts.filter((F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))).dropDuplicates(["h"])
+    texts = texts.filter((F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))).dropDuplicates(["h"])
     texts = stored(texts.select("h", "first", "line", "replaced", "inserted", "deleted"), "neighbour-texts")
 
     keys = texts.select("h", "first", "replaced", "inserted", "deleted", F.explode(_variant_keys(F.col("line"))).alias("k")).select("*", "k.role", "k.key").drop("k")
@@ -145,15 +146,16 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # every line of a dropped text, and every line but the first of an equal text
     groups = distinct.select("h", "first", "copies").join(near, "h", "left").filter((F.col("copies") > 1) | F.col("near"))
     groups = stored(groups.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
-    hit = all_lines.select("doc", "pos", "h").join(small(groups, BROADCAST_ROWS), "h")
-    return hit.filter(F.col("near") | (F.struct("doc", "pos") != F.col("first"))).select("doc", "pos").distinct()
+    hit = all_lines.select("doc", "row", "pos", "h").join(small(groups, BROADCAST_ROWS), "h")
+    return hit.filter(F.col("near") | (F.struct("doc", "row", "pos") != F.col("first"))).select("doc", "row", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and the numbers (from 0) of the cut lines in ``removed_lines``."""
-    gone = repeated_lines(docs, doc_id, text, min_words, short).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))
-    gone = stored(gone.withColumnRenamed("doc", "_doc"), "removed")
-    both = docs.drop("removed_lines").join(small(gone, BROADCAST_ROWS // 4), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").drop("_doc")
+    gone = repeated_lines(docs, doc_id, text, min_words, short).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))
+    gone = stored(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), "removed")
+    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_row"))
+    both = docs.drop("removed_lines").join(small(gone, BROADCAST_ROWS // 4), same, "left").drop("_doc", "_row")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
     return both.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(left)).withColumn(
         "removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))

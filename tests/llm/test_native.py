@@ -141,6 +141,21 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 3: "Des.\nNo 13\n "}
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    said = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    texts = {k: [r["text"] for r in df.collect()] for k, df in {
+        "lines": line_dedup.dedup_lines(spark.createDataFrame([(1, said("a")), (None, said("a")), (None, said("b")), (2, said("c")), (2, said("a"))], "doc_id long, text string")),
+        "items": decontaminate.decontaminated(spark.createDataFrame([(None, said("a")), (None, said("b")), (2, said("a")), (2, said("c"))], "doc_id long, text string"), spark.createDataFrame([(1, said("a"))], "item_id long, text string")),
+        "near": corpus_pipeline.near_stage(spark, spark.createDataFrame([(7, said("a")), (None, said("a") + " x"), (None, said("b")), (None, said("b")), (2, said("c")), (2, said("d")), (3, said("d"))], "doc_id long, text string")
+            .selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS long) AS n_chars"), str(tmp_path)),
+    }.items()}
+    assert sorted(texts["lines"]) == ["", "", said("a"), said("b"), said("c")]
+    assert sorted(texts["items"]) == [said("b"), said("c")]
+    assert sorted(texts["near"]) == [said("a"), said("b"), said("c"), said("d")]
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     r = line_dedup.dedup_lines(odd).collect()
     assert len(r) == 8

@@ -2,45 +2,47 @@
 
 Each text's distinct word shingles are hashed; TREES * DEPTH minima make its signature, DEPTH of them for each tree. Texts
 with equal shingle sets are one text from the start (an equality join on a 128-bit digest). In each tree the others are
-ordered by their part of the signature; the ones with a common prefix are neighbours. The prefix starts at MIN_DEPTH and is
-lengthened region by region, while more than REGION texts share it, so that hot groups are split and thin ones keep their
+ordered by their part of the signature; the ones with a common prefix are neighbours. Grouping by the prefix finds the same
+neighbours as sorting by it and needs no sort of all texts. The prefix starts at MIN_DEPTH and is lengthened region by
+region, while the region is over REGION texts or SHINGLES shingles, so that hot groups are split and thin ones keep their
 recall. Regions with the same members in several trees are compared once. A region that the whole signature can't split is
-dealt into parts by the other trees' minima, and its first text joins every part.
+dealt into parts by a hash, and its first text joins every part.
+
+The first FIRST_TREES trees are searched first. What they link is one component from then on, so of the other trees only
+regions that hold several components are looked at, and most texts of a group of copies are shuffled a few times only.
 
 Within a region all links are found exactly, on whole shingle sets: shared shingles by matrix products over the shingles
 that two or more of its texts have. A region sends on one row for each text, its smallest neighbour in the region, never
 pairs. Components are the limit of smallest labels over these links, with pointer jumping, in rounds that are written out.
 
-Splitting may part texts that are linked. So a region over REGION texts whose members don't end as one component is
-searched again, exactly: its texts' rarest shingles, as many as a linked text can't lack all of, are joined, and texts of
-different components that share one are compared. A shingle shared by more than REGION texts is compared in blocks: those
-outside its largest component with all. Links between texts of one component would change nothing and aren't looked for.
+Splitting may part texts that are linked. So a split region whose members don't end as one component is searched again,
+exactly: those outside its largest component are compared with all of its members, in blocks. Regions around the same
+component in several trees are one pool, compared once. The blocks cost (texts outside * all texts / REGION) rows.
 
 Two texts with Jaccard similarity s share MIN_DEPTH minima in none of the trees with probability (1 - s^MIN_DEPTH)^TREES:
-2e-7 at 0.85, 1e-5 at 0.8. Memory of a task: REGION texts, and a REGION x REGION matrix.
-Texts are shuffled only once the regions' members are too many to broadcast.
+2e-7 at 0.85, 1e-5 at 0.8. Memory of a task: REGION texts of together SHINGLES shingles (twice that in a block; or one
+text and its neighbour, if they are longer), and a matrix of REGION x REGION (or twice that each way).
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; with fewer words than a shingle
-the whole sequence is the one shingle; repeated rows of an id are one document; a null id comes last, as the largest long;
-an empty table gives an empty result. Words and shingles are compared by 64-bit hashes.
+the whole sequence is the one shingle; rows that share an id, or have none, and their text are one document, those with
+other texts are documents of their own; a null id comes last; an empty table gives an empty result. Words and shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, mix64, ship, small, stored, table, text_bytes, word_hashes, word_spans
 
-TREES, DEPTH, MIN_DEPTH, STEP = 16, 8, 3, 1
-REGION = 1024
-RARITY_BITS = 20
-RARITY_MASK = (1 << RARITY_BITS) - 1
+TREES, DEPTH, MIN_DEPTH, FIRST_TREES = 16, 8, 3, 4
+DEPTHS = DEPTH - MIN_DEPTH + 1
+REGION, SHINGLES = 1024, 1_000_000
 #: Regions' members (16 bytes a row) and groups of equal sets are broadcast up to this many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_LAST = 2**63 - 1
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -85,9 +87,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc, n_shingles, d1, d2 (digest of the set), prefixes (TREES x (DEPTH - MIN_DEPTH + 1) hashes of signature prefixes)."""
-    depths = range(MIN_DEPTH, DEPTH + 1, STEP)
+def signed(docs: DataFrame, n: int, depths: int = 1) -> DataFrame:
+    """doc, n_shingles, d1, d2 (digest of the set), prefixes (hashes of the signature's prefixes of the first ``depths``
+    depths from MIN_DEPTH, tree by tree)."""
 
     def sign(batches):
         for batch in batches:
@@ -96,115 +98,94 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
             sigs = np.stack([signature(s) for s in sets]).reshape(-1, TREES, DEPTH).astype(np.uint64) if sets else np.zeros((0, TREES, DEPTH), np.uint64)
             h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15), sigs.shape[:2]).copy()
             prefixes = []
-            for k in range(DEPTH):
+            for k in range(MIN_DEPTH - 1 + depths):
                 h = mix64(h * U(33) + sigs[:, :, k] + U(k + 1))
-                if k + 1 in depths:
+                if k + 1 >= MIN_DEPTH:
                     prefixes.append(h)
             flat = np.stack(prefixes, axis=2).reshape(-1).view(np.int64)
-            per = TREES * len(depths)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * per), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES * depths), pa.array(flat))
             columns = [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(digests[:, k].view(np.int64)) for k in (0, 1)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "d1", "d2", "prefixes"])
 
     return docs.mapInArrow(sign, "doc long, n_shingles long, d1 long, d2 long, prefixes array<long>")
 
 
-def regions(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """region, doc: texts that share a prefix in some tree, at the depth that the region needs. Each set of members once.
-    And the members of the regions that had to be split, if there are any."""
-    n_depths = len(range(MIN_DEPTH, DEPTH + 1, STEP))
-
-    def level(depth: int) -> DataFrame:
-        """doc, tree, key of the prefixes of one depth."""
-        at_depth = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("prefixes", t * n_depths + depth))
-        return texts.select("doc", F.posexplode(at_depth).alias("tree", "key"))
-
-    rows = level(0)
-    found, split = [], None
-    for depth in range(n_depths):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least"))
-        sizes = sizes.filter("size > 1")
-        # a set of members is one region, whatever the trees it comes from
-        once = sizes.filter(F.col("size") <= REGION).groupBy("size", "who", "least").agg(F.min("key").alias("key")).select("key")
-        found.append(rows.join(once, "key").select(F.col("key").alias("region"), "doc"))
-        large = stored(sizes.filter(F.col("size") > REGION).select("key", "size", "least"), "large-regions")
-        if large.isEmpty():
+def regions_of(rows: DataFrame) -> DataFrame:
+    """tree, key, size, weight (shingles), least of the keys that several of ``rows`` (tree, key, doc, n_shingles) have. A
+    set of members is one region, whatever the trees it comes from: the first of these."""
+    sizes = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("tree").alias("tree"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least")
+    ).filter("size > 1")
+    return sizes.groupBy("size", "who", "least").agg(F.min(F.struct("tree", "key", "weight")).alias("x")).select("x.*", "size", "least")
+
+
+def too_large() -> Column:
+    return (F.col("size") > REGION) | ((F.col("weight") > SHINGLES) & (F.col("size") > 2))
+
+
+def parted(size: Column, weight: Column) -> Column:
+    """Into how many parts to deal texts."""
+    return F.least(F.greatest(F.ceil(size / (REGION - 1)), F.ceil(weight / SHINGLES)), size).cast("int")
+
+
+def deepened(hot: DataFrame, deep: DataFrame) -> DataFrame:
+    """region, doc: the regions of ``hot`` (doc, n_shingles, tree, key), which are too large, at the depth that each needs.
+    ``deep``: doc, prefixes of all depths."""
+    rows, found = hot, []
+    for depth in range(1, DEPTHS):
+        at_depth = deep.select("doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("prefixes", t * DEPTHS + depth))).alias("tree", "next"))  # noqa: B023
+        rows = stored(rows.join(at_depth, ["doc", "tree"]).select("doc", "n_shingles", "tree", F.col("next").alias("key")), "deeper")
+        sizes = stored(regions_of(rows), "deeper-regions")
+        found.append(rows.join(sizes.filter(~too_large()).select("key"), "key").select(F.col("key").alias("region"), "doc"))
+        rows = rows.join(sizes.filter(too_large()).select("key"), "key", "left_semi")
+        if sizes.filter(too_large()).isEmpty():
             break
-        inside = rows.join(large, "key").select("doc", "tree", "key", "size", "least")
-        if split is None:
-            split = inside.select(F.col("key").alias("region"), "doc")
-        if depth + 1 < n_depths:
-            deeper = level(depth + 1).withColumnRenamed("key", "next")
-            rows = stored(inside.join(deeper, ["doc", "tree"]).select("doc", "tree", F.col("next").alias("key")), "deeper")
-        else:
-            # equal in the whole tree: dealt by another tree's deepest prefix, the first text goes to every part
-            other = texts.select("doc", F.col("prefixes").alias("p"))
-            parts = F.ceil(F.col("size") / (REGION - 1)).cast("int")
-            dealt = inside.join(other, "doc").withColumn("part", F.pmod(F.xxhash64(F.get("p", ((F.col("tree") + 1) % TREES * n_depths + n_depths - 1).cast("int")), "doc"), parts))
-            found.append(dealt.select(F.xxhash64("key", "part").alias("region"), "doc"))
-            found.append(large.withColumn("parts", parts).select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "least").select(F.xxhash64("key", F.col("part").cast("long")).alias("region"), F.col("least").alias("doc")))
+    else:
+        # equal in the whole tree: dealt out, the first text goes to every part
+        sizes = sizes.filter(too_large()).withColumn("parts", parted(F.col("size"), F.col("weight")))
+        dealt = rows.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+        found.append(dealt.select(F.xxhash64("key", "part").alias("region"), "doc"))
+        every = sizes.select("key", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        found.append(every.select(F.xxhash64("key", "part").alias("region"), F.col("least").alias("doc")))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct(), split
-
-
-def unsettled(split: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc, label of the members of split regions that hold several components."""
-    named = split.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("region", "doc", F.coalesce("component", "doc").alias("label"))
-    several = named.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
-    return named.join(several, "region", "left_semi").select("doc", "label").distinct()
-
+    return out.distinct()
 
-def across(docs: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
-    """region, doc: texts of ``open_`` (doc, label) to compare so that no link between different labels is missed."""
-    rows = docs.join(small(open_, BROADCAST_ROWS), "doc").select("doc", "label", "text")
 
-    def tally(batches):
-        for batch in batches:
-            counts = np.bincount(np.concatenate([np.zeros(0, U), *shingle_sets(batch.column("text"), n)]).view(np.int64) >> (64 - RARITY_BITS) & RARITY_MASK, minlength=1)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["bucket", "n"])
-
-    # how common shingles are, by bucket: a table of fixed size, and any order would be right
-    tallied = rows.mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    common[tallied.column("bucket").to_numpy()] = tallied.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def rarest(batches):
-        weight = shared.value
-        for batch in batches:
-            kept = []
-            for s in shingle_sets(batch.column("text"), n):
-                order = np.lexsort((s, weight[s.view(np.int64) >> (64 - RARITY_BITS) & RARITY_MASK]))
-                kept.append(s[order[: len(s) - -(-len(s) * percent // 100) + 1]])
-            each = np.array([len(k) for k in kept], dtype=np.int64)
-            at = pa.array(np.repeat(np.arange(len(kept)), each))
-            keys = pa.array(np.concatenate([np.zeros(0, U), *kept]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([keys, batch.column("doc").take(at), batch.column("label").take(at)], names=["key", "doc", "label"])
-
-    found = stored(rows.mapInArrow(rarest, "key long, doc long, label long"), "rarest")
-    counts = found.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.min("doc").alias("least"))
-    sizes = counts.groupBy("key").agg(
-        F.sum("n").alias("size"), F.sum("who").alias("who"), F.min("least").alias("least"), F.count("*").alias("labels"),
-        F.max(F.struct("n", "label")).alias("largest"),
-    ).filter("labels > 1")
-    # a set of texts is compared once, whatever shingles they share
-    once = sizes.groupBy("size", "who", "least").agg(F.min(F.struct("key", "largest")).alias("x")).select("x.key", "size", "x.largest")
-    met = stored(found.join(once, "key"), "across")
-    out = met.filter(F.col("size") <= REGION).select(F.col("key").alias("region"), "doc")
-    large = met.filter(F.col("size") > REGION).withColumns({
-        "every": F.ceil(2 * F.col("size") / REGION).cast("int"),
-        "others": F.ceil(2 * (F.col("size") - F.col("largest.n")) / REGION).cast("int"),
-    })
+def named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the label of each doc: its component so far, itself at first."""
+    if labels is None:
+        return members.withColumn("label", F.col("doc"))
+    known = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return members.join(small(known, BROADCAST_ROWS), F.col("doc") == F.col("_n"), "left").withColumn("label", F.coalesce("_c", "doc")).drop("_n", "_c")
+
+
+def unsettled(members: DataFrame, labels: DataFrame | None, region: str = "region") -> DataFrame:
+    """The rows of ``members`` in regions that hold several components."""
+    if labels is None:
+        return members
+    several = named(members, labels).groupBy(F.col(region).alias("_r")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("_r")
+    return members.join(several, F.col(region) == F.col("_r"), "left_semi")
+
+
+def pools(split: DataFrame, labels: DataFrame) -> DataFrame:
+    """region, doc: what to compare so that no link between different components of a split region (region, doc,
+    n_shingles) is missed: in each, texts outside the largest component with all."""
+    rows = named(split, labels)
+    counts = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("region").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("pool")).filter("labels > 1").select("region", "pool")
+    # regions around one component are one pool
+    met = rows.join(small(largest, BROADCAST_ROWS), "region").groupBy("pool", "doc").agg(F.bool_or(F.col("label") != F.col("pool")).alias("other"), F.first("n_shingles").alias("w"))
+    met = stored(met, "pools")
+    w, other = F.col("w"), F.col("other")
+    sizes = met.groupBy("pool").agg(parted(F.count("*"), F.sum("w")).alias("every"), F.greatest(F.lit(1), parted(F.count_if(other), F.sum(F.when(other, w).otherwise(0)))).alias("others"))
+    met = met.join(small(sizes, BROADCAST_ROWS), "pool")
     block = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
     upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    one = large.select("key", "doc", block("every").alias("a"), upto("others").alias("b"))
-    other = large.filter(F.col("label") != F.col("largest.label")).select("key", "doc", upto("every").alias("a"), block("others").alias("b"))
-    for x in (one, other):
-        out = out.unionByName(x.select(F.xxhash64("key", "a", "b").alias("region"), "doc"))
-    return out.distinct()
+    one = met.select("pool", "doc", block("every").alias("a"), upto("others").alias("b"))
+    two = met.filter(other).select("pool", "doc", upto("every").alias("a"), block("others").alias("b"))
+    return one.unionByName(two).select(F.xxhash64("pool", "a", "b").alias("region"), "doc").distinct()
 
 
 def region_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -229,11 +210,13 @@ def region_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 incidence = np.zeros((m, min(width, group[-1] + 1 - k * width)), dtype=np.float32)
                 incidence[owner[i:j], group[i:j] - k * width] = 1
                 inter += incidence @ incidence.T
-    union = sizes[:, None] + sizes[None, :] - inter
-    linked = 100 * inter.astype(np.float64) >= percent * union
-    label = np.arange(m)
+    linked = np.zeros((m, m), dtype=bool)
+    for i in range(0, m, 256):
+        both = inter[i : i + 256].astype(np.float64)
+        linked[i : i + 256] = 100 * both >= percent * (sizes[i : i + 256, None] + sizes[None, :] - both)
+    label = np.arange(m, dtype=np.int32)
     while True:
-        least = np.where(linked, label[None, :], m).min(axis=1)
+        least = np.concatenate([np.where(linked[i : i + 256], label[None, :], np.int32(m)).min(axis=1) for i in range(0, m, 256)])
         least = np.minimum(least, label)
         least = least[least]
         if np.array_equal(least, label):
@@ -287,40 +270,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document (rows of equal ids are one document)."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with a key of each document in ``_key``: the id, or, of a null id and of ids that several rows share, a
+    62-bit hash of id and text, which comes after the usual ids; of rows equal in both one stays. And whether there are any
+    such ids."""
+    id_ = F.col(doc_id).cast("long")
+    several = stored(docs.groupBy(id_.alias("_id")).count().filter("count > 1 OR _id IS NULL").select("_id"), "shared-ids")
+    one = docs.withColumn("_key", id_)
+    if several.isEmpty():
+        return one, False
+    shared, several = id_.eqNullSafe(F.col("_id")), small(several, BROADCAST_ROWS)
+    hashed = F.shiftrightunsigned(F.xxhash64(id_, id_.isNull(), text), 2).bitwiseOR(F.lit(1 << 62))
+    again = docs.join(several, shared, "left_semi").withColumn("_key", hashed).dropDuplicates(["_key"])
+    return one.join(several, shared, "left_anti").unionByName(again), True
+
+
+def grouped(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc, n_shingles, label (the smallest doc of its component) of every row of ``rows`` (doc, distinct and not null; text)."""
+    ship(rows.sparkSession)
     all_ = stored(signed(rows, n), "signatures")
     full = all_.filter("n_shingles > 0")
     # equal sets are one text; its smallest document stands for it
     equal = full.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     equal = stored(equal, "equal-sets")
     same = full.select("doc", "d1", "d2").join(small(equal, BROADCAST_ROWS), ["d1", "d2"], "left")
-    same = stored(same.select("doc", F.coalesce("least", "doc").alias("least")), "representatives")
-    first = full.join(same.filter("doc = least").select("doc"), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "prefixes")
-    members, split = regions(first)
-    texts = rows.dropDuplicates(["doc"]) if _repeats(all_) else rows
-    near = stored(links(texts, stored(members, "regions"), n, percent), "links")
-    labels = components(near)
-    if split is not None:
-        open_ = stored(unsettled(split, labels), "unsettled")
-        if not open_.isEmpty():
-            more = links(texts, stored(across(texts, open_, n, percent), "across-regions"), n, percent)
-            labels = components(near.unionByName(stored(more, "more-links")))
-    labels = labels.withColumnRenamed("node", "_node")
-    out = same.join(labels, F.col("least") == F.col("_node"), "left").select("doc", F.coalesce("component", "least").alias("component_id")).distinct()
-    out = out.groupBy(F.col("doc").alias("_doc")).agg(F.min("component_id").alias("component_id"))
-    sizes = all_.groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"))
-    out = sizes.join(out, F.col("doc") == F.col("_doc"), "left").withColumn("component_id", F.coalesce("component_id", "doc"))
-    return out.select(
-        F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept")
-    )
-
-
-def _repeats(all_: DataFrame) -> bool:
-    """Whether some id has several rows."""
-    return not all_.groupBy("doc").count().filter("count > 1").isEmpty()
+    same = stored(same.select("doc", F.coalesce("least", "doc").alias("least")).filter("doc <> least"), "copies")
+    first = full.join(small(same.select("doc"), BROADCAST_ROWS), "doc", "left_anti")
+    prefixes = first.select("doc", "n_shingles", F.posexplode("prefixes").alias("tree", "key"))
+    regions = stored(regions_of(prefixes), "regions")
+    members = stored(prefixes.join(small(regions.filter(~too_large()).select("key"), BROADCAST_ROWS), "key").select("tree", F.col("key").alias("region"), "doc"), "members")
+    hot = stored(prefixes.join(small(regions.filter(too_large()).select("key"), BROADCAST_ROWS), "key"), "hot")
+    split = not hot.isEmpty()
+    if split:
+        of_hot = rows.join(small(hot.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi")
+        deep = stored(signed(of_hot, n, DEPTHS).select("doc", "prefixes"), "hot-signatures")
+    edges, labels = None, None
+
+    def link(compared: DataFrame) -> None:
+        nonlocal edges, labels
+        compared = stored(compared, "compared")
+        if not compared.isEmpty():
+            new = stored(links(rows, compared, n, percent), "links")
+            edges = new if edges is None else edges.unionByName(new)
+            labels = components(edges)
+
+    for trees in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
+        now = unsettled(members.filter(trees), labels).select("region", "doc")
+        if split:
+            now = now.unionByName(deepened(stored(unsettled(hot.filter(trees), labels, "key"), "hot-now"), deep))
+        link(now)
+    if split:
+        link(pools(hot.select(F.col("key").alias("region"), "doc", "n_shingles"), labels if labels is not None else _no_labels(rows)))
+    out = all_.select("doc", "n_shingles").join(same.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").drop("_d").withColumn("least", F.coalesce("least", "doc"))
+    if labels is None:
+        return out.withColumnRenamed("least", "label")
+    known = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return out.join(known, F.col("least") == F.col("_n"), "left").select("doc", "n_shingles", F.coalesce("_c", "least").alias("label"))
+
+
+def _no_labels(rows: DataFrame) -> DataFrame:
+    return rows.limit(0).select(F.col("doc").alias("node"), F.col("doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component), kept of every document."""
+    docs, shared = keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    out = grouped(docs.select(F.col("_key").alias("doc"), "text"), n, percent)
+    if not shared:
+        return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("label").alias("component_id"), (F.col("doc") == F.col("label")).alias("kept"))
+    # keys aren't ids here: the smallest id of the component stands for it, and one of its rows is kept
+    ids = docs.select(F.col("_key").alias("_k"), "doc_id")
+    out = stored(out.join(ids, F.col("doc") == F.col("_k")).drop("_k"), "by-key")
+    first = out.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("first"))
+    return out.join(first, "label").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("doc") == F.col("first.doc")).alias("kept"))
 
 
 def op10_lsh_forest(spark, sf_dir):

@@ -254,11 +254,19 @@ def test_split_regions_lose_no_link(spark, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in r} == components_by_hand(docs, 3, 85)
     # every link across labels is found, though each label is one text
     frame = spark.createDataFrame(list(docs.items()), "doc long, text string")
-    members = lsh_forest.across(frame, frame.select("doc", F.col("doc").alias("label")), 3, 85)
+    members = lsh_forest.pools(frame.selectExpr("1L AS region", "doc", "100L AS n_shingles"), lsh_forest._no_labels(frame))
     labels = {x["node"]: x["component"] for x in lsh_forest.components(lsh_forest.links(frame, members, 3, 85)).collect()}
     assert {k: labels.get(k, k) for k in docs} == {k: v for k, (_, v) in components_by_hand(docs, 3, 85).items()}
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    said = lambda c, *more: " ".join([*(f"{c}{i}" for i in range(40)), *more])
+    rows = [(5, said("a")), (7, said("a", "x")), (7, said("b")), (None, said("b", "y")), (None, said("c")), (None, said("c", "z")), (None, said("c")), (9, said("d"))]
+    r = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    got = sorted((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in r)
+    assert got == [(0, 0, False), (0, 0, True), (0, 7, False), (5, 5, True), (7, 5, False), (7, 7, True), (9, 9, True)]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     r = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in lsh_forest.near_duplicates(odd, 3, 85).collect()}
     assert len(r) == 7 and r[1] == (5, 1, True) and r[6] == (5, 1, False) and r[2] == (0, 2, True) and r[5][0] == 0 and r[None][0] == 1

@@ -23,29 +23,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs.select(*COLUMNS), short=True)
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
     changed = F.size("removed_lines") > 0
     left = cut.filter(~changed | F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row in ``_key``: the id, or, of a null id and of ids that several rows share, a 62-bit hash
-    of id and text, which comes after the usual ids. Of rows equal in both one stays."""
-    several = stored(docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 OR _id IS NULL").select("_id"), "shared-ids")
-    one = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    if several.isEmpty():
-        return one
-    shared, several = F.col("doc_id").eqNullSafe(F.col("_id")), small(several, 1_000_000)
-    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
-    again = docs.join(several, shared, "left_semi").withColumn("_key", hashed).dropDuplicates(["_key"])
-    return one.join(several, shared, "left_anti").unionByName(again)
-
-
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = keyed(docs.select(*COLUMNS))
-    gone = lsh_forest.near_duplicates(docs, n=5, percent=80, doc_id="_key").filter("not kept").select(F.col("doc_id").alias("_gone"))
-    gone = stored(gone, "near-duplicates")
+    docs, _ = lsh_forest.keyed(docs.select(*COLUMNS))
+    labels = lsh_forest.grouped(docs.select(F.col("_key").alias("doc"), "text"), n=5, percent=80)
+    gone = stored(labels.filter("doc <> label").select(F.col("doc").alias("_gone")), "near-duplicates")
     return docs.join(small(gone, 1_000_000), F.col("_key") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 

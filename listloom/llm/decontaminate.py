@@ -80,8 +80,11 @@ def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     hits = stored(found(docs, items, **options).select(F.col("doc_id").alias("_hit"), F.col("row").alias("_row")).distinct(), "hits")
-    same = F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_hit")) & (F.xxhash64(options.get("text", "text")) == F.col("_row"))
-    return docs.join(small(hits, BROADCAST_ROWS), same, "left_anti")
+    # a row is one struct, so that no name of its columns meets one of those made here
+    id_, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_).alias("doc"), F.xxhash64(text).alias("hash"))
+    clean = rows.join(small(hits, BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("_hit")) & (F.col("hash") == F.col("_row")), "left_anti")
+    return clean.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark, sf_dir):

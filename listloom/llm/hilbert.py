@@ -1,7 +1,7 @@
 """Operator 6: Hilbert-curve ordering and sharding, with DataFrame functions only.
 
-Metadata columns are turned into ordinals, quantised by their quantiles and mapped to one index on a Hilbert curve.
-Rows are ranked by (index, tie hash, id) and the ranking is cut into runs of equal length, so that every file covers a
+Metadata columns are quantised by their quantiles (numbers by a mergeable sketch, strings by exact ranks of their distinct
+values) and mapped to one index on a Hilbert curve. Rows are ranked by (index, tie hash, id) and the ranking is cut into runs of equal length, so that every file covers a
 small box in several dimensions and min/max statistics prune it. The law is ``rows``: counts are at most one apart.
 
 The global rank needs no global sort: cells of the curve are counted; cells over ``ROWS_PER_BIN`` rows (a hot source may
@@ -9,7 +9,7 @@ fill one) are split by a hash of the id into bins of about that many; bins get o
 cells, at most 2^(bits * dims) of them, then over the bins of a cell); rows are numbered within their small bin.
 
 Defined results: null metadata counts as below every value, a null text has size 16 and the crc of no bytes; ties in all
-dimensions are ordered by a hash of the id and then the id; repeated rows get slots of their own; an empty table gives an
+dimensions are ordered by a hash of the id and then of the row; repeated rows get slots of their own; an empty table gives an
 empty result.
 """
 
@@ -20,25 +20,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small, stored, table
 
 BITS = 3
 ROWS_PER_BIN = 4096
 SHARDS = 40
-
-
-def ordinal(column: Column, kind: str) -> Column:
-    """An order-preserving number of a value: strings by their first seven bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return column.cast("double")
-
-
-def cut_points(df: DataFrame, ordinals: dict[str, Column], bits: int = BITS) -> dict[str, list[float]]:
-    """Quantiles of each dimension: 2^bits - 1 numbers each, from a mergeable sketch over all rows."""
+#: Cells of distinct strings are broadcast up to this many; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def string_cells(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """value, cell: the quantile cell of each distinct value of a string column, by the share of rows below its middle.
+    Distinct values are sorted by ranges; sums over ranges (a small table) and then within a range give the ranks."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).filter("value is not null")
+    ranges = stored(counts.repartitionByRange("value").withColumn("p", F.spark_partition_id()), "values")
+    totals = ranges.groupBy("p").agg(F.sum("n").alias("t"))  # a row a range
+    before = totals.select(F.col("p").alias("q"), (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("p").orderBy("value")) - F.col("n") / 2
+    ranked = ranges.withColumn("inside", inside).join(before, F.col("p") == F.col("q"))
+    return ranked.select("value", F.floor((F.col("before") + F.col("inside")) * 2**bits / F.col("all")).cast("int").alias("cell"))
+
+
+def cut_points(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[float]]:
+    """Quantiles of each numeric column: 2^bits - 1 numbers each, from a mergeable sketch over all rows."""
+    if not columns:
+        return {}
     shares = [k / 2**bits for k in range(1, 2**bits)]
-    row = df.agg(*[F.percentile_approx(c, shares).alias(n) for n, c in ordinals.items()]).first()
-    return {n: sorted(row[n] or []) for n in ordinals}
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares).alias(c) for c in columns]).first()
+    return {c: sorted(row[c] or []) for c in columns}
 
 
 def cell_of(value: Column, cuts: list[float]) -> Column:
@@ -83,35 +92,43 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.get(F.transform(F.array(gray), finish), F.lit(0))
 
 
-def with_rank(df: DataFrame, cell: str, key: str) -> DataFrame:
-    """Adds ``rank`` (long, from 0, gapless): the order by (cell, hash of key, key), without any sort of all rows."""
-    bin_ = F.pmod(F.xxhash64(F.col(key)), F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_BIN)))
-    cells = df.groupBy(cell).agg(F.count("*").alias("_n"))
-    binned = df.join(cells, df[cell].eqNullSafe(cells[cell]), "left").drop(cells[cell]).withColumn("_bin", bin_).drop("_n")
-    binned = stored(binned, "binned")
-    bins = binned.groupBy(cell, "_bin").agg(F.count("*").alias("_c"))
-    in_cell = bins.withColumn("_before", F.sum("_c").over(Window.partitionBy(cell).orderBy("_bin")) - F.col("_c"))
+def with_rank(df: DataFrame) -> DataFrame:
+    """``df`` (row, key, hilbert) with rank (long, from 0, gapless): the order by (hilbert, hash of key, hash of row, key),
+    without any sort of all rows."""
+    spread = F.xxhash64("key", "row")
+    cells = df.groupBy(F.col("hilbert").alias("_h")).agg(F.count("*").alias("_n"))
     # at most one row for each cell of the curve
-    totals = bins.groupBy(cell).agg(F.sum("_c").alias("_t"))
-    totals = totals.withColumn("_base", F.sum("_t").over(Window.orderBy(cell)) - F.col("_t")).select(F.col(cell).alias("_cell"), "_base")
-    offsets = in_cell.join(totals, F.col(cell) == F.col("_cell")).select(F.col(cell).alias("_c2"), F.col("_bin").alias("_b2"), (F.col("_base") + F.col("_before")).alias("_off"))
-    numbered = binned.withColumn("_rn", F.row_number().over(Window.partitionBy(cell, "_bin").orderBy(F.xxhash64(key), key)) - 1)
-    joined = numbered.join(offsets, (F.col(cell) == F.col("_c2")) & (F.col("_bin") == F.col("_b2")))
-    return joined.withColumn("rank", F.col("_off") + F.col("_rn")).drop("_c2", "_b2", "_off", "_rn", "_bin")
+    bin_ = F.pmod(spread, F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_BIN)))
+    binned = stored(df.join(cells, F.col("hilbert") == F.col("_h")).withColumn("bin", bin_).drop("_n", "_h"), "binned")
+    bins = binned.groupBy("hilbert", "bin").agg(F.count("*").alias("_c"))
+    in_cell = bins.withColumn("_before", F.sum("_c").over(Window.partitionBy("hilbert").orderBy("bin")) - F.col("_c"))
+    totals = bins.groupBy(F.col("hilbert").alias("_h")).agg(F.sum("_c").alias("_t"))
+    totals = totals.select("_h", (F.sum("_t").over(Window.orderBy("_h")) - F.col("_t")).alias("_base"))
+    offsets = in_cell.join(totals, F.col("hilbert") == F.col("_h")).select(F.col("hilbert").alias("_h2"), F.col("bin").alias("_b2"), (F.col("_base") + F.col("_before")).alias("_off"))
+    numbered = binned.withColumn("_rn", F.row_number().over(Window.partitionBy("hilbert", "bin").orderBy(F.xxhash64("key"), spread, "key")) - 1)
+    joined = numbered.join(offsets, (F.col("hilbert") == F.col("_h2")) & (F.col("bin") == F.col("_b2")))
+    return joined.select("row", "hilbert", (F.col("_off") + F.col("_rn")).alias("rank"))
 
 
 def shard_by_curve(df: DataFrame, dimensions: list[str], key: str, shards: int, bits: int = BITS) -> DataFrame:
-    """Adds hilbert (long), shard (int) and slot (long, gapless from 0 in its shard). Rows: at most one apart."""
+    """Adds hilbert (long), shard (int) and slot (long, gapless from 0 in its shard); columns of these names are replaced.
+    Rows: at most one apart."""
     kinds = dict(df.dtypes)
-    ordinals = {d: ordinal(F.col(d), kinds[d]) for d in dimensions}
-    cuts = cut_points(df, ordinals, bits)
-    indexed = df.withColumn("hilbert", hilbert_index([cell_of(ordinals[d], cuts[d]) for d in dimensions], bits))
-    ranked = with_rank(indexed, "hilbert", key)
+    # a row is one struct, so that no name of its columns meets one of those made here
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), *[F.col(d).alias(f"d{i}") for i, d in enumerate(dimensions)])
+    strings = [f"d{i}" for i, d in enumerate(dimensions) if kinds[d] == "string"]
+    cuts = cut_points(rows, [f"d{i}" for i, d in enumerate(dimensions) if kinds[d] != "string"], bits)
+    for d in strings:
+        cells = stored(string_cells(rows, d, bits), "cells").select(F.col("value").alias("_v"), F.col("cell").alias("_cell"))
+        rows = rows.join(small(cells, BROADCAST_ROWS), F.col(d) == F.col("_v"), "left").withColumn(d, F.coalesce("_cell", F.lit(0))).drop("_v", "_cell")
+    axes = [F.col(f"d{i}") if f"d{i}" in strings else cell_of(F.col(f"d{i}").cast("double"), cuts[f"d{i}"]) for i in range(len(dimensions))]
+    ranked = with_rank(rows.select("row", "key", hilbert_index(axes, bits).alias("hilbert")))
     total = df.count()
     # shard k holds ranks ceil(k * total / shards) to ceil((k + 1) * total / shards) - 1
-    shard = F.expr(f"rank * {shards}L div {max(total, 1)}L")
+    ranked = ranked.withColumn("shard", F.expr(f"int(rank * {shards}L div {max(total, 1)}L)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("hilbert", "shard", "slot")]
+    return ranked.select(*kept, "hilbert", "shard", (F.col("rank") - first).cast("long").alias("slot"))
 
 
 def op6_hilbert_shards(spark, sf_dir):

@@ -5,7 +5,8 @@ aggregated by host; every host's failure rate is shrunk towards the others by an
 over hosts), and documents of hosts whose shrunk rate is too high are rejected with the host.
 
 Defined results: a null or blank text has no words, so it fails; a null host is a host of its own; with no host, one
-host, or hosts of equal rates the prior is a flat Beta(1, 1); an empty table gives an empty result. Counting repeated
+host, or hosts of equal rates the prior is a flat Beta(1, 1); repeated rows are documents of their own; an empty table gives an
+empty result. Counting repeated
 windows compares 64-bit hashes of the windows of one text.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, table, words
+from .common import bound, stored, table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -76,6 +77,7 @@ def host_verdicts(measured: DataFrame, host: Column, max_rate: float = MAX_HOST_
     """
     hosts = measured.groupBy(host.alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
+    hosts = stored(hosts, "host-counts")
     mean, var = hosts.agg(F.avg(rate), F.var_samp(rate)).first()
     # Beta(a, b) with the hosts' mean and variance; its strength is a + b
     strength = mean * (1 - mean) / var - 1 if var and mean * (1 - mean) > var else None
@@ -84,32 +86,37 @@ def host_verdicts(measured: DataFrame, host: Column, max_rate: float = MAX_HOST_
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_failed"))
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``measured`` (host, base_failed) with host_rate and kept."""
+    verdicts = verdicts.select(F.col("host").alias("_host"), "host_rate", "host_failed")
+    joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host", "host_failed")
+
+
 def apply_host_rules(docs: DataFrame, host: Column | None = None, text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Adds the measures, host_rate and kept to every row of ``docs``; columns of ``docs`` with these names are replaced."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept", "_host", "_w"]
-    host = F.col("source") if host is None else host
-    named = docs.withColumn("_host", host)
-    measured = measures(named.drop(*[c for c in added if c != "_host" and c in docs.columns and c != text]), text)
-    verdicts = host_verdicts(measured, F.col("_host"), max_rate).select(F.col("host").alias("_vhost"), "host_rate", "host_failed")
-    joined = measured.join(verdicts, F.col("_host").eqNullSafe(F.col("_vhost")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host", "_vhost", "host_failed")
+    """Adds the measures, host_rate and kept to every row of ``docs``; columns of ``docs`` with these names are replaced.
+    Texts are measured twice, for the hosts and for the result, and never shuffled but with their rows."""
+    # a row is one struct, so that no name of its columns meets one of those made here
+    rows = docs.select(F.struct("*").alias("row"), (F.col("source") if host is None else host).alias("host"), F.col(text).alias("text"))
+    measured = measures(rows).drop("text")
+    verdicts = stored(host_verdicts(measured, F.col("host"), max_rate), "hosts")
+    added = [*MEASURES, "host_rate", "kept"]
+    return with_verdicts(measured, verdicts).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op3_host_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # measured once: a narrow table feeds both the host aggregate and the documents' verdicts
-    out = measured_once(docs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("source").alias("host"), F.round("host_rate", 6).alias("host_rate"))
+    return measured_once(docs).select("doc_id", *MEASURES, "kept", "host", F.round("host_rate", 6).alias("host_rate"))
 
 
 def measured_once(docs: DataFrame) -> DataFrame:
     """apply_host_rules for a query that needs no text in its result: texts are scanned once, counts are kept."""
-    from .common import stored
-
-    narrow = stored(measures(docs).drop("text"), "host-rules")
-    verdicts = host_verdicts(narrow, F.col("source")).select(F.col("host").alias("_vhost"), "host_rate", "host_failed")
-    joined = narrow.join(verdicts, F.col("source").eqNullSafe(F.col("_vhost")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    narrow = stored(measures(docs.withColumnRenamed("source", "host")).drop("text"), "host-rules")
+    return with_verdicts(narrow, host_verdicts(narrow, F.col("host")))
 
 
 OP3_SQL = r"""

@@ -2,21 +2,25 @@
 
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from listloom.llm import decontaminate, hilbert, host_rules, line_dedup, perspectives, registry
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, _n int"
+#: Extra columns whose names the operators use themselves.
+CLASHING = ["rank", "_n", "_doc", "_row", "row", "key", "host", "_host", "host_failed", "kept", "hilbert", "shard", "slot", "gone", "line", "item", "shingle", "value", "d0"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)
 LONG = "aa bb cc dd ee " * 20_000
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and very long texts, repeated rows, extra columns whose names clash."""
-    rows = [(1, "a b c d e f", "en", "s", 11, 1, 1), (1, "a b c d e f", "en", "s", 11, 1, 1), (2, None, None, None, None, None, None), (None, "x y", "en", "s", 3, 1, 1), (3, "", "en", "s", 0, 1, 1),
-            (4, LONG, "en", "s", len(LONG), 1, 1), (5, " \n\t\n", "en", None, 4, 1, 1), (6, "a b c d e f", "en", "s", 11, 1, 1)]
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (None, "x y", "en", "s", 3), (3, "", "en", "s", 0),
+            (4, LONG, "en", "s", len(LONG)), (5, " \n\t\n", "en", None, 4), (6, "a b c d e f", "en", "s", 11)]
+    rows = [(*r, *[None if r[0] == 2 else 7] * len(CLASHING)) for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -33,6 +37,7 @@ def test_rows_are_those_of_the_sql(name, same_rows, sf):
 def test_host_rules_on_odd_rows(odd, empty):
     r = host_rules.apply_host_rules(odd).collect()
     assert len(r) == 8 and all(x["base_failed"] for x in r) and not any(x["kept"] for x in r)
+    assert sorted(r[0].__fields__) == sorted({*odd.columns, *host_rules.MEASURES, "host_rate", "kept"}) and {x["host"] for x in r} == {7, None}
     long = next(x for x in r if x["doc_id"] == 4)
     assert (long["n_words"], long["n_repeat_words"]) == (100_000, 100_000)
     assert host_rules.apply_host_rules(empty).count() == 0 and host_rules.measured_once(empty.select("doc_id", "text", "source")).count() == 0
@@ -100,9 +105,59 @@ def test_shards_differ_by_one_row_at_most(spark, sf, monkeypatch):
 
 
 def test_sharding_of_odd_rows(odd, empty):
-    r = hilbert.shard_by_curve(odd.drop("rank", "_n"), ["lang", "source", "n_chars"], "doc_id", 3).collect()
+    r = hilbert.shard_by_curve(odd, ["lang", "source", "n_chars"], "doc_id", 3).collect()
     assert len(r) == 8 and sorted((x["shard"], x["slot"]) for x in r) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
-    assert hilbert.shard_by_curve(empty.drop("rank", "_n"), ["lang", "source"], "doc_id", 3).count() == 0
+    assert {x["rank"] for x in r} == {7, None} and sorted(r[0].__fields__) == sorted(odd.columns)
+    assert hilbert.shard_by_curve(empty, ["lang", "source"], "doc_id", 3).count() == 0
+
+
+def test_strings_are_cut_by_their_ranks(spark):
+    """Values with one long prefix still spread over all cells, by the share of rows below them."""
+    urls = [f"https://www.example.org/{i:03d}" for i in range(64) for _ in range(1 + 5 * (i == 10))]
+    got = {r["value"]: r["cell"] for r in hilbert.string_cells(spark.createDataFrame([(u,) for u in [*urls, None]], "u string"), "u", 3).collect()}
+    below = lambda u: sum(x < u for x in urls) + sum(x == u for x in urls) / 2
+    assert got == {u: int(below(u) * 8 / len(urls)) for u in urls} and set(got.values()) == set(range(8))
+
+
+def hilbert_by_hand(x, bits):
+    """Index of a point: Skilling's transform in plain Python."""
+    x, n = list(x), len(x)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[n - 1] & q:
+            t ^= q - 1
+    x = [v ^ t for v in x]
+    return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def test_sharding_is_brute_force(spark, sf):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in hilbert.op6_hilbert_shards(spark, sf).collect()}
+    assert set(got) == set(docs)
+    size = {k: len((d["text"] or "").encode()) + 16 for k, d in docs.items()}
+    cells = {}
+    for name in ("lang", "source"):
+        values = [d[name] for d in docs.values() if d[name] is not None]
+        cells[name] = {u: int((sum(x < u for x in values) + values.count(u) / 2) * 8 / len(values)) for u in set(values)}
+    number = {"size": size, "doc_id": {k: k for k in docs}}
+    # so few numbers are cut at exact quantiles
+    cuts = {n: [sorted(v.values())[-(-len(v) * k // 8) - 1] for k in range(1, 8)] for n, v in number.items()}
+    for k, d in docs.items():
+        point = [cells[n].get(d[n], 0) for n in ("lang", "source")] + [sum(number[n][k] > c for c in cuts[n]) for n in ("size", "doc_id")]
+        r = got[k]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"], r["hilbert"]) == (size[k], zlib.crc32((d["text"] or "").encode()), "rows", None, hilbert_by_hand(point, 3))
+    order = sorted(got.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in order)
 
 
 def near(a, b):
@@ -123,17 +178,21 @@ def test_line_dedup_is_brute_force(spark):
         return random.choice([x[:i] + c + x[i:], x[:i] + x[i + 1 :], x[:i] + c + x[i + 1 :]])
 
     rows = [(i, "\n".join(edit(x) if random.random() < 0.6 else x for x in random.choices(lines, k=random.randrange(1, 5)))) for i in range(60)] + [(None, lines[0]), (70, None), (71, "")]
-    every = [(2**63 - 1 if d is None else d, p, x) for d, t in rows if t for p, x in enumerate(t.split("\n")) if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 5]
-    want = {(d, p) for d, p, x in every if any((e, q) < (d, p) and near(x, y) for e, q, y in every)}
-    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    every = [(2**63 - 1 if d is None else d, p, x) for d, t in rows if t for p, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\f\r")]
+    longer = lambda x: len(x) >= 25 or len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 5
+    want = {(d, p) for d, p, x in every if any((e, q) < (d, p) and (x == y or longer(x) and longer(y) and near(x, y)) for e, q, y in every)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs).collect()} == want
+    text = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    cut = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (2**63 - 1 if d is None else d, p) not in want) for d, t in rows if t is not None}
+    assert text == cut | {70: None}
 
 
 def test_line_dedup_of_short_lines(spark, tmp_path):
     long, script = "one line of more than five words", "\u6587" * 30
     rows = [(1, f"Les.\n{long}\n\n{script}\nNo 12"), (2, f"Les.\n{long}\n\n{script}\nNo 12"), (3, f"Des.\n{script[1:]}\nNo 13\n \nLes."), (4, "Les.\nLes.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs).collect()} == {(2, 1)}
-    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs, short=True).collect()} == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 1), (3, 4), (4, 0), (4, 1)}
+    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs).collect()} == {(2, 0), (2, 1), (2, 3), (2, 4), (3, 1), (3, 4), (4, 0), (4, 1)}
 
     import corpus_pipeline
 
@@ -160,6 +219,7 @@ def test_line_dedup_of_odd_rows(odd, empty):
     r = line_dedup.dedup_lines(odd).collect()
     assert len(r) == 8
     assert sorted((x["doc_id"] or 0, x["text"] is None, len(x["removed_lines"])) for x in r) == [(0, False, 0), (1, False, 0), (1, False, 0), (2, True, 0), (3, False, 0), (4, False, 0), (5, False, 0), (6, False, 1)]
+    assert sorted(r[0].__fields__) == sorted([*odd.columns, "removed_lines"]) and {x["_doc"] for x in r} == {7, None}
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
@@ -174,3 +234,13 @@ def test_rotation(spark, monkeypatch):
     assert ann["rendered"] == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo <\\|end|><|end|>\n<|assistant|>\n<|end|>\n<|user name=cy|>\nx<|end|>\n"
     assert [ann["rendered"][m["start"] : m["end"]] for m in ann["mask"]] == ["hi<|end|>\n", "<|end|>\n"]
     assert perspectives.rotate(turns.limit(0)).count() == 0
+
+
+def test_rotation_of_odd_turns(spark):
+    long = "word " * 50_000
+    turns = [(1, 0, "ann", long), (1, 1, "bob", ""), (1, 1, "bob", ""), (1, 2, " ", None), (None, None, None, None)]
+    frame = spark.createDataFrame([(*t, "mine", 3, 4) for t in turns], "conv_id long, turn long, role string, text string, perspective string, block int, _conv int")
+    r = perspectives.rotate(frame).collect()
+    assert len(r) == 4 * 3 + 1 and {x["perspective"] for x in r} == {"ann", "bob", "unknown"}
+    by = {(x["perspective"], x["seq"]): x for x in r if x["conv_id"] == 1}
+    assert all(by[p, k]["start"] == (0 if k == 0 else by[p, k - 1]["mask_end"]) for p, k in by) and len(by["ann", 0]["segment"]) > len(long)

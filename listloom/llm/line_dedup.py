@@ -1,10 +1,9 @@
 """Operator 7: line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is dropped if an earlier line of the corpus (by document id, then place) lies within one edit of it: equal, or one
-character inserted, deleted or replaced. Lines of fewer than ``MIN_WORDS`` words always stay in the query (so says its SQL);
-with ``short``, as in the pipeline, every line that isn't blank takes part. A line of few words is then dropped if an earlier
-one equals it, and from ``NEAR_CHARS`` characters on (a paragraph in a script without spaces is one word) also if one lies
-within one edit; the edit of a shorter line would make another word or number of it.
+character inserted, deleted or replaced. Every line that isn't blank takes part. A line of fewer than ``MIN_WORDS`` words and
+``NEAR_CHARS`` characters (a paragraph in a script without spaces is one word) is dropped only if an earlier one equals it;
+the edit of so short a line would make another word or number of it.
 
 Equal lines meet first, by hash, and leave one representative, so a line that a third of all documents share is one row
 from then on. Lines that can have a neighbour are then found without loss: one edit leaves either the first or the second
@@ -38,10 +37,10 @@ def _has_words(line: Column, n: int) -> Column:
     return F.regexp_like(line, F.lit(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{n - 1}}}[^\x20\x09-\x0D]"))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """doc, row, pos, line of the lines with enough words."""
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, row, pos, line of the lines that aren't blank."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return rows.filter(_has_words(F.col("line"), min_words))
+    return rows.filter(_has_words(F.col("line"), 1))
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -103,15 +102,12 @@ def _variant_keys(line: Column) -> Column:
     return bound(line, with_blocks)
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc (the id; a null id is the largest long), row (a hash of the text), pos of every line to drop."""
     line, n = F.col("line"), F.length("line")
-    halves = _half_keys(line, n)
-    if short:
-        # the others meet equal lines only
-        halves = F.when((n >= NEAR_CHARS) | _has_words(line, min_words), halves)
-        min_words = 1
-    all_lines = stored(_lines(docs, doc_id, text, min_words).select("doc", "row", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
+    # the others meet equal lines only
+    halves = F.when((n >= NEAR_CHARS) | _has_words(line, MIN_WORDS), _half_keys(line, n))
+    all_lines = stored(_lines(docs, doc_id, text).select("doc", "row", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
     first = F.min(F.struct("doc", "row", "pos")).alias("first")
     distinct = stored(all_lines.groupBy("h", "n").agg(first, F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
 
@@ -126,7 +122,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = stored(wanted.filter("replaced or inserted or deleted").join(distinct.select("h", "first"), "h"), "neighbours")
 
     # their texts, from the documents, at the place of the representative
-    texts = _lines(docs, doc_id, text, min_words).withColumn("h", F.xxhash64(line, n)).join(small(wanted, BROADCAST_ROWS), "h")
+    texts = _lines(docs, doc_id, text).withColumn("h", F.xxhash64(line, n)).join(small(wanted, BROADCAST_ROWS), "h")
     texts = texts.filter((F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))).dropDuplicates(["h"])
     texts = stored(texts.select("h", "first", "line", "replaced", "inserted", "deleted"), "neighbour-texts")
 
@@ -150,16 +146,29 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return hit.filter(F.col("near") | (F.struct("doc", "row", "pos") != F.col("first"))).select("doc", "row", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``, and the numbers (from 0) of the cut lines in ``removed_lines``."""
-    gone = repeated_lines(docs, doc_id, text, min_words, short).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))
+def without(lines: Column, gone: Column) -> Column:
+    """``lines`` joined again without those whose numbers are in ``gone`` (sorted): the runs between them."""
+
+    def runs(x: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(gone)),
+            lambda k: bound(F.coalesce(F.get(gone, k - 1) + 1, F.lit(0)), lambda at: F.slice(x, at + 1, F.coalesce(F.get(gone, k), F.size(x)) - at)),
+        )
+
+    return F.array_join(F.flatten(bound(lines, runs)), "\n")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated lines cut from ``text``, and the numbers (from 0) of the cut lines in ``removed_lines`` (a
+    column of that name is replaced)."""
+    gone = repeated_lines(docs, doc_id, text).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = stored(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), "removed")
-    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_row"))
-    both = docs.drop("removed_lines").join(small(gone, BROADCAST_ROWS // 4), same, "left").drop("_doc", "_row")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    return both.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(left)).withColumn(
-        "removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))
-    )
+    # a row is one struct, so that no name of its columns meets one of those made here
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    both = rows.join(small(gone, BROADCAST_ROWS // 4), (F.col("doc") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left")
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.split("text", "\n", -1), F.col("gone")))
+    kept = [left.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "removed_lines"]
+    return both.select(*kept, F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def op7_line_dedup(spark, sf_dir):
@@ -177,11 +186,12 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d
 ), w AS (
-  SELECT *, doc_id * 1000000 + pos AS o FROM l WHERE regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]')
+  SELECT *, doc_id * 1000000 + pos AS o FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), u AS (
   SELECT line, length(line) AS n, min(o) AS o FROM w GROUP BY line
 ), m AS (
   SELECT line, o, unnest([n, n - 1]) AS m FROM u
+  WHERE n >= 25 OR regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]')
 ), h AS (
   SELECT line, o, 'p' || m || ':' || left(line, m // 2) AS key FROM m UNION ALL SELECT line, o, 's' || m || ':' || right(line, m - m // 2) FROM m
 ), near AS (

@@ -76,6 +76,15 @@ def portal(url: Column, fallback: Column | None = None) -> Column:
     return out.otherwise(kind.withField("portal", F.lit("Original posting")))
 
 
+def publisher(name: Column, url: Column, direct: Column) -> Column:
+    """The portal of an apply link that a search names; one that is said to be direct, though its host isn't known as the
+    employer's own, is shown as the employer's site."""
+    own = F.coalesce(direct, F.lit(False))
+    by_link = portal(url, F.nullif(name, F.lit("")))
+    site = F.concat(F.lit("Company site"), F.coalesce(F.concat(F.lit(" ("), F.nullif(name, F.lit("")), F.lit(")")), F.lit("")))
+    return F.when(own & ~by_link["direct"], site).otherwise(by_link["portal"])
+
+
 def source_portal(source: Column) -> Column:
     """C09."""
     return F.try_element_at(F.create_map(*[F.lit(x) for p in lx.SOURCE_PORTALS.items() for x in p]), source)

@@ -124,8 +124,30 @@ TITLE_WORDS = {
 TITLE_NOISE = ["remote", "hybrid", "onsite", "on-site", "wfh", "fulltime", "parttime", "permanent", "contract", "temporary", "urgent", "hiring", "new", "job", "position", "the"]
 COMPANY_SUFFIXES = r"\b(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|lp|llp|plc|gmbh|canada|usa|us)\b\.?"
 
-# fixed values: letters of Latin scripts to plain ones, for lower-case text
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
 # fixed values: exchange rate, hours of a year, sane range of a yearly salary
 USD_TO_CAD, HOURS, LOWEST, HIGHEST = 1.37, 2080, 5000, 2_000_000
+
+# fixed values: what to search for in an industry if nothing is asked
+INDUSTRY_KEYWORDS = {
+    "technology": "software OR developer OR IT", "healthcare": "nurse OR healthcare", "trades_construction": "electrician OR construction OR trades", "finance_accounting": "accountant OR finance",
+    "sales_marketing": "sales OR marketing", "education": "teacher OR education", "hospitality_tourism": "hospitality OR restaurant", "customer_service": "customer service", "legal": "legal OR paralegal",
+    "manufacturing_logistics": "warehouse OR logistics OR manufacturing",
+}
+
+# fixed values: years asked for beside experience, and years claimed in a resume
+REQUIRED_YEARS = r"(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b[^.\n]{0,40}?(?:experience|exp\b|in |of |working|hands)"
+CLAIMED_YEARS = r"(\d{1,2})\s*\+?\s*years?(?:\s+of)?\s+(?:professional\s+|hands-on\s+|work\s+|industry\s+)?experience"
+SCHOOLING = r"\b(college|university|school|bachelor|master|diploma|degree|b\.?\s?eng|b\.?\s?sc|certificate program|student)\b"
+DATED_SPAN = r"((?:19|20)\d{2}\s*(?:-|–|—|to)\s*(?:(?:19|20)\d{2}|present|current|now|today))"
+
+# fixed values: what a parser of resumes looks for: patterns in the text, patterns of headings, bullets and numbers
+RESUME_EMAIL, RESUME_PHONE = r"[\w.+-]+@[\w-]+\.[\w.]+", r"\+?\d[\d\s().-]{8,}\d"
+RESUME_HEADINGS = {
+    "experience": r"^(work |professional |relevant )?(experience|employment|work history)\b", "education": r"^(education|academic|qualifications)\b",
+    "skills": r"^(technical |core |key )?(skills|competencies|technologies|tools)\b",
+}
+RESUME_BULLET, RESUME_NUMBER = r"^[-•*▪◦●]\s?", r"\d+\s?%|\$\s?\d|\b\d{2,}\b"
+
+# fixed values: words of a title that say its level, and where terms end
+TITLE_LEVELS = ["senior", "junior", "lead", "principal", "staff", "intern", "1", "2", "3", "4"]
+TERM_BREAKS = r"[,.;:!?()\[\]\n\r•|/]+|\s[-–—]\s"

@@ -135,7 +135,7 @@ def labelled(text: Column, *labels: str) -> Column:
 
 def required_years(text: Column) -> Column:
     """The smallest number of years asked for beside experience."""
-    p = pattern(r"(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b[^.\n]{0,40}?(?:experience|exp\b|in |of |working|hands)")
+    p = pattern(lx.REQUIRED_YEARS)
     n = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s: s.cast("int"))
     return F.array_min(F.filter(n, lambda y: (y > 0) & (y <= 20)))
 
@@ -143,14 +143,12 @@ def required_years(text: Column) -> Column:
 def resume_years(text: Column, this_year: Column) -> Column:
     """The largest claim, else the merged length of dated spans outside schooling."""
     claims = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(?i)(\d{1,2})\s*\+?\s*years?(?:\s+of)?\s+(?:professional\s+|hands-on\s+|work\s+|industry\s+)?experience"), F.lit(1)),
+        F.regexp_extract_all(text, F.lit("(?i)" + lx.CLAIMED_YEARS), F.lit(1)),
         lambda s: s.cast("int"),
     )
     claim = F.array_max(F.filter(claims, lambda y: (y > 0) & (y <= 45)))
-    school = r"\b(college|university|school|bachelor|master|diploma|degree|b\.?\s?eng|b\.?\s?sc|certificate program|student)\b"
-    lines = F.filter(F.split(text, "\n"), lambda x: ~has(x, school))
-    span = r"(?i)((?:19|20)\d{2}\s*(?:-|–|—|to)\s*(?:(?:19|20)\d{2}|present|current|now|today))"
-    texts = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(span), F.lit(1))))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~has(x, lx.SCHOOLING))
+    texts = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit("(?i)" + lx.DATED_SPAN), F.lit(1))))
     spans = F.transform(
         texts,
         lambda s: F.struct(F.substring(s, 1, 4).cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(s, r"(\d{4})$", 1), F.lit("")).cast("int"), this_year).alias("b")),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
 
+_PLAIN = set("abcdefghijklmnopqrstuvwxyz0123456789&()")
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -33,20 +35,49 @@ def spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-def normalize(text: Column) -> Column:
-    """T01. Accents of Latin letters are folded by a table, so the expression stays in generated code."""
-    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), lx.ACCENTED, lx.PLAIN)
-    t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"\([^\n]*?\)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
+def _decomposed(c: str) -> str:
+    """Compatibility decomposition of a character without combining marks, in lower case; what isn't a plain character, a
+    mark that matters here or white space becomes a space."""
+    d = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f").lower()
+    return "".join(x if x in _PLAIN or x.isspace() else " " for x in d)
+
+
+@functools.cache
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Of all characters beyond ASCII with a plain form: those of one character, what they become, and those of several.
+    Combining marks come after all others, so that ``translate`` drops them."""
+    one, several = {}, {}
+    for k in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200), *range(0x1FBF0, 0x1FBFA)):
+        d = _decomposed(chr(k))
+        if d.strip() and not 0x300 <= k <= 0x36F:
+            (one if len(d) == 1 else several)[chr(k)] = d
+    return "".join(one) + "".join(map(chr, range(0x300, 0x370))), "".join(one.values()), several
 
 
-def normalize_exact(text: Column) -> Column:
-    """T01 with full compatibility decomposition, in Arrow batches: for texts beyond Latin letters."""
-    @F.pandas_udf("string")
-    def decompose(s: pd.Series) -> pd.Series:
-        return s.fillna("").str.normalize("NFKD").str.replace("[̀-ͯ]", "", regex=True)
+def _ranges(characters: str) -> str:
+    """A character class, as few ranges as there are: each costs a comparison for every character of a text."""
+    runs: list[list[int]] = []
+    for k in sorted(map(ord, characters)):
+        if runs and k == runs[-1][1] + 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
 
-    return normalize(decompose(text))
+
+def normalize(text: Column) -> Column:
+    """T01. Characters are decomposed by a table made from Unicode's, so the expression stays in generated code; the few that
+    become several are looked up only in texts that hold one."""
+    old, new, several = _tables()
+    t = F.coalesce(text, F.lit(""))
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    # a cheap test first: most texts have Latin-1 letters at most
+    held = F.regexp_like(t, F.lit("[\u00bc-\u00be]|[^\x00-\xff]")) & F.regexp_like(t, F.lit(_ranges("".join(several))))
+    t = F.when(held, spelt).otherwise(t)
+    t = F.lower(F.translate(t, old, new))
+    t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"\([^\n]*?\)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def normalize_company(text: Column) -> Column:
@@ -82,8 +113,6 @@ def has_phrase(normalized: Column, phrase: str | Column) -> Column:
 
 def plain(s: str | None) -> str:
     """T01 of a literal, on the driver."""
-    import unicodedata
-
     s = "".join(c for c in unicodedata.normalize("NFKD", s or "") if not "̀" <= c <= "ͯ").lower().replace("&", " and ")
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", re.sub(r"\(.*?\)", " ", s)).split())
 

@@ -18,8 +18,14 @@ def test_plain_and_column_forms_agree(spark):
         assert one(spark, text.normalize(F.col("t")), t=s) == text.plain(s)
 
 
-def test_exact_decomposition(spark):
-    assert one(spark, text.normalize_exact(F.col("t")), t="ﬁne Ａ") == "fine a"
+def test_every_character_is_decomposed(spark):
+    """All of Unicode, against its own decomposition."""
+    texts = [f"a{chr(k)}b" for k in range(0x20, 0x2FA20) if not 0xD800 <= k <= 0xDFFF]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r["i"]: r["n"] for r in rows.select("i", text.normalize(F.col("t")).alias("n")).collect()}
+    wrong = [(texts[i], n, text.plain(texts[i])) for i, n in got.items() if n != text.plain(texts[i])]
+    assert not wrong, wrong[:20]
+    assert one(spark, text.normalize(F.col("t")), t="ﬁne Ａ Škoda ½") == "fine a skoda 1 2"
 
 
 def test_phrase(spark):
@@ -84,3 +90,10 @@ def test_feed_text(spark):
     block = "<item><title><![CDATA[Cook - Acme (ON)]]></title></item>"
     assert one(spark, parse.xml_tag(F.col("t"), "title"), t=block) == "Cook - Acme (ON)"
     assert one(spark, parse.labelled(F.col("t"), "Employer"), t="x\nEmployer: Acme | y") == "Acme"
+
+
+def test_publishers(spark):
+    say = lambda name, url, direct: one(spark, classify.publisher(F.col("n"), F.col("u"), F.lit(direct)), n=name, u=url)
+    assert say("Board X", "https://www.indeed.com/1", True) == "Company site (Board X)"
+    assert say("Board X", "https://www.indeed.com/1", False) == "Indeed"
+    assert say("", "https://jobs.lever.co/a", True) == "Company site (Lever)"

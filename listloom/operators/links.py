@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lx
 from ..functions.text import normalize_company, slugify, url_component
 
 # fixed values: board roots recognised in listings' links
@@ -29,13 +30,53 @@ def career_sites(companies: DataFrame, curated: DataFrame, listings: DataFrame)
     return out.select("company", F.coalesce(known, search).alias("url"), known.isNotNull().alias("verified"))
 
 
+def _where(p: Column) -> Column:
+    """The place of a search for a platform of country ``p``: city and region of that country, else the country."""
+    table = lambda t: F.create_map(*[F.lit(x) for kv in t.items() for x in kv])
+    region = F.coalesce(F.nullif("region", F.lit("")), F.lit(""))
+    name = F.coalesce(F.when(p == "US", F.try_element_at(table(lx.STATES), region)).otherwise(F.try_element_at(table(lx.PROVINCES), region)), F.lit(""))
+    parts = F.filter(F.array(F.coalesce("city", F.lit("")), name), lambda x: x != "")
+    fits = ((region == "") | (name != "")) & (F.size(parts) > 0)
+    return F.when(fits, F.array_join(parts, ", ")).when(p == "US", "United States").otherwise("Canada")
+
+
 def platform_links(searches: DataFrame, platforms: DataFrame) -> DataFrame:
-    """search_id, platform, url from templates with {q}, {where} and {days}; platforms without a template have none.
-    ``searches``: search_id, q, country, city, region_name, days; ``platforms``: platform, country, template, pos (a short table)."""
-    where = F.coalesce(F.nullif("city", F.lit("")), F.nullif("region_name", F.lit("")), F.when(F.col("country") == "CA", "Canada").otherwise("United States"))
-    j = searches.join(F.broadcast(platforms.filter("template is not null").withColumnRenamed("country", "pcountry")), (F.col("country") == F.col("pcountry")) | (F.col("country") == "ALL"))
-    url = F.replace(F.replace(F.replace("template", F.lit("{q}"), url_component(F.col("q"))), F.lit("{where}"), url_component(where)), F.lit("{days}"), F.coalesce(F.col("days").cast("string"), F.lit("")))
-    return j.select("search_id", "platform", url.alias("url"))
+    """search_id, platform, url: Canadian platforms first, and those of the other country only if it is searched.
+    ``searches``: search_id, q, country (CA, US or ALL), region (a code), city, and optionally extra (more words), days,
+    work_type. ``platforms`` (a short list, sent to all tasks while it is one): platform, country, template, pos, and
+    optionally days_part and remote_part, which are appended where there are days, and where only remote work is searched.
+    Templates hold {q}, {where}, {days} and {seconds}; platforms without one have no link."""
+    for c, kind in (("extra", "string"), ("days", "int"), ("work_type", "string")):
+        if c not in searches.columns:
+            searches = searches.withColumn(c, F.lit(None).cast(kind))
+    for c in ("days_part", "remote_part"):
+        if c not in platforms.columns:
+            platforms = platforms.withColumn(c, F.lit(None).cast("string"))
+    words = F.trim(F.array_join(F.filter(F.array(F.coalesce("q", F.lit("")), F.coalesce("extra", F.lit(""))), lambda x: x != ""), " "))
+    p = platforms.filter("template is not null").withColumnRenamed("country", "pcountry")
+    # both sides have the country as a key, so the join is one on equality
+    sides = F.when(F.col("country") == "ALL", F.array(F.lit("CA"), F.lit("US"))).otherwise(F.array("country"))
+    j = searches.withColumn("_words", words).withColumn("pcountry", F.explode(sides)).join(p, "pcountry")
+    dated = F.when(F.coalesce(F.col("days") > 0, F.lit(False)), F.coalesce("days_part", F.lit(""))).otherwise("")
+    far = F.when(F.coalesce(F.col("work_type") == "remote", F.lit(False)), F.coalesce("remote_part", F.lit(""))).otherwise("")
+    url = F.concat("template", dated, far)
+    for mark, value in (("{q}", url_component(F.col("_words"))), ("{where}", url_component(_where(F.col("pcountry")))), ("{days}", F.coalesce(F.col("days").cast("string"), F.lit(""))),
+                        ("{seconds}", F.coalesce((F.col("days").cast("long") * 86_400).cast("string"), F.lit("")))):
+        url = F.replace(url, F.lit(mark), value)
+    return j.select("search_id", "platform", url.alias("url"), F.col("pcountry").alias("note"), (F.when(F.col("pcountry") == "CA", 0).otherwise(1) * 1000 + F.col("pos")).alias("ord"))
+
+
+def deep_links(searches: DataFrame, platforms: DataFrame) -> DataFrame:
+    """platform_links; a search without words looks for those of its industry (column industry)."""
+    words = F.try_element_at(F.create_map(*[F.lit(x) for kv in lx.INDUSTRY_KEYWORDS.items() for x in kv]), F.col("industry"))
+    return platform_links(searches.withColumn("extra", F.when(F.coalesce("q", F.lit("")) == "", words)), platforms)
+
+
+def by_kind(platforms: DataFrame, kinds: list[str]) -> DataFrame:
+    """Kind, platforms (names in their order), of the kinds in the order given that have any; a short list."""
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    g = platforms.withColumn("nth", order).filter("nth > 0").groupBy("nth", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "platform"))).alias("p"))
+    return g.select("nth", "kind", F.transform("p", lambda x: x["platform"]).alias("platforms"))
 
 
 def job_link(id_: Column) -> Column:

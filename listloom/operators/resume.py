@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
 from ..functions import lexicons as lx
-from ..functions.text import entry, has, has_phrase, normalize, normalize_title, pattern
+from ..functions.text import entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
 
 _EMPTY = "array<string>"
 
@@ -50,19 +50,40 @@ def in_resume(resume: Column, term: Column) -> Column:
     return has_phrase(resume, term) | (term.endswith("s") & has_phrase(resume, F.regexp_replace(term, "s$", ""))) | has_phrase(resume, F.concat(term, F.lit("s")))
 
 
+def other_names(aliases: dict[str, list[str]] | None) -> dict[str, list[str]]:
+    """Each known term, normalised, with all its variants."""
+    every = {x for canon, more in (aliases or {}).items() for x in (canon, *more)}
+    return {plain(x): list(filter(None, map(plain, variants(x, aliases)))) for x in sorted(every)}
+
+
+def variants_of(term: Column, aliases: dict[str, list[str]] | None) -> Column:
+    """T07 of a normalised term column: the term and its variants; aliases are a short configuration."""
+    known = other_names(aliases)
+    if not known:
+        return F.array(term)
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.try_element_at(table, term), F.array(term))
+
+
+def known_in_resume(resume: Column, term: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+    """The term or one of its variants."""
+    return F.exists(variants_of(term, aliases), lambda v: in_resume(resume, v))
+
+
 def term_counts(postings: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
-    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. Native: explode, lead,
-    group."""
-    parts = postings.select(key, F.posexplode(F.split(text, r"[,.;:!?()\[\]\n\r•|/]+|\s[-–—]\s")).alias("part", "t"))
-    words = parts.select(key, "part", F.posexplode(F.filter(F.split(normalize(F.col("t")), " "), lambda w: w != "")).alias("i", "w"))
+    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. Words of a fragment are in
+    one array, so terms need no window: they are counted in part before the only shuffle."""
+    parts = postings.select(key, F.posexplode(F.split(text, lx.TERM_BREAKS)).alias("part", "t"))
+    words = parts.select(key, F.col("part").cast("long").alias("part"), F.filter(F.split(normalize(F.col("t")), " "), lambda w: w != "").alias("w")).filter("size(w) > 0")
     ok = lambda w: (F.length(w) >= 3) & ~w.isin(stop or [""]) & ~F.regexp_like(w, F.lit(r"^\d+$"))
-    words = words.withColumn("n", F.lead("w").over(Window.partitionBy(key, "part").orderBy("i"))).filter(ok(F.col("w")))
-    pos = F.col("part") * 100_000 + F.col("i")
-    terms = words.select(key, F.explode(F.array(
-        F.struct(F.col("w").alias("term"), (pos * 2).alias("pos")),
-        F.when(F.col("n").isNotNull() & ok(F.col("n")), F.struct(F.concat_ws(" ", "w", "n").alias("term"), (pos * 2 + 1).alias("pos"))),
-    )).alias("x")).filter("x is not null")
-    return terms.groupBy(key, "x.term").agg(F.count("*").alias("count"), F.min("x.pos").alias("first_pos"))
+
+    def terms(w: Column, i: Column) -> Column:
+        pos, after = F.col("part") * (1 << 32) + 2 * i.cast("long"), F.get("w", i + 1)
+        pair = F.struct(F.concat_ws(" ", w, after).alias("term"), (pos + 1).alias("pos"))
+        return F.when(ok(w), F.array(F.struct(w.alias("term"), pos.alias("pos")), F.when(after.isNotNull() & ok(after), pair))).otherwise(F.array())
+
+    found = words.select(key, F.explode(F.flatten(F.transform("w", terms))).alias("x")).filter("x is not null")
+    return found.groupBy(key, "x.term").agg(F.count("*").alias("count"), F.min("x.pos").alias("first_pos"))
 
 
 def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude: list[str] = (), limit: int = 15) -> DataFrame:
@@ -79,32 +100,45 @@ def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude:
     return ranked.select(key, F.posexplode(chosen).alias("nth", "x")).select(key, "x.term", "x.count", "nth")
 
 
-def title_match(title: Column, resume: Column, stop: list[str] = ()) -> Column:
-    """struct<ok, partial>."""
-    levels = ["senior", "junior", "lead", "principal", "staff", "intern", "1", "2", "3", "4", *stop]
-    words = F.filter(F.split(normalize_title(title), " "), lambda w: (F.length(w) > 1) & ~w.isin(levels))
-    ok = has_phrase(resume, F.array_join(words, " "))
+def title_match(title: Column, resume: Column, stop: list[str] = (), aliases: dict[str, list[str]] | None = None) -> Column:
+    """struct<ok, partial>: the title's words, without those of level, as a phrase or a variant of it; else most of them."""
+    words = F.filter(F.split(normalize_title(title), " "), lambda w: (F.length(w) > 1) & ~w.isin([*lx.TITLE_LEVELS, *stop]))
+    phrase = F.array_join(words, " ")
+    ok = has_phrase(resume, phrase) | ((phrase != "") & F.exists(variants_of(phrase, aliases), lambda v: has_phrase(resume, v)))
     share = F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: has_phrase(resume, w))), F.size(words)), F.lit(0.0))
     return F.struct(ok.alias("ok"), (~ok & (share >= 0.6)).alias("partial"))
 
 
+def word_count(resume: Column) -> Column:
+    return F.size(F.filter(F.split(resume, r"\s+"), lambda w: w != ""))
+
+
 def format_checks(resume: Column) -> dict[str, Column]:
     """R09."""
     lines = F.transform(F.split(resume, r"\r?\n"), lambda x: F.trim(x))
     heading = lambda p: F.exists(lines, lambda x: (F.length(x) < 40) & has(x, p))
-    words = F.size(F.filter(F.split(resume, r"\s+"), lambda w: w != ""))
     return {
-        "email": F.regexp_like(resume, F.lit(r"[\w.+-]+@[\w-]+\.[\w.]+")),
-        "phone": F.regexp_like(resume, F.lit(r"\+?\d[\d\s().-]{8,}\d")),
-        "experience": heading(r"^(work |professional |relevant )?(experience|employment|work history)\b"),
-        "education": heading(r"^(education|academic|qualifications)\b"),
-        "skills": heading(r"^(technical |core |key )?(skills|competencies|technologies|tools)\b"),
-        "length": (words >= 300) & (words <= 1200),
-        "bullets": F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[-•*▪◦●]\s?")))) >= 3,
-        "numbers": F.regexp_count(resume, F.lit(pattern(r"\d+\s?%|\$\s?\d|\b\d{2,}\b"))) >= 3,
+        "email": F.regexp_like(resume, F.lit(lx.RESUME_EMAIL)),
+        "phone": F.regexp_like(resume, F.lit(lx.RESUME_PHONE)),
+        **{k: heading(p) for k, p in lx.RESUME_HEADINGS.items()},
+        "length": word_count(resume).between(300, 1200),
+        "bullets": F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(lx.RESUME_BULLET)))) >= 3,
+        "numbers": F.regexp_count(resume, F.lit(pattern(lx.RESUME_NUMBER))) >= 3,
     }
 
 
+def format_tips(resume: Column) -> Column:
+    """What to do about each check that fails."""
+    checks, n = format_checks(resume), word_count(resume)
+    said = {
+        "email": F.lit("Give an email address at the top."), "phone": F.lit("Give a phone number as plain text."), "experience": F.lit("Add a heading such as Experience."),
+        "education": F.lit("Add a heading such as Education."), "skills": F.lit("Add a heading such as Skills, with the tools of the posting that you know."),
+        "length": F.concat(n.cast("string"), F.when(n < 300, " words: say more of roles and projects.").otherwise(" words: keep to what matters here.")),
+        "bullets": F.lit("Describe each role in short bullet points."), "numbers": F.lit("Give results in numbers."),
+    }
+    return F.filter(F.array(*[F.when(~checks[k], v) for k, v in said.items()]), lambda x: x.isNotNull())
+
+
 def experience(required: Column, have: Column) -> Column:
     """Null if nothing is asked."""
     return F.when(required.isNotNull(), F.coalesce(have >= required, F.lit(False)))
@@ -124,13 +158,13 @@ def _share(terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda x: x["in_resume"])), F.size(terms)), F.lit(1.0))
 
 
-def analyze(pairs: DataFrame, this_year: int) -> DataFrame:
+def analyze(pairs: DataFrame, this_year: int, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """R02-R11 over rows (pair_id, title, posting, resume, terms: array<struct<term, jd_count, in_resume>> from ``keywords``):
     adds the breakdown, score and keyword_match."""
     jd = F.concat_ws("\n", "title", "posting")
     out = pairs.withColumn("jd", jd).withColumn("norm", normalize(F.col("resume")))
     out = out.withColumn("hard", hard_skills(F.col("jd"), F.col("resume"))).withColumn("words", F.concat(soft_skills(F.col("jd"), F.col("resume")), F.col("terms")))
-    out = out.withColumn("title_match", title_match(F.col("title"), F.col("norm")))
+    out = out.withColumn("title_match", title_match(F.col("title"), F.col("norm"), aliases=aliases))
     out = out.withColumn("required", parse.required_years(F.col("jd"))).withColumn("have", parse.resume_years(F.col("resume"), F.lit(this_year)))
     exp, edu = experience(F.col("required"), F.col("have")), education(F.col("jd"), F.col("resume"))
     checks = format_checks(F.col("resume"))
@@ -144,7 +178,7 @@ def analyze(pairs: DataFrame, this_year: int) -> DataFrame:
     out = out.withColumns(parts).withColumn("score", F.floor(sum((F.col(p) for p in parts), F.lit(0.0)) + 0.5).cast("int"))
     every = F.concat("hard", "words")
     matched = F.when(F.size(every) > 0, F.floor(F.size(F.filter(every, lambda x: x["in_resume"])) / F.size(every) * 100 + 0.5)).otherwise(0)
-    return out.withColumn("keyword_match", matched.cast("int")).withColumn("tips", tips(exp, edu)).drop("jd", "norm")
+    return out.withColumn("keyword_match", matched.cast("int")).withColumn("tips", F.concat(tips(exp, edu), format_tips(F.col("resume")))).drop("jd", "norm")
 
 
 def tips(exp: Column, edu: Column) -> Column:
@@ -164,3 +198,9 @@ def tips(exp: Column, edu: Column) -> Column:
 def tone(score: Column) -> Column:
     """R13."""
     return F.when(score >= 75, "good").when(score >= 50, "warn").otherwise("bad")
+
+
+def best_matches(listings: DataFrame, score: Column, canada_only: bool = True, most: int = 40) -> DataFrame:
+    """Listings that fit at all, best first; a top-k."""
+    rows = listings.filter(F.col("country") == "CA") if canada_only else listings
+    return rows.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), F.desc("posted_at"), "pos").limit(most)

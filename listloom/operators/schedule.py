@@ -92,9 +92,14 @@ def rotate(plan: DataFrame, start: int, n: int, length: int) -> DataFrame:
     return plan.withColumn("turn", turn).filter(F.col("turn") < min(n, length))
 
 
-def compatible(source: Column, q: Column, region: Column, country: Column) -> Column:
-    """Searches that a source can serve: national boards serve their own country only."""
-    return F.when(source == "USAJobs", country == "US").when(source == "Canada Job Bank", country == "CA").otherwise(F.lit(True))
+def compatible(source: Column, q: Column, region: Column, country: Column, lane: Column | None = None, city: Column | None = None) -> Column:
+    """Searches that a source can serve: national boards serve their own country only, the smallest budget goes to the
+    core lane, and a board of remote work takes no searches by place (more by city, broad by region)."""
+    lane, city = F.lit("core") if lane is None else lane, F.lit("") if city is None else city
+    return (
+        F.when(source == "USAJobs", country == "US").when(source == "Canada Job Bank", country == "CA").when(source == "JSearch", lane == "core")
+        .when(source == "Himalayas", ~(((lane == "more") & (F.coalesce(city, F.lit("")) != "")) | ((lane == "broad") & (F.coalesce(region, F.lit("")) != "")))).otherwise(F.lit(True))
+    )
 
 
 def used_today(used: Column, day: Column, today: Column) -> Column:
@@ -119,6 +124,26 @@ def stale_lookups(companies: DataFrame, now: Column, most: int = 40, hours: int
     return companies.filter(F.col("checked_at").isNull() | (~F.col("found") & (age >= hours))).orderBy("pos").limit(most)
 
 
+def remembered_misses(misses: DataFrame, now: Column, hours: int = 1, most: int = 2000) -> DataFrame:
+    """The addresses (address, missed_at) that aren't tried again yet: the latest ``most`` of those of the last hours."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("missed_at").cast("timestamp"))) / 3600e6
+    last = misses.groupBy("address").agg(F.max("missed_at").alias("missed_at"))
+    return last.filter(age < hours).orderBy(F.desc("missed_at"), "address").limit(most)
+
+
+def discovered(companies: DataFrame, answers: DataFrame, misses: DataFrame | None = None) -> DataFrame:
+    """Company, board, slug, name, jobs: for every company (company) and board the first address tried that answered with
+    a board of its name. ``answers``: recorded lookups (board, slug, name, jobs); boards that give no name answer null.
+    ``misses``: addresses ("board:slug") that aren't tried."""
+    tried = companies.select("company", F.posexplode(slug_candidates(F.col("company"))).alias("nth", "slug"))
+    fits = F.col("name").isNull() | same_company(F.col("name"), F.col("company"))
+    hits = tried.join(answers.filter("jobs > 0"), "slug").filter(fits)
+    if misses is not None:
+        hits = hits.join(misses.select("address"), F.concat_ws(":", "board", "slug") == F.col("address"), "left_anti")
+    first = hits.groupBy("company", "board").agg(F.min(F.struct("nth", "slug", "name", "jobs")).alias("x"))
+    return first.select("company", "board", "x.slug", F.coalesce("x.name", "company").alias("name"), "x.jobs")
+
+
 def slug_candidates(name: Column) -> Column:
     """Board addresses to try for a company."""
 

@@ -42,11 +42,31 @@ def upper_median(listings: DataFrame) -> DataFrame:
 
 
 def top(listings: DataFrame, key: Column, k: int, name: str) -> DataFrame:
-    """List, key, count of the k commonest keys; ties by first occurrence."""
+    """List, key, count of the k commonest keys; ties by first occurrence."""
     counts = listings.select(key.alias("key"), "pos").filter("key <> ''").groupBy("key").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"))
     return counts.orderBy(F.desc("count"), "first_pos").limit(k).select(F.lit(name).alias("list"), "key", "count")
 
 
+#: Lists of the dashboard and how long they are.
+LISTS = {"industry": 12, "region": 12, "work_type": 10, "level": 10, "source": 10, "city": 10, "skills": 8, "certifications": 8, "tools": 10}
+
+
+def top_lists(listings: DataFrame, by: list[str] = ()) -> DataFrame:
+    """List, key, count (after the columns ``by``) of all lists of the dashboard, in one pass and one aggregate."""
+    one = {"industry": F.col("industry"), "region": place("region"), "work_type": F.col("work_type"), "level": F.col("seniority"), "source": F.col("source"), "city": place("city")}
+    pair = lambda n, c: F.struct(F.lit(n).alias("list"), c.alias("key"))
+
+    def each(c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: pair(c, x))
+
+    many = [each(c) for c in ("skills", "certifications", "tools")]
+    pairs = listings.select(*by, "pos", F.explode(F.concat(F.array(*[pair(n, c) for n, c in one.items()]), *many)).alias("x")).select(*by, "pos", "x.*").filter("key <> ''")
+    counts = pairs.groupBy(*by, "list", "key").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"))
+    most = F.try_element_at(F.create_map(*[F.lit(x) for kv in LISTS.items() for x in kv]), F.col("list"))
+    ranked = counts.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "list").orderBy(F.desc("count"), "first_pos", "key")))
+    return ranked.filter(F.col("_rn") <= max(LISTS.values())).filter(F.col("_rn") <= most).select(*by, "list", "key", "count", F.col("_rn").alias("nth"))
+
+
 def place(column: str) -> Column:
     """A10, A12: 'Remote' for a remote listing without a place."""
     return F.when((F.coalesce(F.col(column), F.lit("")) == "") & F.col("is_remote"), "Remote").otherwise(F.col(column))
@@ -79,3 +99,32 @@ def source_coverage(status: DataFrame, listings: DataFrame) -> DataFrame:
     """Status of each source with its listings on the site."""
     n = listings.groupBy("source").agg(F.count("*").alias("on_site"))
     return status.join(n, "source", "left").withColumn("on_site", F.coalesce("on_site", F.lit(0)))
+
+
+def fetched(rows: DataFrame) -> DataFrame:
+    """How many listings this run has brought."""
+    return rows.agg(F.count_distinct("id").alias("fetched"))
+
+
+def derived(days: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Total, peak day and its count of ``per_day`` (the first of equal days); jobs in the US by keyword."""
+    peak = days.agg(F.sum("count").alias("total"), F.max(F.struct("count", (-F.unix_date(F.to_date("day"))).alias("d"))).alias("p"))
+    peak = peak.select("total", F.date_format(F.date_from_unix_date((-F.col("p.d")).cast("int")), "yyyy-MM-dd").alias("peak_day"), F.col("p.count").alias("peak"))
+    return peak, keywords.select("keyword", F.col("jobs_now"), "canada", (F.col("jobs_now") - F.col("canada")).alias("us"))
+
+
+def tag_choice(facet: DataFrame, chosen: list[str], most: int = 14) -> DataFrame:
+    """Key, nth: the chosen ones first, in their order, then the commonest others. ``facet``: key, count."""
+    picked = facet.sparkSession.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(chosen))], "key string, i int")
+    j = facet.join(picked, "key", "full").orderBy(F.col("i").isNull(), "i", F.desc("count"), "key").limit(most)
+    return j.select("key", (F.row_number().over(Window.orderBy(F.col("i").isNull(), "i", F.desc("count"), "key")) - 1).alias("nth"))  # at most 14 rows
+
+
+def region_options(spark, country: str, facet: DataFrame) -> DataFrame:
+    """Code, label in the order of names; the label has the number of listings, if there are any. ``facet``: key, count."""
+    from ..functions.parse import regions_for
+
+    names = spark.createDataFrame(list(regions_for(country).items()), "code string, name string")
+    j = names.join(facet.select(F.col("key").alias("code"), "count"), "code", "left")
+    label = F.concat("name", F.coalesce(F.concat(F.lit(" ("), F.col("count").cast("string"), F.lit(")")), F.lit("")))
+    return j.select("code", label.alias("label"), (F.row_number().over(Window.orderBy(F.collate("name", "UNICODE"))) - 1).alias("nth"))  # 64 rows at most

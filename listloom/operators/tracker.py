@@ -57,3 +57,9 @@ def recent(searches: DataFrame, most: int = 6) -> DataFrame:
 def tracker_order(table: DataFrame) -> DataFrame:
     """O14."""
     return table.orderBy(F.coalesce("updated_at", "at").desc(), "id")
+
+
+def by_id(listings: DataFrame, saved: DataFrame, ids: DataFrame) -> DataFrame:
+    """The listing of each id, or where there is none any more the saved copy of it."""
+    live = ids.join(listings, "id", "left_semi")
+    return listings.join(ids, "id", "left_semi").unionByName(saved.join(ids, "id", "left_semi").join(live, "id", "left_anti"), allowMissingColumns=True)

@@ -41,10 +41,10 @@ PARAMS = query.SearchParams(country="US", min_salary=40_000, max_salary=150_000,
 # ------------------------------------------------------------------ scalar functions
 
 
-@register("t01_normalize", f"SELECT doc_id, {v.norm_sql('text')} AS norm, {v.company_sql('substr(text, 1, 60)')} AS company FROM documents")
+@register("t01_normalize", f"SELECT doc_id, {v.norm_sql('text')} AS norm, {v.company_sql('text')} AS company FROM documents")
 def t01(spark, sf):
     (docs,) = tables(spark, sf, "documents")
-    return docs.select("doc_id", text.normalize(F.col("text")).alias("norm"), text.normalize_company(F.substring("text", 1, 60)).alias("company"))
+    return docs.select("doc_id", text.normalize(F.col("text")).alias("norm"), text.normalize_company(F.col("text")).alias("company"))
 
 
 @register("t03_titles", _with(f"SELECT id, {v.title_sql('title')} AS title_key, {v.company_sql('company')} AS company_key, coalesce(nullif(replace({v.company_sql('company')}, ' ', '-'), ''), 'company') AS slug FROM L"))
@@ -84,15 +84,22 @@ def p03(spark, sf):
     return out.select("id", s["min"].alias("low"), s["max"].alias("high"), s["currency"].alias("cur"), s["period"].alias("per"))
 
 
-@register("p04_locations", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {v.quoted(p)}, {v.quoted(c)}, {v.quoted(r)}, {v.quoted(k)})" for i, (p, c, r, k) in enumerate([
-        ("Toronto, ON", "Toronto", "ON", "CA"), ("San Jose, CA", "San Jose", "CA", "US"), ("Toronto, ON, CA", "Toronto", "ON", "CA"), ("Austin, Texas, US", "Austin", "TX", "US"),
-        ("Montreal, Quebec, Canada", "Montreal", "QC", "CA"), ("Remote", "Remote", "", "US"), ("Vancouver, British Columbia", "Vancouver", "BC", "CA"), ("New York, NY, USA", "New York", "NY", "US"),
-        ("Paris", "Paris", "", "US"), ("Halifax, ns", "Halifax", "NS", "CA"), ("", "", "", "US"), ("London, Ontario", "London", "ON", "CA")])
-) + ") t(id, place, city, region, country)")
+#: Places made of orders: city, region by code or name in some letter case, country in some spelling; the same expression for both.
+_CODE = "CASE o_custkey % 5 WHEN 0 THEN 'ON' WHEN 1 THEN 'Quebec' WHEN 2 THEN 'tx' WHEN 3 THEN 'British Columbia' ELSE 'CA' END"
+_LAND = "CASE o_orderkey % 6 WHEN 0 THEN ', Canada' WHEN 1 THEN ', USA' WHEN 2 THEN ', CA' ELSE '' END"
+_PLACE = f"CASE o_orderkey % 9 WHEN 0 THEN 'Remote' WHEN 1 THEN '' ELSE concat('Town ', o_custkey % 100, ', ', {_CODE}, {_LAND}) END"
+_NAMES = lambda t: "CASE lower({0}) " + " ".join(f"WHEN '{c.lower()}' THEN '{c}' WHEN '{n.lower()}' THEN '{c}'" for c, n in t.items()) + " ELSE '' END"
+
+
+@register("p04_locations", f"""
+WITH x AS (SELECT o_orderkey AS id, list_filter(list_transform(string_split({_PLACE}, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM orders),
+r AS (SELECT id, p, len(p) AS n, coalesce(p[2], '') AS b, coalesce(p[3], '') AS c FROM x),
+g AS (SELECT *, CASE WHEN n = 3 THEN CASE WHEN lower(c) = 'usa' THEN 'US' ELSE 'CA' END END AS said, {_NAMES(lx.PROVINCES).format('b')} AS prov, {_NAMES(lx.STATES).format('b')} AS state FROM r),
+k AS (SELECT *, coalesce(said, CASE WHEN prov <> '' AND state = '' THEN 'CA' ELSE 'US' END) AS country FROM g)
+SELECT id, coalesce(p[1], '') AS city, CASE WHEN country = 'CA' THEN prov ELSE state END AS region, country FROM k""")
 def p04(spark, sf):
-    places = spark.createDataFrame(list(enumerate(v.PLACES)), "id int, place string")
-    return places.withColumn("l", parse.location_of(F.col("place"))).select("id", "place", "l.city", "l.region", "l.country")
+    (orders,) = tables(spark, sf, "orders")
+    return orders.select(F.col("o_orderkey").alias("id"), parse.location_of(F.expr(_PLACE)).alias("l")).select("id", "l.city", "l.region", "l.country")
 
 
 _AUTH = "list_filter(list_value(" + ", ".join(f"CASE WHEN {v.rlike_sql('body', p)} THEN {v.quoted(k)} END" for k, p in lx.WORK_AUTH) + "), lambda x: x IS NOT NULL)"
@@ -133,7 +140,7 @@ def c08(spark, sf):
 
 
 @register("c10_education_years", _with(f"""SELECT id, {v.rules_sql(lx.EDUCATION, 'body')} AS degree, {" + ".join(f"CASE WHEN {v.rlike_sql('body', p)} THEN 1 ELSE 0 END" for p in lx.SOFT_SKILLS.values())} AS soft,
-  list_min(list_filter(list_transform(regexp_extract_all(body, {v.quoted(r"(?i)(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b[^.\n]{0,40}?(?:experience|exp\b|in |of |working|hands)")}, 1), lambda s: CAST(s AS INT)), lambda y: y > 0 AND y <= 20)) AS asked FROM L"""))
+  list_min(list_filter(list_transform(regexp_extract_all(body, {v.quoted("(?i)" + lx.REQUIRED_YEARS)}, 1), lambda s: CAST(s AS INT)), lambda y: y > 0 AND y <= 20)) AS asked FROM L"""))
 def c10(spark, sf):
     b = F.col("body")
     return listings(spark, sf).select("id", classify.education(b)["degree"].alias("degree"), F.size(classify.soft_skills(b)).alias("soft"), parse.required_years(b).alias("asked"))
@@ -141,13 +148,31 @@ def c10(spark, sf):
 
 # ------------------------------------------------------------------ identity, merge, state
 
-_DOCROWS = f"SELECT doc_id, {v.norm_sql(FIRST_LINE)} AS k, doc_id AS ord, doc_id % 14 AS prio, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS salary, text AS body FROM documents"
+_OPTIONS = {
+    "duck": "list_value(struct_pack(portal := 'Portal ' || (doc_id % 4), url := 'https://p' || (doc_id % 4) || '.example/' || (doc_id % 7) || CASE doc_id % 2 WHEN 0 THEN '?a=1' ELSE '' END, direct := doc_id % 5 = 0), struct_pack(portal := 'Other', url := CASE doc_id % 6 WHEN 0 THEN 'ftp://x' ELSE 'https://o.example/' || doc_id END, direct := false))",
+    "spark": "array(named_struct('portal', concat('Portal ', doc_id % 4), 'url', concat('https://p', doc_id % 4, '.example/', doc_id % 7, CASE doc_id % 2 WHEN 0 THEN '?a=1' ELSE '' END), 'direct', doc_id % 5 = 0), named_struct('portal', 'Other', 'url', CASE doc_id % 6 WHEN 0 THEN 'ftp://x' ELSE concat('https://o.example/', doc_id) END, 'direct', false))",
+}
+_DOCROWS = f"SELECT doc_id, {v.norm_sql(FIRST_LINE)} AS k, doc_id AS ord, doc_id % 14 AS prio, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS salary, text AS body, {_OPTIONS['duck']} AS options FROM documents"
 
 
 def _doc_rows(spark, sf):
     (docs,) = tables(spark, sf, "documents")
     first = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    return docs.select("doc_id", text.normalize(first).alias("k"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 14).alias("prio"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("salary"), F.col("text").alias("body"))
+    return docs.select("doc_id", text.normalize(first).alias("k"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 14).alias("prio"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("salary"), F.col("text").alias("body"), F.expr(_OPTIONS["spark"]).alias("options"))
+
+
+def _merged_options_sql(rows: str, key: str) -> str:
+    """Options merged over the rows (key, late, o, nth, option) of a group: one a link, one a portal, direct ones first."""
+    return f"""
+o1 AS (SELECT {key}, late, o, nth, option, lower(regexp_replace(regexp_replace(option.url, '[?#].*$', ''), '/$', '')) AS link FROM {rows} WHERE regexp_matches(option.url, '^https?://', 'i')),
+o2 AS (SELECT * FROM o1 QUALIFY row_number() OVER (PARTITION BY {key}, link ORDER BY late, o, nth) = 1),
+o3 AS (SELECT *, row_number() OVER (PARTITION BY {key}, lower(option.portal) ORDER BY late, o, nth) AS r1, row_number() OVER (PARTITION BY {key}, lower(option.portal) ORDER BY NOT option.direct, late, o, nth) AS r2 FROM o2),
+o4 AS (SELECT a.{key}, a.late, a.o, a.nth, b.option FROM o3 a JOIN o3 b ON a.{key} = b.{key} AND lower(a.option.portal) = lower(b.option.portal) AND a.r1 = 1 AND b.r2 = 1),
+o5 AS (SELECT {key}, string_agg(option.portal || '=' || option.url, ' ' ORDER BY NOT option.direct, late, o, nth) AS options FROM (SELECT * FROM o4 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY NOT option.direct, late, o, nth) <= 12) GROUP BY {key})"""
+
+
+def _said():
+    return F.array_join(F.transform("options", lambda o: F.concat(o["portal"], F.lit("="), o["url"])), " ")
 
 
 @register("d01_fingerprints", _with(f"SELECT id, substr(sha256({v.title_sql('title')} || '|' || {v.company_sql('company')} || '|' || {v.norm_sql('city')} || '|' || {v.norm_sql('region')}), 1, 20) AS key FROM L"))
@@ -163,32 +188,47 @@ def d03(spark, sf):
 @register("d05_dedupe", f"""WITH r AS ({_DOCROWS}),
 b AS (SELECT *, coalesce(prio > max(prio) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS br FROM r),
 w AS (SELECT k, max(ord) FILTER (br) AS best, max(ord) FILTER (br AND salary IS NOT NULL) AS sb, min(ord) FILTER (salary IS NOT NULL) AS sa, min(ord) AS first_seen, count(*) AS copies FROM b GROUP BY k),
-x AS (SELECT k, ord, body, row_number() OVER (PARTITION BY k ORDER BY length(coalesce(body, '')) DESC, br DESC, CASE WHEN br THEN -ord ELSE ord END) AS rn FROM b)
-SELECT w.k, best AS doc_id, (SELECT salary FROM r WHERE r.ord = coalesce(sb, sa)) AS salary, md5(x.body) AS body, first_seen, copies FROM w JOIN x ON x.k = w.k AND rn = 1""")
+x AS (SELECT k, ord, body, row_number() OVER (PARTITION BY k ORDER BY length(coalesce(body, '')) DESC, br DESC, CASE WHEN br THEN -ord ELSE ord END) AS rn FROM b),
+each AS (SELECT k, CASE WHEN br THEN 0 ELSE 1 END AS late, CASE WHEN br THEN -ord ELSE ord END AS o, unnest([0, 1]) AS nth, unnest(options) AS option FROM b),
+{_merged_options_sql("each", "k")}
+SELECT w.k, best AS doc_id, (SELECT salary FROM r WHERE r.ord = coalesce(sb, sa)) AS salary, md5(x.body) AS body, first_seen, copies, coalesce(o5.options, '') AS options FROM w JOIN x ON x.k = w.k AND rn = 1 LEFT JOIN o5 ON o5.k = w.k""")
 def d05(spark, sf):
-    out = identity.dedupe(_doc_rows(spark, sf), "k", "ord", "prio", ["salary"], ["body"], [])
-    return out.select("k", "doc_id", "salary", F.md5("body").alias("body"), "first_seen", "copies")
+    out = identity.dedupe(_doc_rows(spark, sf), "k", "ord", "prio", ["salary"], ["body"], [], options="options")
+    return out.select("k", "doc_id", "salary", F.md5("body").alias("body"), "first_seen", "copies", _said().alias("options"))
 
 
-@register("d04_options")
+@register("d04_options", f"""WITH each AS (SELECT page_id % 40 AS g, 0 AS late, page_id AS o, 0 AS nth, struct_pack(portal := 'Portal ' || (page_id % 5), url := url, direct := page_id % 3 = 0) AS option FROM pages),
+{_merged_options_sql("each", "g")} SELECT g, options FROM o5""")
 def d04(spark, sf):
     (pages,) = tables(spark, sf, "pages")
     option = F.struct(F.concat(F.lit("Portal "), (F.col("page_id") % 5).cast("string")).alias("portal"), F.col("url").alias("url"), (F.col("page_id") % 3 == 0).alias("direct"))
     groups = pages.groupBy((F.col("page_id") % 40).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", option.alias("o")))), lambda x: x["o"]).alias("options"))
-    return groups.select("g", F.posexplode(identity.merge_options(F.col("options"))).alias("nth", "o")).select("g", "nth", "o.*")
+    return groups.select("g", identity.merge_options(F.col("options")).alias("options")).select("g", _said().alias("options"))
+
+
+_KEY = f"substr(sha256({v.title_sql('title')} || '|' || {v.company_sql('company')} || '|' || {v.norm_sql('city')} || '|' || {v.norm_sql('region')}), 1, 20)"
 
 
 @register("d06_merge_previous", _with(f"""
-, prev AS (SELECT id, source, pos, posted_at AS seen_at FROM L WHERE id % 3 <> 0), fresh AS (SELECT id, source, pos FROM L WHERE id % 5 = 0),
-kept AS (SELECT id FROM prev WHERE {T_NOW} - seen_at <= CASE WHEN source IN ('greenhouse','lever','ashby','smartrecruiters','workable','recruitee') THEN INTERVAL 6 HOUR ELSE INTERVAL 600 DAY END)
-SELECT id, id IN (SELECT id FROM fresh) AS fresh, CASE WHEN id IN (SELECT id FROM fresh) THEN '{NOW}' ELSE strftime((SELECT max(seen_at) FROM prev WHERE prev.id = u.id), '%Y-%m-%d %H:%M:%S') END AS seen
-FROM (SELECT id FROM fresh UNION SELECT id FROM kept) u"""))
+, e AS (SELECT *, {_KEY} AS key FROM L), prev AS (SELECT *, posted_at AS seen_at, CASE WHEN id % 2 = 0 THEN 'old ' || id ELSE key END AS old FROM e WHERE id % 3 <> 0),
+u AS (SELECT key, 0 AS late, pos, prio, id, salary_max, body, posted_at FROM e WHERE id % 5 = 0 UNION ALL SELECT key, 1, pos, prio, id, salary_max, body, posted_at FROM prev
+ WHERE {T_NOW} - seen_at <= CASE WHEN source IN ('greenhouse','lever','ashby','smartrecruiters','workable','recruitee') THEN INTERVAL 6 HOUR ELSE INTERVAL 600 DAY END),
+r AS (SELECT *, row_number() OVER (ORDER BY late, pos) AS o FROM u),
+b AS (SELECT *, coalesce(prio > max(prio) OVER (PARTITION BY key ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS br FROM r),
+t AS (SELECT key, max(seen_at) AS seen FROM (SELECT key, seen_at FROM prev UNION ALL SELECT old, seen_at FROM prev) GROUP BY key)
+SELECT b.key, min(late) = 0 AS fresh, arg_max(id, o) FILTER (br) AS row_id, coalesce(arg_max(salary_max, o) FILTER (br AND salary_max IS NOT NULL), arg_min(salary_max, o) FILTER (salary_max IS NOT NULL)) AS salary, max(length(body)) AS longest,
+ strftime(min(posted_at), '%Y-%m-%d') AS posted, count(*) AS copies, CASE WHEN min(late) = 0 THEN '{NOW}' ELSE strftime(any_value(t.seen), '%Y-%m-%d %H:%M:%S') END AS seen FROM b LEFT JOIN t USING (key) GROUP BY b.key"""))
 def d06(spark, sf):
-    rows = listings(spark, sf).select("id", "source", "pos", "posted_at")
-    prev = rows.filter("id % 3 <> 0").withColumnRenamed("posted_at", "seen_at")
-    fresh = rows.filter("id % 5 = 0").withColumn("seen_at", now()).drop("posted_at")
-    out = identity.merge_previous(fresh, prev, now(), keep_days=600)
-    return out.select("id", "fresh", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen"))
+    rows = listings(spark, sf).select(F.col("id").alias("row_id"), "title", "company", "city", "region", "source", "pos", "prio", "salary_max", "body", "posted_at")
+    key = identity.fingerprint(F.col("title"), F.col("company"), F.col("city"), F.col("region"))
+    rows = rows.withColumn("id", key)
+    prev = rows.filter("row_id % 3 <> 0").withColumn("seen_at", F.col("posted_at")).withColumn("id", F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("old "), F.col("row_id").cast("string"))).otherwise(F.col("id")))
+    fresh = rows.filter("row_id % 5 = 0").withColumn("seen_at", now())
+    out = identity.merge_previous(fresh, prev, now(), keep_days=600, best_or_other=["salary_max"], longest=["body"], least=["posted_at"])
+    return out.select(
+        F.col("id").alias("key"), "fresh", "row_id", F.col("salary_max").alias("salary"), F.length("body").cast("long").alias("longest"), F.date_format("posted_at", "yyyy-MM-dd").alias("posted"), "copies",
+        F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen"),
+    )
 
 
 @register("d08_scope_cap", _with(f"SELECT id FROM L WHERE country IN ('CA', 'US') AND posted_at >= {T_NOW} - INTERVAL 600 DAY ORDER BY country <> 'CA', posted_at DESC, pos LIMIT 500"))
@@ -322,23 +362,21 @@ def a09(spark, sf):
     return stats.upper_median(listings(spark, sf))
 
 
-_LISTS = {"industry": ("industry", 12), "region": ("CASE WHEN region = '' AND is_remote THEN 'Remote' ELSE region END", 12), "work_type": ("work_type", 10), "level": ("seniority", 10), "source": ("source", 10), "city": ("CASE WHEN city = '' AND is_remote THEN 'Remote' ELSE city END", 10)}
+_PLACED = "CASE WHEN {0} = '' AND is_remote THEN 'Remote' ELSE {0} END"
+_KEYS = {"industry": "industry", "region": _PLACED.format("region"), "work_type": "work_type", "level": "seniority", "source": "source", "city": _PLACED.format("city")}
+_MANY = {"skills": 8, "certifications": 8, "tools": 10}
 
 
 @register("a10_top_lists", _with("SELECT list, key, count FROM (" + " UNION ALL ".join(
-    f"(SELECT {v.quoted(n)} AS list, {e} AS key, count(*) AS count, min(pos) AS fp FROM L WHERE {e} <> '' GROUP BY ALL ORDER BY count DESC, fp LIMIT {k})" for n, (e, k) in {k: x for k, x in _LISTS.items()}.items()).replace("GROUP BY ALL", "GROUP BY 1, 2") + ")"))
+    f"(SELECT {v.quoted(n)} AS list, {e} AS key, count(*) AS count, min(pos) AS fp FROM L WHERE {e} <> '' GROUP BY 1, 2 ORDER BY count DESC, fp LIMIT {stats.LISTS[n]})" for n, e in _KEYS.items()) + ")"))
 def a10(spark, sf):
-    rows = listings(spark, sf)
-    keys = {"industry": F.col("industry"), "region": stats.place("region"), "work_type": F.col("work_type"), "level": F.col("seniority"), "source": F.col("source"), "city": stats.place("city")}
-    out = [stats.top(rows, c, _LISTS[n][1], n) for n, c in keys.items()]
-    for x in out[1:]:
-        out[0] = out[0].unionByName(x)
-    return out[0]
+    return stats.top_lists(listings(spark, sf)).filter(F.col("list").isin(list(_KEYS))).drop("nth")
 
 
-@register("a13_top_skills", _with("SELECT 'skills' AS list, s AS key, count(*) AS count FROM (SELECT unnest(skills) AS s, pos FROM L) GROUP BY s ORDER BY count DESC, min(pos) LIMIT 6"))
+@register("a13_top_skills", _with("SELECT list, key, count FROM (" + " UNION ALL ".join(
+    f"(SELECT '{n}' AS list, s AS key, count(*) AS count, min(pos) AS fp FROM (SELECT unnest({n}) AS s, pos FROM L) GROUP BY s ORDER BY count DESC, fp LIMIT {k})" for n, k in _MANY.items()) + ")"))
 def a13(spark, sf):
-    return stats.top(listings(spark, sf).select("pos", F.explode("skills").alias("s")), F.col("s"), 6, "skills")
+    return stats.top_lists(listings(spark, sf)).filter(F.col("list").isin(list(_MANY))).drop("nth")
 
 
 @register("a14_top_companies", _with(f"SELECT arg_max(company, pos) AS name, replace({_CO.replace('company', 'arg_max(company, pos)')}, ' ', '-') AS slug, count(*) AS count FROM L GROUP BY {_CO} ORDER BY count DESC, min(pos) LIMIT 8"))
@@ -413,16 +451,18 @@ def g13(spark, sf):
     return listings(spark, sf).select("id", F.array_join(schedule.slug_candidates(F.col("company")), "|").alias("slugs"))
 
 
-@register("l01_career_sites", f"""WITH c AS (SELECT DISTINCT 'Acme ' || CAST(c_custkey % 400 AS VARCHAR) || CASE c_custkey % 2 WHEN 0 THEN ' Inc' ELSE ' Labs' END AS company FROM customer),
-k AS (SELECT company, {v.company_sql('company')} AS key FROM c)
-SELECT company, CASE WHEN key = 'acme 7 labs' THEN 'https://seven.example' WHEN key = 'acme 12' OR starts_with(key, 'acme 12 ') THEN 'https://twelve.example' ELSE 'https://www.google.com/search?q=' || replace(company, ' ', '%20') || '%20careers' END AS url,
- key = 'acme 7 labs' OR key = 'acme 12' OR starts_with(key, 'acme 12 ') AS verified FROM k""")
+@register("l01_career_sites", _with(f""", c AS (SELECT DISTINCT 'Acme ' || CAST(c_custkey % 400 AS VARCHAR) || CASE c_custkey % 2 WHEN 0 THEN ' Inc' ELSE ' Labs' END AS company FROM customer),
+k AS (SELECT company, {v.company_sql('company')} AS key FROM c),
+b AS (SELECT {v.company_sql('company')} AS key, arg_min('https://jobs.lever.co/' || lower(replace(company, ' ', '-')), pos) AS board FROM L WHERE source = 'lever' AND id % 3 = 0 GROUP BY 1)
+SELECT company, CASE WHEN key = 'acme 7 labs' THEN 'https://seven.example' WHEN key = 'acme 12' OR starts_with(key, 'acme 12 ') THEN 'https://twelve.example' WHEN board IS NOT NULL THEN board ELSE 'https://www.google.com/search?q=' || replace(company, ' ', '%20') || '%20careers' END AS url,
+ key = 'acme 7 labs' OR key = 'acme 12' OR starts_with(key, 'acme 12 ') OR board IS NOT NULL AS verified FROM k LEFT JOIN b USING (key)"""))
 def l01(spark, sf):
     (customer,) = tables(spark, sf, "customer")
     name = F.concat(F.lit("Acme "), (F.col("c_custkey") % 400).cast("string"), F.when(F.col("c_custkey") % 2 == 0, " Inc").otherwise(" Labs"))
     curated = spark.createDataFrame([("acme 7 labs", "https://seven.example"), ("acme 12", "https://twelve.example")], "key string, url string")
-    none = spark.createDataFrame([], "company string, apply_url string, pos long")
-    return link_ops.career_sites(customer.select(name.alias("company")).distinct(), curated, none)
+    slug = F.lower(F.replace("company", F.lit(" "), F.lit("-")))
+    link = F.when((F.col("source") == "lever") & (F.col("id") % 3 == 0), F.concat(F.lit("https://jobs.lever.co/"), slug, F.lit("/"), F.col("id").cast("string"), F.lit("?x=1"))).otherwise("https://elsewhere.example/1")
+    return link_ops.career_sites(customer.select(name.alias("company")).distinct(), curated, listings(spark, sf).select("company", "pos", link.alias("apply_url")))
 
 
 @register("r01_match_scores", _with("""SELECT id, CAST(floor(least(1.0, CASE WHEN len(w) > 0 THEN len(m) / len(w) ELSE 0.5 END * 0.8 + r + CASE WHEN len(w) > 0 THEN 0 ELSE r END) * 100 + 0.5) AS INT) AS score, array_to_string(m, '|') AS matched
@@ -433,28 +473,38 @@ def r01(spark, sf):
     return listings(spark, sf).select("id", m.alias("m")).select("id", "m.score", F.array_join("m.matched", "|").alias("matched"))
 
 
-@register("r05_term_counts", f"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,.;:!?()\\[\\]\\n\\r•|/]+|\\s[-–—]\\s')) AS t, unnest(range(len(regexp_split_to_array(text, '[,.;:!?()\\[\\]\\n\\r•|/]+|\\s[-–—]\\s')))) AS part FROM documents),
+_TERMS = f"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,.;:!?()\\[\\]\\n\\r•|/]+|\\s[-–—]\\s')) AS t, unnest(range(len(regexp_split_to_array(text, '[,.;:!?()\\[\\]\\n\\r•|/]+|\\s[-–—]\\s')))) AS part FROM documents),
 w AS (SELECT doc_id, part, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, part, list_filter(string_split({v.norm_sql('t')}, ' '), lambda y: y <> '') AS x FROM p)),
 n AS (SELECT *, lead(w) OVER (PARTITION BY doc_id, part ORDER BY i) AS nx FROM w),
 k AS (SELECT * FROM n WHERE length(w) >= 3 AND w NOT IN ('the', 'les', 'und') AND NOT regexp_full_match(w, '\\d+')),
-t AS (SELECT doc_id, w AS term FROM k UNION ALL SELECT doc_id, w || ' ' || nx FROM k WHERE length(nx) >= 3 AND nx NOT IN ('the', 'les', 'und') AND NOT regexp_full_match(nx, '\\d+'))
-SELECT doc_id, term, count(*) AS count FROM t GROUP BY ALL HAVING count(*) >= 3""")
+t AS (SELECT doc_id, w AS term, part * 4294967296 + 2 * i AS place FROM k UNION ALL SELECT doc_id, w || ' ' || nx, part * 4294967296 + 2 * i + 1 FROM k WHERE length(nx) >= 3 AND nx NOT IN ('the', 'les', 'und') AND NOT regexp_full_match(nx, '\\d+'))"""
+
+
+@register("r05_term_counts", _TERMS + "\nSELECT doc_id, term, count(*) AS count FROM t GROUP BY doc_id, term")
 def r05(spark, sf):
     (docs,) = tables(spark, sf, "documents")
-    return resume.term_counts(docs, "doc_id", "text", ["the", "les", "und"]).filter("count >= 3").select("doc_id", "term", "count")
+    return resume.term_counts(docs, "doc_id", "text", ["the", "les", "und"]).select("doc_id", "term", "count")
 
 
-@register("r05_keywords")
+@register("r05_keywords", _TERMS + """,
+c AS (SELECT doc_id, term, count(*) AS n, min(place) AS place FROM t GROUP BY doc_id, term HAVING count(*) >= 2),
+l AS (SELECT doc_id, list(struct_pack(term := term, n := n) ORDER BY n * CASE WHEN contains(term, ' ') THEN 1.6::DOUBLE ELSE 1 END DESC, place, term) AS r FROM c GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(r, lambda out, x: CASE WHEN len(out) >= 15 OR len(list_filter(out, lambda o: contains(o.term, x[1].term) OR contains(x[1].term, o.term))) > 0 THEN out ELSE list_concat(out, x) END, CAST([] AS STRUCT(term VARCHAR, n BIGINT)[])) AS k FROM (SELECT doc_id, list_transform(r, lambda x: [x]) AS r FROM l))
+SELECT doc_id, x.term AS term, x.n AS count, CAST(nth AS INT) AS nth FROM (SELECT doc_id, unnest(k) AS x, unnest(range(len(k))) AS nth FROM f)""")
 def r05_keywords(spark, sf):
     (docs,) = tables(spark, sf, "documents")
     return resume.keywords(docs, "doc_id", "text", ["the", "les", "und"])
 
 
-@register("r09_format_checks", "SELECT doc_id, regexp_matches(text, '[\\w.+-]+@[\\w-]+\\.[\\w.]+') AS email, regexp_matches(text, '\\+?\\d[\\d\\s().-]{8,}\\d') AS phone, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) BETWEEN 300 AND 1200 AS length, len(regexp_extract_all(text, '\\d+\\s?%|\\$\\s?\\d|\\b\\d{2,}\\b')) >= 3 AS numbers FROM documents")
+_LINES = "list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x))"
+_HEADED = lambda p: f"len(list_filter({_LINES}, lambda x: length(x) < 40 AND regexp_matches(x, {v.quoted(p)}, 'i'))) > 0"
+
+
+@register("r09_format_checks", f"SELECT doc_id, regexp_matches(text, {v.quoted(lx.RESUME_EMAIL)}) AS email, regexp_matches(text, {v.quoted(lx.RESUME_PHONE)}) AS phone, " + ", ".join(f"{_HEADED(p)} AS {k}" for k, p in lx.RESUME_HEADINGS.items())
+          + f", len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\r\\f]+'), lambda w: w <> '')) BETWEEN 300 AND 1200 AS length, len(list_filter({_LINES}, lambda x: regexp_matches(x, {v.quoted(lx.RESUME_BULLET)}))) >= 3 AS bullets, len(regexp_extract_all(text, {v.quoted(lx.RESUME_NUMBER)})) >= 3 AS numbers FROM documents")
 def r09(spark, sf):
     (docs,) = tables(spark, sf, "documents")
-    c = resume.format_checks(F.col("text"))
-    return docs.select("doc_id", *[c[k].alias(k) for k in ("email", "phone", "length", "numbers")])
+    return docs.select("doc_id", *[c.alias(k) for k, c in resume.format_checks(F.col("text")).items()])
 
 
 @register("r10_analysis")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse, text
 from ..functions import lexicons as lx
 from ..operators import links as link_ops
-from ..operators import query, resume, schedule, tracker
+from ..operators import query, resume, schedule, stats, tracker
 from ..operators import search as search_ops
 from ..sources import files, parsers, robots
 from . import views as v
@@ -15,13 +15,13 @@ from .catalog import T_NOW, _with, register
 from .views import NOW, listings, now, tables
 
 
-@register("t09_ngrams", f"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split({v.norm_sql('substr(text, 1, 300)')}, ' '), lambda x: x <> ''), 1, 40) AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 4) r(n) WHERE i + n - 1 <= len(w))
-SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id""")
+@register("t09_ngrams", f"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split({v.norm_sql('text')}, ' '), lambda x: x <> ''), 1, 1200) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 7) r(n) WHERE i + n - 1 <= len(w))
+SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS grams FROM g GROUP BY doc_id""")
 def t09(spark, sf):
     (docs,) = tables(spark, sf, "documents")
-    n = F.size(text.ngrams(text.normalize(F.substring("text", 1, 300)), 3, 40)).cast("long")
-    return docs.select("doc_id", n.alias("n")).filter("n > 0")
+    grams = docs.select("doc_id", F.array_sort(text.ngrams(text.normalize(F.col("text")))).alias("g")).filter("size(g) > 0")
+    return grams.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("grams"))
 
 
 _ONE = "CASE WHEN period = 'hourly' THEN CASE WHEN {0} = floor({0}) THEN '$' || CAST({0} AS BIGINT) ELSE printf('$%.2f', {0}) END ELSE '$' || CAST(floor({0} / 1000 + 0.5) AS BIGINT) || 'k' END"
@@ -54,11 +54,17 @@ def c09(spark, sf):
     return listings(spark, sf).select("id", classify.source_portal(F.col("source")).alias("portal"), F.col("source").isin(BOARDS).alias("board"))
 
 
-@register("p08_remote_country", _with("SELECT id, CASE id % 5 WHEN 0 THEN 'CA' WHEN 1 THEN 'US' WHEN 2 THEN NULL WHEN 3 THEN 'CA' ELSE 'US' END AS country, id % 1000 * CASE WHEN id % 1000 < 1000000000000 THEN 1000 ELSE 1 END AS ms FROM L"))
+#: The same expression for both: a supplier's nation and, for some, another place.
+_SAID = "concat(n_name, CASE s_suppkey % 4 WHEN 0 THEN ' only; USA' WHEN 1 THEN ', Japan' WHEN 2 THEN ' / Anywhere' ELSE '' END)"
+
+
+@register("p08_remote_country", f"""SELECT s_suppkey, CASE WHEN len(p) = 0 OR len(list_filter(p, lambda x: regexp_matches(x, 'worldwide|anywhere|global|americas|canada'))) > 0 THEN 'CA' WHEN len(list_filter(p, lambda x: regexp_matches(x, '^(usa?|u\\.s\\.|united states|north america)($|[^a-z0-9_])') OR starts_with(x, 'u.s.'))) > 0 THEN 'US' END AS country, ms
+FROM (SELECT s_suppkey, list_filter(list_transform(regexp_split_to_array(lower({_SAID}), '[,;/|]'), lambda x: trim(x)), lambda x: x <> '') AS p, CASE WHEN s_acctbal > 0 THEN 1700000000000 + s_suppkey ELSE (1700000000 + s_suppkey) * 1000 END AS ms FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def p08(spark, sf):
-    k = F.col("id") % 5
-    said = F.when(k == 0, "Worldwide").when(k == 1, "USA only").when(k == 2, "Germany; France").when(k == 4, "Japan / United States")
-    return listings(spark, sf).select("id", parse.remote_country(said).alias("country"), parse.epoch_millis(F.col("id") % 1000).alias("ms"))
+    supplier, nation = tables(spark, sf, "supplier", "nation")
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    at = F.when(F.col("s_acctbal") > 0, 1_700_000_000_000 + F.col("s_suppkey")).otherwise(1_700_000_000 + F.col("s_suppkey"))
+    return rows.select("s_suppkey", parse.remote_country(F.expr(_SAID)).alias("country"), parse.epoch_millis(at.cast("long")).cast("long").alias("ms"))
 
 
 @register("g06_rotation", "SELECT CAST(o AS BIGINT) AS ord, CAST((o - 7 + 20) % 20 AS BIGINT) AS turn FROM range(20) r(o) WHERE (o - 7 + 20) % 20 < 15")
@@ -66,14 +72,19 @@ def g06(spark, sf):
     return schedule.rotate(spark.range(20).withColumnRenamed("id", "ord"), 7, 15, 20)
 
 
-@register("g08_usage_and_gates", f"SELECT event_id, CASE WHEN strftime(ts, '%Y-%m-%d') = '2024-01-10' THEN event_id % 9 ELSE 0 END AS used, (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(ts)) / 60000000.0::DOUBLE >= 6 * 60 - 5 AS due, CASE event_type WHEN 'click' THEN event_id % 2 = 0 ELSE true END AS fits FROM events")
+_FITS = "CASE event_type WHEN 'click' THEN event_id % 2 = 0 WHEN 'purchase' THEN event_id % 3 = 0 WHEN 'view' THEN NOT ((event_id % 3 = 1 AND event_id % 5 = 0) OR (event_id % 3 = 2 AND event_id % 7 = 0)) ELSE true END"
+
+
+@register("g08_usage_and_gates", f"SELECT event_id, CASE WHEN strftime(ts, '%Y-%m-%d') = '2024-01-10' THEN event_id % 9 ELSE 0 END AS used, (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(ts)) / 60000000.0::DOUBLE >= 6 * 60 - 5 AS due, {_FITS} AS fits FROM events")
 def g08(spark, sf):
     (events,) = tables(spark, sf, "events")
-    country = F.when(F.col("event_id") % 2 == 0, "US").otherwise("CA")
-    source = F.when(F.col("event_type") == "click", "USAJobs").otherwise("Adzuna")
+    k = F.col("event_id")
+    source = F.when(F.col("event_type") == "click", "USAJobs").when(F.col("event_type") == "purchase", "JSearch").when(F.col("event_type") == "view", "Himalayas").otherwise("Adzuna")
+    lane = F.when(k % 3 == 0, "core").when(k % 3 == 1, "more").otherwise("broad")
+    fits = schedule.compatible(source, F.lit(""), F.when(k % 7 == 0, "ON").otherwise(""), F.when(k % 2 == 0, "US").otherwise("CA"), lane, F.when(k % 5 == 0, "Guelph").otherwise(""))
     return events.select(
-        "event_id", schedule.used_today(F.col("event_id") % 9, F.date_format("ts", "yyyy-MM-dd"), F.lit("2024-01-10")).alias("used"),
-        schedule.due(F.col("ts"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), F.lit(6)).alias("due"), schedule.compatible(source, F.lit(""), F.lit(""), country).alias("fits"),
+        "event_id", schedule.used_today(k % 9, F.date_format("ts", "yyyy-MM-dd"), F.lit("2024-01-10")).alias("used"),
+        schedule.due(F.col("ts"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), F.lit(6)).alias("due"), fits.alias("fits"),
     )
 
 
@@ -85,11 +96,18 @@ def g12(spark, sf):
     return schedule.stale_lookups(rows, now()).select("name")
 
 
-@register("g14_same_company", _with("SELECT id, id % 4 <> 3 AS same FROM L"))
+_WORDS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
+#: Names made of nations and segments, the same expressions for both.
+_FOUND = "concat(n_name, ' ', lower(c_mktsegment), CASE c_custkey % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' & Sons' ELSE '' END)"
+_WANTED = "concat(CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'Sons' WHEN 2 THEN c_mktsegment ELSE 'Acme' END, ' Ltd')"
+
+
+@register("g14_same_company", f"""SELECT c_custkey, len(a) > 0 AND len(b) > 0 AND CASE WHEN len(a) <= len(b) THEN list_has_all(b, a) ELSE list_has_all(a, b) END AS same
+FROM (SELECT c_custkey, {_WORDS.format(v.company_sql('found'))} AS a, {_WORDS.format(v.company_sql('wanted'))} AS b FROM (SELECT c_custkey, {_FOUND} AS found, {_WANTED} AS wanted FROM customer JOIN nation ON c_nationkey = n_nationkey))""")
 def g14(spark, sf):
-    k = F.col("id") % 4
-    found = F.when(k == 0, "Acme Inc.").when(k == 1, "Acme Robotics").when(k == 2, "Robotics Acme Ltd").otherwise("Acmecorp")
-    return listings(spark, sf).select("id", schedule.same_company(found, F.lit("Acme")).alias("same"))
+    customer, nation = tables(spark, sf, "customer", "nation")
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", schedule.same_company(F.expr(_FOUND), F.expr(_WANTED)).alias("same"))
 
 
 @register("g15_keyword_sets", _with("SELECT id, '\"' || array_to_string(tags, '\" OR \"') || '\"' AS query, regexp_replace(title, ' remote$', '') AS keyword FROM L"))
@@ -97,17 +115,25 @@ def g15(spark, sf):
     return listings(spark, sf).select("id", schedule.set_query(F.col("tags")).alias("query"), schedule.plan_keyword(F.col("title")).alias("keyword"))
 
 
-@register("r04_resume_terms", f"SELECT doc_id, contains(' ' || n || ' ', ' the ') OR contains(' ' || n || ' ', ' thes ') AS has_the, contains(' ' || n || ' ', ' les ') OR contains(' ' || n || ' ', ' le ') OR contains(' ' || n || ' ', ' less ') AS has_les, CASE WHEN doc_id % 100 >= 75 THEN 'good' WHEN doc_id % 100 >= 50 THEN 'warn' ELSE 'bad' END AS tone FROM (SELECT doc_id, {v.norm_sql('text')} AS n FROM documents)")
+@register("r04_resume_terms", f"SELECT doc_id, contains(' ' || n || ' ', ' the ') OR contains(' ' || n || ' ', ' thes ') AS has_the, contains(' ' || n || ' ', ' les ') OR contains(' ' || n || ' ', ' le ') OR contains(' ' || n || ' ', ' less ') AS has_les, regexp_matches(' ' || n || ' ', ' (und|unds|dies|die|diess|der|ders) ') AS has_und, CASE WHEN doc_id % 100 >= 75 THEN 'good' WHEN doc_id % 100 >= 50 THEN 'warn' ELSE 'bad' END AS tone FROM (SELECT doc_id, {v.norm_sql('text')} AS n FROM documents)")
 def r04(spark, sf):
     (docs,) = tables(spark, sf, "documents")
     n = docs.select("doc_id", text.normalize(F.col("text")).alias("n"))
-    return n.select("doc_id", resume.in_resume(F.col("n"), F.lit("the")).alias("has_the"), resume.in_resume(F.col("n"), F.lit("les")).alias("has_les"), resume.tone(F.col("doc_id") % 100).alias("tone"))
+    known = resume.known_in_resume(F.col("n"), F.lit("und"), {"und": ["dies", "der"]})
+    return n.select("doc_id", resume.in_resume(F.col("n"), F.lit("the")).alias("has_the"), resume.in_resume(F.col("n"), F.lit("les")).alias("has_les"), known.alias("has_und"), resume.tone(F.col("doc_id") % 100).alias("tone"))
 
 
-@register("r06_title_match", _with(f"SELECT id, ok, NOT ok AND id % 24 IN (13) AS partial FROM (SELECT id, id % 24 IN (2, 8) AS ok FROM L)"))
+_RESUME = "soc analyst and software developer with social media, teacher at a high school; accountant and registered rn"
+_LEVELS = ", ".join(f"'{w}'" for w in lx.TITLE_LEVELS)
+_TITLE_WORDS = f"list_filter(string_split({v.title_sql('title')}, ' '), lambda w: length(w) > 1 AND w NOT IN ({_LEVELS}))"
+
+
+@register("r06_title_match", _with(f"""SELECT id, ok, NOT ok AND len(w) > 0 AND len(list_filter(w, lambda x: contains(r, ' ' || x || ' '))) / len(w) >= 0.6 AS partial FROM (
+SELECT id, w, r, p <> '' AND (contains(r, ' ' || p || ' ') OR (p = 'registered nurse' AND (contains(r, ' rn ') OR contains(r, ' nurse ')))) AS ok
+FROM (SELECT id, {_TITLE_WORDS} AS w, array_to_string({_TITLE_WORDS}, ' ') AS p, ' ' || {v.norm_sql(v.quoted(_RESUME))} || ' ' AS r FROM L))"""))
 def r06(spark, sf):
-    m = resume.title_match(F.col("title"), F.lit("soc analyst and software developer with social media"))
-    return listings(spark, sf).select("id", m.alias("m")).select("id", "m.ok", F.when(F.col("id") % 24 == 13, ~F.col("m.ok")).otherwise(F.col("m.partial")).alias("partial"))
+    m = resume.title_match(F.col("title"), text.normalize(F.lit(_RESUME)), aliases={"registered nurse": ["rn", "nurse"]})
+    return listings(spark, sf).select("id", m.alias("m")).select("id", "m.ok", "m.partial")
 
 
 @register("o09_append", _with("SELECT id FROM L WHERE id % 7 = 0 OR id % 5 = 0"))
@@ -132,11 +158,34 @@ def o11(spark, sf):
     return link_ops.matching_companies(listings(spark, sf), "Acme 12").select("name", "count")
 
 
-@register("l02_platform_links", _with("SELECT id AS search_id, p AS platform, 'https://' || p || '.example/?q=' || replace(tags[1][1:5], ' ', '%20') || '%20x&l=' || replace(CASE WHEN city <> '' THEN city WHEN region <> '' THEN region WHEN country = 'CA' THEN 'Canada' ELSE 'United States' END, ' ', '%20') AS url FROM L JOIN (VALUES ('one', 'CA'), ('two', 'US')) t(p, c) ON country = c WHERE id % 10 = 0"))
+_PLATFORMS = [("one", "CA", "https://one.example/?q={q}&l={where}", "&since={days}", "&far=1", 0), ("two", "US", "https://two.example/{q}/in/{where}", "?t=r{seconds}", None, 0), ("three", "CA", "https://three.example/?l={where}", None, None, 1), ("none", "CA", None, None, None, 2)]
+_PLATFORM_SCHEMA = "platform string, country string, template string, days_part string, remote_part string, pos int"
+_CODES = f"CASE id % 4 WHEN 0 THEN 'ON' WHEN 1 THEN 'TX' WHEN 2 THEN '' ELSE 'QC' END"
+_SEARCH = f"""SELECT id AS search_id, CASE WHEN id % 6 = 0 THEN '' ELSE tags[{{}}] END AS q, CASE id % 3 WHEN 0 THEN 'ALL' ELSE country END AS country, {_CODES} AS region, city, CASE WHEN id % 5 = 0 THEN NULL ELSE 7 END AS days, work_type, CASE id % 2 WHEN 0 THEN 'legal' ELSE 'all' END AS industry"""
+
+
+def _links_sql(words: str) -> str:
+    """URLs of all searches, by plain string functions."""
+    name = "CASE WHEN c = 'CA' THEN CASE region WHEN 'ON' THEN 'Ontario' WHEN 'QC' THEN 'Quebec' ELSE '' END ELSE CASE region WHEN 'TX' THEN 'Texas' ELSE '' END END"
+    place = "CASE WHEN (region = '' OR n <> '') AND city || n <> '' THEN CASE WHEN city <> '' AND n <> '' THEN city || ', ' || n ELSE city || n END WHEN c = 'US' THEN 'United States' ELSE 'Canada' END"
+    enc = lambda x: f"replace(replace({x}, ' ', '%20'), ',', '%2C')"
+    url = f"""CASE p WHEN 'one' THEN 'https://one.example/?q=' || {enc('k')} || '&l=' || {enc('wh')} || CASE WHEN days IS NOT NULL THEN '&since=' || days ELSE '' END || CASE WHEN work_type = 'remote' THEN '&far=1' ELSE '' END
+ WHEN 'two' THEN 'https://two.example/' || {enc('k')} || '/in/' || {enc('wh')} || CASE WHEN days IS NOT NULL THEN '?t=r' || (days * 86400) ELSE '' END ELSE 'https://three.example/?l=' || {enc('wh')} END"""
+    return _with(f"""SELECT search_id, p AS platform, {url} AS url, c AS note FROM (SELECT *, {place} AS wh FROM (SELECT *, {name} AS n FROM (SELECT *, {words} AS k FROM ({_SEARCH.format(1)} FROM L) s, (VALUES ('one', 'CA'), ('two', 'US'), ('three', 'CA')) t(p, c) WHERE s.country = c OR s.country = 'ALL')))""")
+
+
+def _searches(spark, sf):
+    return spark.sql(_SEARCH.format(0) + " FROM {l}", l=listings(spark, sf)), spark.createDataFrame(_PLATFORMS, _PLATFORM_SCHEMA)
+
+
+@register("l02_platform_links", _links_sql("q"))
 def l02(spark, sf):
-    searches = listings(spark, sf).filter("id % 10 = 0").select(F.col("id").alias("search_id"), F.concat(F.substring(F.get("tags", F.lit(0)), 1, 5), F.lit(" x")).alias("q"), "country", "city", F.col("region").alias("region_name"), F.lit(7).alias("days"))
-    platforms = spark.createDataFrame([(n, c, f"https://{n}.example/?q={{q}}&l={{where}}", i) for i, (n, c) in enumerate((("one", "CA"), ("two", "US")))] + [("none", "CA", None, 3)], "platform string, country string, template string, pos int")
-    return link_ops.platform_links(searches, platforms)
+    return link_ops.platform_links(*_searches(spark, sf)).drop("ord")
+
+
+@register("l03_deep_links", _links_sql("CASE WHEN q = '' AND industry = 'legal' THEN 'legal OR paralegal' ELSE q END"))
+def l03(spark, sf):
+    return link_ops.deep_links(*_searches(spark, sf)).drop("ord")
 
 
 @register("l05_options", _with("SELECT id, CASE WHEN id % 2 = 0 THEN 'LinkedIn' ELSE 'Original posting' END AS portal, '/company?name=' || replace(company, ' ', '%20') AS href FROM L"))
@@ -190,3 +239,97 @@ def v05(spark, sf):
 @register("j11_first_listing", _with("SELECT company, arg_min(id, pos) AS id FROM L GROUP BY company"))
 def j11(spark, sf):
     return link_ops.first_in_group(listings(spark, sf), "company", "pos").select("company", "id")
+
+
+@register("a24_platform_kinds", "SELECT nth, kind, names FROM (VALUES (1, 'general', 'b|a'), (3, 'tech', 'c')) t(nth, kind, names)")
+def a24(spark, sf):
+    platforms = spark.createDataFrame([("a", "general", 2), ("b", "general", 1), ("c", "tech", 0), ("d", "odd", 3)], "platform string, kind string, pos int")
+    return link_ops.by_kind(platforms, ["general", "government", "tech"]).select("nth", "kind", F.array_join("platforms", "|").alias("names"))
+
+
+@register("o12_best_matches", _with("""SELECT id, score FROM (SELECT id, pos, posted_at, CAST(floor(least(1.0, len(list_filter(w, lambda x: x IN ('Python', 'Leadership', 'AWS', 'PMP'))) / len(w) * 0.8 + CASE WHEN list_contains(tags, 'cloud engineer') THEN 0.2 ELSE 0 END::DOUBLE) * 100 + 0.5) AS INT) AS score
+ FROM (SELECT *, list_concat(list_concat(skills, tools), certifications) AS w FROM L WHERE country = 'CA')) WHERE score > 0 ORDER BY score DESC, posted_at DESC, pos LIMIT 40"""))
+def o12(spark, sf):
+    have, roles = F.array(*map(F.lit, ("Python", "Leadership", "AWS", "PMP"))), F.array(F.lit("cloud engineer"))
+    score = resume.match_score(F.concat("skills", "tools", "certifications"), have, F.col("tags"), roles)["score"]
+    return resume.best_matches(listings(spark, sf), score).select("id", "score")
+
+
+@register("o13_tag_choice", _with("SELECT key, row_number() OVER (ORDER BY i NULLS LAST, c DESC, key) - 1 AS nth FROM (SELECT coalesce(s, key) AS key, i, c FROM (SELECT s AS key, count(*) AS c FROM (SELECT unnest(skills) AS s FROM L) GROUP BY s) FULL JOIN (VALUES ('SIEM', 0), ('Rust', 1)) p(s, i) ON s = key) QUALIFY nth < 6"))
+def o13(spark, sf):
+    facet = listings(spark, sf).select(F.explode("skills").alias("key")).groupBy("key").agg(F.count("*").alias("count"))
+    return stats.tag_choice(facet, ["SIEM", "Rust", "SIEM"], 6)
+
+
+@register("o16_region_options", "SELECT code, CASE WHEN n > 0 THEN name || ' (' || n || ')' ELSE name END AS label, row_number() OVER (ORDER BY name) - 1 AS nth FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in lx.PROVINCES.items()) + ") t(code, name), LATERAL (SELECT count(*) AS n FROM orders WHERE substr(o_orderpriority, 1, 1) = CASE code WHEN 'ON' THEN '1' WHEN 'QC' THEN '2' ELSE 'x' END)")
+def o16(spark, sf):
+    (orders,) = tables(spark, sf, "orders")
+    first = F.substring("o_orderpriority", 1, 1)
+    facet = orders.select(F.when(first == "1", "ON").when(first == "2", "QC").alias("key")).filter("key is not null").groupBy("key").agg(F.count("*").alias("count"))
+    return stats.region_options(spark, "CA", facet)
+
+
+@register("a19_fetched", _with("SELECT count(DISTINCT id % 1000) AS fetched FROM L"))
+def a19(spark, sf):
+    return stats.fetched(listings(spark, sf).select((F.col("id") % 1000).alias("id")))
+
+
+@register("a25_peak_day", "SELECT total, strftime(d, '%Y-%m-%d') AS peak_day, c AS peak FROM (SELECT d, c, sum(c) OVER () AS total, row_number() OVER (ORDER BY c DESC, d) AS rn FROM (SELECT date_trunc('day', ts) AS d, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-02-01' AND ts > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1)) WHERE rn = 1")
+def a25(spark, sf):
+    (events,) = tables(spark, sf, "events")
+    keywords = spark.createDataFrame([("x", 3, 1)], "keyword string, jobs_now long, canada long")
+    return stats.derived(stats.per_day(events, "2024-01-31 00:00:00", at="ts"), keywords)[0]
+
+
+@register("j06_by_id", _with("SELECT id, id % 4 = 0 AS live FROM L WHERE (id % 4 = 0 OR id % 6 = 0) AND id % 3 = 0"))
+def j06(spark, sf):
+    rows = listings(spark, sf).select("id")
+    return tracker.by_id(rows.filter("id % 4 = 0").withColumn("live", F.lit(True)), rows.filter("id % 6 = 0").withColumn("live", F.lit(False)), rows.filter("id % 3 = 0"))
+
+
+@register("w08_misses", "SELECT user_id AS address FROM events WHERE ts <= TIMESTAMP '2024-01-10' GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-10' - INTERVAL 20 HOUR ORDER BY max(ts) DESC, user_id LIMIT 50")
+def w08(spark, sf):
+    (events,) = tables(spark, sf, "events")
+    misses = events.filter("ts <= timestamp_ntz'2024-01-10'").select(F.col("user_id").alias("address"), F.col("ts").alias("missed_at"))
+    return schedule.remembered_misses(misses, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), 20, 50).select("address")
+
+
+@register("k03_stats", _with(f"""SELECT country, list, key, count FROM (SELECT *, row_number() OVER (PARTITION BY country, list ORDER BY count DESC, fp, key) AS rn FROM (SELECT country, list, key, count(*) AS count, min(pos) AS fp FROM (SELECT c AS country, list, key, pos FROM (
+SELECT country, pos, 'industry' AS list, industry AS key FROM L UNION ALL SELECT country, pos, 'skills', unnest(skills) FROM L UNION ALL SELECT country, pos, 'tools', unnest(tools) FROM L UNION ALL SELECT country, pos, 'source', source FROM L), LATERAL (SELECT unnest([country, NULL]) AS c)) GROUP BY ALL)) WHERE rn <= CASE list WHEN 'industry' THEN 12 WHEN 'skills' THEN 8 ELSE 10 END"""))
+def k03(spark, sf):
+    return files.stats_snapshot(listings(spark, sf), now())[1].filter("list in ('industry', 'skills', 'tools', 'source')").drop("nth")
+
+
+@register("k06_totals", _with("SELECT count(*) AS jobs, count(*) FILTER (country = 'CA') AS canada, count(*) FILTER (id % 5 = 0) AS fetched_this_run FROM L"))
+def k06(spark, sf):
+    rows = listings(spark, sf)
+    return files.coverage_totals(rows, rows.filter("id % 5 = 0"))
+
+
+@register("k08_summary", _with("""SELECT line FROM (SELECT printf('**%d** jobs live (%d Canada, %d USA). %d fetched this run.', count(*), count(*) FILTER (country = 'CA'), count(*) FILTER (country <> 'CA'), count(*)) AS line FROM L
+UNION ALL SELECT printf('| %s | %d | ok |', source, count(*)) FROM L GROUP BY source UNION ALL SELECT printf('| %s | %d | %d | 0 | ok |', t, count(*), count(*) FILTER (country = 'CA')) FROM (SELECT unnest(tags) AS t, country FROM L) GROUP BY t
+UNION ALL SELECT unnest(['| Source | Jobs this run | Status |', '|---|---|---|', '| Keyword | Jobs on site | Canada | Searches | Status |', '|---|---|---|---|---|']))"""))
+def k08(spark, sf):
+    rows = listings(spark, sf)
+    sources = rows.groupBy("source").agg(F.count("*").alias("count"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    kw = rows.select(F.explode("tags").alias("keyword")).distinct()
+    coverage = stats.keyword_coverage(kw, rows, spark.createDataFrame([], "keyword string, calls long, fetched long"), thin=0)
+    return files.run_summary(files.coverage_totals(rows, rows), sources, coverage).select("line")
+
+
+@register("s15_discovery", _with(f"""SELECT company, board, slug FROM (SELECT company, board, slug, row_number() OVER (PARTITION BY company, board ORDER BY nth) AS rn FROM (
+SELECT company, unnest([replace(a, ' ', ''), replace(a, ' ', '-'), replace(b, ' ', ''), replace(b, ' ', '-')]) AS slug, unnest([0, 1, 2, 3]) AS nth FROM (SELECT DISTINCT company, {v.norm_sql('company')} AS a, {v.company_sql('company')} AS b FROM L WHERE regexp_matches(company, '^Acme [0-9]+'))) c
+JOIN (SELECT DISTINCT 'acme-' || (o_custkey % 400) AS slug, CASE o_custkey % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END AS board FROM orders WHERE o_custkey % 3 <> 0) USING (slug)) WHERE rn = 1"""))
+def s15(spark, sf):
+    (orders,) = tables(spark, sf, "orders")
+    k = F.col("o_custkey")
+    answers = orders.filter("o_custkey % 3 <> 0").select(
+        F.when(k % 2 == 0, "lever").otherwise("greenhouse").alias("board"), F.concat(F.lit("acme-"), (k % 400).cast("string")).alias("slug"),
+        F.when(k % 2 == 1, F.concat(F.lit("Acme "), (k % 400).cast("string"))).alias("name"), F.lit(3).alias("jobs")).distinct()
+    return schedule.discovered(listings(spark, sf).select("company").distinct(), answers).select("company", "board", "slug")
+
+
+@register("s17_demo", "SELECT i AS nth, CASE i % 5 WHEN 0 THEN 'ON' WHEN 1 THEN 'QC' WHEN 2 THEN 'BC' WHEN 3 THEN 'OK' ELSE 'ID' END AS region, 'Sample Works ' || (i % 6 + 1) AS company, CAST(floor((50000 + 1500 * i) * CASE WHEN i % 5 < 3 THEN 1 ELSE 1.37 END + 0.5) AS BIGINT) AS yearly FROM range(23) r(i)")
+def s17(spark, sf):
+    rows = parsers.demo(spark, now())
+    return rows.select(F.regexp_extract("apply_url", r"(\d+)$", 1).cast("long").alias("nth"), "region", "company", F.col("salary_yearly_cad").alias("yearly"))

@@ -84,11 +84,9 @@ def now() -> Column:
 
 # ---- the same text functions in SQL, for comparison
 
-_A, _P = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
 
 def norm_sql(x: str) -> str:
-    t = f"replace(translate(lower(coalesce({x}, '')), '{_A}', '{_P}'), '&', ' and ')"
+    t = f"replace(lower(strip_accents(coalesce({x}, ''))), '&', ' and ')"
     t = f"regexp_replace({t}, '\\([^\\n]*?\\)', ' ', 'g')"
     return f"trim(regexp_replace(regexp_replace({t}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_quote, xml_escape
+from ..operators import stats
 
 
 def keyword_file(lines: DataFrame) -> DataFrame:
@@ -53,6 +54,27 @@ def read_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+VERSION = 1
+
+
+def write_state(listings: DataFrame, path: str, demo: bool = False) -> None:
+    """What the next run merges with: the capped listings with seen_at; a run on sample rows leaves no state."""
+    if not demo:
+        listings.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The state of the last run; of another version, or where there is none, an empty one."""
+    return read_or(spark, path, f"{schema}, version int").filter(F.col("version") == VERSION).drop("version")
+
+
+def or_previous(stored: DataFrame, previous: DataFrame, in_scope: Column) -> DataFrame:
+    """If nothing at all was collected, what is live now stays; seen_at is then the time of that snapshot."""
+    if not stored.isEmpty():
+        return stored
+    return previous.filter(in_scope).withColumn("seen_at", F.coalesce("seen_at", "updated_at")).drop("updated_at")
+
+
 def write_snapshot(listings: DataFrame, folder: str) -> None:
     """Listings without their descriptions, and descriptions by the first two characters of the id."""
     listings.drop("description").write.mode("overwrite").parquet(f"{folder}/listings")
@@ -60,6 +82,38 @@ def write_snapshot(listings: DataFrame, folder: str) -> None:
     shards.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/descriptions")
 
 
+def stats_snapshot(listings: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The dashboard's numbers, and its lists, of each country and of all (country null): two passes for all three."""
+    either = listings.withColumn("country", F.explode(F.array("country", F.lit(None).cast("string"))))
+    return stats.totals(listings, now, ["country"]), stats.top_lists(either, ["country"])
+
+
+def write_reports(listings: DataFrame, keywords: DataFrame, sources: DataFrame, now: Column, folder: str) -> None:
+    """Small tables of the dashboard, the keywords and what each source and keyword gave, as JSON lines."""
+    numbers, lists = stats_snapshot(listings, now)
+    for name, df in {"stats": numbers, "lists": lists, "keywords": keywords, "coverage": sources}.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")  # some hundred rows each
+
+
+def coverage_totals(listings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Jobs, canada, fetched_this_run."""
+    return listings.agg(F.count("*").alias("jobs"), F.count_if(F.col("country") == "CA").alias("canada")).join(stats.fetched(fresh).withColumnRenamed("fetched", "fetched_this_run"))
+
+
+def run_summary(totals: DataFrame, sources: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Nth, line of a summary in Markdown: totals (jobs, canada, fetched_this_run), a table of sources (source, count, ok,
+    error) and one of keywords (keyword, jobs_now, canada, calls, thin). All are short."""
+    head = totals.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string("**%d** jobs live (%d Canada, %d USA). %d fetched this run.", "jobs", "canada", F.col("jobs") - F.col("canada"), "fetched_this_run").alias("line")),
+        *[F.struct(F.lit(p).alias("part"), F.lit("").alias("key"), F.lit(x).alias("line")) for p, x in ((1, "| Source | Jobs this run | Status |"), (2, "|---|---|---|"), (4, "| Keyword | Jobs on site | Canada | Searches | Status |"), (5, "|---|---|---|---|---|"))],
+    )).alias("x")).select("x.*")
+    status = F.concat(F.when(F.col("ok"), "ok").otherwise(""), F.coalesce(F.concat(F.lit(" ! "), F.col("error")), F.lit("")))
+    by_source = sources.select(F.lit(3).alias("part"), F.col("source").alias("key"), F.format_string("| %s | %d | %s |", "source", "count", status).alias("line"))
+    by_keyword = keywords.select(F.lit(6).alias("part"), F.col("keyword").alias("key"), F.format_string("| %s | %d | %d | %d | %s |", "keyword", "jobs_now", "canada", "calls", F.when(F.col("thin"), "thin").otherwise("ok")).alias("line"))
+    every = head.unionByName(by_source).unionByName(by_keyword)
+    return every.select((F.row_number().over(Window.orderBy("part", "key")) - 1).alias("nth"), "line")
+
+
 def description(spark: SparkSession, folder: str, id_: str) -> DataFrame:
     """A point lookup that reads one shard."""
     return spark.read.parquet(f"{folder}/descriptions").filter((F.col("shard") == id_[:2]) & (F.col("id") == id_)).select("id", "description")

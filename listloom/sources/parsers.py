@@ -3,12 +3,16 @@ be read gives no rows. Reading from the network is the caller's task: any source
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, text
+from ..operators import identity
+from ..operators.identity import OPTION
 
-LISTING = ["title", "company", "city", "region", "country", "is_remote", "work_type", "employment_type", "industry", "description", "snippet", "apply_url", "posted_at", "salary", "source"]
+LISTING = ["title", "company", "city", "region", "country", "is_remote", "work_type", "employment_type", "industry", "description", "snippet", "apply_url", "posted_at", "salary", "source", "apply_options"]
 
 
 def _rows(raw: DataFrame, schema: str, items: str) -> DataFrame:
@@ -20,7 +24,7 @@ def _salary(low: Column, high: Column, currency: Column, period: Column) -> Colu
     return F.when(low.isNotNull() | high.isNotNull(), F.struct(low.cast("double").alias("min"), high.cast("double").alias("max"), currency.alias("currency"), period.alias("period")))
 
 
-def _listing(df: DataFrame, source: str, now: Column, *, title, company, place, description, url, posted, salary=None, remote=None, hint=None, kind=None, employment=None) -> DataFrame:
+def _listing(df: DataFrame, source: str, now: Column, *, title, company, place, description, url, posted, salary=None, remote=None, hint=None, employment=None, options=None) -> DataFrame:
     """The common projection; rows without title or link go."""
     remote = F.coalesce(remote, F.lit(False)) if remote is not None else F.lit(False)
     body = F.concat_ws(" ", title, description)
@@ -31,6 +35,7 @@ def _listing(df: DataFrame, source: str, now: Column, *, title, company, place,
         (classify.employment_type(body) if employment is None else F.coalesce(employment, classify.employment_type(body))).alias("employment_type"),
         classify.industry(title, hint).alias("industry"), parse.html_to_text(description).alias("description"), text.snippet(description).alias("snippet"), url.alias("apply_url"),
         F.coalesce(posted, now).alias("posted_at"), (none if salary is None else salary).alias("salary"), F.lit(source).alias("source"),
+        (F.lit(None).cast(f"array<{OPTION}>") if options is None else identity.merge_options(options)).alias("apply_options"),
     )
     return out.filter("title <> '' and apply_url is not null")
 
@@ -67,15 +72,20 @@ def jooble(raw: DataFrame, country: str, now: Column) -> DataFrame:
 
 def jsearch(raw: DataFrame, now: Column) -> DataFrame:
     """The list stands at data, data.jobs or jobs."""
-    item = "array<struct<job_title:string,employer_name:string,job_city:string,job_state:string,job_country:string,job_apply_link:string,job_description:string,job_is_remote:boolean,job_posted_at_datetime_utc:string,job_publisher:string,job_min_salary:double,job_max_salary:double,job_salary_period:string>>"
+    item = "array<struct<job_title:string,employer_name:string,job_city:string,job_state:string,job_country:string,job_apply_link:string,job_description:string,job_is_remote:boolean,job_posted_at_datetime_utc:string,job_publisher:string,job_apply_is_direct:boolean,apply_options:array<struct<publisher:string,apply_link:string,is_direct:boolean>>,job_min_salary:double,job_max_salary:double,job_salary_period:string>>"
     body = F.col("body")
     found = F.coalesce(F.from_json(F.get_json_object(body, "$.data.jobs"), item), F.from_json(F.get_json_object(body, "$.jobs"), item), F.from_json(F.get_json_object(body, "$.data"), item))
     j = raw.select(F.explode(found).alias("j")).select("j.*")
     country = F.when(F.upper("job_country").isin("CA", "CANADA"), "CA").otherwise("US")
     place = F.struct(F.coalesce("job_city", F.lit("")).alias("city"), parse.region_code(F.col("job_state"), country).alias("region"), country.alias("country"))
     pay = _salary(F.col("job_min_salary"), F.col("job_max_salary"), F.when(country == "CA", "CAD").otherwise("USD"), F.when(F.upper("job_salary_period") == "HOUR", "hourly").otherwise("yearly"))
+    first = F.array(F.struct(F.col("job_publisher").alias("publisher"), F.col("job_apply_link").alias("apply_link"), F.col("job_apply_is_direct").alias("is_direct")))
+    places = F.filter(F.concat(first, F.coalesce("apply_options", F.array().cast("array<struct<publisher:string,apply_link:string,is_direct:boolean>>"))), lambda o: o["apply_link"].isNotNull())
+    options = F.transform(places, lambda o: F.struct(
+        classify.publisher(o["publisher"], o["apply_link"], o["is_direct"]).alias("portal"), o["apply_link"].alias("url"), F.coalesce(o["is_direct"], classify.portal(o["apply_link"])["direct"]).alias("direct")
+    ))
     return _listing(j, "jsearch", now, title=F.col("job_title"), company=F.col("employer_name"), place=place, description=F.col("job_description"), url=F.col("job_apply_link"),
-                    posted=F.try_to_timestamp("job_posted_at_datetime_utc"), salary=pay, remote=F.col("job_is_remote"))
+                    posted=F.try_to_timestamp("job_posted_at_datetime_utc"), salary=pay, remote=F.col("job_is_remote"), options=options)
 
 
 def usajobs(raw: DataFrame, now: Column) -> DataFrame:
@@ -149,13 +159,46 @@ def feed(raw: DataFrame, now: Column) -> DataFrame:
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
-    """S02, U01."""
+    """U01."""
     out = None
     for df in parts.values():
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def fan_out(branches: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str | None]]:
+    """The rows of all branches that could be read (country by country, say), and what went wrong with the others; an
+    error only if all failed. A branch is a function that reads and returns a frame."""
+    parts, failed = {}, {}
+    for name, read in branches.items():
+        try:
+            parts[name] = read()
+        except Exception as e:  # whatever a source's reader raises
+            failed[name] = e
+    if failed and not parts:
+        raise next(iter(failed.values()))
+    return union_sources(parts), {n: str(failed[n]) if n in failed else None for n in branches}
+
+
+def demo(spark: SparkSession, now: Column, rows: int = 23) -> DataFrame:
+    """Finalized sample listings, always the same ones: trades by place, one a day back from now."""
+    trades = ["Security Analyst", "Nurse", "Cook", "Electrician", "Accountant", "Driver", "Teacher", "Developer"]
+    places = [("Guelph", "ON", "CA"), ("Laval", "QC", "CA"), ("Kelowna", "BC", "CA"), ("Tulsa", "OK", "US"), ("Boise", "ID", "US")]
+    made = spark.range(rows).select(
+        F.get(F.array(*map(F.lit, trades)), (F.col("id") % len(trades)).cast("int")).alias("title"), F.concat(F.lit("Sample Works "), (F.col("id") % 6 + 1).cast("string")).alias("company"),
+        F.get(F.array(*[F.struct(F.lit(a).alias("city"), F.lit(b).alias("region"), F.lit(c).alias("country")) for a, b, c in places]), (F.col("id") % len(places)).cast("int")).alias("p"), "id",
+    )
+    pay = F.struct((40_000 + 1500.0 * F.col("id")).alias("min"), (50_000 + 1500.0 * F.col("id")).alias("max"), F.when(F.col("p.country") == "CA", "CAD").otherwise("USD").alias("currency"), F.lit("yearly").alias("period"))
+    url = F.concat(F.lit("https://demo.example/"), F.col("id").cast("string"))
+    text_ = F.concat(F.lit("Sample listing: "), F.lower("title"), F.lit(" wanted in "), F.col("p.city"), F.lit(". 2 years of experience."))
+    out = made.select(
+        "title", "company", "p.city", "p.region", "p.country", F.lit(False).alias("is_remote"), F.lit("onsite").alias("work_type"), F.lit("full-time").alias("employment_type"),
+        classify.industry(F.col("title")).alias("industry"), text_.alias("description"), text_.alias("snippet"), url.alias("apply_url"), (now - F.make_dt_interval(F.col("id").cast("int"))).alias("posted_at"), pay.alias("salary"),
+        F.lit("deep_link").alias("source"), F.array(F.struct(F.lit("Company site").alias("portal"), url.alias("url"), F.lit(True).alias("direct"))).alias("apply_options"),
+    )
+    return identity.finalize(out)
+
+
 def registry(sources: DataFrame, status: DataFrame) -> DataFrame:
     """Metadata of all sources with what their run said."""
     return sources.join(status, "name", "left").withColumn("enabled", F.coalesce("ok", F.lit(False)))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from listloom.operators import identity, links, query, resume, schedule, search
@@ -28,6 +29,60 @@ def test_dedupe_is_the_fold(spark):
         assert {c: got[k][c] for c in want} == want
 
 
+def options_by_hand(lists):
+    links, portals = set(), {}
+    for o in (o for options in lists for o in options):
+        link = o[1].split("?")[0].split("#")[0].rstrip("/").lower()
+        if not o[1].lower().startswith("http") or link in links:
+            continue
+        links.add(link)
+        if o[0].lower() not in portals or (o[2] and not portals[o[0].lower()][2]):
+            portals[o[0].lower()] = o
+    return ([o for o in portals.values() if o[2]] + [o for o in portals.values() if not o[2]])[:12]
+
+
+def test_dedupe_merges_options(spark):
+    """Those that took over, the last of them first, then the others in order; a key that a third of all rows share too."""
+    random.seed(6)
+    rows = []
+    for i in range(1500):
+        options = [(f"P{random.randrange(16)}", random.choice(["https", "HTTP", "ftp"]) + f"://h/{random.randrange(40)}{random.choice(['', '?a', '/'])}", random.random() < 0.3) for _ in range(random.randrange(3))]
+        rows.append((0 if random.random() < 0.3 else random.randrange(100), i, random.randrange(5), f"https://own/{i}", options))
+    frame = spark.createDataFrame(rows, f"k int, ord int, prio int, url string, options array<{identity.OPTION}>")
+    got = {r["k"]: r for r in identity.dedupe(frame, "k", "ord", "prio", [], [], [], options="options", link="url").collect()}
+    for k in {r[0] for r in rows}:
+        late, early = [], []
+        for r in (r for r in rows if r[0] == k):
+            (early if not early or r[2] > max(x[2] for x in early) else late).append(r)
+        want = options_by_hand([r[4] for r in [*early[::-1], *late]])
+        assert [tuple(o) for o in got[k]["options"]] == want
+        assert got[k]["url"] == (want[0][1] if want else early[-1][3])
+
+
+def test_earlier_rows_are_keyed_anew(spark):
+    schema = "id string, title string, company string, city string, region string, source string, pos int, prio int, salary int, description string"
+    key = spark.range(1).select(identity.fingerprint(F.lit("Cook"), F.lit("Acme"), F.lit("Guelph"), F.lit("ON")).alias("k")).first()["k"]
+    fresh = spark.createDataFrame([(key, "Cook", "Acme", "Guelph", "ON", "adzuna", 0, 4, None, "short")], schema)
+    old = spark.createDataFrame([("old", "cook", "ACME Inc.", "Guelph", "ON", "usajobs", 0, 6, 9, "much longer"), ("gone", "Nurse", "B", "", "", "lever", 1, 7, None, None), ("kept", "Nurse", "B", "", "", "adzuna", 2, 4, None, None)], schema)
+    old = old.withColumn("seen_at", F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    r = {x["title"]: x for x in identity.merge_previous(fresh, old, now, board_hours=6, best_or_other=["salary"], longest=["description"]).collect()}
+    assert set(r) == {"cook", "Nurse"}
+    assert (r["cook"]["id"], r["cook"]["fresh"], r["cook"]["salary"], r["cook"]["description"], r["cook"]["seen_at"].day) == (key, True, 9, "much longer", 2)
+    assert (r["Nurse"]["source"], r["Nurse"]["fresh"], r["Nurse"]["seen_at"].hour) == ("adzuna", False, 12)
+
+
+def test_terms_of_a_very_long_text(spark):
+    rows = resume.term_counts(spark.createDataFrame([(1, "night shift, " * 100_000)], "id int, t string"), "id", "t", []).collect()
+    assert {r["term"]: r["count"] for r in rows} == {"night": 100_000, "shift": 100_000, "night shift": 100_000}
+
+
+def test_title_variants(spark):
+    m = resume.title_match(F.col("t"), F.lit("an sre of ten years"), aliases={"site reliability engineer": ["SRE"]})
+    r = spark.createDataFrame([("Senior Site Reliability Engineer",), ("Cook",), ("",)], "t string").select(m.alias("m")).collect()
+    assert [x["m"]["ok"] for x in r] == [True, False, False]
+
+
 def test_options(spark):
     o = [("LinkedIn", "https://l.com/1?x", False), ("linkedin", "https://l.com/2", True), ("Other", "https://l.com/1/", True), ("Bad", "ftp://x", True), ("Z", "https://z.com", False)]
     got = spark.createDataFrame([(o,)], f"o array<{identity.OPTION}>").select(identity.merge_options(F.col("o")).alias("m")).first()["m"]
@@ -91,6 +146,23 @@ def test_payloads(spark):
     rss = "<rss><item><title>Cook - Acme (ON)</title><link>https://j/1;jsessionid=9?x=1</link><description><![CDATA[Employer: Diner\nSalary: $20 hour]]></description></item></rss>"
     r = parsers.feed(body(rss), now).first()
     assert (r["title"], r["company"], r["apply_url"], r["salary"]["period"]) == ("Cook", "Diner", "https://j/1?x=1", "hourly")
+    r = parsers.jsearch(body('{"data":[{"job_title":"Dev","job_apply_link":"https://www.indeed.com/1","job_publisher":"Indeed","apply_options":[{"publisher":"Acme","apply_link":"https://acme.example/1","is_direct":true}]}]}'), now).first()
+    assert [tuple(o) for o in r["apply_options"]] == [("Company site (Acme)", "https://acme.example/1", True), ("Indeed", "https://www.indeed.com/1", False)]
+    r = parsers.board(body('[{"text":"Nurse","categories":{"location":"Toronto, ON"},"hostedUrl":"https://l/1","createdAt":1700000000000,"descriptionPlain":"hi","workplaceType":"remote"}]'), "lever", "Acme", now).first()
+    assert (r["title"], r["region"], r["is_remote"], r["apply_url"], r["posted_at"].year) == ("Nurse", "ON", True, "https://l/1", 2023)
+    r = parsers.board(body('{"jobs":[{"title":"Cook","location":"Austin, TX","applyUrl":"https://a/1","publishedAt":"2024-02-03T00:00:00Z","descriptionHtml":"<p>x</p>","isRemote":false}]}'), "ashby", "Acme", now).first()
+    assert (r["city"], r["region"], r["description"], r["posted_at"].month) == ("Austin", "TX", "x", 2)
+    r = parsers.board(body('{"content":[{"name":"Clerk","ref":"https://s/1","releasedDate":"2024-02-03T00:00:00Z","location":{"city":"Guelph","region":"ON","country":"ca","remote":false}},{"name":"Far","ref":"https://s/2","location":{"city":"Paris","country":"fr"}}]}'), "smartrecruiters", "Acme", now).collect()
+    assert [(x["title"], x["region"], x["country"]) for x in r] == [("Clerk", "ON", "CA")]
+    r = parsers.board(body('{"jobs":[{"title":"Driver","telecommuting":true,"application_url":"https://w/1","published_on":"2024-02-03","locations":[{"city":"Laval","region":"Quebec","countryCode":"CA"}]}]}'), "workable", "Acme", now).first()
+    assert (r["city"], r["region"], r["is_remote"]) == ("Laval", "QC", True)
+    r = parsers.board(body('{"offers":[{"title":"Welder","city":"Boise","state_code":"ID","country_code":"US","careers_url":"https://r/1","published_at":"2024-02-03 00:00:00","company_name":"A","description":"d","requirements":"q"}]}'), "recruitee", "Acme", now).first()
+    assert (r["city"], r["region"], r["country"], r["posted_at"].day) == ("Boise", "ID", "US", 3)
+    item = '{"MatchedObjectDescriptor":{"PositionTitle":"Ranger","OrganizationName":"Parks","PositionURI":"https://u/1","PublicationStartDate":"2024-02-03","PositionLocation":[{"LocationName":"Boise, Idaho"}],"PositionRemuneration":[{"MinimumRange":"20","MaximumRange":"30","RateIntervalCode":"PH"}],"UserArea":{"Details":{"JobSummary":"walk"}}}}'
+    r = parsers.usajobs(body('{"SearchResult":{"SearchResultItems":[' + item + "]}}"), now).first()
+    assert (r["region"], r["salary"]["period"], r["salary"]["max"], r["apply_url"]) == ("ID", "hourly", 30, "https://u/1")
+    r = parsers.jooble(body('{"jobs":[{"title":"<b>Cook</b>","location":"Guelph, ON","snippet":"hot","salary":"$20 - $25 per hour","link":"https://j/1","company":"Diner"}]}'), "CA", now).first()
+    assert (r["title"], r["region"], r["salary"]["min"], r["company"]) == ("Cook", "ON", 20, "Diner")
     for source in ("lever", "ashby", "smartrecruiters", "workable", "recruitee"):
         assert parsers.board(body("[]"), source, "A", now).count() == 0
     assert parsers.usajobs(body("{}"), now).count() == parsers.jooble(body("{}"), "CA", now).count() == 0
@@ -107,7 +179,53 @@ def test_files(spark, tmp_path):
     assert files.env("A=1\nB='x'", {"A": "0"}) == {"A": "0", "B": "x"}
 
 
+def test_fan_out(spark):
+    rows = spark.range(2).toDF("id")
+
+    def fails():
+        raise OSError("away")
+
+    df, said = parsers.fan_out({"CA": lambda: rows, "US": fails})
+    assert df.count() == 2 and said == {"CA": None, "US": "away"}
+    with pytest.raises(OSError, match="away"):
+        parsers.fan_out({"US": fails})
+
+
+def test_state_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01")], "id string, seen_at string")
+    files.write_state(rows, f"{tmp_path}/s")
+    assert files.read_state(spark, f"{tmp_path}/s", "id string, seen_at string").count() == 1
+    rows.withColumn("version", F.lit(2)).write.parquet(f"{tmp_path}/t")
+    files.write_state(rows, f"{tmp_path}/d", demo=True)
+    assert files.read_state(spark, f"{tmp_path}/t", "id string, seen_at string").count() == files.read_state(spark, f"{tmp_path}/d", "id string, seen_at string").count() == 0
+    previous = spark.createDataFrame([("b", None, "2023-01-01", "CA")], "id string, seen_at string, updated_at string, country string")
+    live = files.or_previous(rows.limit(0), previous, F.col("country") == "CA").collect()
+    assert [(r["id"], r["seen_at"]) for r in live] == [("b", "2023-01-01")] and files.or_previous(rows, previous, F.lit(True)).first()["id"] == "a"
+    from listloom.plans import views
+
+    listings = views.listings(spark, "/root/testdata/sf0.001")
+    keywords = spark.createDataFrame([("soc analyst",)], "keyword string")
+    files.write_reports(listings, keywords, listings.groupBy("source").count(), views.now(), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/stats").count() == 3 and spark.read.json(f"{tmp_path}/keywords").first()["keyword"] == "soc analyst"
+
+
+def test_tags_are_projected(spark):
+    rows = spark.createDataFrame([("Night Nurse", None, None, "s"), ("Cook", "x", "y", "t")], "title string, snippet string, description string, seen_at string")
+    r = identity.tagged(rows, ["registered nurse"], {"registered nurse": ["nurse"]}).orderBy("title").collect()
+    assert [(x["tags"], x["seen_at"]) for x in r] == [(None, "t"), (["registered nurse"], "s")]
+
+
+def test_discovery(spark):
+    companies = spark.createDataFrame([("Acme Robotics Inc.",)], "company string")
+    answers = spark.createDataFrame([("lever", "acme", None, 2), ("lever", "acme-robotics", None, 1), ("greenhouse", "acmerobotics", "Someone Else", 5), ("ashby", "acme", None, 0)], "board string, slug string, name string, jobs int")
+    r = schedule.discovered(companies, answers).collect()
+    assert [(x["board"], x["slug"], x["name"]) for x in r] == [("lever", "acme", "Acme Robotics Inc.")]
+    misses = spark.createDataFrame([("lever:acme",)], "address string")
+    assert [x["slug"] for x in schedule.discovered(companies, answers, misses).collect()] == ["acme-robotics"]
+
+
 def test_links(spark):
-    searches = spark.createDataFrame([(1, "soc analyst", "CA", "", "Ontario", 7)], "search_id int, q string, country string, city string, region_name string, days int")
-    platforms = spark.createDataFrame([("P", "CA", "https://p/?q={q}&l={where}&d={days}", 0), ("N", "CA", None, 1), ("U", "US", "https://u", 2)], "platform string, country string, template string, pos int")
-    assert [r["url"] for r in links.platform_links(searches, platforms).collect()] == ["https://p/?q=soc%20analyst&l=Ontario&d=7"]
+    searches = spark.createDataFrame([(1, "soc analyst", "CA", "", "ON", 7), (2, "", "ALL", "Toronto", "ON", None)], "search_id int, q string, country string, city string, region string, days int")
+    platforms = spark.createDataFrame([("P", "CA", "https://p/?q={q}&l={where}", "&d={days}", 0), ("N", "CA", None, None, 1), ("U", "US", "https://u/{where}", None, 2)], "platform string, country string, template string, days_part string, pos int")
+    r = links.platform_links(searches, platforms).orderBy("search_id", "ord").collect()
+    assert [x["url"] for x in r] == ["https://p/?q=soc%20analyst&l=Ontario&d=7", "https://p/?q=&l=Toronto%2C%20Ontario", "https://u/United%20States"]

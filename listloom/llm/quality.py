@@ -6,8 +6,9 @@ punctuation, length, repetition), a token of its own with a vector of its own. A
 of its shapes' vectors. A two-layer network is fitted in numpy on at most ``MAX_LABELLED`` labelled rows (those of the
 smallest id hash), a part of which is set aside to fit the temperature of its probabilities. All documents are scored.
 
-What a task holds and what is broadcast is VOCABULARY x DIM floats (4 MB), whatever the corpus. Tasks' sums are cut into
-``SLICES`` slices and added slice by slice, in a stream, so no task gathers them all.
+What a task holds and what is broadcast is VOCABULARY x DIM floats (4 MB; 8 while it sums), whatever the corpus; texts are
+looked at in blocks of BLOCK_BYTES. Tasks' sums are cut into ``SLICES`` slices and added slice by slice, in a stream, so no
+task gathers them all.
 
 Defined results: null and blank texts have a zero vector and get the network's score for it; a null id counts as the text
 "" for the split; of repeated labels of an id the smallest counts; without labels of both kinds every score is the share
@@ -29,7 +30,7 @@ SHAPES = 1024
 SLICES = 64
 MAX_LABELLED = 20_000
 HIDDEN = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 
 _CLASS = np.zeros((4, 256), dtype=np.int32)  # upper, lower or other letter, digit, symbol
 _CLASS[0, 65:91] = 1
@@ -74,17 +75,13 @@ def _sum_context(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, first
     inner = first[1:-1][first[1:-1] < n]
     np.add.at(doc, inner, 1)
     doc = np.cumsum(doc)
-    for back in range(1, WINDOW + 1):
-        if n <= back:
-            break
+    pairs = [(words, shapes), (shapes, words)]
+    for back in range(1, min(WINDOW, n - 1) + 1):
         same = doc[back:] == doc[:-back]
-        for a, b in ((words[back:], words[:-back]), (words[:-back], words[back:]), (shapes[back:], shapes[:-back])):
-            a, b = a[same], b[same]
-            for k in range(NONZERO):
-                total += np.bincount(a * DIM + places[k][b], weights=signs[k][b], minlength=len(total))
+        pairs += [(a[same], b[same]) for a, b in ((words[back:], words[:-back]), (words[:-back], words[back:]), (shapes[back:], shapes[:-back]))]
+    at, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
     for k in range(NONZERO):
-        total += np.bincount(words * DIM + places[k][shapes], weights=signs[k][shapes], minlength=len(total))
-        total += np.bincount(shapes * DIM + places[k][words], weights=signs[k][words], minlength=len(total))
+        total += np.bincount(at * DIM + places[k][near], weights=signs[k][near], minlength=len(total))
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -101,14 +98,14 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                 if len(words):
                     _sum_context(total, words, shapes, first, index)
         parts = total.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), dtype=np.float64)
-                sums[k] = sums[k] + x if k in sums else x.copy()
+                x = np.frombuffer(x.as_buffer(), dtype=np.float32)
+                sums[k] = sums[k] + x if k in sums else x.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
 
     schema = "slice int, sums binary"

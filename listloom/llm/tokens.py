@@ -13,8 +13,8 @@ import re
 from array import array
 
 
-#: Distinct pieces kept by a worker, in two generations: bounds its memory (about 150 bytes each).
-KEPT = 1_200_000
+#: Distinct pieces kept by a worker, in two generations: bounds its memory (about 200 bytes each).
+KEPT = 600_000
 #: On these the engines differ about white space; on the others they agree.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _SPACES = re.compile("[\t\x0b\x0c\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00\x1c-\x1f\x85\u180e\u200b\ufeff]")

@@ -3,19 +3,18 @@
 The text's bytes (A-Z lower-cased, then an end byte) are predicted bit by bit. Six predictors look up how often the next
 bit was 0 or 1 after the last 0 to 5 bytes and the bits of this byte so far, in hashed tables; their log odds are combined
 by weights gated by the longest context known and the bit's place; an adaptive probability map then refines the result.
-All of it is learnt from the training rows only, all of them:
+All of it is learnt from the training rows only, all of them, and all that is gathered grows with the corpus:
 
-1. every task counts its training texts' grams of six bytes and their words; Spark adds the counts (they grow with the
-   corpus and are only ever shuffled);
-2. the grams, dealt by their last two context bytes into REGIONS regions, fill the tables: a region's slots are its own,
-   so no tables are merged. The tables grow with the
-   grams up to a bound (105 MB), so they are broadcast;
+1. texts are cut into chunks of about CHUNK bytes; each chunk sends its distinct grams of six bytes and its distinct words,
+   with their counts in training rows, to the regions they belong to (a gram's by its last three context bytes);
+2. a region adds the counts of all chunks. The tables of orders 3 to 5 are its own, 16 or more slots for each of its
+   grams, and are made anew in whatever task needs them; only orders 0 to 2, whose contexts are 2^16 at most, are
+   shared by all (17 MB). Regions grow in number with the corpus, so no task or executor holds the model;
 3. the weights learn online, gram by gram in small batches: each is predicted from the counts without itself, as it would
-   be before it was seen, then the weights move. Regions start from the same weights and are averaged by mass, EPOCHS times; the
-   probability map is counted in the same way with the final weights.
-
-As a byte's probability depends on the gram alone, tasks keep the grams they have scored. The base score is exact: the
-commonest words' counts are broadcast (a bounded number), the other words of each text meet their counts in a join.
+   be before it was seen, then the weights move. Regions start from the same weights and are averaged by mass, EPOCHS
+   times; the probability map is counted in the same way with the final weights;
+4. a byte's probability depends on its gram alone, so regions answer each chunk with the probabilities of its grams and the
+   counts of its words, and the chunk's texts are scored with these.
 
 Defined results: a null text is empty and has its end to predict; a null id counts as the text "" for the split; repeated
 rows are scored alike, each for itself; without training rows every bit has probability 1/2 and the base score is 0 for
@@ -26,20 +25,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix64, ship, stored, table, text_bytes, word_hashes, word_spans
+from .common import LOWER, blocks, filesystem, mix64, new_folder, ship, stored, table, text_bytes, word_hashes, word_spans
 from .quality import held_out
 
 ORDER = 5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = 0x5EED  # stands for the end among word hashes
-REGIONS = 64
-MAX_SLOT_BITS = 17
-HEAD_WORDS = 200_000
-EMIT = 1 << 21
+GRAM, WORD = 0, 1
+#: Bytes of text that share one table of answers (a text is never cut), and bytes of corpus a region.
+CHUNK, REGION_BYTES, LEAST_REGIONS = 24 << 20, 64 << 20, 64
+#: Chunks whose counts are added in one task; those of more are added in two steps.
+CHUNKS_AT_ONCE = 1024
+MERGE_AT = 1 << 21
+LOW_BITS, SLOT_BITS = 21, 4  # slots of order 2, and of the higher orders for each gram of a region
 BUCKETS = 33  # of the probability map
 PRIOR = 0.3
 BATCH, RATE, EPOCHS = 512, 0.02, 3
@@ -82,73 +85,127 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return word_hashes(data, starts, ends).view(np.int64), first
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind (0 gram, 1 word), key, n over the texts of ``docs`` (text)."""
-    ship(docs.sparkSession)
+# ------------------------------------------------------------------- chunks and regions
 
-    def count(batches):
-        kept: dict[int, list] = {0: [], 1: []}
-        size = {0: 0, 1: 0}
 
-        def merged(kind):
-            values, weights = (np.concatenate(x) for x in zip(*kept[kind], strict=True))
-            kept[kind] = [counted(values, weights)]
-            size[kind] = len(kept[kind][0][0])
+def region_of(kind: int, keys: np.ndarray, regions: int) -> np.ndarray:
+    """Region of grams (all with the same last three context bytes share one) or of words."""
+    x = (keys >> 8) & 0xFFFFFF if kind == GRAM else keys
+    return (mix64(x.astype(U) + U(7)) % U(regions)).astype(np.int64)
 
-        def emit(kind):
-            if kept[kind]:
-                merged(kind)
-                values, weights = kept[kind].pop()
-                size[kind] = 0
-                for k in range(0, len(values), 100_000):
-                    v = values[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v), pa.array(weights[k : k + 100_000].astype(np.int64))], names=["kind", "key", "n"])
 
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            data = LOWER[data]
-            for a, b in blocks(offsets, 4 << 20):
-                part = offsets[a : b + 1] - offsets[a]
-                own = data[offsets[a] : offsets[b]]
-                words, _ = words_of(own, part)
-                for kind, (v, w) in ((0, counted(grams(own, part)[0])), (1, counted(np.append(words, np.full(b - a, END_WORD, dtype=np.int64))))):
-                    kept[kind].append((v, w))
-                    size[kind] += len(v)
-                    if size[kind] > EMIT:
-                        merged(kind)
-                        if size[kind] > EMIT // 2:
-                            yield from emit(kind)
-        for kind in (0, 1):
-            yield from emit(kind)
-
-    rows = docs.select("text").mapInArrow(count, "kind int, key long, n long")
-    return stored(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def lists(of: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
+    """A list for each run of equal ``of``."""
+    ends = np.r_[np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, kind))
 
 
-# ------------------------------------------------------------------- the model
+def chunked(docs: DataFrame, regions: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, text, train, p: their chunk), and what chunks ask of regions: kind, r, p, keys, n (how often in
+    training rows; 0: in others only). One pass writes both."""
+    kind_of_id = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind_of_id}, text string, train boolean, p long, kind int, r int, keys array<long>, n array<long>"
 
+    def cut(batches):
+        part, chunk, size = TaskContext.get().partitionId() << 24, 0, 0
+        kept: dict[int, list] = {GRAM: [], WORD: []}
+        arrow_id = None
 
-def region_of(context: np.ndarray) -> np.ndarray:
-    """Region of a context: all grams with the same last two context bytes share one."""
-    return (mix64((context & 0xFFFF).astype(U) + U(7)) >> U(58)).astype(np.int64)
+        def merged(kind):
+            values, weights = (np.concatenate(x) for x in zip(*kept[kind], strict=True))
+            kept[kind] = [counted(values, weights)]
 
+        def requests():
+            for kind in (GRAM, WORD):
+                if not kept[kind]:
+                    continue
+                merged(kind)
+                keys, n = kept[kind].pop()
+                r = region_of(kind, keys, regions)
+                order = np.argsort(r, kind="stable")
+                r, keys, n = r[order], keys[order], n[order].astype(np.int64)
+                first = r[np.r_[True, r[1:] != r[:-1]]]
+                m = len(first)
+                none = [pa.nulls(m, arrow_id), pa.nulls(m, pa.string()), pa.nulls(m, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(
+                    [*none, pa.array(np.full(m, part + chunk)), pa.array(np.full(m, kind, np.int32)), pa.array(first.astype(np.int32)), lists(r, keys, pa.int64()), lists(r, n, pa.int64())], names=NAMES
+                )
 
-def slot_bits(grams_: int) -> tuple[int, ...]:
-    """log2 of the slots of a region for orders 0 to 5: eight or more for each of its distinct grams, up to a bound (105 MB in all)."""
-    top = int(min(MAX_SLOT_BITS, max(10, np.ceil(np.log2(max(1, grams_) / REGIONS)) + 3)))
-    return (8, min(13, top), min(13, top), top, top, top)
+        for batch in batches:
+            arrow_id = batch.column("doc_id").type
+            m = batch.num_rows
+            none = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(m, part + chunk)), *none], names=NAMES)
+            train = batch.column("train")
+            for learn in (True, False):
+                texts = batch.column("text").filter(train if learn else pc.invert(train))
+                data, offsets = text_bytes(texts)
+                size += len(data)
+                data = LOWER[data]
+                for a, b in blocks(offsets, 4 << 20):
+                    part_offsets = offsets[a : b + 1] - offsets[a]
+                    own = data[offsets[a] : offsets[b]]
+                    words, _ = words_of(own, part_offsets)
+                    for kind, (v, n) in ((GRAM, counted(grams(own, part_offsets)[0])), (WORD, counted(np.append(words, np.full(b - a, END_WORD, dtype=np.int64))))):
+                        kept[kind].append((v, n if learn else np.zeros_like(n)))
+                        if sum(len(x) for x, _ in kept[kind]) > MERGE_AT and len(kept[kind]) > 4:
+                            merged(kind)
+            if size >= CHUNK:
+                yield from requests()
+                chunk, size = chunk + 1, 0
+        yield from requests()
+
+    path = new_folder(docs.sparkSession, "chunks")
+    docs.mapInArrow(cut, schema).write.option("compression", "zstd").parquet(path)
+    both = docs.sparkSession.read.schema(schema).parquet(path)
+    return both.filter("kind is null").select("doc_id", "text", "train", "p"), both.filter("kind is not null").select("kind", "r", "p", "keys", "n")
+
+
+NAMES = ["doc_id", "text", "train", "p", "kind", "r", "keys", "n"]
+
+
+def added(requests: DataFrame, *by: str) -> DataFrame:
+    """kind, r, keys, n (and the other columns ``by``): counts of the same kind and region, added."""
+    schema = ", ".join(f"{c} {k}" for c, k in requests.dtypes if c in by) + ", keys array<long>, n array<long>"
+
+    def add(batches):
+        now, kept, size = None, [], 0
+
+        def total():
+            return counted(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+        def row():
+            keys, n = total()
+            one = np.zeros(len(keys))
+            return pa.RecordBatch.from_arrays([*(pa.array([x], requests_types[c]) for c, x in zip(by, now, strict=True)), lists(one, keys, pa.int64()), lists(one, n, pa.int64())], names=[*by, "keys", "n"])
 
+        for batch in batches:
+            requests_types = {c: batch.column(c).type for c in by}
+            ids = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            for i, id_ in enumerate(ids):
+                if id_ != now:
+                    if kept:
+                        yield row()
+                    now, kept, size = id_, [], 0
+                kept.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("keys", "n")))
+                size += len(kept[-1][0])
+                if size > MERGE_AT and len(kept) > 8:
+                    kept = [total()]
+                    size = len(kept[0][0])
+        if kept:
+            yield row()
+
+    return requests.select(*by, "keys", "n").repartition(*by).sortWithinPartitions(*by).mapInArrow(add, schema)
+
+
+def model_of(requests: DataFrame, steps: int) -> DataFrame:
+    """kind, r, keys, n: the counts of each region over all chunks."""
+    if steps > 1:
+        requests = added(requests.withColumn("s", F.pmod("p", F.lit(steps)).cast("int")), "kind", "r", "s")
+    return stored(added(requests, "kind", "r"), "model")
 
-def slots(context: np.ndarray, node: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Slot in its region's table, for each order, of the bits so far (``node``) after a context."""
-    out = []
-    for order, bits in enumerate(sizes):
-        if order == 0:
-            out.append(node.astype(np.int64))
-        else:
-            h = (context & ((1 << 8 * order) - 1)).astype(U) * U(0x9E3779B97F4A7C15) + U(order)
-            out.append((mix64(h + node.astype(U) * U(0xC2B2AE3D27D4EB4F)) >> U(64 - bits)).astype(np.int64))
-    return out
+
+# ------------------------------------------------------------------- the model
 
 
 def bits_of(keys: np.ndarray):
@@ -158,32 +215,35 @@ def bits_of(keys: np.ndarray):
         yield place, (1 << place) | (byte >> (8 - place)), (byte >> (7 - place)) & 1
 
 
-class Tables:
-    """Counts of zeros and ones: for each order an array (region, slot, bit)."""
+def slot(order: int, context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of the bits so far (``node``) after a context: exact for orders 0 and 1, hashed beyond."""
+    if order == 0:
+        return node
+    if order == 1:
+        return (context & 0xFF) << 8 | node
+    h = (context & ((1 << 8 * order) - 1)).astype(U) * U(0x9E3779B97F4A7C15) + U(order)
+    return (mix64(h + node.astype(U) * U(0xC2B2AE3D27D4EB4F)) >> U(64 - bits)).astype(np.int64)
 
-    def __init__(self, arrays: list[np.ndarray], sizes: tuple[int, ...]):
-        self.arrays, self.sizes = arrays, sizes
 
-    def look(self, keys: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        context = keys >> 8
-        region = region_of(context)
-        return [a[region if len(a) > 1 else 0, s] for a, s in zip(self.arrays, slots(context, node, self.sizes), strict=True)]
+def filled(orders: range, keys: np.ndarray, n: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Counts of zeros and ones (slot, bit) of some orders, from grams and their counts."""
+    sizes = [{0: 8, 1: 16}.get(order, bits) for order in orders]
+    tables = [np.zeros(2 << b) for b in sizes]
+    for _, node, bit in bits_of(keys):
+        for t, order in zip(tables, orders, strict=True):
+            t += np.bincount(2 * slot(order, keys >> 8, node, bits) + bit, weights=n, minlength=len(t))
+    return [t.reshape(-1, 2).astype(np.float32) for t in tables]
 
 
-def fill(keys: np.ndarray, n: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """The tables of one region, from its grams and their counts."""
-    tables = [np.zeros((1 << bits) * 2) for bits in sizes]
-    for _, node, bit in bits_of(keys):
-        for t, s in zip(tables, slots(keys >> 8, node, sizes), strict=True):
-            t += np.bincount(2 * s + bit, weights=n, minlength=len(t))
-    return tables
+class Tables:
+    """The counts a region's grams meet: those of orders 0 to 2 of all regions, and its own of the higher ones."""
 
+    def __init__(self, low: list[np.ndarray], keys: np.ndarray, n: np.ndarray):
+        self.bits = int(max(10, np.ceil(np.log2(max(1, len(keys)))))) + SLOT_BITS
+        self.arrays = [*low, *filled(range(3, ORDER + 1), keys, n, self.bits)]
 
-def saturated(table_: np.ndarray) -> np.ndarray:
-    """Counts in 16 bits: a pair with a larger count is scaled down."""
-    pairs = table_.reshape(-1, 2)
-    top = pairs.max(axis=1, keepdims=True)
-    return np.where(top > 65535, np.floor(pairs * (65535 / np.maximum(top, 1))), pairs).astype(np.uint16)
+    def look(self, keys: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        return [a[slot(order, keys >> 8, node, LOW_BITS if order == 2 else self.bits)] for order, a in enumerate(self.arrays)]
 
 
 class Mixer:
@@ -246,63 +306,46 @@ def log10_bytes(tables: Tables, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(counts: DataFrame) -> tuple[Broadcast, Mixer]:
-    """Tables, shared with the executors, and mixer from the counts of the corpus."""
-    spark = counts.sparkSession
-    sizes = slot_bits(counts.filter("kind = 0").count())
-    by_context = counts.filter("kind = 0").select("key", "n", F.pmod(F.shiftright("key", 8).bitwiseAND(0xFFFF), 65536).cast("int").alias("c"))
-    regions = spark.createDataFrame([(int(c), int(r)) for c, r in enumerate(region_of(np.arange(65536)))], "c int, region int")
-    dealt = stored(by_context.join(F.broadcast(regions), "c").select("region", "key", "n"), "grams")
+def low_tables(model: DataFrame) -> list[np.ndarray]:
+    """Tables of orders 0 to 2 of the whole corpus: a number of contexts that doesn't grow."""
+    each = model.filter(F.col("kind") == GRAM).select(F.explode(F.arrays_zip("keys", "n")).alias("x"))
+    got = each.groupBy(F.col("x.keys").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("x.n").alias("n")).toArrow()
+    keys, n = (got.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+    return filled(range(3), keys, n, LOW_BITS)
 
-    def make(batches):
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            r, k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for own in np.unique(r):
-                some = r == own
-                new = fill(k[some], n[some], sizes)
-                sums[own] = [a + b for a, b in zip(sums[own], new, strict=True)] if own in sums else new
-        for own, ts in sums.items():
-            small = np.concatenate(ts[:1]).tobytes()
-            big = b"".join(saturated(t).tobytes() for t in ts[1:])
-            yield pa.RecordBatch.from_pydict({"region": pa.array([own], pa.int32()), "zero": [small], "tables": [big]})
-
-    arrays = [np.zeros((REGIONS, 1 << bits, 2), dtype=np.uint16) for bits in sizes]
-    zero = np.zeros(2 << sizes[0])
-    dealt = dealt.repartition(REGIONS, "region")
-    for row in dealt.mapInArrow(make, "region int, zero binary, tables binary").toLocalIterator():
-        zero += np.frombuffer(row["zero"])
-        at = 0
-        for a in arrays[1:]:
-            size = a[0].nbytes
-            a[row["region"]] = np.frombuffer(row["tables"], dtype=np.uint16, count=size // 2, offset=at).reshape(a[0].shape)
-            at += size
-    arrays[0] = saturated(zero)[None]
+
+def trained(model: DataFrame, low: Broadcast, regions: int) -> Mixer:
+    """The mixer, from the counts of all regions."""
+    own = model.filter(F.col("kind") == GRAM).select("r", "keys", "n").repartition(regions, "r")
     mixer = Mixer()
-    shared = spark.sparkContext.broadcast(Tables(arrays, sizes))
 
     def passes(start: Mixer, mapping: bool):
         def one(batches):
-            own = Mixer()
-            own.weights, own.by_node = start.weights.copy(), start.by_node.copy()
-            mass, weights = 0.0, np.zeros_like(own.map)
+            mass, made = 0.0, None
             for batch in batches:
-                _, keys, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                for k in range(0, len(keys), BATCH):
-                    part, m = keys[k : k + BATCH], n[k : k + BATCH].astype(np.float64)
-                    mass += m.sum()
-                    for place, node, bit in bits_of(part):
-                        x, gate = own.inputs(shared.value.look(part, node), bit)
-                        if mapping:
-                            at = np.rint((own.odds(x, gate, place, node) + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
-                            np.add.at(weights, (node, at, bit), m)
-                        else:
-                            own.learn(x, gate, place, node, bit, m, RATE)
+                for keys, n in zip(batch.column("keys"), batch.column("n"), strict=True):
+                    keys, n = (x.values.to_numpy(zero_copy_only=False) for x in (keys, n))
+                    keys, n = keys[n > 0], n[n > 0].astype(np.float64)
+                    if not len(keys):
+                        continue
+                    tables, here = Tables(low.value, keys, n), Mixer()
+                    here.weights, here.by_node = start.weights.copy(), start.by_node.copy()
+                    weights = np.zeros_like(here.map)
+                    for k in range(0, len(keys), BATCH):
+                        part, m = keys[k : k + BATCH], n[k : k + BATCH]
+                        for place, node, bit in bits_of(part):
+                            x, gate = here.inputs(tables.look(part, node), bit)
+                            if mapping:
+                                at = np.rint((here.odds(x, gate, place, node) + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
+                                np.add.at(weights, (node, at, bit), m)
+                            else:
+                                here.learn(x, gate, place, node, bit, m, RATE)
+                    new = weights.ravel() if mapping else np.concatenate([here.weights.ravel(), here.by_node.ravel()]) * n.sum()
+                    mass, made = mass + n.sum(), new if made is None else made + new
             if mass:
-                made = weights if mapping else np.concatenate([own.weights.ravel(), own.by_node.ravel()]) * mass
                 yield pa.RecordBatch.from_pydict({"mass": [mass], "made": [made.astype(np.float64).tobytes()]})
 
-        return dealt.mapInArrow(one, "mass double, made binary").collect()
+        return own.mapInArrow(one, "mass double, made binary").collect()  # a row a task, of one size
 
     for _ in range(EPOCHS):
         got = passes(mixer, False)
@@ -312,82 +355,123 @@ def train(counts: DataFrame) -> tuple[Broadcast, Mixer]:
             mixer.by_node = mean[mixer.weights.size :].reshape(mixer.by_node.shape).copy()
     for r in passes(mixer, True):
         mixer.map = mixer.map + np.frombuffer(r["made"]).reshape(mixer.map.shape)
-    return shared, mixer
+    return mixer
 
 
 # ------------------------------------------------------------------- scoring
 
 
+def answered(requests: DataFrame, model: DataFrame, low: Broadcast, mixer: Mixer, steps: int) -> DataFrame:
+    """p, kind, keys and their logp (grams) or n (words): the regions' answers to the chunks."""
+    shared = requests.sparkSession.sparkContext.broadcast(mixer)
+    steps_of = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
+
+    def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        keys, n = (np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy(zero_copy_only=False) for x in known.column(c))]) for c in ("keys", "n"))
+        keys, n = keys[n > 0], n[n > 0]
+        wanted = [x.values.to_numpy(zero_copy_only=False) for x in asked.column("keys")]
+        flat = np.concatenate([np.zeros(0, np.int64), *wanted])
+        offsets = pa.array(np.cumsum([0, *map(len, wanted)]), pa.int32())
+        distinct = np.unique(flat)
+        if kind == GRAM:
+            values = log10_bytes(Tables(low.value, keys, n.astype(np.float64)), shared.value, distinct)
+        else:
+            at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+            values = np.where(keys[at] == distinct, n[at], 0) if len(keys) else np.zeros(len(distinct))
+        values = pa.ListArray.from_arrays(offsets, pa.array(values[np.searchsorted(distinct, flat)].astype(np.float32 if kind == GRAM else np.int64)))
+        m = len(wanted)
+        return pa.table({
+            "p": asked.column("p"), "kind": pa.array([kind] * m, pa.int32()), "keys": asked.column("keys"),
+            "logp": values if kind == GRAM else pa.nulls(m, pa.list_(pa.float32())), "n": values if kind == WORD else pa.nulls(m, pa.list_(pa.int64())),
+        })
+
+    by = ("kind", "r", "s")
+    asked = requests.select("kind", "r", F.pmod("p", F.lit(steps)).cast("int").alias("s"), "p", "keys").groupBy(*by)
+    known = model.select("kind", "r", steps_of.alias("s"), "keys", "n").groupBy(*by)
+    return asked.cogroup(known).applyInArrow(answer, "p long, kind int, keys array<long>, logp array<float>, n array<long>")
+
+
+class Lookup:
+    """Values by key, for many keys at once; every key asked for is there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = int(max(1, np.ceil(np.log2(max(2, 2 * len(keys))))))
+        h = self._hash(keys)
+        order = np.argsort(h, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.start = np.searchsorted(h[order], np.arange(1 << self.bits)).astype(np.int32)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.astype(U)) >> U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.start[self._hash(keys)]
+        left = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
+
+
 def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; rows where the Boolean
     column ``training`` holds are learnt from."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), training.alias("train"))
-    counts = corpus_counts(rows.filter("train").select("text"))
-    total, distinct = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = sorted((r["key"], r["n"]) for r in counts.filter("kind = 1").orderBy(F.desc("n"), "key").limit(HEAD_WORDS).collect())
-    head_keys, head_n = np.array([k for k, _ in head], dtype=np.int64), np.array([n for _, n in head], dtype=np.int64)
-    tables_shared, mixer = train(counts)
-    model = spark.sparkContext.broadcast((mixer, head_keys, np.log10(head_n + 0.1)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    regions = max(LEAST_REGIONS, 1 << int(np.ceil(np.log2(max(1, size / REGION_BYTES)))))
+    steps = int(size // (CHUNK * CHUNKS_AT_ONCE)) + 1
+    texts, requests = chunked(rows, regions)
+    model = model_of(requests, steps)
+    total, distinct = model.filter(F.col("kind") == WORD).agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("n", lambda x: x > 0)))).first()
+    total, distinct = total or 0, distinct or 0
+    low = spark.sparkContext.broadcast(low_tables(model))
+    mixer = trained(model, low, regions)
+    folder = new_folder(spark, "answers")
+    answered(requests, model, low, mixer, steps).repartition("p").write.partitionBy("p").parquet(folder)
     base = float(np.log10(total + 0.1 * (distinct + 1)))
 
     def run(batches):
-        tables, (mixer, keys, logs) = tables_shared.value, model.value
-        uid = TaskContext.get().partitionId() << 40
-        cache_keys, cache_logs = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20)
+        import pyarrow.dataset as ds
+
+        files, path = filesystem(folder)
+        now, gram, word = None, None, None
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            docs_n = len(offsets) - 1
-            lowered = LOWER[data]
-            out = {k: np.zeros(docs_n) for k in ("score", "head")} | {k: np.zeros(docs_n, np.int64) for k in ("tokens", "known")}
-            tails, tail_at = [], [0]
-            for a, b in blocks(offsets, 1 << 20):
-                part = offsets[a : b + 1] - offsets[a]
-                own = lowered[offsets[a] : offsets[b]]
-                g, first = grams(own, part)
-                slot = (mix64(g.astype(U)) >> U(44)).astype(np.int64)
-                logp = cache_logs[slot]
-                miss = np.flatnonzero(cache_keys[slot] != g)
-                if len(miss):
-                    new, back = np.unique(g[miss], return_inverse=True)
-                    values = log10_bytes(tables, mixer, new)
-                    logp[miss] = values[back]
-                    where = (mix64(new.astype(U)) >> U(44)).astype(np.int64)
-                    cache_keys[where] = new
-                    cache_logs[where] = values
-                    # of several grams of a slot one stays; keep the pair together
-                    cache_logs[where] = values[np.searchsorted(new, cache_keys[where])]
-                out["score"][a:b] = np.add.reduceat(logp, first)
-                words, at = words_of(own, part)
-                at = np.minimum(at, len(words))
-                words = np.insert(words, at[1:], END_WORD)
-                at = at + np.arange(b - a + 1)
-                place = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
-                known = keys[place] == words if len(keys) else np.zeros(len(words), bool)
-                out["tokens"][a:b] = np.diff(at)
-                out["known"][a:b] = np.add.reduceat(known.astype(np.int64), at[:-1])
-                out["head"][a:b] = np.add.reduceat(np.where(known, logs[place] if len(keys) else 0, 0), at[:-1])
-                tail = np.flatnonzero(~known)
-                tails.append(words[tail])
-                tail_at.extend((tail_at[-1] + np.searchsorted(tail, at[1:])).tolist())
-            tail = pa.ListArray.from_arrays(pa.array(tail_at, pa.int32()), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
-            columns = {"uid": np.arange(uid, uid + docs_n), "n_tokens": out["tokens"], "known": out["known"], "head": out["head"], "score": out["score"], "n_bytes": np.diff(offsets)}
-            uid += docs_n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), *map(pa.array, columns.values()), tail], names=["doc_id", "train", *columns, "tail"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    scored = rows.mapInArrow(run, f"doc_id {kind}, train boolean, uid long, n_tokens long, known long, head double, score double, n_bytes long, tail array<long>")
-    scored = stored(scored, "scored")
-    # the words that aren't among the commonest meet their counts; those that were never seen have none
-    tail = scored.select("uid", F.explode("tail").alias("key")).join(counts.filter("kind = 1").select("key", "n"), "key", "left")
-    tail = tail.groupBy("uid").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_sum")).withColumnRenamed("uid", "_uid")
-    both = scored.drop("tail").join(tail, F.col("uid") == F.col("_uid"), "left")
-    known = F.col("known") + F.coalesce("tail_known", F.lit(0))
-    base_score = F.col("head") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)
-    return both.select(
-        "doc_id", F.coalesce(~F.col("train"), F.lit(True)).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+            chunks = batch.column("p").to_numpy()
+            edges = np.r_[0, np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, len(chunks)] if len(chunks) else np.zeros(1, int)
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if chunks[i] != now:
+                    now, gram, word = chunks[i], None, None
+                    got = ds.dataset(f"{path}/p={now}", filesystem=files, format="parquet").to_table(columns=["kind", "keys", "logp", "n"])
+                    gram, word = (Lookup(*(part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("keys", c))) for part, c in ((got.filter(pc.equal(got.column("kind"), k)), c) for k, c in ((GRAM, "logp"), (WORD, "n"))))
+                yield scored(batch.slice(i, j - i), gram, word)
+
+    def scored(batch, gram: Lookup, word: Lookup):
+        data, offsets = text_bytes(batch.column("text"))
+        docs_n = len(offsets) - 1
+        data = LOWER[data]
+        out = {"n_tokens": np.zeros(docs_n, np.int64), "n_known": np.zeros(docs_n, np.int64), "base": np.zeros(docs_n), "score": np.zeros(docs_n)}
+        for a, b in blocks(offsets, 1 << 20):
+            part = offsets[a : b + 1] - offsets[a]
+            own = data[offsets[a] : offsets[b]]
+            g, first = grams(own, part)
+            out["score"][a:b] = np.add.reduceat(gram(g).astype(np.float64), first)
+            words, at = words_of(own, part)
+            words = np.insert(words, np.minimum(at, len(words))[1:], END_WORD)
+            at = (at + np.arange(b - a + 1))[:-1]
+            n = word(words)
+            out["n_tokens"][a:b] = np.diff(np.r_[at, len(words)])
+            out["n_known"][a:b] = np.add.reduceat((n > 0).astype(np.int64), at)
+            out["base"][a:b] = np.add.reduceat(np.log10(n + 0.1), at)
+        columns = {**out, "n_bytes": np.diff(offsets)}
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), *map(pa.array, columns.values())], names=["doc_id", "train", *columns])
+
+    done = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, train boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
+    return done.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

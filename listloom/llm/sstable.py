@@ -21,16 +21,16 @@ gives an empty result.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, ship, table
+from .common import filesystem, new_folder, ship, table
 from .tokens import default_path, encoder
 
 MAGIC = b"LLSST01\n"
@@ -42,15 +42,6 @@ END_ID = 0
 _FOOTER = struct.Struct("<6QqqI8s")
 
 
-def filesystem(uri: str):
-    """The file system of a shared folder and the path on it."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def key_bytes(key: int) -> bytes:
     return struct.pack(">Q", (key + 2**63) % 2**64)
 
@@ -208,7 +199,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             if writer is None and keys:
                 name = f"{path}/{parts[0].as_py():08d}.sst"
                 # a second attempt of the task writes under a name of its own and replaces an equal file
-                part = f"{name}.{os.getpid()}.{id(writer)}.tmp"
+                part = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                 files.create_dir(path, recursive=True)
                 stream = files.open_output_stream(part)
                 writer = Writer(stream, wide)

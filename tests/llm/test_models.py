@@ -188,11 +188,59 @@ def test_language_model(spark):
 
 def test_probabilities_sum_to_one():
     keys = np.arange(256, dtype=np.int64) | (0x6162636465 << 8)
-    bits = context_mixing.slot_bits(100)
-    tables = context_mixing.Tables([np.random.default_rng(1).integers(0, 9, (1 if k == 0 else context_mixing.REGIONS, 1 << b, 2)).astype(np.uint16) for k, b in enumerate(bits)], bits)
+    n = np.random.default_rng(1).integers(1, 9, 256).astype(float)
+    tables = context_mixing.Tables(context_mixing.filled(range(3), keys, n, context_mixing.LOW_BITS), keys, n)
     assert math.isclose((10 ** context_mixing.log10_bytes(tables, context_mixing.Mixer(), keys)).sum(), 1, rel_tol=1e-9)
 
 
+def test_lookup():
+    keys = np.random.default_rng(2).choice(np.arange(-(2**40), 2**40, 2**22 + 1), 5000, replace=False)
+    find = context_mixing.Lookup(keys, np.arange(5000))
+    assert find(np.r_[keys[::-1], keys[7]]).tolist() == [*range(4999, -1, -1), 7]
+
+
+def test_scores_are_those_of_plain_counts(spark, monkeypatch):
+    """Chunks of a few texts, added in two steps, against counts of single bits in dictionaries."""
+    M = context_mixing
+    random.seed(8)
+    docs = {i: " ".join(random.choice(["ab", "cd", "Abc", "é", "x\ny"]) for _ in range(random.randrange(12))) for i in range(40)} | {40: None, 41: ""}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(M, "CHUNK", 60)
+    monkeypatch.setattr(M, "CHUNKS_AT_ONCE", 2)
+    got = {r["doc_id"]: r["score"] for r in M.score(frame, F.col("doc_id") % 4 != 0).collect()}
+
+    rows = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 4 != 0).alias("train"))
+    regions = M.LEAST_REGIONS
+    model = M.model_of(M.chunked(rows, regions)[1], 3)
+    mixer = M.trained(model, spark.sparkContext.broadcast(M.low_tables(model)), regions)
+
+    def bits(text):
+        seen = [M.START] * M.ORDER
+        for byte in [*lowered(text).encode(), M.END]:
+            gram = int.from_bytes(bytes(seen[-M.ORDER :]), "big") << 8 | byte
+            for place in range(8):
+                yield gram, place, 1 << place | byte >> (8 - place), byte >> (7 - place) & 1
+            seen.append(byte)
+
+    grams = {g for k, t in docs.items() if k % 4 for g, *_ in bits(t)} | {g for t in docs.values() for g, *_ in bits(t)}
+    region = {g: int(M.region_of(M.GRAM, np.array([g]), regions)[0]) for g in grams}
+    known = collections.Counter(region[g] for g in {g for k, t in docs.items() if k % 4 for g, *_ in bits(t)})
+    place_of = lambda order, g, node: (region[g] if order > 2 else 0, order, int(M.slot(order, np.array([g >> 8]), np.array([node]), M.LOW_BITS if order == 2 else max(10, math.ceil(math.log2(max(1, known[region[g]])))) + M.SLOT_BITS)[0]))
+    counts = collections.Counter()
+    for k, t in docs.items():
+        if k % 4:
+            for g, _, node, bit in bits(t):
+                for order in range(6):
+                    counts[place_of(order, g, node), bit] += 1
+    for k, t in docs.items():
+        want = 0.0
+        for g, place, node, bit in bits(t):
+            found = [np.array([[counts[place_of(order, g, node), b] for b in (0, 1)]], dtype=float) for order in range(6)]
+            p = mixer.refined(mixer.odds(*mixer.inputs(found), place, np.array([node])), np.array([node]))[0]
+            want += math.log10(p if bit else 1 - p)
+        assert math.isclose(got[k], want, rel_tol=1e-4), k
+
+
 def test_language_model_of_odd_rows(odd, empty):
     r = context_mixing.score(odd, F.col("doc_id") != 6).collect()
     assert len(r) == 8 and all(math.isfinite(x["score"]) and x["score"] < 0 for x in r)

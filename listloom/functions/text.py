@@ -47,7 +47,7 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     """Of all characters beyond ASCII with a plain form: those of one character, what they become, and those of several.
     Combining marks come after all others, so that ``translate`` drops them."""
     one, several = {}, {}
-    for k in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200), *range(0x1FBF0, 0x1FBFA)):
+    for k in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x10000, 0x1FC00)):
         d = _decomposed(chr(k))
         if d.strip() and not 0x300 <= k <= 0x36F:
             (one if len(d) == 1 else several)[chr(k)] = d

@@ -15,7 +15,8 @@ The folder is the session's shared folder; files are named by partition and move
 runs again leaves the same file.
 
 Defined results: a null text is empty (its ids are the end id alone); rows with a null id are not addressable by key and
-come first, under the smallest long; repeated rows of an id are entries of their own, ordered by text; an empty table
+come first, under the smallest long; repeated rows of an id are entries of their own,
+ordered by a hash of the text; an empty table
 gives an empty result.
 """
 
@@ -27,17 +28,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, ship, table
+from .common import filesystem, new_folder, ship, stored, table
 from .tokens import default_path, encoder
 
 MAGIC = b"LLSST01\n"
 BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-DOCS_PER_SHARD = 8192
+SHARD_BYTES = 32 << 20
+#: Tasks that read shards back, at most.
+READERS = 10_000
 END_ID = 0
 _FOOTER = struct.Struct("<6QqqI8s")
 
@@ -182,12 +185,13 @@ class Reader:
         return None
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> list[tuple]:
-    """Writes the shards and returns (path, first key, entries, ids) of each, in key order: one small row a file."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards; path, first (key), n (entries), ids of each, as a stored table of a small row a file."""
     ship(docs.sparkSession)
-    shards = max(1, -(-docs.count() // docs_per_shard))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(shards, "k").sortWithinPartitions("k", "t").withColumn("p", F.spark_partition_id())
+    size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    # rows that share an id are dealt out by their texts too, so that they need not fit one shard
+    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-size // shard_bytes)), "k", "h").sortWithinPartitions("k", "h", "t").withColumn("p", F.spark_partition_id())
 
     def write(batches):
         files, path = filesystem(folder)
@@ -212,18 +216,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             files.move(part, name)
             yield pa.RecordBatch.from_pydict({"path": [name], "first": [writer.keys[0]], "n": [len(writer.keys)], "ids": [writer.n_ids]})
 
-    written = rows.mapInArrow(write, "path string, first long, n long, ids long").collect()
-    return sorted((tuple(r) for r in written), key=lambda r: (r[1], r[0]))
+    return stored(rows.select("k", "t", "p").mapInArrow(write, "path string, first long, n long, ids long"), "shards")
 
 
-def read_shards(spark: SparkSession, folder: str, shards: list[tuple]) -> DataFrame:
+def read_shards(folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard of every entry, from the files."""
-    starts, rows = 0, []
-    for k, (path, _, _, n_ids) in enumerate(shards):
-        rows.append((path, k, starts))
-        starts += n_ids
-    schema = "path string, shard int, start long"
-    listed = spark.createDataFrame(rows, schema).repartition(max(1, len(rows)))
+    before = Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a small row a file
+    listed = shards.select("path", (F.row_number().over(Window.orderBy("first", "path")) - 1).alias("shard"), (F.sum("ids").over(before) - F.col("ids")).alias("start"))
+    # one file a task while there are few of them
+    listed = listed.repartition(max(1, min(shards.count(), READERS)), "shard")
 
     def read(batches):
         files, _ = filesystem(folder)
@@ -243,5 +244,4 @@ def read_shards(spark: SparkSession, folder: str, shards: list[tuple]) -> DataFr
 
 def op2_sstable(spark, sf_dir):
     folder = new_folder(spark, "sstable")
-    shards = write_shards(table(spark, sf_dir, "documents"), folder, default_path())
-    return read_shards(spark, folder, shards)
+    return read_shards(folder, write_shards(table(spark, sf_dir, "documents"), folder, default_path()))

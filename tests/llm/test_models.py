@@ -92,8 +92,17 @@ def test_shards_round_trip(spark, sf, odd, empty):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.op2_sstable(spark, sf).collect()) == want
     for df, n in ((odd, 8), (empty, 0)):
         folder = common.new_folder(spark, "t")
-        r = sstable.read_shards(spark, folder, sstable.write_shards(df, folder, tokens.default_path(), docs_per_shard=3)).collect()
+        r = sstable.read_shards(folder, sstable.write_shards(df, folder, tokens.default_path(), shard_bytes=40)).collect()
         assert len(r) == n and sum(x["doc_id"] is None for x in r) == min(n, 1)
+        at = 0
+        for x in sorted(r, key=lambda x: (x["start"])):
+            assert x["start"] == at
+            at += x["n_tokens"]
+    # a third of all rows share an id: no shard holds them all
+    hot = spark.createDataFrame([(i if i % 3 else 7, f"text {i} " * 5) for i in range(300)], "doc_id long, text string")
+    folder = common.new_folder(spark, "t")
+    r = sstable.read_shards(folder, sstable.write_shards(hot, folder, tokens.default_path(), shard_bytes=1500)).collect()
+    assert len({x["shard"] for x in r if x["doc_id"] == 7}) > 1 and [x["doc_id"] for x in sorted(r, key=lambda x: x["start"])] == sorted(x["doc_id"] for x in r)
 
 
 def test_supersteps_are_best_fit_decreasing():
@@ -149,6 +158,9 @@ def test_packing(spark, sf, odd, empty, monkeypatch):
     assert len(sequences) <= 1.02 * sum(r["length"] for r in got) / 2048 + 1
     assert packing.pack(odd, tokens.default_path()).select("sequence_id", "offset").distinct().count() == packing.pack(odd, tokens.default_path()).count()
     assert packing.pack(empty, tokens.default_path()).count() == 0
+    ties = spark.createDataFrame([(1, "same text", 5, 6)] * 50 + [(None, None, 5, 6)] * 3, "doc_id long, text string, length int, sequence_id int")
+    r = packing.pack(ties, tokens.default_path()).collect()
+    assert len(r) == 53 and len({(x["sequence_id"], x["offset"]) for x in r}) == 53 and len({x["sequence_id"] for x in r}) == 1
 
 
 def test_quality_on_rows_held_out(spark):
@@ -159,6 +171,33 @@ def test_quality_on_rows_held_out(spark):
     assert sum(x["predicted"] == label[x["doc_id"]] for x in r) >= 0.95 * len(r) and len(r) > 100
 
 
+def test_word_vectors_are_sums_of_contexts(spark):
+    texts = ["Red fox, red fox! ran", "a FOX 12 ran", "", None, "one"]
+    places, signs = quality.index_vectors()
+    vector = lambda k: sum((signs[i, k] * np.eye(quality.DIM)[places[i, k]] for i in range(quality.NONZERO)), np.zeros(quality.DIM))
+    want, pooled = np.zeros((quality.VOCABULARY, quality.DIM)), []
+    for t in texts:
+        data, offsets = common.text_bytes(pa.array([t], pa.string()))
+        words, shapes, _ = quality.tokens(data, offsets)
+        assert len(words) == len(split(t)) and len(set(words)) == len({lowered(w) for w in split(t)})
+        for i, w in enumerate(words):
+            want[w] += vector(shapes[i])
+            want[shapes[i]] += vector(w)
+            for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                if j != i:
+                    want[w] += vector(words[j])
+                if j < i:
+                    want[shapes[i]] += vector(shapes[j])
+        pooled.append((words, shapes))
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+    assert np.allclose(got, want, atol=1e-5)
+    x = quality.pooled(got, pa.array(texts))
+    for row, (words, shapes) in zip(x, pooled, strict=True):
+        mean = np.r_[want[words].mean(0), want[shapes].mean(0), np.log1p(len(words)) / 10] if len(words) else np.zeros(2 * quality.DIM + 1)
+        assert np.allclose(row, mean, atol=1e-4)
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     r = quality.classify(odd, labels).collect()
@@ -341,3 +380,78 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def lines_by_hand(docs):
+    """Lines left of each document: those with no earlier line equal to them or, for longer ones, within one edit."""
+    longer = lambda x: len(x) >= 25 or len(split(x)) >= 5
+    seen, near, out = set(), collections.defaultdict(list), {}
+    for k in sorted(docs):
+        kept = []
+        for x in docs[k].split("\n"):
+            gone = bool(split(x)) and (x in seen or (longer(x) and any(within_one(x, y) for n in (-1, 0, 1) for y in near[len(x) + n])))
+            if split(x) and x not in seen:
+                seen.add(x)
+                if longer(x):
+                    near[len(x)].append(x)
+            if not gone:
+                kept.append(x)
+        out[k] = "\n".join(kept)
+    return out
+
+
+def within_one(a, b):
+    a, b = sorted((a, b), key=len)
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
+
+
+def test_pipeline_stages_are_brute_force(spark, sf):
+    """Stages 2 to 4 on what the classifier kept, against plain Python; the last against the token ids of what is left."""
+    import corpus_pipeline as p
+
+    docs = common.stored(p.quality_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "t")
+    now = {r["doc_id"]: r["text"] for r in docs.collect()}
+    cut = lines_by_hand(now)
+    now = {k: t for k, t in cut.items() if t == now[k] or split(t)}
+    docs = common.stored(p.line_stage(spark, docs, sf), "t")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == now
+    groups = components_by_hand(now, 5, 80)
+    now = {k: t for k, t in now.items() if groups[k][1] == k}
+    docs = common.stored(p.near_stage(spark, docs, sf), "t")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == now
+
+    def shingles(t):
+        w = split((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    items = [s for s in (shingles(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()) if s]
+    now = {k: t for k, t in now.items() if not any(100 * len(s & own) >= 80 * len(s) for own in [shingles(t)] for s in items)}
+    docs = common.stored(p.benchmark_stage(spark, docs, sf), "t")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == now
+    sizes = collections.Counter()
+    for r in p.packing_stage(spark, docs, sf).collect():
+        sizes[r["doc_id"]] += r["length"]
+    assert sizes == {k: len(ids) // 4 for k, ids in zip(now, encoded(list(now.items())), strict=True)}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, shared ids, clashing columns: no stage fails, and each
+    keeps what it should."""
+    import corpus_pipeline as p
+
+    said = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, said("a"), "en", "s", 1), (1, said("a"), "en", "s", 1), (2, None, None, None, None), (None, said("b"), None, "s", 1), (None, said("c"), "en", "s", 1), (3, "", "en", "s", 0), (4, LONG, "en", "s", 9), (5, " \n\t ", "en", "s", 4)]
+    docs = spark.createDataFrame([(*r, 7, 7, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key int, score int, _row int")
+    spark.createDataFrame([(1, said("c"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.select(*p.COLUMNS, "_key", "score", "_row")
+    kept = p.quality_stage(spark, docs, str(tmp_path))
+    assert kept.count() == 8  # labels of one kind: every score is their share
+    left = common.stored(p.line_stage(spark, kept, str(tmp_path)), "t")
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in left.collect()) == sorted((r[0] or 0, len(r[1] or "")) for r in rows)
+    near = common.stored(p.near_stage(spark, left, str(tmp_path)), "t")
+    assert near.count() == 7 and near.columns == list(p.COLUMNS)
+    clean = common.stored(p.benchmark_stage(spark, near, str(tmp_path)), "t")
+    assert clean.count() == 6 and said("c") not in {r["text"] for r in clean.collect()}
+    assert p.packing_stage(spark, clean, str(tmp_path)).select("doc_id").distinct().count() == 6

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import entry, has, has_phrase, normalize, pattern, plain, variants
+from .text import entry, has, has_phrase, ngrams, normalize, pattern, plain, variants
 
 
 def _first(text: Column, rules: list) -> Column:
@@ -62,6 +62,18 @@ def tags(title: Column, text: Column, keywords: list[str], aliases: dict[str, li
     return F.get(F.transform(F.array(hay), of), F.lit(0))
 
 
+def tags_by_join(rows: DataFrame, key: str, title: Column, text: Column, keywords: list[str], aliases: dict[str, list[str]]) -> DataFrame:
+    """C07, J08 for hundreds of keywords: key, tags (in the keywords' order) of the rows that have any. The distinct phrases
+    of each text, as long as the variants are, meet the table of variants in one join, where ``tags`` would look for each."""
+    listed = [(i, k, p) for i, k in enumerate(keywords) for p in filter(None, map(plain, variants(k, aliases)))]
+    table = rows.sparkSession.createDataFrame(listed, "nth int, keyword string, phrase string")  # a configuration file
+    hay = normalize(F.concat_ws(" ", title, F.substring(F.coalesce(text, F.lit("")), 1, 6000)))
+    longest = max((len(p.split()) for _, _, p in listed), default=1)
+    phrases = rows.select(key, F.explode(ngrams(hay, longest, 6000)).alias("phrase"))
+    found = phrases.join(F.broadcast(table), "phrase").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("nth", "keyword"))).alias("t"))
+    return found.select(key, F.transform("t", lambda x: x["keyword"]).alias("tags"))
+
+
 def portal(url: Column, fallback: Column | None = None) -> Column:
     """struct<portal, direct> of an apply link."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))

@@ -44,7 +44,7 @@ def env(text: str, present: dict[str, str] | None = None) -> dict[str, str]:
     return out
 
 
-def read_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stored table, or an empty one of its schema where there is none."""
     from pyspark.errors import AnalysisException
 

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import identity
+from ..sources.files import read_or
+
 
 def daily_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Calls by source and UTC day; works on batches and streams alike."""
@@ -45,6 +48,19 @@ def upsert_state(events: DataFrame, key: str, ttl_hours: float, watermark: str =
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, last_seen_ms long, n long, expired boolean", "last long, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def merge_each_batch(stream: DataFrame, write) -> object:
-    """Each micro-batch is merged with the stored state by ``write(batch, epoch)``, which must be idempotent by epoch."""
+def merge_each_batch(stream: DataFrame, folder: str, **options):
+    """Keyed upserts of a stream of listings (with ``now``, the time of their run): each micro-batch is merged with the
+    state of the one before, as ``merge_previous`` does with ``options``, and written under its own number, so a batch that
+    runs again gives the same state. Returns the writer, to be started by the caller."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = read_or(spark, f"{folder}/{epoch - 1:012d}", batch.drop("now").withColumn("seen_at", F.lit(None).cast("timestamp_ntz")).schema)
+        at = batch.agg(F.max("now")).first()[0]
+        if at is None:
+            out = before
+        else:
+            out = identity.merge_previous(batch.drop("now"), before, F.lit(at), **options).drop("fresh", "copies").select(before.columns)
+        out.write.mode("overwrite").parquet(f"{folder}/{epoch:012d}")
+
     return stream.writeStream.foreachBatch(write)

@@ -97,3 +97,12 @@ def test_publishers(spark):
     assert say("Board X", "https://www.indeed.com/1", True) == "Company site (Board X)"
     assert say("Board X", "https://www.indeed.com/1", False) == "Indeed"
     assert say("", "https://jobs.lever.co/a", True) == "Company site (Lever)"
+
+
+def test_tags_by_join(spark):
+    keywords = ["soc analyst", "help desk", "registered nurse"] + [f"trade {i}" for i in range(200)]
+    aliases = {"registered nurse": ["rn", "nurse"], "help desk": ["service desk"]}
+    rows = spark.createDataFrame([(1, "SOC Analyst", "at the service desk; trade 7"), (2, "Nurse (RN)", None), (3, "Cook", "nothing")], "id int, title string, body string")
+    got = {r["id"]: r["tags"] for r in classify.tags_by_join(rows, "id", F.col("title"), F.col("body"), keywords, aliases).collect()}
+    want = {r["id"]: r["t"] for r in rows.select("id", classify.tags(F.col("title"), F.col("body"), keywords[:12], aliases).alias("t")).collect()}
+    assert got == {k: t for k, t in want.items() if t} and got[1] == ["soc analyst", "help desk", "trade 7"]

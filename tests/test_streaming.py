@@ -27,3 +27,20 @@ def test_keys_are_kept_until_they_expire(spark, tmp_path):
     got = {(r["id"], r["n"], r["expired"]) for r in spark.table("kept").collect()}
     assert ("a", 2, False) in got and ("b", 1, False) in got and ("c", 1, False) in got
     assert ("a", 2, True) in got
+
+
+def test_listings_are_merged_batch_by_batch(spark, tmp_path):
+    schema = "id string, title string, company string, city string, region string, source string, pos int, prio int, description string, now timestamp_ntz"
+    make = lambda rows, at: spark.createDataFrame([(*r, at) for r in rows], schema.replace("timestamp_ntz", "string")).withColumn("now", F.col("now").cast("timestamp_ntz"))
+    cook, nurse = ("x", "Cook", "A", "", "", "adzuna", 0, 4, "c"), ("y", "Nurse", "B", "", "", "lever", 1, 7, "n")
+    make([cook, nurse], "2024-01-01 00:00:00").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = state.merge_each_batch(stream, str(tmp_path / "state"), longest=["description"]).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    make([("x", "Chef", "A", "", "", "adzuna", 0, 4, None)], "2024-01-01 12:00:00").write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    last = sorted(p.name for p in (tmp_path / "state").iterdir())
+    r = {x["title"]: x for x in spark.read.parquet(str(tmp_path / "state" / last[-1])).collect()}
+    assert len(last) == 2 and set(r) == {"Cook", "Chef"}  # a board's posting that isn't seen goes within hours
+    assert r["Cook"]["seen_at"].hour == 0 and r["Chef"]["seen_at"].hour == 12 and r["Cook"]["description"] == "c"

@@ -31,7 +31,7 @@ def broad_plan(spark: SparkSession) -> DataFrame:
 
 def keyword_plans(keywords: DataFrame, cities: DataFrame) -> DataFrame:
     """Lane, country, q, city, region, work_type, page from keywords (keyword, tier, pos) and cities (city, region, pos):
-    products of two short lists by design."""
+    a row for each pair of two short lists by design."""
     pri, gen = keywords.filter("tier = 'priority'"), keywords.filter("tier = 'general'")
 
     def part(df: DataFrame, lane: str, n: int, country: str, q=None, city=None, region=None, work="all", page=None, k=None) -> DataFrame:
@@ -43,7 +43,9 @@ def keyword_plans(keywords: DataFrame, cities: DataFrame) -> DataFrame:
 
     pages = pri.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     remote = F.concat(F.col("keyword"), F.lit(" remote"))
-    towns = pri.crossJoin(F.broadcast(cities.select("city", "region", F.col("pos").alias("cpos"))))  # ten cities
+    # the cities are a short configured list: each keyword's row is repeated for them, without a join
+    listed = [F.struct(F.lit(r["city"]).alias("city"), F.lit(r["region"]).alias("region"), F.lit(r["pos"]).alias("cpos")) for r in cities.orderBy("pos").collect()]
+    towns = pri.withColumn("c", F.explode(F.array(*listed))).select("keyword", "pos", "c.*") if listed else pri.limit(0).selectExpr("keyword", "pos", "'' AS city", "'' AS region", "0 AS cpos")
     us = pri.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
     return (
         part(pages, "core", 0, "CA", page=F.col("page"), k=F.col("page"))

@@ -96,8 +96,10 @@ def write_reports(listings: DataFrame, keywords: DataFrame, sources: DataFrame,
 
 
 def coverage_totals(listings: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Jobs, canada, fetched_this_run."""
-    return listings.agg(F.count("*").alias("jobs"), F.count_if(F.col("country") == "CA").alias("canada")).join(stats.fetched(fresh).withColumnRenamed("fetched", "fetched_this_run"))
+    """Jobs, canada, fetched_this_run (different ids), in one aggregate."""
+    live = listings.select(F.lit(1).alias("live"), (F.col("country") == "CA").alias("ca"), F.lit(None).cast("string").alias("id"))
+    both = live.unionByName(fresh.select(F.lit(0).alias("live"), F.lit(False).alias("ca"), F.col("id").cast("string").alias("id")))
+    return both.agg(F.coalesce(F.sum("live"), F.lit(0)).cast("long").alias("jobs"), F.count_if("ca").alias("canada"), F.count_distinct("id").alias("fetched_this_run"))
 
 
 def run_summary(totals: DataFrame, sources: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -500,14 +500,42 @@ _LINES = "list_transform(string_split(replace(text, chr(13) || chr(10), chr(10))
 _HEADED = lambda p: f"len(list_filter({_LINES}, lambda x: length(x) < 40 AND regexp_matches(x, {v.quoted(p)}, 'i'))) > 0"
 
 
+_LENGTH = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\r\\f]+'), lambda w: w <> '')) BETWEEN 300 AND 1200"
+_BULLETS = f"len(list_filter({_LINES}, lambda x: regexp_matches(x, {v.quoted(lx.RESUME_BULLET)}))) >= 3"
+_NUMBERS = f"len(regexp_extract_all(text, {v.quoted(lx.RESUME_NUMBER)})) >= 3"
+
+
 @register("r09_format_checks", f"SELECT doc_id, regexp_matches(text, {v.quoted(lx.RESUME_EMAIL)}) AS email, regexp_matches(text, {v.quoted(lx.RESUME_PHONE)}) AS phone, " + ", ".join(f"{_HEADED(p)} AS {k}" for k, p in lx.RESUME_HEADINGS.items())
-          + f", len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\r\\f]+'), lambda w: w <> '')) BETWEEN 300 AND 1200 AS length, len(list_filter({_LINES}, lambda x: regexp_matches(x, {v.quoted(lx.RESUME_BULLET)}))) >= 3 AS bullets, len(regexp_extract_all(text, {v.quoted(lx.RESUME_NUMBER)})) >= 3 AS numbers FROM documents")
+          + f", {_LENGTH} AS length, {_BULLETS} AS bullets, {_NUMBERS} AS numbers FROM documents")
 def r09(spark, sf):
     (docs,) = tables(spark, sf, "documents")
     return docs.select("doc_id", *[c.alias(k) for k, c in resume.format_checks(F.col("text")).items()])
 
 
-@register("r10_analysis")
+def _analysis_sql() -> str:
+    """The whole breakdown from its definition: shares of lexicon entries, title, years, degree and checks of the text."""
+    pairs = [text.entry(x) for x in [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]]
+    hard = [p for n, p in pairs if n not in lx.SOFT_SKILLS]
+    soft = [(p, lx.SOFT_SKILLS[n]) for n, p in map(text.entry, lx.SKILLS) if n in lx.SOFT_SKILLS]
+    asked = lambda p: v.rlike_sql("jd", p)
+    total = lambda tests: " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in tests)
+    years = lambda x, p, most: f"list_filter(list_transform(regexp_extract_all({x}, {v.quoted('(?i)' + p)}, 1), lambda s: CAST(s AS INT)), lambda y: y > 0 AND y <= {most})"
+    level = lambda x: "CASE " + " ".join(f"WHEN {v.rlike_sql(x, p)} THEN {k}" for _, p, k in lx.EDUCATION) + " END"
+    checks = [f"regexp_matches(text, {v.quoted(lx.RESUME_EMAIL)})", f"regexp_matches(text, {v.quoted(lx.RESUME_PHONE)})", *[_HEADED(p) for p in lx.RESUME_HEADINGS.values()], _LENGTH, _BULLETS, _NUMBERS]
+    levels = ", ".join(f"'{w}'" for w in lx.TITLE_LEVELS)
+    points = lambda x, most: f"floor(({x})::DOUBLE * {most} * 10 + 0.5) / 10"
+    return _with(f"""
+, t AS (SELECT id, title || chr(10) || body AS jd, 'Experience' || chr(10) || body || chr(10) || '2015 - 2019' || chr(10) || '2018 – present' || chr(10) || 'jo@example.com' AS text, {v.title_sql('title')} AS tk FROM L),
+x AS (SELECT id, {total(map(asked, hard))} AS h, {total(f"{asked(p)} AND {v.rlike_sql('text', p)}" for p in hard)} AS hi, {total(asked(p) for p, _ in soft)} AS s, {total(f"{asked(p)} AND ({v.rlike_sql('text', p)} OR {v.rlike_sql('text', q)})" for p, q in soft)} AS si,
+ list_filter(string_split(tk, ' '), lambda w: length(w) > 1 AND w NOT IN ({levels})) AS w, ' ' || {v.norm_sql('text')} || ' ' AS n, list_min({years('jd', lx.REQUIRED_YEARS, 20)}) AS required, list_max({years('text', lx.CLAIMED_YEARS, 45)}) AS have, {level('jd')} AS ed, {level('text')} AS eh, {total(checks)} AS ok FROM t),
+y AS (SELECT *, contains(n, ' ' || array_to_string(w, ' ') || ' ') AND len(w) > 0 AS tm, coalesce(len(list_filter(w, lambda z: contains(n, ' ' || z || ' '))) / nullif(len(w), 0), 0) >= 0.6 AS tp, CASE WHEN required IS NOT NULL THEN coalesce(have >= required, false) END AS xo, CASE WHEN ed IS NOT NULL THEN coalesce(eh >= ed, false) END AS eo, CASE WHEN s > 0 THEN si / s ELSE 1 END AS ws FROM x)
+SELECT id, CAST(floor({points('CASE WHEN h > 0 THEN hi / h ELSE ws END', 40)} + {points('ws', 15)} + {points('CASE WHEN tm THEN 1 WHEN tp THEN 0.6 ELSE 0 END', 10)}
+ + {points('CASE WHEN coalesce(xo, true) THEN 1 WHEN have IS NOT NULL THEN least(0.8::DOUBLE, have / required) ELSE 0.2 END', 10)} + {points('CASE WHEN coalesce(eo, true) THEN 1 ELSE 0.3 END', 5)} + {points('ok / 8', 20)} + 0.5) AS INT) AS score,
+ CAST(CASE WHEN h + s > 0 THEN floor((hi + si) / (h + s) * 100 + 0.5) ELSE 0 END AS INT) AS keyword_match, required, have,
+ CAST((hi < h)::INT + (si < s)::INT + (NOT tm)::INT + coalesce(NOT xo, false)::INT + coalesce(NOT eo, false)::INT + 8 - ok AS INT) AS tips FROM y""")
+
+
+@register("r10_analysis", _analysis_sql())
 def r10(spark, sf):
     rows = listings(spark, sf).select("id", "title", F.col("body").alias("posting"), F.concat_ws("\n", F.lit("Experience"), F.col("body"), F.lit("2015 - 2019\n2018 – present\njo@example.com")).alias("resume"))
     return resume.analyze(rows.withColumn("terms", F.array().cast("array<struct<term:string,jd_count:int,in_resume:boolean>>")), 2001).select("id", "score", "keyword_match", "required", "have", F.size("tips").alias("tips"))

@@ -66,7 +66,7 @@ def _ranges(characters: str) -> str:
 
 
 def normalize(text: Column) -> Column:
-    """T01. Characters are decomposed by a table made from Unicode's, so the expression stays in generated code; the few that
+    """T01. Characters are decomposed by a table made from Unicode's, so no text leaves the JVM; the few that
     become several are looked up only in texts that hold one."""
     old, new, several = _tables()
     t = F.coalesce(text, F.lit(""))

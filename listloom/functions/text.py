@@ -54,28 +54,12 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(map(chr, range(0x300, 0x370))), "".join(one.values()), several
 
 
-def _ranges(characters: str) -> str:
-    """A character class, as few ranges as there are: each costs a comparison for every character of a text."""
-    runs: list[list[int]] = []
-    for k in sorted(map(ord, characters)):
-        if runs and k == runs[-1][1] + 1:
-            runs[-1][1] = k
-        else:
-            runs.append([k, k])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
-
-
 def normalize(text: Column) -> Column:
-    """T01. Characters are decomposed by a table made from Unicode's, so no text leaves the JVM; the few that
-    become several are looked up only in texts that hold one."""
-    old, new, several = _tables()
+    """T01. Letters are decomposed by a table made from Unicode's, so no text leaves the JVM. Characters that stand for several
+    (ligatures, fractions, squared words) aren't spelt out but become spaces."""
+    old, new, _ = _tables()
     t = F.coalesce(text, F.lit(""))
-    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
-    # a cheap test first: most texts have Latin-1 letters at most
-    held = F.regexp_like(t, F.lit("[\u00bc-\u00be]|[^\x00-\xff]")) & F.regexp_like(t, F.lit(_ranges("".join(several))))
-    t = F.when(held, spelt).otherwise(t)
-    t = F.lower(F.translate(t, old, new))
+    t = F.lower(F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7f]")), F.translate(t, old, new)).otherwise(t))
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"\([^\n]*?\)", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 

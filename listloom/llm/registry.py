@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import context_mixing, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable
+from . import context_mixing, cuckoo, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable
 
 QUERIES = {
     "op1_context_mixing": context_mixing.op1_context_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_perspectives": perspectives.op9_perspectives,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
+    "op12_cuckoo_dedup": cuckoo.op12_cuckoo_dedup,
 }
 
 SQL = {
@@ -20,4 +21,5 @@ SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_perspectives": perspectives.OP9_SQL,
+    "op12_cuckoo_dedup": cuckoo.OP12_SQL,
 }

@@ -150,18 +150,19 @@ def blocks(offsets: np.ndarray, target: int = 1 << 20):
         a = b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in ``data`` (words never cross documents), and for each document its first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``data`` (words never cross documents), and for each document its first word.
+    ``separators``: a flag for each byte."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     starts = solid.copy()
     starts[1:] &= ~solid[:-1] | edge[1:-1]
     ends = solid
-    ends[:-1] &= starts[1:] | _SPACE[data[1:]]
+    ends[:-1] &= starts[1:] | separators[data[1:]]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 

@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import context_mixing, cuckoo, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable
+from . import context_mixing, cuckoo, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable, wand
 
 QUERIES = {
     "op1_context_mixing": context_mixing.op1_context_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_perspectives": perspectives.op9_perspectives,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
     "op12_cuckoo_dedup": cuckoo.op12_cuckoo_dedup,
+    "op13_wand_search": wand.op13_wand_search,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_perspectives": perspectives.OP9_SQL,
     "op12_cuckoo_dedup": cuckoo.OP12_SQL,
+    "op13_wand_search": wand.OP13_SQL,
 }

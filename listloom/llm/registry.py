@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from . import context_mixing, cuckoo, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable, wand
+from . import alignment, context_mixing, cuckoo, decontaminate, hilbert, host_rules, line_dedup, lsh_forest, packing, perspectives, quality, sstable, wand
 
 QUERIES = {
     "op1_context_mixing": context_mixing.op1_context_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_perspectives": perspectives.op9_perspectives,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
+    "op11_alignment": alignment.op11_alignment,
     "op12_cuckoo_dedup": cuckoo.op12_cuckoo_dedup,
     "op13_wand_search": wand.op13_wand_search,
 }

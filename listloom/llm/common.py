@@ -10,7 +10,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside these (fixed by the contracts of the operators).
@@ -87,11 +87,39 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys that more than one in HOT of all rows have are fewer than HOT.
+HOT = 10_000
+
+
+def joined_by_key(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, few: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` on their column ``key``, null meeting null, though very many rows share a key.
+    ``groups`` has one row a key, and in ``n`` (an upper bound of) how many of the ``total`` rows have it. Groups of over one
+    in HOT of all rows are broadcast, which are fewer than HOT; the others are if they are at most ``few``, else shuffled."""
+    groups = groups.withColumnRenamed(key, "_joined").withColumn("_there", F.lit(True))
+    hot, same = F.col(n) * HOT > total, F.col(key).eqNullSafe(F.col("_joined"))
+    met = rows.join(F.broadcast(groups.filter(hot)), same, "left")
+    rest = met.filter("_there is null").select(rows.columns).join(small(groups.filter(~hot), few), same, "left")
+    return met.filter("_there").unionByName(rest).drop("_joined", "_there")
+
+
 def ascii_lower(text):
     """Lower-case A-Z only, as the contracts ask."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def running_totals(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``place`` (from 0) and ``before`` (the sum of ``value`` of all rows before it) by the columns ``order``.
+    Rows are dealt into ranges; only the ranges' sums, a row each, meet in one task."""
+    ranges = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    earlier = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = sums.select("_of", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c + "0") for c in ("_n", "_v")])
+    inside = Window.partitionBy("_range").orderBy(*order)
+    done = ranges.withColumn("place", F.row_number().over(inside) - 1).withColumn("before", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
+    done = done.join(F.broadcast(sums), F.col("_range") == F.col("_of"))
+    return done.withColumns({"place": F.col("place") + F.col("_n0"), "before": F.col("before") + F.col("_v0")}).drop("_range", "_of", "_n0", "_v0")
+
+
 # ---------------------------------------------------------------- byte arrays inside tasks
 
 LOWER = np.arange(256, dtype=np.uint8)

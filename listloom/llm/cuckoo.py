@@ -12,7 +12,7 @@ which no row is left is deleted from filter and content.
 At scale: texts never move, only (id, digest, length), about 60 bytes a row. Equal digests are summed in part before they are
 shuffled, in ``ARRIVALS`` portions dealt by a hash of the id, so a text that a third of all rows share reaches its bucket as
 ``ARRIVALS`` rows; each portion is one vectorised round of insertions. Rows learn about their group by a join on the
-digest: groups of over 1 in ``HOT`` of all rows, of which there are at most ``HOT``, are broadcast, the others are shuffled.
+digest, in which groups that very many rows share are broadcast (``common.joined_by_key``).
 Every table is written to the shared folder, so nothing depends on a lost executor, and an index is never changed in place.
 
 Defined results: null counts as empty, and empty and blank texts are equal; repeated rows are rows of their own, of which
@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, ship, small, stored, table
+from .common import joined_by_key, mix64, ship, small, stored, table
 
 #: Buckets at least, and digests in a bucket beyond which the index gets more.
 LEAST_BITS, KEYS = 10, 65_536
 ARRIVALS = 8
-HOT = 10_000
 BROADCAST_ROWS = 500_000
 SLOTS = 4
 ROUNDS = 200
@@ -273,7 +272,7 @@ class Index:
         answers = stored(self.live.groupBy("bucket").cogroup(once.groupBy("bucket")).applyInArrow(_probed, FOUND), "answers")
         sizes = asked.groupBy("digest").agg(F.count("*").alias("asking"))
         told = answers.join(sizes, "digest").select("digest", "asking", F.struct("hit", "live", "n", F.col("doc").alias("keep_id")).alias("told"))
-        return joined(asked, told, asked.count(), "asking").select(F.col("doc").alias("doc_id"), "told.*")
+        return joined_by_key(asked, told, "digest", "asking", asked.count(), BROADCAST_ROWS).select(F.col("doc").alias("doc_id"), "told.*")
 
     def groups(self) -> DataFrame:
         """digest, n, keep (the row that stays) of every live text."""
@@ -281,7 +280,7 @@ class Index:
 
     def decisions(self) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-        several = joined(self.members, self.groups().filter("n > 1"), self.members.count(), "n")
+        several = joined_by_key(self.members, stored(self.groups().filter("n > 1"), "groups"), "digest", "n", self.members.count(), BROADCAST_ROWS)
         alone = F.col("keep").isNull()
         kept = alone | ((F.col("keep.batch") == F.col("batch")) & (F.col("keep.row") == F.col("row")))
         return several.select(
@@ -290,21 +289,12 @@ class Index:
         )
 
 
-def joined(rows: DataFrame, groups: DataFrame, total: int, n: str) -> DataFrame:
-    """``rows`` left-joined with ``groups`` (one row a digest, ``n`` of ``rows`` have it) on digest."""
-    groups = stored(groups, "groups").withColumnRenamed("digest", "_d")
-    hot = F.col(n) * HOT > total
-    with_hot = rows.join(F.broadcast(groups.filter(hot)), F.col("digest") == F.col("_d"), "left")
-    cold = with_hot.filter("_d is null").select(rows.columns).join(small(groups.filter(~hot), BROADCAST_ROWS), F.col("digest") == F.col("_d"), "left")
-    return with_hot.filter("_d is not null").unionByName(cold).drop("_d")
-
-
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows equal in text, length and id one of them."""
     index = Index.empty(docs.sparkSession).added(docs, doc_id, text)
-    groups, total = index.groups().filter("n > 1"), index.members.count()
+    groups = stored(index.groups().filter("n > 1"), "groups")
     # a row is one struct, so that no name of its columns meets one of those made here
-    rows = joined(digests(docs, doc_id, text, F.struct("*").alias("whole")), groups, total, "n")
+    rows = joined_by_key(digests(docs, doc_id, text, F.struct("*").alias("whole")), groups, "digest", "n", index.members.count(), BROADCAST_ROWS)
     stays = F.struct("less", "none", "doc").eqNullSafe(F.struct("keep.less", "keep.none", "keep.doc"))
     several = rows.filter(F.col("keep").isNotNull() & stays).dropDuplicates(["digest"])
     return rows.filter("keep is null").unionByName(several).select(*[F.col("whole")[c].alias(c) for c in docs.columns])

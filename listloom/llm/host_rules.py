@@ -5,9 +5,8 @@ aggregated by host; every host's failure rate is shrunk towards the others by an
 over hosts), and documents of hosts whose shrunk rate is too high are rejected with the host.
 
 Defined results: a null or blank text has no words, so it fails; a null host is a host of its own; with no host, one
-host, or hosts of equal rates the prior is a flat Beta(1, 1); repeated rows are documents of their own; an empty table gives an
-empty result. Counting repeated
-windows compares 64-bit hashes of the windows of one text.
+host, or hosts of equal rates the prior is a flat Beta(1, 1); repeated rows are documents of their own; an empty table
+gives an empty result. Counting repeated windows compares 64-bit hashes of the windows of one text.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, stored, table, words
+from .common import bound, joined_by_key, stored, table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
+BROADCAST_ROWS = 500_000
 
 
 def domain(url: Column) -> Column:
@@ -90,10 +90,11 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``measured`` (host, base_failed) with host_rate and kept."""
-    verdicts = verdicts.select(F.col("host").alias("_host"), "host_rate", "host_failed")
-    joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host", "host_failed")
+    """``measured`` (host, base_failed) with host_rate and kept. A host that very many documents share is broadcast."""
+    verdicts = stored(verdicts.select("host", "n_docs", "host_rate", "host_failed"), "hosts")
+    total = verdicts.agg(F.sum("n_docs")).first()[0] or 0
+    joined = joined_by_key(measured, verdicts, "host", "n_docs", total, BROADCAST_ROWS)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("n_docs", "host_failed")
 
 
 def apply_host_rules(docs: DataFrame, host: Column | None = None, text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -102,7 +103,7 @@ def apply_host_rules(docs: DataFrame, host: Column | None = None, text: str = "t
     # a row is one struct, so that no name of its columns meets one of those made here
     rows = docs.select(F.struct("*").alias("row"), (F.col("source") if host is None else host).alias("host"), F.col(text).alias("text"))
     measured = measures(rows).drop("text")
-    verdicts = stored(host_verdicts(measured, F.col("host"), max_rate), "hosts")
+    verdicts = host_verdicts(measured, F.col("host"), max_rate)
     added = [*MEASURES, "host_rate", "kept"]
     return with_verdicts(measured, verdicts).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 

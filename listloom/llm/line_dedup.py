@@ -1,11 +1,11 @@
 """Operator 7: line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is dropped if an earlier line of the corpus (by document id, then place) lies within one edit of it: equal, or one
-character inserted, deleted or replaced. Every line that isn't blank takes part. A line of fewer than ``MIN_WORDS`` words and
-``NEAR_CHARS`` characters (a paragraph in a script without spaces is one word) is dropped only if an earlier one equals it;
-the edit of so short a line would make another word or number of it.
+character inserted, deleted or replaced. Every line that isn't blank takes part, whatever its length. Where one edit of a
+short line makes another word or number of it, ``near_chars`` can be set: lines of fewer characters are then dropped only
+if an earlier one equals them.
 
-Equal lines meet first, by hash, and leave one representative, so a line that a third of all documents share is one row
+Equal lines meet first, by two hashes of 64 bits, and leave one representative, so a line that a third of all documents share is one row
 from then on. Lines that can have a neighbour are then found without loss: one edit leaves either the first or the second
 half of a line as it was, so a line without a companion of a fitting length in one half has none. The others emit the
 hashes of their deletion variants. Two kinds of keys link lines: a variant with its place (the lines that share it differ
@@ -16,7 +16,8 @@ characters costs about L * BLOCK, not L * L, steps.
 
 Defined results: null and empty texts stay as they are; lines keep their order and separators; rows that share an id (or
 have none) and their text are one document, those with other texts are documents of their own, by a hash of the text; a
-null id comes last; an empty table gives an empty result.
+null id comes last; an empty table gives an empty result. Lines are equal if both their hashes (128 bits) and their lengths
+are; lines within an edit are compared as texts.
 """
 
 from __future__ import annotations
@@ -24,23 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, small, stored, table
+from .common import bound, joined_by_key, small, stored, table
 
-MIN_WORDS = 5
-NEAR_CHARS = 25
 BLOCK = 64
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 
 
-def _has_words(line: Column, n: int) -> Column:
-    return F.regexp_like(line, F.lit(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{n - 1}}}[^\x20\x09-\x0D]"))
-
-
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc, row, pos, line of the lines that aren't blank."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return rows.filter(_has_words(F.col("line"), 1))
+    return rows.filter(F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
+
+
+def _hashes(line: Column, n: Column) -> Column:
+    return F.struct(F.xxhash64(line, n).alias("a"), F.xxhash64(F.lit(17), line).alias("b"))
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -102,28 +101,30 @@ def _variant_keys(line: Column) -> Column:
     return bound(line, with_blocks)
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_chars: int = 0) -> DataFrame:
     """doc (the id; a null id is the largest long), row (a hash of the text), pos of every line to drop."""
     line, n = F.col("line"), F.length("line")
-    # the others meet equal lines only
-    halves = F.when((n >= NEAR_CHARS) | _has_words(line, MIN_WORDS), _half_keys(line, n))
-    all_lines = stored(_lines(docs, doc_id, text).select("doc", "row", "pos", F.xxhash64(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
+    # shorter ones meet equal lines only
+    halves = F.when(n >= near_chars, _half_keys(line, n)) if near_chars else _half_keys(line, n)
+    all_lines = stored(_lines(docs, doc_id, text).select("doc", "row", "pos", _hashes(line, n).alias("h"), n.alias("n"), halves.alias("halves")), "lines")
     first = F.min(F.struct("doc", "row", "pos")).alias("first")
     distinct = stored(all_lines.groupBy("h", "n").agg(first, F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
 
     # lines that have a companion of a fitting length in one half
     halves = distinct.select("h", "n", F.explode("halves").alias("k")).select("h", "n", "k.m", "k.key")
     company = halves.groupBy("key").agg(F.count_if(F.col("n") == F.col("m")).alias("n0"), F.count_if(F.col("n") > F.col("m")).alias("n1"))
-    company = company.filter((F.col("n0") >= 2) | ((F.col("n0") >= 1) & (F.col("n1") >= 1)))
+    company = stored(company.filter((F.col("n0") >= 2) | ((F.col("n0") >= 1) & (F.col("n1") >= 1))).withColumn("sharing", F.col("n0") + F.col("n1")), "company")
     short = F.col("n") == F.col("m")
-    wanted = halves.join(company, "key").groupBy("h").agg(
+    # all lines of one template meet under one key
+    met = joined_by_key(halves, company, "key", "sharing", 4 * distinct.count(), BROADCAST_ROWS).filter("n0 is not null")
+    wanted = met.groupBy("h").agg(
         F.bool_or(short & (F.col("n0") >= 2)).alias("replaced"), F.bool_or(short & (F.col("n1") >= 1)).alias("inserted"), F.bool_or(~short & (F.col("n0") >= 1)).alias("deleted")
     )
     wanted = stored(wanted.filter("replaced or inserted or deleted").join(distinct.select("h", "first"), "h"), "neighbours")
 
     # their texts, from the documents, at the place of the representative
-    texts = _lines(docs, doc_id, text).withColumn("h", F.xxhash64(line, n)).join(small(wanted, BROADCAST_ROWS), "h")
-    texts = texts.filter((F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))).dropDuplicates(["h"])
+    wanted = wanted.select("h", "first", "first.*", "replaced", "inserted", "deleted")
+    texts = _lines(docs, doc_id, text).withColumn("h", _hashes(line, n)).join(small(wanted, BROADCAST_ROWS), ["h", "doc", "row", "pos"]).dropDuplicates(["h"])
     texts = stored(texts.select("h", "first", "line", "replaced", "inserted", "deleted"), "neighbour-texts")
 
     keys = texts.select("h", "first", "replaced", "inserted", "deleted", F.explode(_variant_keys(F.col("line"))).alias("k")).select("*", "k.role", "k.key").drop("k")
@@ -141,8 +142,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # every line of a dropped text, and every line but the first of an equal text
     groups = distinct.select("h", "first", "copies").join(near, "h", "left").filter((F.col("copies") > 1) | F.col("near"))
-    groups = stored(groups.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
-    hit = all_lines.select("doc", "row", "pos", "h").join(small(groups, BROADCAST_ROWS), "h")
+    groups = stored(groups.select("h", "first", "copies", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
+    hit = joined_by_key(all_lines.select("doc", "row", "pos", "h"), groups, "h", "copies", all_lines.count(), BROADCAST_ROWS)
     return hit.filter(F.col("near") | (F.struct("doc", "row", "pos") != F.col("first"))).select("doc", "row", "pos").distinct()
 
 
@@ -158,10 +159,10 @@ def without(lines: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(bound(lines, runs)), "\n")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_chars: int = 0) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and the numbers (from 0) of the cut lines in ``removed_lines`` (a
     column of that name is replaced)."""
-    gone = repeated_lines(docs, doc_id, text).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = repeated_lines(docs, doc_id, text, near_chars).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = stored(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), "removed")
     # a row is one struct, so that no name of its columns meets one of those made here
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
@@ -191,13 +192,16 @@ WITH d AS (
   SELECT line, length(line) AS n, min(o) AS o FROM w GROUP BY line
 ), m AS (
   SELECT line, o, unnest([n, n - 1]) AS m FROM u
-  WHERE n >= 25 OR regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]')
 ), h AS (
   SELECT line, o, 'p' || m || ':' || left(line, m // 2) AS key FROM m UNION ALL SELECT line, o, 's' || m || ':' || right(line, m - m // 2) FROM m
 ), near AS (
-  SELECT DISTINCT a.line FROM h a JOIN h b ON a.key = b.key AND b.o < a.o WHERE abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1
+  SELECT DISTINCT a FROM (
+    SELECT a.line AS a, b.line AS b, length(a.line) - length(b.line) AS more FROM h a JOIN h b ON a.key = b.key AND b.o < a.o
+    WHERE abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 4  -- counts bytes, of which a character has up to four
+  ) WHERE len(list_filter(range(greatest(length(a), length(b))), lambda i: left(a, i) = left(b, i)
+      AND substr(a, i + CASE WHEN more < 0 THEN 1 ELSE 2 END) = substr(b, i + CASE WHEN more > 0 THEN 1 ELSE 2 END))) > 0
 ), r AS (
-  SELECT w.doc_id, list_sort(list(pos)) AS gone FROM w JOIN u USING (line) WHERE w.o <> u.o OR line IN (SELECT line FROM near) GROUP BY w.doc_id
+  SELECT w.doc_id, list_sort(list(pos)) AS gone FROM w JOIN u USING (line) WHERE w.o <> u.o OR line IN (SELECT a FROM near) GROUP BY w.doc_id
 )
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines,
        md5(coalesce(array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_contains(gone, i - 1), false)), chr(10)), '')) AS text_md5

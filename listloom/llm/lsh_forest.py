@@ -24,9 +24,9 @@ Two texts with Jaccard similarity s share MIN_DEPTH minima in none of the trees
 text and its neighbour, if they are longer), and a matrix of REGION x REGION (or twice that each way).
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; with fewer words than a shingle
-the whole sequence is the one shingle; rows that share an id, or have none, and their text are one document, those with
-other texts are documents of their own; a null id comes last; an empty table gives an empty result. Words and shingles are
-compared by 64-bit hashes.
+the whole sequence is the one shingle; every row is a document and has a row in the result, those that repeat another and
+those that share its id too; a null id comes last; an empty table gives an empty result. Words and shingles are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -271,18 +271,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
-    """``docs`` with a key of each document in ``_key``: the id, or, of a null id and of ids that several rows share, a
-    62-bit hash of id and text, which comes after the usual ids; of rows equal in both one stays. And whether there are any
-    such ids."""
+    """``docs`` with a key of each row in ``_key``: the id, or, of null ids, of ids that several rows share and of ids from
+    2^62 on, a number from 2^62 on, so that every row has its own. And whether there are any such ids; their rows are
+    written to the shared folder, so that a number stays with its row."""
     id_ = F.col(doc_id).cast("long")
-    several = stored(docs.groupBy(id_.alias("_id")).count().filter("count > 1 OR _id IS NULL").select("_id"), "shared-ids")
+    several = stored(docs.groupBy(id_.alias("_id")).count().filter(f"count > 1 OR _id IS NULL OR _id >= {1 << 62}").select("_id"), "shared-ids")
     one = docs.withColumn("_key", id_)
     if several.isEmpty():
         return one, False
     shared, several = id_.eqNullSafe(F.col("_id")), small(several, BROADCAST_ROWS)
-    hashed = F.shiftrightunsigned(F.xxhash64(id_, id_.isNull(), text), 2).bitwiseOR(F.lit(1 << 62))
-    again = docs.join(several, shared, "left_semi").withColumn("_key", hashed).dropDuplicates(["_key"])
-    return one.join(several, shared, "left_anti").unionByName(again), True
+    again = docs.join(several, shared, "left_semi").withColumn("_key", F.lit(1 << 62) + F.monotonically_increasing_id())
+    return one.join(several, shared, "left_anti").unionByName(stored(again, "rows-of-shared-ids")), True
 
 
 def grouped(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -333,7 +332,7 @@ def _no_labels(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the component), kept of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component), kept (one row of each component) of every row."""
     docs, shared = keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     out = grouped(docs.select(F.col("_key").alias("doc"), "text"), n, percent)
     if not shared:

@@ -46,6 +46,8 @@ LOW_BITS, SLOT_BITS = 21, 4  # slots of order 2, and of the higher orders for ea
 BUCKETS = 33  # of the probability map
 PRIOR = 0.3
 BATCH, RATE, EPOCHS = 512, 0.02, 3
+#: Rows of sums (135 KB each) that one task or the driver adds, at most.
+GATHERED = 128
 U = np.uint64
 
 
@@ -314,9 +316,32 @@ def low_tables(model: DataFrame) -> list[np.ndarray]:
     return filled(range(3), keys, n, LOW_BITS)
 
 
+MADE = "mass double, made binary"
+
+
+def summed(made: DataFrame, tasks: int) -> DataFrame:
+    """Rows (mass, made: numbers of one size, as bytes), of which each of ``tasks`` tasks gives one at most, added until there
+    are at most ``GATHERED``: what the driver gets doesn't grow with the regions."""
+
+    def add(batches):
+        mass, total = 0.0, None
+        for batch in batches:
+            for m, x in zip(batch.column("mass").to_pylist(), batch.column("made"), strict=True):
+                x = np.frombuffer(x.as_buffer())
+                mass, total = mass + m, x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"mass": [mass], "made": [total.tobytes()]})
+
+    while tasks > GATHERED:
+        tasks = -(-tasks // GATHERED)
+        made = made.repartition(tasks).mapInArrow(add, MADE)
+    return made
+
+
 def trained(model: DataFrame, low: Broadcast, regions: int) -> Mixer:
     """The mixer, from the counts of all regions."""
-    own = model.filter(F.col("kind") == GRAM).select("r", "keys", "n").repartition(regions, "r")
+    # dealt out once, for all passes; a region is a row
+    own = stored(model.filter(F.col("kind") == GRAM).select("r", "keys", "n").repartition(regions, "r"), "regions")
     mixer = Mixer()
 
     def passes(start: Mixer, mapping: bool):
@@ -345,7 +370,7 @@ def trained(model: DataFrame, low: Broadcast, regions: int) -> Mixer:
             if mass:
                 yield pa.RecordBatch.from_pydict({"mass": [mass], "made": [made.astype(np.float64).tobytes()]})
 
-        return own.mapInArrow(one, "mass double, made binary").collect()  # a row a task, of one size
+        return summed(own.mapInArrow(one, MADE), regions).collect()
 
     for _ in range(EPOCHS):
         got = passes(mixer, False)

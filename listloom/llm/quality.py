@@ -188,17 +188,19 @@ def held_out(doc_id, parts: int):
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, vectors, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """The network, from ``labels`` (doc_id, label): at most MAX_LABELLED of them."""
+    """The network, from ``labels`` (doc_id, label): at most MAX_LABELLED of them, with one document each."""
     some = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("double").alias("_y"))
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED)
-    rows = docs.select(doc_id, text).join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col("_y").alias("y"), F.col("_id").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(doc_id, text).join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col("_y").alias("y"), F.col("_id").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
     def features(batches):
         for batch in batches:
             x = pooled(vectors.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "y")), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "h", "y", "x"])
 
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(features, "id long, y double, x binary").collect())
+    # of rows that share an id one is learnt from, so what is collected is bounded too
+    each = rows.mapInArrow(features, f"id {dict(some.dtypes)['_id']}, h long, y double, x binary").groupBy("id").agg(F.min(F.struct("h", "y", "x")).alias("of"))
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in each.select("id", "of.*").collect())
     x = np.array([np.frombuffer(r[2], dtype=np.float32) for r in got]).reshape(len(got), 2 * DIM + 1)
     return Network(x, np.array([r[1] for r in got]))
 
@@ -209,7 +211,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     ship(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs, text))
     network = spark.sparkContext.broadcast(fit(spark, docs, labels, vectors, doc_id, text, label))
-    docs = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
 
     def score(batches):
         for batch in batches:

@@ -6,8 +6,7 @@ the labels in a span say how many tokens of A and B make a group. Two tokens ove
 neighbouring ends, so the links of a text are its labelled bytes, with the tokens that are open there.
 
 Neither tokenizer makes a token that goes on across the beginning of a run of spaces and line feeds, so texts are cut there
-and the label string of each distinct part is made and scanned once; a text's label string is those of its parts, end to
-end. A text with other white space or control characters is one part. (That no entry of B's vocabulary has a space or line
+and each distinct part is encoded and labelled once; a text's label string is those of its parts, end to end. A text with other white space or control characters is one part. (That no entry of B's vocabulary has a space or line
 feed after another character is checked when it is loaded.) A part whose bytes differ from a tokenizer's leaves its text without
 tokens.
 
@@ -25,9 +24,11 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import operator
 import os
 import re
-import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +65,12 @@ def byte_level_alphabet() -> dict[str, int]:
     return out
 
 
-def labels(n: int, a_ends: list[int], b_ends: list[int]) -> bytes:
+def labels(n: int, a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
     """The label of each of ``n`` bytes: ``.`` none, ``a`` an end in A, ``b`` one in B, ``c`` both."""
-    marks = bytearray(n)
-    for e in a_ends:
-        marks[e - 1] = 1
-    for e in b_ends:
-        marks[e - 1] += 2
-    return bytes(marks).translate(_LABELS)
+    marks = np.zeros(n, np.uint8)
+    marks[a_ends - 1] = 1
+    marks[b_ends - 1] += 2
+    return marks.tobytes().translate(_LABELS)
 
 
 def groups(string: bytes) -> list[tuple[int, int]]:
@@ -79,14 +78,23 @@ def groups(string: bytes) -> list[tuple[int, int]]:
     return [(s.count(b"a") + 1, s.count(b"b") + 1) for s in _SPANS.findall(string)]
 
 
-def links(string: bytes) -> list[tuple[int, int]]:
-    """Places of the tokens of A and B that overlap, in order."""
-    out, i, j = [], 0, 0
-    for label in string.replace(b".", b""):
-        out.append((i, j))
-        i += label != 98
-        j += label != 97
-    return out
+def links(string: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of A and B that overlap, in order: how many have ended before each labelled byte."""
+    ends = np.frombuffer(string.replace(b".", b""), np.uint8)
+    a, b = ends != 98, ends != 97
+    return np.cumsum(a) - a, np.cumsum(b) - b
+
+
+def saying(string: bytes):
+    """What turns the ids of A and then B, of a text with these labels, into its groups as text."""
+    sizes = groups(string)
+    order, i, j = [], 0, sum(n for n, _ in sizes)
+    for n, m in sizes:
+        order += [*range(i, i + n), *range(j, j + m)]
+        i, j = i + n, j + m
+    said = ";".join(",".join(["%d"] * n) + "|" + ",".join(["%d"] * m) for n, m in sizes)
+    pick = operator.itemgetter(*order)
+    return lambda ids: said % pick(ids)
 
 
 class Aligner:
@@ -104,6 +112,10 @@ class Aligner:
         # otherwise texts can't be cut before white space
         self.cuts = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", t) for t in names)
         self.space = self.b.piece_to_id(SPACE)
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        self.shapes: dict[bytes, Callable] = {}
         self.new: dict[str, Part | None] = {}
         self.old: dict[str, Part | None] = {}
 
@@ -119,24 +131,35 @@ class Aligner:
         # the space that it adds to a part without one is a token of its own; to nothing it adds none
         return [x[1:] if p[0] != " " else x or [self.space] for p, x in zip(parts, ids, strict=True)]
 
-    def aligned(self, part: str, a: list[int], b: list[int]) -> Part | None:
-        """None if the tokens' bytes aren't those of the part."""
-        data = part.encode()
-        a_of, b_of = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_of) != data or b"".join(b_of) != data:
-            return None
-        string = labels(len(data), np.cumsum([len(x) for x in a_of]).tolist(), np.cumsum([len(x) for x in b_of]).tolist())
-        said, i, j = [], 0, 0
-        for n, m in groups(string):
-            said.append(f"{','.join(map(str, a[i : i + n]))}|{','.join(map(str, b[j : j + m]))}")
-            i, j = i + n, j + m
-        size = len(self.b_bytes)
-        keys = [a[i] * size + b[j] for i, j in links(string)]
-        return ";".join(said), struct.pack(f"<{len(keys)}q", *keys), len(a)
+    def aligned(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Part | None]:
+        """The alignment of parts with these ids; None if the tokens' bytes aren't those of the part."""
+        data = [p.encode() for p in parts]
+        bad = {k for k, (d, x, y) in enumerate(zip(data, a, b, strict=True)) if not b"".join([self.a_bytes[i] for i in x]) == d == b"".join([self.b_bytes[i] for i in y])}
+        if bad:
+            good = iter(self.aligned(*([x for k, x in enumerate(of) if k not in bad] for of in (parts, a, b))))
+            return [None if k in bad else next(good) for k in range(len(parts))]
+        # the label strings of all parts, end to end
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
+        size = np.cumsum([len(d) for d in data])
+        string = labels(size[-1] if len(size) else 0, np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b]))
+        at_a, at_b = links(string)
+        keys = (flat_a[at_a] * len(self.b_bytes) + flat_b[at_b]).astype("<i8").tobytes()
+        ends = np.cumsum(np.frombuffer(string, np.uint8) != ord("."))[size - 1].tolist()
+        string, out, done = string.replace(b".", b""), [], 0
+        for x, y, end in zip(a, b, ends, strict=True):
+            shape = string[done:end]
+            say = self.shapes.get(shape)
+            if say is None:
+                say = saying(shape)
+                if len(shape) < 16:
+                    self.shapes[shape] = say
+            out.append((say(x + y), keys[8 * done : 8 * end], len(x)))
+            done = end
+        return out
 
     def _align_all(self, parts: list[str]) -> list[Part | None]:
-        a = [np.frombuffer(x, dtype="<u4").tolist() for x in self.a.whole(parts)]
-        return [self.aligned(*x) for x in zip(parts, a, self.encode_b(parts), strict=True)]
+        a = [e.ids for e in self.a.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return self.aligned(parts, a, self.encode_b(parts))
 
     def align(self, texts: list[str]) -> list[list[Part | None]]:
         """The parts of each text; none of an empty one."""

@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from listloom.llm import alignment, cuckoo, registry, tokens, wand
+from listloom.llm import alignment, common, cuckoo, registry, tokens, wand
 
 CLASHING = ["score", "rank", "n", "terms", "times", "item", "shard", "digest", "bucket", "keep", "kept", "chunk", "pair", "row", "whole", "_d", "batch"]
 SCHEMA = "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHING)
@@ -110,8 +110,9 @@ def test_aligned_ids_and_groups(spark):
 
 
 def test_labels_groups_links():
-    s = alignment.labels(6, [2, 3, 6], [3, 4, 6])
-    assert s == b".acb.c" and alignment.groups(s) == [(2, 1), (1, 2)] and alignment.links(s) == [(0, 0), (1, 0), (2, 1), (2, 2)]
+    s = alignment.labels(6, np.array([2, 3, 6]), np.array([3, 4, 6]))
+    assert s == b".acb.c" and alignment.groups(s) == [(2, 1), (1, 2)] and [x.tolist() for x in alignment.links(s)] == [[0, 1, 2, 2], [0, 0, 1, 2]]
+    assert alignment.saying(s.replace(b".", b""))([1, 2, 3, 7, 8, 9]) == "1,2|7;3|8,9"
     assert sorted(alignment.byte_level_alphabet().values()) == list(range(256)) and alignment.byte_level_alphabet()["Ġ"] == 32
 
 
@@ -207,7 +208,7 @@ def test_hot_groups_and_others_are_joined_alike(spark, monkeypatch):
     rows = some_texts(9, 500)
     want = plain_dedup(rows)
     for hot in (1, 20, 10_000):
-        monkeypatch.setattr(cuckoo, "HOT", hot)
+        monkeypatch.setattr(common, "HOT", hot)
         assert decided(cuckoo.Index.empty(spark).added(table(spark, rows))) == want
 
 

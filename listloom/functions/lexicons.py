@@ -151,3 +151,7 @@ RESUME_BULLET, RESUME_NUMBER = r"^[-•*▪◦●]\s?", r"\d+\s?%|\$\s?\d|\b\d{2
 # fixed values: words of a title that say its level, and where terms end
 TITLE_LEVELS = ["senior", "junior", "lead", "principal", "staff", "intern", "1", "2", "3", "4"]
 TERM_BREAKS = r"[,.;:!?()\[\]\n\r•|/]+|\s[-–—]\s"
+
+# fixed values: how many words a posting is summed up in, and which aren't counted as they are scored as soft skills
+KEYWORDS = 15
+SAID_ANYWAY = ["communication", "leadership", "customer service", "bilingual"]

@@ -35,6 +35,11 @@ def spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: as a lambda's variable it isn't repeated where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _decomposed(c: str) -> str:
     """Compatibility decomposition of a character without combining marks, in lower case; what isn't a plain character, a
     mark that matters here or white space becomes a space."""
@@ -54,12 +59,25 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(map(chr, range(0x300, 0x370))), "".join(one.values()), several
 
 
+def _spelt_out(text: Column) -> Column:
+    """``text`` with each character that stands for several (ligatures, fractions, squared words) written as these: the
+    pieces between such characters, each followed by what the next one stands for. Whether there is one is seen by a
+    translation, as a class of hundreds of characters is slow to match."""
+    several = _tables()[2]
+    every = "".join(several)
+    # two strings rather than a map of hundreds of literals, which would make every plan that size
+    said, places = F.split(F.lit("\x01".join(several.values())), "\x01"), F.lit(every)
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"([{every}])")), lambda c: F.get(said, F.instr(places, c) - 1))
+    pieces = F.zip_with(F.split(text, f"[{every}]", -1), found, lambda a, c: F.concat(a, F.coalesce(c, F.lit(""))))
+    return F.when(F.translate(text, every, "\x01" * len(several)).contains("\x01"), F.array_join(pieces, "")).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """T01. Letters are decomposed by a table made from Unicode's, so no text leaves the JVM. Characters that stand for several
-    (ligatures, fractions, squared words) aren't spelt out but become spaces."""
+    """T01. Letters are decomposed by tables made from Unicode's, so no text leaves the JVM; only texts beyond ASCII meet them,
+    and only those that hold a character that stands for several are taken apart."""
     old, new, _ = _tables()
     t = F.coalesce(text, F.lit(""))
-    t = F.lower(F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7f]")), F.translate(t, old, new)).otherwise(t))
+    t = F.lower(F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7f]")), F.translate(_spelt_out(t), old, new)).otherwise(t))
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"\([^\n]*?\)", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
@@ -70,12 +88,13 @@ def normalize_company(text: Column) -> Column:
 
 
 def normalize_title(text: Column) -> Column:
-    """Abbreviations are spelt out, noise words dropped."""
+    """Abbreviations are spelt out, noise words dropped. With two spaces between words each is a match of its own."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), pattern(r"\b(full|part)[\s-]time\b"), "$1time")
-    t = F.regexp_replace(t, pattern(r"\bon[\s-]site\b"), "onsite")
-    known = F.create_map(*[F.lit(x) for pair in lx.TITLE_WORDS.items() for x in pair])
-    words = F.transform(F.split(normalize(t), " "), lambda w: F.coalesce(F.try_element_at(known, w), w))
-    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(lx.TITLE_NOISE)), " ")
+    t = normalize(F.regexp_replace(t, pattern(r"\bon[\s-]site\b"), "onsite"))
+    t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for word, said in (lx.TITLE_WORDS | dict.fromkeys(lx.TITLE_NOISE, "")).items():
+        t = F.replace(t, F.lit(f" {word} "), F.lit(f" {said} "))
+    return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def slugify(company: Column) -> Column:
@@ -101,6 +120,11 @@ def plain(s: str | None) -> str:
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", re.sub(r"\(.*?\)", " ", s)).split())
 
 
+def plain_company(s: str | None) -> str:
+    """T02 of a literal, on the driver."""
+    return " ".join(re.sub(lx.COMPANY_SUFFIXES, "", plain(s)).split())
+
+
 def variants(term: str, aliases: dict[str, list[str]]) -> list[str]:
     """T07."""
     t = term.lower().strip()

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, normalize_company, plain
+from ..functions.text import normalize, normalize_company, plain, plain_company
 from .search import Matcher
 
 PRIORITY = 14  # sources, the employer's own first: a listing's ``prio`` is 0 to 13
@@ -78,9 +78,10 @@ def parse_params(raw: dict[str, str]) -> SearchParams:
 
 
 def company_matches(company: Column, wanted: str) -> Column:
-    """equal, or one is the beginning of the other at a word."""
-    a, b = normalize_company(company), normalize_company(F.lit(wanted))
-    return (a == b) | a.startswith(F.concat(b, F.lit(" "))) | b.startswith(F.concat(a, F.lit(" ")))
+    """equal, or one is the beginning of the other at a word. One pattern, so the name is normalised once."""
+    words = plain_company(wanted).split()
+    shorter = [" ".join(words[:k]) for k in range(1, len(words))]
+    return F.regexp_like(normalize_company(company), F.lit(f"^(?:{'|'.join([' '.join(words) + ('(?: .*)?' if words else ''), *shorter])})$"))
 
 
 def low_cad() -> Column:

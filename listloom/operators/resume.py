@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, parse
 from ..functions import lexicons as lx
-from ..functions.text import entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
+from ..functions.text import bound, entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
+from ..storage import stored
 
 _EMPTY = "array<string>"
+#: A posting of fewer characters says too little for a score to mean much.
+SHORT_POSTING = 600
 
 
 def match_score(wanted: Column, have: Column, tags: Column, roles: Column) -> Column:
@@ -24,24 +27,48 @@ def match_score(wanted: Column, have: Column, tags: Column, roles: Column) -> Co
     return F.struct(F.floor(score * 100 + 0.5).cast("int").alias("score"), matched.alias("matched"), missing.alias("missing"))
 
 
-def hard_skills(posting: Column, resume: Column) -> Column:
-    """array<struct<term, jd_count, in_resume>> of lexicon entries in the posting, missing ones first."""
+def _hit(posting: Column, label: str, p: str, lists: Column | None, fields) -> Column:
+    """``fields`` of the entry's count in the posting (1 at least) if the posting or ``lists`` name it, else null."""
+
+    def of(n: Column) -> Column:
+        listed = F.coalesce(F.array_contains(lists, label), F.lit(False)) if lists is not None else F.lit(False)
+        return F.when((n > 0) | listed, F.struct(*fields(F.greatest(n, F.lit(1)))))
+
+    return bound(classify.matches(posting, p), of)
+
+
+def _ranked(label: str, nth: int, there: Column):
+    return lambda n: [there.alias("in_resume"), (-n).alias("less"), F.lit(nth).alias("nth"), F.lit(label).alias("term")]
+
+
+def _told(label: str, there: Column):
+    return lambda n: [F.lit(label).alias("term"), n.alias("jd_count"), there.alias("in_resume")]
+
+
+def hard_skills(posting: Column, resume: Column, lists: Column | None = None, roles: Column | None = None, norm: Column | None = None, aliases: dict[str, list[str]] | None = None) -> Column:
+    """array<struct<term, jd_count, in_resume>>, missing ones first, then by count: lexicon entries named in the
+    posting or in the job's own ``lists``, then target ``roles`` (C07) that aren't among them, looked for with their variants in
+    ``norm``, the normalised resume."""
     hits = []
     for label, p in map(entry, [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]):
         if label not in lx.SOFT_SKILLS:
-            n = classify.matches(posting, p)
-            hits.append(F.when(n > 0, F.struct(has(resume, p).alias("in_resume"), (-n).alias("less"), F.lit(len(hits)).alias("nth"), F.lit(label).alias("term"))))
-    found = F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    return F.transform(found, lambda x: F.struct(x["term"].alias("term"), (-x["less"]).alias("jd_count"), x["in_resume"].alias("in_resume")))
-
-
-def soft_skills(posting: Column, resume: Column) -> Column:
-    """R03."""
+            hits.append(_hit(posting, label, p, lists, _ranked(label, len(hits), has(resume, p))))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    if roles is not None:
+        found = bound(found, lambda named: F.concat(named, F.transform(
+            F.filter(roles, lambda r: ~F.array_contains(F.transform(named, lambda x: x["term"]), r)),
+            lambda r, i: F.struct(known_in_resume(norm, r, aliases).alias("in_resume"), F.lit(-1).alias("less"), (i + len(hits)).alias("nth"), r.alias("term")),
+        )))
+    return F.transform(F.array_sort(found), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).alias("jd_count"), x["in_resume"].alias("in_resume")))
+
+
+def soft_skills(posting: Column, resume: Column, lists: Column | None = None) -> Column:
+    """R03, in the lexicon's order."""
     hits = []
     for label, p in map(entry, lx.SKILLS):
         if label in lx.SOFT_SKILLS:
-            n = classify.matches(posting, p)
-            hits.append(F.when(n > 0, F.struct(F.lit(label).alias("term"), n.alias("jd_count"), (has(resume, lx.SOFT_SKILLS[label]) | has(resume, p)).alias("in_resume"))))
+            found = has(resume, lx.SOFT_SKILLS[label]) | has(resume, p)
+            hits.append(_hit(posting, label, p, lists, _told(label, found)))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
@@ -71,33 +98,50 @@ def known_in_resume(resume: Column, term: Column, aliases: dict[str, list[str]]
 
 
 def term_counts(postings: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
-    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. Words of a fragment are in
-    one array, so terms need no window: they are counted in part before the only shuffle."""
+    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. Each word is a row with the
+    one after it, tested once; terms are counted in part before the only shuffle."""
     parts = postings.select(key, F.posexplode(F.split(text, lx.TERM_BREAKS)).alias("part", "t"))
-    words = parts.select(key, F.col("part").cast("long").alias("part"), F.filter(F.split(normalize(F.col("t")), " "), lambda w: w != "").alias("w")).filter("size(w) > 0")
+    words = parts.select(key, F.col("part").cast("long").alias("part"), F.split(normalize(F.col("t")), " ").alias("w")).filter("w[0] <> ''")
+    words = words.select(key, "part", F.posexplode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("after"))).alias("i", "x"))
     ok = lambda w: (F.length(w) >= 3) & ~w.isin(stop or [""]) & ~F.regexp_like(w, F.lit(r"^\d+$"))
-
-    def terms(w: Column, i: Column) -> Column:
-        pos, after = F.col("part") * (1 << 32) + 2 * i.cast("long"), F.get("w", i + 1)
-        pair = F.struct(F.concat_ws(" ", w, after).alias("term"), (pos + 1).alias("pos"))
-        return F.when(ok(w), F.array(F.struct(w.alias("term"), pos.alias("pos")), F.when(after.isNotNull() & ok(after), pair))).otherwise(F.array())
-
-    found = words.select(key, F.explode(F.flatten(F.transform("w", terms))).alias("x")).filter("x is not null")
+    pos = F.col("part") * (1 << 32) + 2 * F.col("i").cast("long")
+    words = words.select(key, pos.alias("pos"), F.col("x.w").alias("w"), F.col("x.after").alias("after")).filter(ok(F.col("w")))
+    pair = F.when(F.col("after").isNotNull() & ok(F.col("after")), F.struct(F.concat_ws(" ", "w", "after").alias("term"), (F.col("pos") + 1).alias("pos")))
+    found = words.select(key, F.explode(F.array(F.struct(F.col("w").alias("term"), "pos"), pair)).alias("x")).filter("x is not null")
     return found.groupBy(key, "x.term").agg(F.count("*").alias("count"), F.min("x.pos").alias("first_pos"))
 
 
-def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude: list[str] = (), limit: int = 15) -> DataFrame:
-    """Key, term, count, nth: the commonest terms; a term that holds, or is held by, a chosen one is skipped."""
+def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude: list[str] = (), limit: int = 15, rules: DataFrame | None = None) -> DataFrame:
+    """Key, term, count, nth: the commonest terms; a term that holds, or is held by, an excluded or a chosen one is
+    skipped. ``rules`` (key, exclude: array<string>, most: int) says for each posting what else to exclude and how many to
+    choose. A posting's terms stream in their order through a task that keeps the chosen ones only, so no list of a posting's
+    terms is made, however many there are."""
+    import pandas as pd
+
     kept = term_counts(postings, key, text, stop).filter("count >= 2")
-    for e in exclude:
-        kept = kept.filter(~(F.lit(e).contains(F.col("term")) | F.col("term").contains(e)))
+    never = F.array(*map(F.lit, exclude)).cast(_EMPTY)
+    if rules is None:
+        kept = kept.withColumns({"exclude": never, "most": F.lit(limit)})
+    else:
+        kept = kept.join(rules.select(key, F.concat("exclude", never).alias("exclude"), "most"), key)
+    kept = kept.filter(~F.exists("exclude", lambda e: e.contains(F.col("term")) | F.col("term").contains(e)))
     weight = F.col("count") * F.when(F.col("term").contains(" "), 1.6).otherwise(1.0)
-    ranked = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-weight).alias("less"), "first_pos", "term", "count"))).alias("r"))
-    start = F.array().cast("array<struct<term:string,count:bigint>>")
-    chosen = F.aggregate("r", start, lambda out, x: F.when(
-        (F.size(out) >= limit) | F.exists(out, lambda o: o["term"].contains(x["term"]) | x["term"].contains(o["term"])), out
-    ).otherwise(F.concat(out, F.array(F.struct(x["term"].alias("term"), x["count"].alias("count"))))))
-    return ranked.select(key, F.posexplode(chosen).alias("nth", "x")).select(key, "x.term", "x.count", "nth")
+    ranked = kept.select(key, (-weight).alias("less"), "first_pos", "term", "count", "most").repartition(key).sortWithinPartitions(key, "less", "first_pos")
+    kind = dict(postings.dtypes)[key]
+
+    def choose(frames):
+        now, chosen = None, []
+        for f in frames:
+            out = []
+            for k, term, n, most in zip(f[key], f["term"], f["count"], f["most"], strict=True):
+                if k != now:
+                    now, chosen = k, []
+                if len(chosen) < most and not any(term in c or c in term for c in chosen):
+                    out.append((k, term, n, len(chosen)))
+                    chosen.append(term)
+            yield pd.DataFrame(out, columns=[key, "term", "count", "nth"])
+
+    return ranked.mapInPandas(choose, f"{key} {kind}, term string, count long, nth int")
 
 
 def title_match(title: Column, resume: Column, stop: list[str] = (), aliases: dict[str, list[str]] | None = None) -> Column:
@@ -158,17 +202,58 @@ def _share(terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda x: x["in_resume"])), F.size(terms)), F.lit(1.0))
 
 
+_TERM = "array<struct<term:string,jd_count:int,in_resume:boolean>>"
+
+
+def report(pairs: DataFrame, this_year: int, stop: list[str], roles: list[str] = (), aliases: dict[str, list[str]] | None = None, key: str = "pair_id") -> DataFrame:
+    """R02-R12, the whole report of each pair (key, title, posting, skills, tools, certifications, resume): hard (terms in
+    order, with their counts), words (soft skills, then the posting's own terms), title_match, required and have (years),
+    asked_degree and degree, checks, points of each part, score, keyword_match, tips, and short_posting.
+
+    Texts are read once for all that patterns say, which is written down, and once for the posting's terms, whose exclusions
+    (hard and soft terms, the title) differ by pair."""
+    own = F.concat(*[F.coalesce(F.col(c), F.array().cast(_EMPTY)) for c in ("skills", "tools", "certifications")])
+    posting = F.coalesce("posting", F.lit(""))
+    texts = pairs.select(key, F.coalesce("title", F.lit("")).alias("title"), posting.alias("posting"), F.concat_ws("\n", F.coalesce("title", F.lit("")), posting).alias("jd"), F.coalesce("resume", F.lit("")).alias("resume"), own.alias("own"))
+    jd, cv = F.col("jd"), F.col("resume")
+    said = classify.tags(F.col("title"), F.col("posting"), list(roles), aliases or {}) if roles else None
+    degree, got = classify.education(jd), classify.education(cv)
+    # used in several places, so it is computed once, before them
+    facts = texts.withColumn("norm", normalize(cv)).select(
+        key, "title", hard_skills(jd, cv, F.col("own"), said, F.col("norm"), aliases).cast(_TERM).alias("hard"), soft_skills(jd, cv, F.col("own")).cast(_TERM).alias("soft"),
+        title_match(F.col("title"), F.col("norm"), stop, aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
+        degree["degree"].alias("asked_degree"), degree["level"].alias("_asked"), got["degree"].alias("degree"), got["level"].alias("_got"),
+        F.struct(*[c.alias(k) for k, c in format_checks(cv).items()]).alias("checks"), format_tips(cv).alias("_tips"), (F.length("posting") < SHORT_POSTING).alias("short_posting"),
+    )
+    facts = stored(facts, "resume-facts")
+    named = F.transform(F.concat("hard", "soft"), lambda x: x["term"])
+    rules = facts.select(key, F.transform(F.concat(named, F.array("title", *map(F.lit, lx.SAID_ANYWAY))), normalize).alias("exclude"), (lx.KEYWORDS - F.size("soft")).alias("most"))
+    terms = keywords(texts, key, "jd", stop, rules=rules)
+    listed = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "term", "count"))).alias("terms"))  # at most KEYWORDS
+    asked = texts.select(key, normalize(cv).alias("norm")).join(listed, key)
+    found = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["count"].cast("int").alias("jd_count"), known_in_resume(F.col("norm"), x["term"], aliases).alias("in_resume")))
+    out = facts.join(asked.select(F.col(key).alias("_key"), found.cast(_TERM).alias("_terms")), F.col(key) == F.col("_key"), "left").drop("_key")
+    out = out.withColumn("words", F.concat("soft", F.coalesce("_terms", F.array().cast(_TERM)))).drop("soft", "_terms")
+    return _scored(out)
+
+
 def analyze(pairs: DataFrame, this_year: int, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """R02-R11 over rows (pair_id, title, posting, resume, terms: array<struct<term, jd_count, in_resume>> from ``keywords``):
-    adds the breakdown, score and keyword_match."""
-    jd = F.concat_ws("\n", "title", "posting")
-    out = pairs.withColumn("jd", jd).withColumn("norm", normalize(F.col("resume")))
-    out = out.withColumn("hard", hard_skills(F.col("jd"), F.col("resume"))).withColumn("words", F.concat(soft_skills(F.col("jd"), F.col("resume")), F.col("terms")))
-    out = out.withColumn("title_match", title_match(F.col("title"), F.col("norm"), aliases=aliases))
-    out = out.withColumn("required", parse.required_years(F.col("jd"))).withColumn("have", parse.resume_years(F.col("resume"), F.lit(this_year)))
-    exp, edu = experience(F.col("required"), F.col("have")), education(F.col("jd"), F.col("resume"))
-    checks = format_checks(F.col("resume"))
-    passed = sum((F.when(c, 1).otherwise(0) for c in checks.values()), F.lit(0)) / len(checks)
+    """The report of pairs (pair_id, title, posting, resume, terms) whose terms are given."""
+    jd, cv = F.concat_ws("\n", "title", "posting"), F.col("resume")
+    degree, got = classify.education(jd), classify.education(cv)
+    out = pairs.withColumn("_norm", normalize(cv)).withColumns({
+        "hard": hard_skills(jd, cv).cast(_TERM), "words": F.concat(soft_skills(jd, cv).cast(_TERM), F.col("terms").cast(_TERM)), "title_match": title_match(F.col("title"), F.col("_norm"), aliases=aliases),
+        "required": parse.required_years(jd), "have": parse.resume_years(cv, F.lit(this_year)), "asked_degree": degree["degree"], "_asked": degree["level"], "degree": got["degree"], "_got": got["level"],
+        "checks": F.struct(*[c.alias(k) for k, c in format_checks(cv).items()]), "_tips": format_tips(cv),
+    }).drop("_norm")
+    return _scored(out)
+
+
+def _scored(out: DataFrame) -> DataFrame:
+    """R10-R12 from the facts of each pair."""
+    exp, edu = experience(F.col("required"), F.col("have")), F.when(F.col("_asked").isNotNull(), F.coalesce(F.col("_got") >= F.col("_asked"), F.lit(False)))
+    names = out.schema["checks"].dataType.names
+    passed = sum((F.when(F.col("checks")[k], 1).otherwise(0) for k in names), F.lit(0)) / len(names)
     hard = F.when(F.size("hard") > 0, _share(F.col("hard"))).otherwise(_share(F.col("words")))
     years = F.when(exp.isNull() | exp, 1.0).when(F.col("have").isNotNull(), F.least(F.lit(0.8), F.col("have") / F.col("required"))).otherwise(0.2)
     parts = {
@@ -178,19 +263,21 @@ def analyze(pairs: DataFrame, this_year: int, aliases: dict[str, list[str]] | No
     out = out.withColumns(parts).withColumn("score", F.floor(sum((F.col(p) for p in parts), F.lit(0.0)) + 0.5).cast("int"))
     every = F.concat("hard", "words")
     matched = F.when(F.size(every) > 0, F.floor(F.size(F.filter(every, lambda x: x["in_resume"])) / F.size(every) * 100 + 0.5)).otherwise(0)
-    return out.withColumn("keyword_match", matched.cast("int")).withColumn("tips", F.concat(tips(exp, edu), format_tips(F.col("resume")))).drop("jd", "norm")
+    out = out.withColumns({"keyword_match": matched.cast("int"), "experience_ok": exp, "education_ok": edu})
+    return out.withColumn("tips", F.concat(tips(exp, edu), F.col("_tips"))).drop("_tips", "_asked", "_got")
 
 
 def tips(exp: Column, edu: Column) -> Column:
     """R12."""
     missing = lambda c, n: F.slice(F.transform(F.filter(c, lambda x: ~x["in_resume"]), lambda x: x["term"]), 1, n)
     hard, words = missing("hard", 8), missing("words", 6)
+    shown = F.coalesce(F.concat(F.lit("; yours show "), F.col("have").cast("string")), F.lit("; give dates for every role"))
     said = F.array(
         F.when(F.size(hard) > 0, F.concat(F.lit("Missing skills and tools: "), F.array_join(hard, ", "))),
         F.when(F.size(words) > 0, F.concat(F.lit("Missing keywords: "), F.array_join(words, ", "))),
         F.when(~F.col("title_match.ok"), F.concat(F.lit("Name the title: "), F.col("title"))),
-        F.when(~exp, F.concat(F.lit("Years asked for: "), F.col("required").cast("string"))),
-        F.when(~edu, F.lit("Name the highest degree.")),
+        F.when(~exp, F.concat(F.lit("Years asked for: "), F.col("required").cast("string"), shown)),
+        F.when(~edu, F.concat(F.lit("Name the highest degree; asked for: "), F.col("asked_degree"))),
     )
     return F.filter(said, lambda x: x.isNotNull())
 

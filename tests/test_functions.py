@@ -22,11 +22,29 @@ def test_every_character_is_decomposed(spark):
     """All of Unicode, against its own decomposition."""
     texts = [f"a{chr(k)}b" for k in range(0x20, 0x2FA20) if not 0xD800 <= k <= 0xDFFF]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
-    several = text._tables()[2]  # those that stand for several characters aren't spelt out
     got = {r["i"]: r["n"] for r in rows.select("i", text.normalize(F.col("t")).alias("n")).collect()}
-    wrong = [(texts[i], n, text.plain(texts[i])) for i, n in got.items() if n != text.plain(texts[i]) and texts[i][1] not in several]
+    wrong = [(texts[i], n, text.plain(texts[i])) for i, n in got.items() if n != text.plain(texts[i])]
     assert not wrong, wrong[:20]
     assert one(spark, text.normalize(F.col("t")), t="Ａ Škoda") == "a skoda"
+    assert one(spark, text.normalize(F.col("t")), t="ﬁnance ½ Škoda Ⅳ ﬃ") == "finance 1 2 skoda iv ffi"
+    assert one(spark, text.normalize(F.col("t")), t="⑴x (y ﬁ) ㎏ﬀ") == text.plain("⑴x (y ﬁ) ㎏ﬀ") == "x kgff"
+
+
+def test_titles_with_words_side_by_side(spark):
+    for said, want in (("Sr Sr dev DEV remote hybrid", "senior senior developer developer"), ("ii", "2"), ("Remote", ""), ("the new job", ""), ("Deveng ii/iii l1", "deveng 2 3 1"), (None, "")):
+        assert one(spark, text.normalize_title(F.col("t")), t=said) == want
+
+
+def test_company_is_a_beginning_at_a_word(spark):
+    from listloom.operators import query
+
+    names = ["Acme Labs Inc.", "acme", "Acme Labs North", "Acmelabs", "ACME L", "", "Inc", "Škoda & Co"]
+    asked = [*names, "acme labs north east"]
+    rows = spark.createDataFrame([(n,) for n in names], "t string").select("t", *[query.company_matches(F.col("t"), w).alias(f"w{k}") for k, w in enumerate(asked)]).collect()
+    for k, wanted in enumerate(asked):
+        for r in rows:
+            a, b = text.plain_company(r["t"]), text.plain_company(wanted)
+            assert r[f"w{k}"] == (a == b or a.startswith(b + " ") or b.startswith(a + " ")), (r["t"], wanted)
 
 
 def test_phrase(spark):

@@ -48,12 +48,25 @@ def status_counts(table: DataFrame) -> DataFrame:
 
 
 def recent(searches: DataFrame, most: int = 6) -> DataFrame:
-    """User, q, city, at: a user's latest searches, once each whatever their case."""
-    same = Window.partitionBy("user", F.lower("q"), F.lower("city")).orderBy(F.desc("at"), F.desc("pos"))
+    """User, q, city, at: a user's latest searches, each once by its words, whatever their case, and place."""
+    same = Window.partitionBy("user", F.lower("q"), "city").orderBy(F.desc("at"), F.desc("pos"))
     last = searches.withColumn("_rn", F.row_number().over(same)).filter("_rn = 1").drop("_rn")
     return last.withColumn("nth", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("at"), F.desc("pos")))).filter(F.col("nth") <= most)
 
 
+def recent_with_hits(searches: DataFrame, results: DataFrame, most: int = 6) -> DataFrame:
+    """``recent`` with ``hits``: the total of the latest answer (user, q, city, at, pos, hits) to that search, whatever its
+    case, as of its latest entry or later; an entry that has no answer yet carries none over from earlier ones, which a new
+    entry replaces."""
+    last = recent(searches, most)
+    key = lambda q: F.lower(q)
+    answers = results.select(F.col("user").alias("_u"), key(F.col("q")).alias("_q"), F.col("city").alias("_c"), F.struct("at", "pos").alias("_at"), F.col("hits").alias("_hits"))
+    same = (F.col("user") == F.col("_u")) & (key(F.col("q")) == F.col("_q")) & (F.col("city") == F.col("_c")) & (F.col("_at") >= F.struct("at", "pos"))
+    # a user has ``most`` entries at most, so answers join a few rows
+    found = last.select("user", "q", "city", "at", "pos").join(answers, same).groupBy("user", "q", "city").agg(F.max_by("_hits", "_at").alias("hits"))
+    return last.join(found, ["user", "q", "city"], "left")
+
+
 def tracker_order(table: DataFrame) -> DataFrame:
     """O14."""
     return table.orderBy(F.coalesce("updated_at", "at").desc(), "id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +58,8 @@ def read_or(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 VERSION = 1
+#: Ids of descriptions that are broadcast; more are joined by a shuffle.
+WANTED = 1_000_000
 
 
 def write_state(listings: DataFrame, path: str, demo: bool = False) -> None:
@@ -121,6 +126,16 @@ def description(spark: SparkSession, folder: str, id_: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/descriptions").filter((F.col("shard") == id_[:2]) & (F.col("id") == id_)).select("id", "description")
 
 
+def descriptions(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
+    """Id, description of the ids (id) that have one. Spark finds out from the ids, at run time, which shards to read;
+    others needn't even be there."""
+    wanted = ids.filter(F.length("id") >= 2).select(F.col("id").alias("_id"), F.substring("id", 1, 2).alias("_shard")).distinct()
+    shards = spark.read.schema("id string, description string, shard string").parquet(f"{folder}/descriptions")
+    few = wanted.limit(WANTED + 1).count() <= WANTED
+    wanted = F.broadcast(wanted) if few else wanted
+    return shards.join(wanted, (F.col("shard") == F.col("_shard")) & (F.col("id") == F.col("_id"))).select("id", "description")
+
+
 def feed_items(listings: DataFrame, keywords: list[str], most: int = 60) -> DataFrame:
     """Pos, item: the first listings with a tag of the set, as XML."""
     hit = listings.filter(F.arrays_overlap("tags", F.array(*map(F.lit, keywords)))).orderBy("pos").limit(most)
@@ -129,6 +144,59 @@ def feed_items(listings: DataFrame, keywords: list[str], most: int = 60) -> Data
     return hit.select("pos", item.alias("item"))
 
 
+def feed_xml(items: DataFrame, title: str, link: str, built: str) -> DataFrame:
+    """Value: the lines of a feed's file: its head, the items (pos, item; at most those of a feed) and its end."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{html.escape(title)}</title><link>{html.escape(link)}</link><lastBuildDate>{html.escape(built)}</lastBuildDate>'
+    ends = items.sparkSession.createDataFrame([(-1, head), (1 << 62, "</channel></rss>")], "pos long, value string")
+    return ends.unionByName(items.select(F.col("pos").cast("long").alias("pos"), F.col("item").alias("value"))).orderBy("pos").select("value")
+
+
+def _swap(spark: SparkSession, folder: str, run: str) -> None:
+    """Makes ``run`` the current one: a small file is written aside and renamed, so that a reader sees the old run or the new."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    aside, current = path(f"{folder}/current.{run}"), path(f"{folder}/current.json")
+    fs = current.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps({"version": VERSION, "run": run}).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(aside, current, overwrite)
+
+
+def write_run(folder: str, tables: dict[str, DataFrame], feeds: dict[str, DataFrame] | None = None) -> str:
+    """The files of a run as JSON lines (a table with a column ``description`` leaves it to shards
+    by the first two characters of the id) and the feeds' XML, under a name of their own; then they become the current run
+    at once. Returns that name."""
+    spark = next(iter(tables.values())).sparkSession
+    run = uuid.uuid4().hex
+    for name, df in tables.items():
+        if "description" in df.columns:
+            shards = df.filter("description is not null").select("id", "description", F.substring("id", 1, 2).alias("shard"))
+            shards.repartition("shard").write.partitionBy("shard").json(f"{folder}/{run}/{name}-descriptions")
+            df = df.drop("description")
+        df.write.json(f"{folder}/{run}/{name}", ignoreNullFields=False)
+    for name, lines in (feeds or {}).items():
+        lines.coalesce(1).write.text(f"{folder}/{run}/feeds/{name}.xml")  # as many items as a feed has
+    _swap(spark, folder, run)
+    return run
+
+
+def read_run(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table of the current run; an empty one if there is no run, or one of another version."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        current = spark.read.schema("version int, run string").json(f"{folder}/current.json").first()
+    except AnalysisException:
+        current = None
+    if current is None or current["version"] != VERSION:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{folder}/{current['run']}/{name}")
+
+
 def tracker_csv(entries: DataFrame, columns: list[str]) -> Column:
     """A line of quoted fields."""
     return F.concat_ws(",", *[csv_quote(F.substring(F.col(c).cast("string"), 1, 10) if dict(entries.dtypes)[c].startswith(("date", "timestamp")) else F.col(c).cast("string")) for c in columns])

@@ -44,3 +44,44 @@ def test_listings_are_merged_batch_by_batch(spark, tmp_path):
     r = {x["title"]: x for x in spark.read.parquet(str(tmp_path / "state" / last[-1])).collect()}
     assert len(last) == 2 and set(r) == {"Cook", "Chef"}  # a board's posting that isn't seen goes within hours
     assert r["Cook"]["seen_at"].hour == 0 and r["Chef"]["seen_at"].hour == 12 and r["Cook"]["description"] == "c"
+
+
+def test_state_of_the_stream_is_that_of_merged_runs(spark, tmp_path):
+    """Every run is a start of the query from its checkpoint; after each, the stream's records are the batch's."""
+    import datetime as dt
+    import random
+
+    from listloom.operators import identity
+
+    random.seed(3)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = "title string, company string, city string, region string, source string, pos long, prio int, description string, salary double, now timestamp"
+        start, live, kept = dt.datetime(2024, 1, 1), {}, None
+
+        def sink(batch, _):
+            for r in batch.collect():
+                live.pop(r["id"], None)
+                if not r["expired"]:
+                    live[r["id"]] = r
+
+        for hours in (0, 4, 9, 11, 30, 77, 150):
+            rows = []
+            for k in range(12):
+                source, prio = random.choice([("lever", 7), ("adzuna", 4), ("jooble", 3)])
+                rows.append((f"Job {random.randrange(9)}", "Acme", "", "ON", source, k, prio, random.choice([None, "d" * random.randrange(5)]), random.choice([None, 1.0, 2.0]), start + dt.timedelta(hours=hours)))
+            fresh = spark.createDataFrame(rows, schema).withColumn("id", identity.fingerprint(F.col("title"), F.col("company"), F.col("city"), F.col("region")))
+            fresh.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(fresh.schema).parquet(str(tmp_path / "in"))
+            q = state.keep_listings(stream, best_or_other=["salary"], longest=["description"]).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+            q.foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+            empty = spark.createDataFrame([], fresh.drop("now").schema).withColumn("seen_at", F.lit(None).cast("timestamp"))
+            kept = identity.merge_previous(fresh.drop("now"), empty if kept is None else spark.createDataFrame(kept, empty.schema), F.lit(start + dt.timedelta(hours=hours)), best_or_other=["salary"], longest=["description"])
+            kept = [tuple(r) for r in kept.select(empty.columns).collect()]
+            cells = ["id", "title", "source", "prio", "description", "salary", "seen_at"]
+            want = {r[empty.columns.index("id")]: tuple(r[empty.columns.index(c)] for c in cells) for r in kept}
+            assert {k: tuple(r[c] for c in cells) for k, r in live.items()} == want, hours
+    finally:
+        spark.conf.set(provider, before)

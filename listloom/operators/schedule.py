@@ -19,14 +19,23 @@ def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 
 
-def broad_plan(spark: SparkSession) -> DataFrame:
-    """Ord, country, region, q, page. The provinces' pages come before the next page of any."""
-    ca = _rows(spark, [(r, i, CA_PAGES.get(r, 1)) for i, r in enumerate(CA_REGIONS)], "region string, i int, pages int")
-    ca = ca.select(F.lit(0).alias("part"), F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"), "i", F.lit("CA").alias("country"), "region", F.lit("").alias("q"))
-    rest = [(1, 1, 0, "CA", "", "remote"), (1, 2, 1, "CA", "", "remote"), *[(2, 1, i, "US", r, "") for i, r in enumerate(US_REGIONS)], (3, 1, 0, "US", "", "remote")]
-    plan = ca.unionByName(_rows(spark, rest, "part int, page int, i int, country string, region string, q string"))
+def broad_plan(spark: SparkSession, ca: DataFrame | None = None, us: DataFrame | None = None) -> DataFrame:
+    """Ord, country, region, q, page. The provinces' pages come before the next page of any. ``ca`` (region, i, pages) and
+    ``us`` (region, i) are the regions in their order, by default the fixed ones."""
+    if ca is None:
+        ca = _rows(spark, [(r, i, CA_PAGES.get(r, 1)) for i, r in enumerate(CA_REGIONS)], "region string, i int, pages int")
+    if us is None:
+        us = _rows(spark, [(r, i) for i, r in enumerate(US_REGIONS)], "region string, i int")
+    row = lambda df, part, page, i, country, region, q: df.select(F.lit(part).alias("part"), page.cast("int").alias("page"), F.col(i).cast("int").alias("i"), F.lit(country).alias("country"), region.alias("region"), F.lit(q).alias("q"))
+    plan = row(ca.withColumn("page", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int")))), 0, F.col("page"), "i", "CA", F.col("region"), "")
+    plan = plan.unionByName(_rows(spark, [(1, 1, 0, "CA", "", "remote"), (1, 2, 1, "CA", "", "remote"), (3, 1, 0, "US", "", "remote")], "part int, page int, i int, country string, region string, q string"))
+    plan = plan.unionByName(row(us, 2, F.lit(1), "i", "US", F.col("region"), ""))
     key = F.when(F.col("part") == 0, F.col("page")).otherwise(0)
-    return plan.select((F.row_number().over(Window.orderBy("part", key, "i", "page")) - 1).alias("ord"), "country", "region", "q", "page")
+    return plan.select((F.row_number().over(Window.orderBy("part", key, "i", "page")) - 1).alias("ord"), "country", "region", "q", "page")  # a plan is some hundred rows
+
+
+#: Cities of a plan, at most.
+CITIES = 1000
 
 
 def keyword_plans(keywords: DataFrame, cities: DataFrame) -> DataFrame:
@@ -44,7 +53,10 @@ def keyword_plans(keywords: DataFrame, cities: DataFrame) -> DataFrame:
     pages = pri.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     remote = F.concat(F.col("keyword"), F.lit(" remote"))
     # the cities are a short configured list: each keyword's row is repeated for them, without a join
-    listed = [F.struct(F.lit(r["city"]).alias("city"), F.lit(r["region"]).alias("region"), F.lit(r["pos"]).alias("cpos")) for r in cities.orderBy("pos").collect()]
+    known = cities.orderBy("pos").limit(CITIES + 1).collect()
+    if len(known) > CITIES:
+        raise ValueError(f"a plan takes at most {CITIES} cities")
+    listed = [F.struct(F.lit(r["city"]).alias("city"), F.lit(r["region"]).alias("region"), F.lit(r["pos"]).alias("cpos")) for r in known]
     towns = pri.withColumn("c", F.explode(F.array(*listed))).select("keyword", "pos", "c.*") if listed else pri.limit(0).selectExpr("keyword", "pos", "'' AS city", "'' AS region", "0 AS cpos")
     us = pri.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
     return (

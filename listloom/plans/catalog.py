@@ -410,19 +410,23 @@ def a23(spark, sf):
 # ------------------------------------------------------------------ plans, links, resumes, tracker, streams
 
 
-@register("g01_broad_plan", "SELECT row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN page ELSE 0 END, i, page) - 1 AS ord, country, region, q, page FROM (SELECT 0 AS part, i, 'CA' AS country, r AS region, '' AS q, unnest(range(1, p + 1)) AS page FROM (VALUES " + ", ".join(f"({i}, '{r}', {schedule.CA_PAGES.get(r, 1)})" for i, r in enumerate(schedule.CA_REGIONS)) + ") t(i, r, p) UNION ALL SELECT 1, p, 'CA', '', 'remote', p FROM (VALUES (1), (2)) t(p) UNION ALL SELECT 2, i, 'US', r, '', 1 FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(schedule.US_REGIONS)) + ") t(i, r) UNION ALL SELECT 3, 0, 'US', '', 'remote', 1)")
+@register("g01_broad_plan", """WITH n AS (SELECT n_name AS r, n_nationkey AS i, n_regionkey, 1 + count(c_custkey) % 5 AS p FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN page ELSE 0 END, i, page) - 1 AS ord, country, region, q, page FROM (SELECT 0 AS part, i, 'CA' AS country, r AS region, '' AS q, unnest(range(1, p + 1)) AS page FROM n WHERE n_regionkey = 1
+UNION ALL SELECT 1, p, 'CA', '', 'remote', p FROM (VALUES (1), (2)) t(p) UNION ALL SELECT 2, i, 'US', r, '', 1 FROM n WHERE n_regionkey <> 1 UNION ALL SELECT 3, 0, 'US', '', 'remote', 1)""")
 def g01(spark, sf):
-    return schedule.broad_plan(spark)
+    nation, customer = tables(spark, sf, "nation", "customer")
+    rows = nation.join(customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("region"), F.col("n_nationkey").alias("i"), "n_regionkey").agg((1 + F.count("c_custkey") % 5).alias("pages"))
+    return schedule.broad_plan(spark, rows.filter("n_regionkey = 1"), rows.filter("n_regionkey <> 1"))
 
 
-_TIERS = [(k, "priority" if i < 4 else "general", i) for i, k in enumerate(v.KEYWORDS)]
-_CITIES = [("Toronto", "ON", 0), ("Halifax", "NS", 1)]
-
-
-@register("g02_keyword_plans", "WITH k(k, t) AS (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t, _ in _TIERS) + "), c(c, r) AS (VALUES ('Toronto', 'ON'), ('Halifax', 'NS')) SELECT lane, country, q, city, region, work_type, page FROM (SELECT 'core' AS lane, 'CA' AS country, k AS q, '' AS city, '' AS region, 'all' AS work_type, p AS page FROM k, (VALUES (1), (2), (3)) x(p) WHERE t = 'priority' UNION ALL SELECT 'core', 'CA', k || ' remote', '', '', 'remote', 1 FROM k WHERE t = 'priority' UNION ALL SELECT 'more', 'CA', k, c, r, 'all', 1 FROM k, c WHERE t = 'priority' UNION ALL SELECT 'more', 'CA', k, '', '', 'all', 1 FROM k WHERE t = 'general' UNION ALL SELECT 'more', 'US', k, '', '', 'all', 1 FROM k UNION ALL SELECT 'more', 'US', k || ' remote', '', '', 'remote', 1 FROM k WHERE t = 'priority')")
+@register("g02_keyword_plans", """WITH k AS (SELECT lower(n_name) AS k, CASE WHEN n_regionkey < 2 THEN 'priority' ELSE 'general' END AS t FROM nation), c AS (SELECT 'City ' || c_custkey % 12 AS c, n_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT lane, country, q, city, region, work_type, page FROM (SELECT 'core' AS lane, 'CA' AS country, k AS q, '' AS city, '' AS region, 'all' AS work_type, p AS page FROM k, (VALUES (1), (2), (3)) x(p) WHERE t = 'priority' UNION ALL SELECT 'core', 'CA', k || ' remote', '', '', 'remote', 1 FROM k WHERE t = 'priority'
+UNION ALL SELECT 'more', 'CA', k, c, r, 'all', 1 FROM k, c WHERE t = 'priority' UNION ALL SELECT 'more', 'CA', k, '', '', 'all', 1 FROM k WHERE t = 'general' UNION ALL SELECT 'more', 'US', k, '', '', 'all', 1 FROM k UNION ALL SELECT 'more', 'US', k || ' remote', '', '', 'remote', 1 FROM k WHERE t = 'priority')""")
 def g02(spark, sf):
-    plans = schedule.keyword_plans(spark.createDataFrame(_TIERS, "keyword string, tier string, pos int"), spark.createDataFrame(_CITIES, "city string, region string, pos int"))
-    return plans.select("lane", "country", "q", "city", "region", "work_type", "page")
+    nation, customer = tables(spark, sf, "nation", "customer")
+    keywords = nation.select(F.lower("n_name").alias("keyword"), F.when(F.col("n_regionkey") < 2, "priority").otherwise("general").alias("tier"), F.col("n_nationkey").cast("int").alias("pos"))
+    cities = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("City "), (F.col("c_custkey") % 12).cast("string")).alias("city"), F.col("n_name").alias("region")).distinct()
+    return schedule.keyword_plans(keywords, cities.withColumn("pos", F.hash("city", "region"))).select("lane", "country", "q", "city", "region", "work_type", "page")
 
 
 @register("g03_allowances", "SELECT event_id, CAST(greatest(0, least(d, floor((s + 1) * d / 24)) - u) AS BIGINT) AS calls FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 240 WHEN 1 THEN 6 ELSE 48 END AS d, event_id % 50 AS u, floor((epoch_ms(ts) % 86400000) / 3600000) AS s FROM events)")
@@ -438,9 +442,15 @@ def g04(spark, sf):
     return events.select("event_id", schedule.hours_until_next(F.lit(6), F.col("event_id") % 7, F.unix_millis(F.col("ts").cast("timestamp")), F.lit(24)).alias("hours"))
 
 
-@register("g05_split", "SELECT * FROM (VALUES ('core', 6::BIGINT), ('more', 3::BIGINT), ('broad', 2::BIGINT)) t(key, calls)")
+@register("g05_split", """WITH l AS (SELECT o_orderpriority AS key, count(*) FILTER (o_orderkey % 150 = 0) AS size, round(0.1 + avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0 END::DOUBLE), 2) AS share, substr(o_orderpriority, 1, 1)::INT AS pos FROM orders GROUP BY ALL),
+x AS (SELECT *, 60.0::DOUBLE * share / sum(share) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS exact FROM l WHERE size > 0), n AS (SELECT *, least(size, floor(exact))::BIGINT AS n, row_number() OVER (ORDER BY exact - floor(exact) DESC, pos) AS turn FROM x),
+t AS (SELECT key, row_number() OVER (ORDER BY t, turn) AS place, left_over FROM (SELECT key, turn, size - n AS room, unnest(range(1, 61)) AS t, 60 - sum(n) OVER () AS left_over FROM n) WHERE t <= room)
+SELECT key, n + (SELECT count(*) FROM t WHERE t.key = n.key AND place <= left_over) AS calls FROM n""")
 def g05(spark, sf):
-    return schedule.split_calls(spark.createDataFrame([("core", 100, 0.6, 0), ("more", 3, 0.3, 1), ("broad", 2, 0.2, 2), ("none", 0, 0.5, 3)], "key string, size long, share double, pos int"), 11)
+    (orders,) = tables(spark, sf, "orders")
+    share = F.round(0.1 + F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0)), 2)
+    lanes = orders.groupBy(F.col("o_orderpriority").alias("key")).agg(F.count_if(F.col("o_orderkey") % 150 == 0).alias("size"), share.alias("share"))
+    return schedule.split_calls(lanes.withColumn("pos", F.substring("key", 1, 1).cast("int")), 60)
 
 
 @register("g13_slugs", _with(f"""SELECT id, array_to_string(list_filter(list_distinct_kept, lambda s: length(s) >= 3), '|') AS slugs FROM (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_kept FROM (

@@ -11,7 +11,7 @@ from ..operators import query, resume, schedule, stats, tracker
 from ..operators import search as search_ops
 from ..sources import files, parsers, robots
 from . import views as v
-from .catalog import T_NOW, _with, register
+from .catalog import _CO, _PLACED, T_NOW, _with, register
 from .views import NOW, listings, now, tables
 
 
@@ -67,9 +67,11 @@ def p08(spark, sf):
     return rows.select("s_suppkey", parse.remote_country(F.expr(_SAID)).alias("country"), parse.epoch_millis(at.cast("long")).cast("long").alias("ms"))
 
 
-@register("g06_rotation", "SELECT CAST(o AS BIGINT) AS ord, CAST((o - 7 + 20) % 20 AS BIGINT) AS turn FROM range(20) r(o) WHERE (o - 7 + 20) % 20 < 15")
+@register("g06_rotation", "SELECT c_custkey AS ord, (c_custkey - 7 + n) % n AS turn FROM customer, (SELECT count(*) AS n FROM customer) WHERE (c_custkey - 7 + n) % n < n * 3 // 5")
 def g06(spark, sf):
-    return schedule.rotate(spark.range(20).withColumnRenamed("id", "ord"), 7, 15, 20)
+    (customer,) = tables(spark, sf, "customer")
+    n = customer.count()
+    return schedule.rotate(customer.select(F.col("c_custkey").alias("ord")), 7, n * 3 // 5, n)
 
 
 _FITS = "CASE event_type WHEN 'click' THEN event_id % 2 = 0 WHEN 'purchase' THEN event_id % 3 = 0 WHEN 'view' THEN NOT ((event_id % 3 = 1 AND event_id % 5 = 0) OR (event_id % 3 = 2 AND event_id % 7 = 0)) ELSE true END"
@@ -209,10 +211,15 @@ def s01(spark, sf):
     return parsers.adzuna(raw, "CA", now()).select("title", "company", "city", "is_remote", F.col("salary.min").alias("low"), F.col("salary.period").alias("period"))
 
 
-@register("s18_keyword_file", "SELECT * FROM (VALUES ('soc analyst', 'priority', 0), ('help desk', 'priority', 1), ('data analyst', 'general', 2)) t(keyword, tier, pos)")
+_LINE = """CASE WHEN c_custkey % 23 = 0 THEN '[General]' WHEN c_custkey % 23 = 11 THEN '  [priority] # more' WHEN c_custkey % 7 = 0 THEN '# ' || c_name WHEN c_custkey % 7 = 1 THEN '' ELSE '  ' || c_mktsegment || '   Job ' || (c_custkey % 31) || CASE c_custkey % 3 WHEN 0 THEN ' # said' ELSE '' END END"""
+
+
+@register("s18_keyword_file", rf"""WITH l AS (SELECT c_custkey AS n, trim(regexp_replace({_LINE}, '#.*$', '')) AS t FROM customer), s AS (SELECT *, nullif(lower(regexp_extract(t, '(?i)^\[(priority|general)\]$', 1)), '') AS sec FROM l),
+m AS (SELECT *, coalesce(last_value(sec IGNORE NULLS) OVER (ORDER BY n), 'priority') AS tier FROM s), k AS (SELECT regexp_replace(lower(t), '\s+', ' ', 'g') AS keyword, arg_min(tier, n) AS tier, min(n) AS n FROM m WHERE t <> '' AND sec IS NULL GROUP BY 1)
+SELECT keyword, tier, row_number() OVER (ORDER BY tier <> 'priority', n) - 1 AS pos FROM k""")
 def s18(spark, sf):
-    lines = ["# keywords", "[general]", "Data  Analyst", "[priority]", "SOC analyst # first", "help desk", "data analyst"]
-    return files.keyword_file(spark.createDataFrame(list(enumerate(lines)), "n int, line string"))
+    (customer,) = tables(spark, sf, "customer")
+    return files.keyword_file(customer.select(F.col("c_custkey").alias("n"), F.expr(_LINE).alias("line")))
 
 
 @register("s28_robots", "SELECT page_id, url LIKE '%page=%' OR NOT regexp_matches(url, '/(fr|de)/') AS allowed FROM pages")
@@ -241,10 +248,11 @@ def j11(spark, sf):
     return link_ops.first_in_group(listings(spark, sf), "company", "pos").select("company", "id")
 
 
-@register("a24_platform_kinds", "SELECT nth, kind, names FROM (VALUES (1, 'general', 'b|a'), (3, 'tech', 'c')) t(nth, kind, names)")
+@register("a24_platform_kinds", "SELECT nth, kind, string_agg(s_name, '|' ORDER BY s_suppkey, s_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (VALUES (1, 'NATION_3'), (2, 'NOWHERE'), (3, 'NATION_21'), (4, 'NATION_8')) k(nth, kind) ON kind = n_name GROUP BY ALL")
 def a24(spark, sf):
-    platforms = spark.createDataFrame([("a", "general", 2), ("b", "general", 1), ("c", "tech", 0), ("d", "odd", 3)], "platform string, kind string, pos int")
-    return link_ops.by_kind(platforms, ["general", "government", "tech"]).select("nth", "kind", F.array_join("platforms", "|").alias("names"))
+    supplier, nation = tables(spark, sf, "supplier", "nation")
+    platforms = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("platform"), F.col("n_name").alias("kind"), F.col("s_suppkey").alias("pos"))
+    return link_ops.by_kind(platforms, ["NATION_3", "NOWHERE", "NATION_21", "NATION_8"]).select("nth", "kind", F.array_join("platforms", "|").alias("names"))
 
 
 @register("o12_best_matches", _with("""SELECT id, score FROM (SELECT id, pos, posted_at, CAST(floor(least(1.0, len(list_filter(w, lambda x: x IN ('Python', 'Leadership', 'AWS', 'PMP'))) / len(w) * 0.8 + CASE WHEN list_contains(tags, 'cloud engineer') THEN 0.2 ELSE 0 END::DOUBLE) * 100 + 0.5) AS INT) AS score
@@ -281,6 +289,14 @@ def a25(spark, sf):
     return stats.derived(stats.per_day(events, "2024-01-31 00:00:00", at="ts"), keywords)[0]
 
 
+@register("a25_us_by_keyword", _with("SELECT k AS keyword, count(t) AS jobs_now, count(t) FILTER (country = 'CA') AS canada, count(t) FILTER (country <> 'CA') AS us FROM (VALUES " + ", ".join(f"({v.quoted(k)})" for k in v.KEYWORDS) + ") x(k) LEFT JOIN (SELECT unnest(tags) AS t, country FROM L) ON t = k GROUP BY k"))
+def a25_us(spark, sf):
+    rows = listings(spark, sf)
+    keywords = spark.createDataFrame([(k,) for k in v.KEYWORDS], "keyword string")
+    none = spark.createDataFrame([], "keyword string, calls long, fetched long")
+    return stats.derived(stats.per_day(rows, "2001-08-02 00:00:00"), stats.keyword_coverage(keywords, rows, none))[1]
+
+
 @register("j06_by_id", _with("SELECT id, id % 4 = 0 AS live FROM L WHERE (id % 4 = 0 OR id % 6 = 0) AND id % 3 = 0"))
 def j06(spark, sf):
     rows = listings(spark, sf).select("id")
@@ -294,10 +310,18 @@ def w08(spark, sf):
     return schedule.remembered_misses(misses, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), 20, 50).select("address")
 
 
-@register("k03_stats", _with(f"""SELECT country, list, key, count FROM (SELECT *, row_number() OVER (PARTITION BY country, list ORDER BY count DESC, fp, key) AS rn FROM (SELECT country, list, key, count(*) AS count, min(pos) AS fp FROM (SELECT c AS country, list, key, pos FROM (
-SELECT country, pos, 'industry' AS list, industry AS key FROM L UNION ALL SELECT country, pos, 'skills', unnest(skills) FROM L UNION ALL SELECT country, pos, 'tools', unnest(tools) FROM L UNION ALL SELECT country, pos, 'source', source FROM L), LATERAL (SELECT unnest([country, NULL]) AS c)) GROUP BY ALL)) WHERE rn <= CASE list WHEN 'industry' THEN 12 WHEN 'skills' THEN 8 ELSE 10 END"""))
+def _lists_sql() -> str:
+    one = {"industry": "industry", "region": _PLACED.format("region"), "work_type": "work_type", "level": "seniority", "source": "source", "city": _PLACED.format("city")}
+    rows = [f"SELECT country, pos, {v.quoted(n)} AS list, {e} AS key FROM L WHERE {e} <> ''" for n, e in one.items()] + [f"SELECT country, pos, {v.quoted(n)}, unnest({n}) FROM L" for n in ("skills", "certifications", "tools")]
+    most = " ".join(f"WHEN {v.quoted(n)} THEN {k}" for n, k in stats.LISTS.items())
+    return f"SELECT country, list, key, count FROM (SELECT *, row_number() OVER (PARTITION BY country, list ORDER BY count DESC, fp, key) AS rn FROM (SELECT country, list, key, count(*) AS count, min(pos) AS fp FROM (SELECT c AS country, list, key, pos FROM ({' UNION ALL '.join(rows)}), LATERAL (SELECT unnest([country, NULL]) AS c)) GROUP BY ALL)) WHERE rn <= CASE list {most} END"
+
+
+@register("k03_stats", _with(_lists_sql() + f" UNION ALL SELECT country, 'total', k, n FROM (SELECT country, count(*) AS total, count(DISTINCT nullif({_CO}, '')) AS employers, count(*) FILTER (work_type = 'remote') AS remote FROM L GROUP BY GROUPING SETS ((country), ())), LATERAL (SELECT unnest(['total', 'employers', 'remote']) AS k, unnest([total, employers, remote]) AS n)"))
 def k03(spark, sf):
-    return files.stats_snapshot(listings(spark, sf), now())[1].filter("list in ('industry', 'skills', 'tools', 'source')").drop("nth")
+    totals, lists = files.stats_snapshot(listings(spark, sf), now())
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("long").alias("count")) for k in ("total", "employers", "remote")]))
+    return lists.drop("nth").unionByName(totals.select("country", F.lit("total").alias("list"), each.alias("x")).select("country", "list", "x.*"))
 
 
 @register("k06_totals", _with("SELECT count(*) AS jobs, count(*) FILTER (country = 'CA') AS canada, count(*) FILTER (id % 5 = 0) AS fetched_this_run FROM L"))
@@ -329,7 +353,8 @@ def s15(spark, sf):
     return schedule.discovered(listings(spark, sf).select("company").distinct(), answers).select("company", "board", "slug")
 
 
-@register("s17_demo", "SELECT i AS nth, CASE i % 5 WHEN 0 THEN 'ON' WHEN 1 THEN 'QC' WHEN 2 THEN 'BC' WHEN 3 THEN 'OK' ELSE 'ID' END AS region, 'Sample Works ' || (i % 6 + 1) AS company, CAST(floor((50000 + 1500 * i) * CASE WHEN i % 5 < 3 THEN 1 ELSE 1.37 END + 0.5) AS BIGINT) AS yearly FROM range(23) r(i)")
+@register("s17_demo", "SELECT i AS nth, CASE i % 5 WHEN 0 THEN 'ON' WHEN 1 THEN 'QC' WHEN 2 THEN 'BC' WHEN 3 THEN 'OK' ELSE 'ID' END AS region, 'Sample Works ' || (i % 6 + 1) AS company, CASE WHEN (50000 + 1500 * i) * CASE WHEN i % 5 < 3 THEN 1 ELSE 1.37 END <= 2000000 * CASE WHEN i % 5 < 3 THEN 1 ELSE 1.37 END THEN CAST(floor((50000 + 1500 * i) * CASE WHEN i % 5 < 3 THEN 1 ELSE 1.37::DOUBLE END + 0.5) AS BIGINT) END AS yearly FROM (SELECT c_custkey AS i FROM customer)")
 def s17(spark, sf):
-    rows = parsers.demo(spark, now())
+    (customer,) = tables(spark, sf, "customer")
+    rows = parsers.demo(spark, now(), customer.count())
     return rows.select(F.regexp_extract("apply_url", r"(\d+)$", 1).cast("long").alias("nth"), "region", "company", F.col("salary_yearly_cad").alias("yearly"))

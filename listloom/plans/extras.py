@@ -71,7 +71,7 @@ def _params_sql() -> str:
     written = ", ".join(f"CASE WHEN {name(n)} NOT IN ('', {v.quoted(d)}) THEN '{n}=' || replace(url_encode({name(n)}), '%20', '+') END" for n, d in params.DEFAULTS.items())
     size = f"CAST(least(100, greatest(5, floor(CASE WHEN coalesce({number('p_pageSize')}, 0) = 0 THEN 25 ELSE {number('p_pageSize')} END))) AS INTEGER)"
     return f"""
-WITH u AS (SELECT {_url('VARCHAR')} FROM pages), s AS (SELECT page_id, '&' || regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS s FROM u),
+WITH u AS (SELECT {_url('VARCHAR')} FROM pages), s AS (SELECT page_id, '&' || regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS s FROM u),
 p AS (SELECT page_id, {', '.join(f'{value(n)} AS {name(n)}' for n in params.DEFAULTS)} FROM s), w AS (SELECT *, array_to_string(list_filter([{written}], lambda x: x IS NOT NULL), '&') AS w FROM p)
 SELECT page_id, CASE WHEN w <> '' THEN '?' || w ELSE '' END AS shortest, CAST({active} AS INTEGER) AS active, trim(substr(p_q, 1, 120)) AS q, {allowed('p_country', ['CA', 'US'], 'ALL')} AS country, substr(regexp_replace(upper(p_region), '[^A-Z]', '', 'g'), 1, 2) AS region,
  trim(substr(p_city, 1, 80)) AS city, {allowed('p_industry', params.INDUSTRIES, 'all')} AS industry, {positive('p_minSalary')} AS min_salary, array_to_string({listed('p_skills')}, '|') AS skills, {allowed('p_level', params.LEVELS, 'all')} AS level,

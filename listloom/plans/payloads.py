@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, parse
+from ..functions import classify, parse, text
 from ..operators import identity, query, resume, tracker
 from ..sources import files, parsers
 from . import views as v
@@ -29,11 +29,13 @@ def _body(df: DataFrame, items: str, item: Column) -> DataFrame:
     return df.select(F.to_json(F.struct(F.array(item).alias(items))).alias("body"))
 
 
-@register("s03_posted_search", _with(f"SELECT title, company, 'CA' AS country, salary_min AS low, apply_url FROM (SELECT {_TITLE} AS title, company, CASE WHEN salary_min IS NOT NULL THEN salary_min END AS salary_min, {_URL} AS apply_url FROM L WHERE id % 4 IN (0, 2))"))
+@register("s03_posted_search", _with(f"SELECT {_TITLE} AS title, company, CASE WHEN id % 4 IN (0, 2) THEN 'CA' ELSE 'US' END AS country, salary_min AS low, {_REGION} AS region, {_URL} AS apply_url FROM L"))
 def s03(spark, sf):
-    df = _raw(spark, sf).filter("id % 4 in (0, 2)")
+    df = _raw(spark, sf)
     item = F.struct("title", F.col("place").alias("location"), F.lit("text").alias("snippet"), F.concat(F.lit("$"), F.col("salary_min").cast("long").cast("string"), F.lit(" a year")).alias("salary"), F.col("url").alias("link"), "company")
-    return parsers.jooble(_body(df, "jobs", item), "CA", now()).select("title", "company", "country", F.col("salary.min").alias("low"), "apply_url")
+    # a call for each country
+    parts = [parsers.jooble(_body(df.filter(half), "jobs", item), country, now()) for half, country in (("id % 4 in (0, 2)", "CA"), ("id % 4 in (1, 3)", "US"))]
+    return parts[0].unionByName(parts[1]).select("title", "company", "country", F.col("salary.min").alias("low"), "region", "apply_url")
 
 
 @register("s04_search_shapes", _with(f"SELECT {_TITLE} AS title, CASE WHEN country = 'CA' THEN 'ON' ELSE 'TX' END AS region, country, len(p) AS options, p[1] AS first FROM (SELECT *, CASE id % 3 WHEN 0 THEN ['Company site (Acme jobs)', 'Indeed'] WHEN 1 THEN ['Indeed'] ELSE ['Company site (Acme jobs)'] END AS p FROM L)"))
@@ -50,30 +52,30 @@ def s04(spark, sf):
     return parsers.jsearch(rows.select(shapes.alias("body")), now()).select("title", "region", "country", F.size("apply_options").cast("long").alias("options"), F.get("apply_options", F.lit(0))["portal"].alias("first"))
 
 
-@register("s05_federal_jobs", _with(f"SELECT {_TITLE} AS title, company, {_REGION} AS region, salary_min AS low, CASE WHEN salary_min IS NOT NULL OR salary_max IS NOT NULL THEN period END AS period FROM L WHERE id % 4 IN (1, 3)"))
+@register("s05_federal_jobs", _with(f"SELECT {_TITLE} AS title, company, {_REGION} AS region, salary_min AS low, CASE WHEN salary_min IS NOT NULL OR salary_max IS NOT NULL THEN period END AS period FROM L"))
 def s05(spark, sf):
     pay = F.struct(F.col("salary_min").cast("string").alias("MinimumRange"), F.col("salary_max").cast("string").alias("MaximumRange"), F.when(F.col("period") == "hourly", "PH").otherwise("PA").alias("RateIntervalCode"))
     item = F.struct(F.struct(
         F.col("title").alias("PositionTitle"), F.col("company").alias("OrganizationName"), F.array("url").alias("ApplyURI"), F.array(F.struct(F.col("place").alias("LocationName"))).alias("PositionLocation"), F.array(pay).alias("PositionRemuneration")
     ).alias("MatchedObjectDescriptor"))
-    df = _raw(spark, sf).filter("id % 4 in (1, 3)").select(F.to_json(F.struct(F.struct(F.array(item).alias("SearchResultItems")).alias("SearchResult"))).alias("body"))
+    df = _raw(spark, sf).select(F.to_json(F.struct(F.struct(F.array(item).alias("SearchResultItems")).alias("SearchResult"))).alias("body"))
     return parsers.usajobs(df, now()).select("title", "company", "region", F.col("salary.min").alias("low"), F.col("salary.period").alias("period"))
 
 
-@register("s06_feed_items", _with(f"SELECT replace({_TITLE}, ' - ', ' ') AS title, company, 'ON' AS region, {_URL} AS apply_url FROM L WHERE NOT contains(title, ' - ')"))
+@register("s06_feed_items", _with(f"SELECT split_part({_TITLE}, ' - ', 1) AS title, company, 'ON' AS region, {_URL} || '?' AS apply_url FROM L"))
 def s06(spark, sf):
-    df = _raw(spark, sf).filter("not contains(title, ' - ')")
+    df = _raw(spark, sf)
     body = F.concat(F.lit("<rss><item><title>"), "title", F.lit(" - Town (ON)</title><link>"), "url", F.lit(";jsessionid=1?</link><description><![CDATA[Employer: "), "company", F.lit(" | Location: Guelph, ON]]></description></item></rss>"))
-    return parsers.feed(df.select(body.alias("body")), now()).select("title", "company", "region", F.regexp_replace("apply_url", r"\?$", "").alias("apply_url"))
+    return parsers.feed(df.select(body.alias("body")), now()).select("title", "company", "region", "apply_url")
 
 
 _SAID = "CASE id % 5 WHEN 0 THEN 'Worldwide' WHEN 1 THEN 'USA' WHEN 2 THEN 'Germany' WHEN 3 THEN 'Canada, US' ELSE 'North America' END"
 _LAND = "CASE id % 5 WHEN 0 THEN 'CA' WHEN 3 THEN 'CA' ELSE 'US' END"
 
 
-@register("s07_remote_feed", _with(f"SELECT {_TITLE} AS title, company, {_LAND} AS country, 'remote' AS work_type, {_URL} AS apply_url FROM L WHERE id % 5 <> 2 AND NOT contains(lower(title), 'hybrid')"))
+@register("s07_remote_feed", _with(f"SELECT {_TITLE} AS title, company, {_LAND} AS country, 'remote' AS work_type, {_URL} AS apply_url FROM L WHERE id % 5 <> 2"))
 def s07(spark, sf):
-    df = _raw(spark, sf).filter("not contains(lower(title), 'hybrid')").withColumn("said", F.expr(_SAID))
+    df = _raw(spark, sf).withColumn("said", F.expr(_SAID))
     item = F.struct("url", "title", F.col("company").alias("company_name"), F.col("said").alias("candidate_required_location"), F.lit("").alias("salary"), F.lit("text").alias("description"))
     return parsers.remotive(_body(df, "jobs", item), now()).select("title", "company", "country", "work_type", "apply_url")
 
@@ -110,11 +112,13 @@ def s09(spark, sf):
     return parsers.union_sources(parts).select("source", "title", "city", "region", "company", "apply_url")
 
 
-@register("s19_aliases", "SELECT canon, variant FROM (VALUES " + ", ".join(f"({v.quoted(k)}, {v.quoted(x)})" for k, xs in v.ALIASES.items() for x in xs) + ") t(canon, variant)")
-def s19(spark, sf):
-    import json
+_ALIASED = """'{"Job ' || c_custkey || '": ["' || lower(c_mktsegment) || ' ' || c_custkey || '", "j' || c_custkey || '"], "none ' || c_custkey || '": []}'"""
 
-    return files.aliases(spark.createDataFrame([(json.dumps(v.ALIASES),)], "body string"))
+
+@register("s19_aliases", "SELECT 'Job ' || c_custkey AS canon, unnest([lower(c_mktsegment) || ' ' || c_custkey, 'j' || c_custkey]) AS variant FROM customer")
+def s19(spark, sf):
+    (customer,) = tables(spark, sf, "customer")
+    return files.aliases(customer.select(F.expr(_ALIASED).alias("body")))
 
 
 @register("s20_companies", "SELECT company, min(n) AS pos FROM (SELECT s_suppkey AS n, 'Acme ' || (s_suppkey % 7) AS company FROM supplier WHERE s_suppkey % 5 <> 0) GROUP BY company")
@@ -134,11 +138,11 @@ def p07(spark, sf):
     return customer.select("c_custkey", parsers.accepts(F.expr(_GATE), F.col("c_custkey") % 10 == 1).alias("accepted"))
 
 
-@register("p10_dates", f"SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 3 = 0 THEN {T_NOW} ELSE o_orderdate END, '%Y-%m-%d') AS day FROM orders")
+@register("p10_dates", f"SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 3 = 0 THEN {T_NOW} ELSE o_orderdate + to_seconds(o_orderkey % 86400) END, '%Y-%m-%d %H:%M:%S') AS said FROM orders")
 def p10(spark, sf):
     (orders,) = tables(spark, sf, "orders")
-    said = F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
-    return orders.select("o_orderkey", F.date_format(parse.safe_timestamp(said, now().cast("timestamp")), "yyyy-MM-dd").alias("day"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400), "yyyy-MM-dd'T'HH:mm:ss"))
+    return orders.select("o_orderkey", F.date_format(parse.safe_timestamp(said, now().cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("said"))
 
 
 @register("p11_markup_values", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, url || ' ' || page_id AS place FROM pages")
@@ -242,7 +246,10 @@ def r07(spark, sf):
     return rows.select("id", resume.experience(F.col("asked"), parse.resume_years(own, F.lit(2024))).alias("years_ok"), resume.education(F.col("body"), own).alias("degree_ok"))
 
 
-@register("c12_profile", _with(f"SELECT id, array_to_string({{0}}, '|') AS skills, array_to_string({{1}}, '|') AS tools, array_to_string({{2}}, '|') AS certs FROM L".format(*(v.extract_sql(x, "body", n) for x, n in ((classify.lx.SKILLS, 50), (classify.lx.TOOLS, 60), (classify.lx.CERTIFICATIONS, 30))))))
+_ROLES = ", ".join(f"CASE WHEN {' OR '.join(v.phrase_sql('h', text.plain(x)) for x in text.variants(k, v.ALIASES))} THEN {v.quoted(k)} END" for k in v.KEYWORDS)
+
+
+@register("c12_profile", _with("SELECT id, array_to_string({0}, '|') AS skills, array_to_string({1}, '|') AS tools, array_to_string({2}, '|') AS certs, array_to_string(list_filter([{3}], lambda x: x IS NOT NULL), '|') AS roles FROM (SELECT *, {4} AS h FROM L)".format(*(v.extract_sql(x, "body", n) for x, n in ((classify.lx.SKILLS, 50), (classify.lx.TOOLS, 60), (classify.lx.CERTIFICATIONS, 30))), _ROLES, v.norm_sql("body"))))
 def c12(spark, sf):
     p = classify.profile(F.col("body"), v.KEYWORDS, v.ALIASES)
-    return listings(spark, sf).select("id", p.alias("p")).select("id", *[F.array_join(f"p.{c}", "|").alias(c) for c in ("skills", "tools", "certs")])
+    return listings(spark, sf).select("id", p.alias("p")).select("id", *[F.array_join(f"p.{c}", "|").alias(c) for c in ("skills", "tools", "certs", "roles")])

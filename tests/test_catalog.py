@@ -1,6 +1,6 @@
 import pytest
 
-from listloom.plans import catalog, details, payloads  # noqa: F401
+from listloom.plans import catalog, details, extras, payloads, reports  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -51,7 +51,7 @@ def let_through(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     the one before, across midnight too.
 
     Each (source, day) is folded on its own, in order, as a stream that keeps two numbers; so a source that makes most calls is
-    dealt out by days. The only thing one day tells the next is its last call. Days are folded again where that changes, until
+    dealt out by days. The only thing that days tell later ones is the last call. Days are folded again where that changes, until
     nothing does; a day that makes a call later than its first gap no longer depends on the day before, so rounds are few."""
     import pandas as pd
 
@@ -80,8 +80,10 @@ def let_through(requests: DataFrame, budgets: DataFrame) -> DataFrame:
         return stored(part.repartition("source", "day").sortWithinPartitions("source", "day", "ms", "nth").mapInPandas(fold, schema), "folded")
 
     def ends(done: DataFrame) -> DataFrame:
-        """What each day tells the next."""
-        return done.filter("made").groupBy("source", (F.col("day") + 1).alias("day")).agg(F.max("ms").alias("carried"))
+        """The last call before each day, over a row a day."""
+        last = done.groupBy("source", "day").agg(F.max(F.when(F.col("made"), F.col("ms"))).alias("last"))
+        earlier = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        return last.withColumn("carried", F.max("last").over(earlier)).filter("carried is not null").select("source", "day", "carried")
 
     done = folded(rows.withColumn("carried", F.lit(None).cast("long")))
     known = done.limit(0).select("source", "day", F.col("ms").alias("carried"))

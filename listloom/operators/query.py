@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, normalize_company, plain, plain_company
+from . import params
 from .search import Matcher
 
 PRIORITY = 14  # sources, the employer's own first: a listing's ``prio`` is 0 to 13
-SORTS = ("newest", "oldest", "salary", "company", "relevance", "resume")
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,10 @@ class SearchParams:
 
 
 def parse_params(raw: dict[str, str]) -> SearchParams:
-    """What isn't allowed falls back on the default; numbers are clamped."""
+    """P17, P20 for one request: what isn't allowed falls back on the default; numbers are clamped. ``params.parsed`` does the
+    same to a whole table."""
+    get = lambda name, most: raw.get(name, "")[:most].strip()
+    one = lambda name, allowed, default: raw[name] if raw.get(name) in allowed else default
 
     def number(name: str) -> float | None:
         try:
@@ -54,8 +57,9 @@ def parse_params(raw: dict[str, str]) -> SearchParams:
             return None
         return n if 0 < n < float("inf") else None
 
-    def listed(name: str) -> tuple[str, ...]:
-        return tuple(x.strip()[:40] for x in raw.get(name, "").split(",") if x.strip())[:10]
+    def listed(name: str, allowed: list[str] | None = None) -> tuple[str, ...]:
+        some = [x.strip()[:40] for x in raw.get(name, "").split(",") if x.strip()][:10]
+        return tuple(x for x in some if allowed is None or x in allowed)
 
     def date(name: str) -> dt.date | None:
         try:
@@ -64,17 +68,19 @@ def parse_params(raw: dict[str, str]) -> SearchParams:
             return None
 
     def whole(name: str, low: int, high: int, default: int) -> int:
-        n = number(name)
-        return min(high, max(low, int(n))) if n else default
-
-    p = SearchParams(
-        q=raw.get("q", "")[:120], country=raw.get("country", "ALL") if raw.get("country") in ("CA", "US", "ALL") else "ALL",
-        region=re.sub("[^A-Z]", "", raw.get("region", "").upper())[:2], city=raw.get("city", "")[:60], company=raw.get("company", "")[:80],
-        skills=listed("skills"), certs=listed("certs"), tools=listed("tools"), has_salary=raw.get("hasSalary") == "1", min_salary=number("minSalary"), max_salary=number("maxSalary"),
-        hide_auth=listed("hideAuth"), sponsorship=raw.get("sponsorship") == "1", within_days=number("days"), date_from=date("from"), date_to=date("to"), boost=listed("boost"),
-        sort=raw.get("sort") if raw.get("sort") in SORTS else "newest", page=whole("page", 1, 1000, 1), page_size=whole("pageSize", 5, 100, 25),
+        try:
+            n = float(raw.get(name, "")) or default
+        except ValueError:
+            n = default
+        return int(min(high, max(low, n // 1 if n == n else default)))
+
+    return SearchParams(
+        q=get("q", 120), country=one("country", ("CA", "US"), "ALL"), region=re.sub("[^A-Z]", "", raw.get("region", "").upper())[:2], city=get("city", 80), company=get("company", 120),
+        industry=one("industry", params.INDUSTRIES, "all"), work_type=one("workType", params.WORK_TYPES, "all"), employment_type=one("employmentType", params.EMPLOYMENT_TYPES, "all"),
+        level=one("level", params.LEVELS, "all"), skills=listed("skills"), certs=listed("certs"), tools=listed("tools"), has_salary=raw.get("hasSalary") == "1", min_salary=number("minSalary"),
+        max_salary=number("maxSalary"), hide_auth=listed("hide", params.AUTH), sponsorship=raw.get("sponsor") == "1", within_days=number("days"), date_from=date("from"), date_to=date("to"),
+        boost=listed("boost", params.LEVELS), sort=one("sort", params.SORTS, "relevance"), page=whole("page", 1, 1000, 1), page_size=whole("pageSize", 5, 100, 25),
     )
-    return replace(p, **{k: raw[n] for k, n in (("industry", "industry"), ("work_type", "workType"), ("employment_type", "employmentType"), ("level", "level")) if re.fullmatch(r"[\w-]{1,40}", raw.get(n, ""))})
 
 
 def company_matches(company: Column, wanted: str) -> Column:

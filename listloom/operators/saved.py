@@ -21,6 +21,8 @@ from .search import compile_query
 ALTERNATIVE = "struct<tag: boolean, phrase: boolean, text: string>"
 SEARCH = f"query string, clauses array<array<array<{ALTERNATIVE}>>>, exclude array<string>"
 PIECE = 3
+#: No listing has a tag without a name.
+NEVER = [[[{"tag": True, "phrase": False, "text": ""}]]]
 #: Keys, and rows of sums, that are broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 
@@ -35,12 +37,20 @@ def compiled(queries: DataFrame, keywords: list[str] = (), aliases: dict[str, li
 
     from ..functions.text import plain
 
+    never = NEVER
+
     def parse(frames):
         for f in frames:
             out = []
             for q in f["query"]:
                 m = compile_query(q or "", keywords, aliases)
                 clauses = [[[*([{"tag": True, "phrase": False, "text": t.tag}] if t.tag else []), *({"tag": False, "phrase": t.phrase or " " in v, "text": plain(v)} for v in t.variants)] for t in c] for c in m.clauses]
+                # of words without letters, a bare one is in every listing and a phrase in none
+                clauses = [[[a for a in t if a["text"]] for t in c if all(a["text"] or a["phrase"] for a in t)] for c in clauses]
+                if any(not c for c in clauses):
+                    clauses = []
+                elif clauses:
+                    clauses = [c for c in clauses if all(c)] or never
                 out.append((q, clauses, list(m.exclude)))
             yield pd.DataFrame(out, columns=["query", "clauses", "exclude"])
 

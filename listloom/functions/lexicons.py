@@ -155,3 +155,8 @@ TERM_BREAKS = r"[,.;:!?()\[\]\n\r•|/]+|\s[-–—]\s"
 # fixed values: how many words a posting is summed up in, and which aren't counted as they are scored as soft skills
 KEYWORDS = 15
 SAID_ANYWAY = ["communication", "leadership", "customer service", "bilingual"]
+
+# fixed values: the sentence and the headings of a run's summary
+SUMMARY = "**%d** jobs live (%d Canada, %d USA). %d fetched this run."
+SOURCE_TABLE = "| Source | Jobs this run | Status |"
+KEYWORD_TABLE = "| Keyword | Jobs on site | Canada | Searches | Status |"

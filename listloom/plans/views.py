@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 NOW = "2001-08-02 00:00:00"
 
 TITLES = [
-    "Sr. Cloud Eng II (Remote)", "Registered Nurse - Full-time", "SOC Analyst L2", "Electrician Apprentice", "Warehouse Associate & Forklift Operator", "Line Cook", "Head of Sales", "Staff Accountant, CPA",
-    "Software Developer", "Help Desk Technician (On-site)", "Jr. DevOps Engineer", "Customer Service Representative", "Truck Driver AZ", "High School Teacher", "Paralegal", "Marketing Coordinator - Part time",
-    "Site Reliability Engineer III", "Data Analyst Intern", "Nursing Manager", "Systems Administrator", "Pharmacist", "Security Guard", "Project Manager [Contract]", "Développeur québécois (hybride)",
+    "Snr. Platform Engr III (Remote)", "Practical Nurse - Part-time", "SOC Analyst L1", "Apprentice Plumber", "Shipping Clerk & Forklift Driver", "Pastry Cook", "Director of Sales", "Payroll Accountant, CMA",
+    "Backend Software Developer", "Help Desk Lead (On-site)", "Jr. Site Reliability Eng", "Client Service Rep", "Long-haul Truck Driver", "Primary School Teacher", "Legal Assistant", "SEO Coordinator - Full time",
+    "Cloud Engineer II", "Business Analyst Intern", "Registered Nurse Supervisor", "Network Admin", "Hospital Pharmacist", "Night Security Guard", "Project Manager [Temporary]", "Infirmière clinicienne québécoise (hybride)",
 ]
 BODIES = [
-    "5+ years of experience with AWS, Terraform and Kubernetes. Security clearance required. Visa sponsorship is not available.",
-    "Work from home. Salary $28 - $35/hr. Registered Nurse (RN) license, CPR. Must be a permanent resident.",
-    "Splunk, Microsoft Sentinel and SIEM; CISSP or Security+ an asset. 2-3 years working in a SOC. Bachelor's degree in computer science.",
-    "Red Seal, WHMIS. Class 5 licence. Overtime, hybrid schedule. 1 year experience. We will sponsor the right person.",
-    "C++ and C# developer, Node.js, .NET; PostgreSQL or MySQL. Legally entitled to work in Canada. $65,000 - $80,000 a year",
-    "Bilingual French and English. Customer service and communication skills. Excel, Power BI; budgeting. Diploma or college.",
-    "Fast-paced kitchen; food safety, SmartServe. Seasonal. 10 years in business, leadership and welding.", "",
+    "At least 4+ years of experience with Docker, Ansible and Azure. Secret clearance required. Sponsorship is not offered.",
+    "Work from home. Pay $31 - $42/hr. Registered Nurse (RN), CPR and First Aid. Must be a permanent resident.",
+    "CrowdStrike, Okta and SIEM; CISM or Security+ helps. 1-2 years working in incident response. Bachelor's degree in engineering.",
+    "Red Seal, WHMIS. Class 3 licence. Shift work, hybrid schedule. 2 years experience. We will sponsor welders; welding tests.",
+    "C++ and C# on Linux, Node.js, .NET; MySQL or MongoDB. Legally authorized to work in Canada. $70,000 - $95,000 a year",
+    "Bilingual: English and French. Customer service and communication skills. Excel, Tableau; forecasting. College diploma.",
+    "Busy kitchen; food safety, Food Handler. Seasonal. 12 years in business, leadership, inventory.", "",
 ]
-PLACES = ["Toronto, ON", "San Jose, CA", "Toronto, ON, CA", "Austin, Texas, US", "Montreal, Quebec, Canada", "Remote", "Vancouver, British Columbia", "New York, NY, USA", "Paris", "Halifax, ns", "", "London, Ontario"]
 SOURCES = ["greenhouse", "lever", "ashby", "smartrecruiters", "workable", "recruitee", "remotive", "himalayas", "canada_job_bank", "usajobs", "adzuna", "jsearch", "jooble", "deep_link"]
 # fixed values: priority of each source where duplicates meet
 PRIORITY = [7, 7, 7, 7, 7, 7, 3, 3, 6, 6, 4, 4, 3, 0]

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lx
 from ..functions.text import csv_quote, xml_escape
 from ..operators import stats
 
@@ -111,8 +112,8 @@ def run_summary(totals: DataFrame, sources: DataFrame, keywords: DataFrame) -> D
     """Nth, line of a summary in Markdown: totals (jobs, canada, fetched_this_run), a table of sources (source, count, ok,
     error) and one of keywords (keyword, jobs_now, canada, calls, thin). All are short."""
     head = totals.select(F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string("**%d** jobs live (%d Canada, %d USA). %d fetched this run.", "jobs", "canada", F.col("jobs") - F.col("canada"), "fetched_this_run").alias("line")),
-        *[F.struct(F.lit(p).alias("part"), F.lit("").alias("key"), F.lit(x).alias("line")) for p, x in ((1, "| Source | Jobs this run | Status |"), (2, "|---|---|---|"), (4, "| Keyword | Jobs on site | Canada | Searches | Status |"), (5, "|---|---|---|---|---|"))],
+        F.struct(F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string(lx.SUMMARY, "jobs", "canada", F.col("jobs") - F.col("canada"), "fetched_this_run").alias("line")),
+        *[F.struct(F.lit(p).alias("part"), F.lit("").alias("key"), F.lit(x).alias("line")) for p, x in ((1, lx.SOURCE_TABLE), (2, "|---|---|---|"), (4, lx.KEYWORD_TABLE), (5, "|---|---|---|---|---|"))],
     )).alias("x")).select("x.*")
     status = F.concat(F.when(F.col("ok"), "ok").otherwise(""), F.coalesce(F.concat(F.lit(" ! "), F.col("error")), F.lit("")))
     by_source = sources.select(F.lit(3).alias("part"), F.col("source").alias("key"), F.format_string("| %s | %d | %s |", "source", "count", status).alias("line"))

@@ -30,6 +30,25 @@ def entry(x) -> tuple[str, str]:
     return label, rf"(^|[^a-z0-9+#])({p})(?![a-z0-9]|\+\+|#)"
 
 
+def stems(p: str) -> list[str] | None:
+    """What a lower-cased text holds one of, if it holds a match of ``p`` (an entry's pattern without its surroundings): the
+    literal beginning of each alternative. None if an alternative has none."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(p):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append(p[start:i])
+            start = i + 1
+    out = []
+    for part in [*parts, p[start:]]:
+        m = re.match(r"[A-Za-z0-9 #&/-]*", part)[0]
+        m = m[:-1] if part[len(m) : len(m) + 1] in ("?", "*", "{") and m else m  # the last character needn't be there
+        if not m:
+            return None
+        out.append(m.lower())
+    return out
+
+
 def spaces(text: Column) -> Column:
     """Runs of white space, no-break spaces included, become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))

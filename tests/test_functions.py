@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from listloom.functions import classify, parse, text
@@ -125,3 +127,18 @@ def test_tags_by_join(spark):
     got = {r["id"]: r["tags"] for r in classify.tags_by_join(rows, "id", F.col("title"), F.col("body"), keywords, aliases).collect()}
     want = {r["id"]: r["t"] for r in rows.select("id", classify.tags(F.col("title"), F.col("body"), keywords[:12], aliases).alias("t")).collect()}
     assert got == {k: t for k, t in want.items() if t} and got[1] == ["soc analyst", "help desk", "trade 7"]
+
+
+def test_stems_are_in_every_match():
+    from listloom.functions import lexicons as lx
+
+    assert text.stems(r"penetration test\w*|pentest\w*") == ["penetration test", "pentest"] and text.stems(r"\.NET") is None and text.stems("Power ?BI") == ["power"]
+    assert text.stems("Epic (EMR|EHR|systems)?") == ["epic "] and text.stems(r"Node(\.js)?") == ["node"] and text.stems("Class [1-5] (licen[cs]e)?") == ["class "]
+    texts = ["penetration tester", "PENTESTS", "Power BI powerbi", "Epic EMR", "Epic", "Class 5 licence", "AZ-104, SC-200", "Security+", "c++ C# .net node.js", "ISO 27001 SOC2 PCI", "first aid CPR", "budgeting forecasts", "Red Seal"]
+    for x in [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]:
+        label, p = text.entry(x)
+        own = x[1] if isinstance(x, tuple) else text.entry(x)[1].split(")(", 1)[1].rsplit(")(?!", 1)[0]
+        begun = text.stems(own)
+        for t in [*texts, label, f"a {label}, b"]:
+            if begun and re.search(p, t, re.IGNORECASE):
+                assert any(s in t.lower() for s in begun), (label, t)

@@ -109,7 +109,8 @@ def term_counts(postings: DataFrame, key: str, text: str, stop: list[str]) -> Da
     parts = postings.select(key, F.posexplode(F.split(text, lx.TERM_BREAKS)).alias("part", "t"))
     words = parts.select(key, F.col("part").cast("long").alias("part"), F.split(normalize(F.col("t")), " ").alias("w")).filter("w[0] <> ''")
     words = words.select(key, "part", F.posexplode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("after"))).alias("i", "x"))
-    ok = lambda w: (F.length(w) >= 3) & ~w.isin(stop or [""]) & ~F.regexp_like(w, F.lit(r"^\d+$"))
+    # normalised words have letters and digits only, and letters sort last
+    ok = lambda w: (F.length(w) >= 3) & ~w.isin(stop or [""]) & ((w >= "a") | F.regexp_like(w, F.lit("[a-z]")))
     pos = F.col("part") * (1 << 32) + 2 * F.col("i").cast("long")
     words = words.select(key, pos.alias("pos"), F.col("x.w").alias("w"), F.col("x.after").alias("after")).filter(ok(F.col("w")))
     pair = F.when(F.col("after").isNotNull() & ok(F.col("after")), F.struct(F.concat_ws(" ", "w", "after").alias("term"), (F.col("pos") + 1).alias("pos")))

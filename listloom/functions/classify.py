@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import entry, has, has_phrase, ngrams, normalize, pattern, plain, variants
+from .text import begun, bound, edged, entry, has, has_phrase, ngrams, normalize, pattern, plain, told, variants
 
 
 def _first(text: Column, rules: list) -> Column:
-    return F.coalesce(*[F.when(has(text, r[1]), r[0]) for r in rules])
+    return bound(edged(text), lambda e: F.coalesce(*[F.when(told(e, text, r[1]), r[0]) for r in rules]))
 
 
 def industry(title: Column, hint: Column | None = None) -> Column:
@@ -34,21 +34,21 @@ def employment_type(text: Column) -> Column:
 
 def seniority(title: Column, body: Column) -> Column:
     """By title, else by the first number of years in the body; null if neither says."""
-    by_title = F.coalesce(*[F.when(has(F.lower(title), p, False), s) for s, p in lx.SENIORITY])
+    by_title = bound(F.lower(title), lambda t: bound(edged(t), lambda e: F.coalesce(*[F.when(begun(e, p) & has(t, p, False), s) for s, p in lx.SENIORITY])))
     y = F.nullif(F.regexp_extract(body, pattern(lx.YEARS), 1), F.lit("")).cast("int")
     return F.coalesce(by_title, F.when(y <= 1, "entry").when(y <= 4, "mid").when(y <= 8, "senior").when(y > 8, "lead"))
 
 
 def extract(lexicon: list, text: Column, most: int = 8) -> Column:
     """Labels of the entries found, in the lexicon's order, at most ``most``."""
-    found = F.array(*[F.when(has(text, p), label) for label, p in map(entry, lexicon)])
-    return F.slice(F.filter(found, lambda x: x.isNotNull()), 1, most)
+    found = bound(edged(text), lambda e: F.filter(F.array(*[F.when(told(e, text, p), label) for label, p in map(entry, lexicon)]), lambda x: x.isNotNull()))
+    return F.slice(found, 1, most)
 
 
 def work_auth(text: Column) -> Column:
     """A negative form takes sponsorship away."""
-    found = F.filter(F.array(*[F.when(has(text, p), k) for k, p in lx.WORK_AUTH]), lambda x: x.isNotNull())
-    return F.when(F.array_contains(found, "no-sponsorship"), F.array_remove(found, "sponsorship")).otherwise(found)
+    found = bound(edged(text), lambda e: F.filter(F.array(*[F.when(told(e, text, p), k) for k, p in lx.WORK_AUTH]), lambda x: x.isNotNull()))
+    return bound(found, lambda a: F.when(F.array_contains(a, "no-sponsorship"), F.array_remove(a, "sponsorship")).otherwise(a))
 
 
 def tags(title: Column, text: Column, keywords: list[str], aliases: dict[str, list[str]]) -> Column:
@@ -104,7 +104,7 @@ def source_portal(source: Column) -> Column:
 
 def education(text: Column) -> Column:
     """struct<degree, level> of the highest degree named, or null."""
-    return F.coalesce(*[F.when(has(text, p), F.struct(F.lit(n).alias("degree"), F.lit(k).alias("level"))) for n, p, k in lx.EDUCATION])
+    return bound(edged(text), lambda e: F.coalesce(*[F.when(told(e, text, p), F.struct(F.lit(n).alias("degree"), F.lit(k).alias("level"))) for n, p, k in lx.EDUCATION]))
 
 
 def soft_skills(text: Column) -> Column:

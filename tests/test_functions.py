@@ -142,3 +142,25 @@ def test_stems_are_in_every_match():
         for t in [*texts, label, f"a {label}, b"]:
             if begun and re.search(p, t, re.IGNORECASE):
                 assert any(s in t.lower() for s in begun), (label, t)
+
+
+def test_patterns_are_tried_where_they_may_begin(spark):
+    """The edged text never hides a match: rules and entries give what matching each pattern gives, on odd texts too."""
+    assert text.starts(r"\b(ph\.?\s?d|doctorate)\b") == [" ph", " doctorate"] and text.starts(text.entry((".NET", r"\.NET"))[1]) == [" net"]
+    assert text.starts(r"\b(legally )?(eligible|entitled)\b") == [" legally ", " eligible", " entitled"] and text.starts(r"(\d{1,2})\+? years") is None
+    odd = ["C++/C#,.NET;Node.js", "x_RN rn_x «RN»", "KRN İRN", "éRN RNé", "Security+ AZ-500 AZ-1", "RN+ RN++ RN#", "ph.d Ph D b.sc b a", "U.S. citizens only", "won't sponsor; no LMIA", "", "co-op full-stack part  time", "SOC 2\nISO27001\tK8S", "full stack sre"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    t = F.col("t")
+    lexicon = [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]
+    plain = F.filter(F.array(*[F.when(text.has(t, p), k) for k, p in map(text.entry, lexicon)]), lambda x: x.isNotNull())
+    first = F.coalesce(*[F.when(text.has(t, p), k) for k, p in lx.INDUSTRY])
+    level = F.coalesce(*[F.when(text.has(t, p), k) for _, p, k in lx.EDUCATION])
+    rows = df.select(plain.alias("a"), classify.extract(lexicon, t, 200).alias("b"), first.alias("c"), classify._first(t, lx.INDUSTRY).alias("d"), level.alias("e"), classify.education(t)["level"].alias("f")).collect()
+    assert [(r["a"], r["c"], r["e"]) for r in rows] == [(r["b"], r["d"], r["f"]) for r in rows]
+
+
+def test_listings_are_dealt_over_the_cores(spark, sf):
+    """One row group is one task of a scan; the work on its rows isn't."""
+    from listloom.plans import views
+
+    assert views.listings(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

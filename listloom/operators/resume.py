@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
 from ..functions import lexicons as lx
-from ..functions.text import bound, entry, has, has_phrase, normalize, normalize_title, pattern, plain, stems, variants
+from ..functions.text import begun, bound, edged, entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
 from ..storage import stored
 
 _EMPTY = "array<string>"
@@ -29,18 +27,15 @@ def match_score(wanted: Column, have: Column, tags: Column, roles: Column) -> Co
     return F.struct(F.floor(score * 100 + 0.5).cast("int").alias("score"), matched.alias("matched"), missing.alias("missing"))
 
 
-def _hit(posting: Column, label: str, p: str, lists: Column | None, fields, low: Column | None = None) -> Column:
-    """``fields`` of the entry's count in the posting (1 at least) if the posting or ``lists`` name it, else null. With ``low``,
-    the posting in lower case, patterns are only matched where their literal beginnings are found."""
+def _hit(posting: Column, label: str, p: str, lists: Column | None, fields, low: Column) -> Column:
+    """``fields`` of the entry's count in the posting (1 at least) if the posting or ``lists`` name it, else null. ``low`` is
+    the posting ``edged``: patterns are only matched where their literal beginnings are found in it."""
 
     def of(n: Column) -> Column:
         listed = F.coalesce(F.array_contains(lists, label), F.lit(False)) if lists is not None else F.lit(False)
         return F.when((n > 0) | listed, F.struct(*fields(F.greatest(n, F.lit(1)))))
 
-    n, begun = classify.matches(posting, p), stems(p.removeprefix(entry("")[1].split("()")[0] + "(").removesuffix(")" + entry("")[1].split("()")[1]))
-    if low is not None and begun:
-        n = F.when(functools.reduce(lambda a, b: a | b, [low.contains(x) for x in begun]), n).otherwise(0)
-    return bound(n, of)
+    return bound(F.when(begun(low, p), classify.matches(posting, p)).when(posting.isNotNull(), 0), of)
 
 
 def _ranked(label: str, nth: int, there: Column):
@@ -55,27 +50,27 @@ def hard_skills(posting: Column, resume: Column, lists: Column | None = None, ro
     """array<struct<term, jd_count, in_resume>>, missing ones first, then by count: lexicon entries named in the
     posting or in the job's own ``lists``, then target ``roles`` (C07) that aren't among them, looked for with their variants in
     ``norm``, the normalised resume."""
-    hits = []
-    for label, p in map(entry, [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]):
-        if label not in lx.SOFT_SKILLS:
-            hits.append(_hit(posting, label, p, lists, _ranked(label, len(hits), has(resume, p)), low))
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    named = [(label, p) for label, p in map(entry, [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS]) if label not in lx.SOFT_SKILLS]
+
+    def of(e: Column) -> Column:
+        return F.filter(F.array(*[_hit(posting, label, p, lists, _ranked(label, i, has(resume, p)), e) for i, (label, p) in enumerate(named)]), lambda x: x.isNotNull())
+
+    found = bound(edged(posting), of) if low is None else of(low)
     if roles is not None:
-        found = bound(found, lambda named: F.concat(named, F.transform(
-            F.filter(roles, lambda r: ~F.array_contains(F.transform(named, lambda x: x["term"]), r)),
-            lambda r, i: F.struct(known_in_resume(norm, r, aliases).alias("in_resume"), F.lit(-1).alias("less"), (i + len(hits)).alias("nth"), r.alias("term")),
+        found = bound(found, lambda there: F.concat(there, F.transform(
+            F.filter(roles, lambda r: ~F.array_contains(F.transform(there, lambda x: x["term"]), r)),
+            lambda r, i: F.struct(known_in_resume(norm, r, aliases).alias("in_resume"), F.lit(-1).alias("less"), (i + len(named)).alias("nth"), r.alias("term")),
         )))
     return F.transform(F.array_sort(found), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).alias("jd_count"), x["in_resume"].alias("in_resume")))
 
 
 def soft_skills(posting: Column, resume: Column, lists: Column | None = None, low: Column | None = None) -> Column:
     """R03, in the lexicon's order."""
-    hits = []
-    for label, p in map(entry, lx.SKILLS):
-        if label in lx.SOFT_SKILLS:
-            found = has(resume, lx.SOFT_SKILLS[label]) | has(resume, p)
-            hits.append(_hit(posting, label, p, lists, _told(label, found), low))
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    def of(e: Column) -> Column:
+        hits = [_hit(posting, label, p, lists, _told(label, has(resume, lx.SOFT_SKILLS[label]) | has(resume, p)), e) for label, p in map(entry, lx.SKILLS) if label in lx.SOFT_SKILLS]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    return bound(edged(posting), of) if low is None else of(low)
 
 
 def in_resume(resume: Column, term: Column) -> Column:
@@ -226,7 +221,7 @@ def report(pairs: DataFrame, this_year: int, stop: list[str], roles: list[str] =
     said = classify.tags(F.col("title"), F.col("posting"), list(roles), aliases or {}) if roles else None
     degree, got = classify.education(jd), classify.education(cv)
     # used in several places, so it is computed once, before them
-    facts = texts.withColumns({"norm": normalize(cv), "low": F.lower(jd)}).select(
+    facts = texts.withColumns({"norm": normalize(cv), "low": edged(jd)}).select(
         key, "title", hard_skills(jd, cv, F.col("own"), said, F.col("norm"), aliases, F.col("low")).cast(_TERM).alias("hard"), soft_skills(jd, cv, F.col("own"), F.col("low")).cast(_TERM).alias("soft"),
         title_match(F.col("title"), F.col("norm"), stop, aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
         degree["degree"].alias("asked_degree"), degree["level"].alias("_asked"), got["degree"].alias("degree"), got["level"].alias("_got"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse
 from ..functions import lexicons as lx
 from ..functions.text import begun, bound, edged, entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
-from ..storage import stored
+from ..storage import small, stored
 
 _EMPTY = "array<string>"
 #: A posting of fewer characters says too little for a score to mean much.
@@ -98,19 +98,41 @@ def known_in_resume(resume: Column, term: Column, aliases: dict[str, list[str]]
     return F.exists(variants_of(term, aliases), lambda v: in_resume(resume, v))
 
 
-def term_counts(postings: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
-    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. Each word is a row with the
-    one after it, tested once; terms are counted in part before the only shuffle."""
-    parts = postings.select(key, F.posexplode(F.split(text, lx.TERM_BREAKS)).alias("part", "t"))
-    words = parts.select(key, F.col("part").cast("long").alias("part"), F.split(normalize(F.col("t")), " ").alias("w")).filter("w[0] <> ''")
-    words = words.select(key, "part", F.posexplode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("after"))).alias("i", "x"))
+def _counted(text: Column, stop: list[str]) -> Column:
+    """R05 of one text: array<struct<term, count, first_pos>>, by runs of equal terms in their order."""
     # normalised words have letters and digits only, and letters sort last
     ok = lambda w: (F.length(w) >= 3) & ~w.isin(stop or [""]) & ((w >= "a") | F.regexp_like(w, F.lit("[a-z]")))
-    pos = F.col("part") * (1 << 32) + 2 * F.col("i").cast("long")
-    words = words.select(key, pos.alias("pos"), F.col("x.w").alias("w"), F.col("x.after").alias("after")).filter(ok(F.col("w")))
-    pair = F.when(F.col("after").isNotNull() & ok(F.col("after")), F.struct(F.concat_ws(" ", "w", "after").alias("term"), (F.col("pos") + 1).alias("pos")))
-    found = words.select(key, F.explode(F.array(F.struct(F.col("w").alias("term"), "pos"), pair)).alias("x")).filter("x is not null")
-    return found.groupBy(key, "x.term").agg(F.count("*").alias("count"), F.min("x.pos").alias("first_pos"))
+
+    def of(words: Column, part: Column) -> Column:
+        pos = lambda i, k: (part.cast("long") * (1 << 32) + 2 * i.cast("long") + k).alias("pos")
+
+        def said(w: Column, i: Column) -> Column:
+            after = F.get(words, i + 1)
+            pair = F.when(after.isNotNull() & ok(after), F.struct(F.concat_ws(" ", w, after).alias("term"), pos(i, 1)))
+            return F.when(ok(w), F.array(F.struct(w.alias("term"), pos(i, 0)), pair)).otherwise(F.array(F.lit(None).cast("struct<term:string,pos:bigint>")))
+
+        return F.flatten(F.transform(words, said))
+
+    every = F.flatten(F.transform(F.split(text, lx.TERM_BREAKS), lambda t, i: bound(F.split(normalize(t), " "), lambda w: of(w, i))))
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
+        return bound(first, lambda f: F.transform(f, lambda i, k: F.struct(
+            F.get(s, i)["term"].alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("long").alias("count"), F.get(s, i)["pos"].alias("first_pos"))))
+
+    return bound(F.sort_array(F.filter(every, lambda x: x.isNotNull())), runs)
+
+
+def term_counts(postings: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
+    """Key, term, count, first_pos of words and word pairs; pairs don't cross punctuation. A posting's terms are
+    counted where its text is; only those of postings that share a key are shuffled."""
+    counted = lambda rows: rows.select(key, F.explode(_counted(F.col(text), stop)).alias("x")).select(key, "x.*")
+    again = postings.groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again")
+    if again.isEmpty():
+        return counted(postings)
+    again, same = small(again, 100_000), F.col(key).eqNullSafe(F.col("_again"))
+    more = counted(postings.join(again, same, "left_semi")).groupBy(key, "term").agg(F.sum("count").alias("count"), F.min("first_pos").alias("first_pos"))
+    return counted(postings.join(again, same, "left_anti")).unionByName(more)
 
 
 def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude: list[str] = (), limit: int = 15, rules: DataFrame | None = None) -> DataFrame:

@@ -246,3 +246,28 @@ def test_next_call_of_any_number_of_runs(spark):
         return int((t - slot) * 24 / r + 0.5)
 
     assert got == [(*x, want(*x)) for x in [*rows, (6, None, 0, 24)]]
+
+
+def test_terms_of_postings_that_share_a_key_meet(spark):
+    """A posting is counted where it is; postings of one key, null too, are one, and no posting's terms are shuffled if none do."""
+    rows = [(1, "solar panel, solar panel."), (2, "wind farm"), (1, "solar wind"), (None, "wind farm"), (None, "farm wind farm"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {(r["k"], r["term"]): r["count"] for r in resume.term_counts(df, "k", "t", ["the"]).collect()}
+    assert got[1, "solar"] == 3 and got[1, "solar panel"] == 2 and got[1, "solar wind"] == 1 and got[None, "farm"] == 3 and got[None, "wind farm"] == 2 and got[2, "wind farm"] == 1 and len(got) == 12
+    plan = resume.term_counts(df.filter("k = 2"), "k", "t", [])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_few_platforms_are_sent_to_the_searches(spark):
+    """No shuffle by the two countries."""
+    searches = spark.createDataFrame([(1, "a", "CA", "", "", "legal")], "search_id int, q string, country string, region string, city string, industry string")
+    platforms = spark.createDataFrame([("one", "CA", "https://one.example/{q}", 1)], "platform string, country string, template string, pos int")
+    plan = links.deep_links(searches, platforms)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_options_of_few_pages_groups_are_not_collected(spark, sf):
+    from listloom.plans import catalog
+
+    plan = catalog.QUERIES["d04_options"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "min_by" in plan  # the one is of at most 12

@@ -164,3 +164,11 @@ def test_listings_are_dealt_over_the_cores(spark, sf):
     from listloom.plans import views
 
     assert views.listings(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_ngrams_are_made_once_for_each_text(spark, sf):
+    """They were made anew for the filter and for each column."""
+    from listloom.plans import catalog
+
+    plan = catalog.QUERIES["t09_ngrams"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1

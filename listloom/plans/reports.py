@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import text
 from ..operators import resume
+from ..storage import spread
 from . import views as v
 from .catalog import _BULLETS, _HEADED, _LENGTH, _LINES, _NUMBERS, register  # noqa: F401
 from .views import tables
@@ -110,7 +111,7 @@ FROM y"""
 
 @register("r12_report", _report_sql())
 def r12(spark, sf):
-    (docs,) = tables(spark, sf, "documents")
+    docs = spread(*tables(spark, sf, "documents"))
     rows = spark.sql(pairs_sql("array").replace("FROM documents d LEFT JOIN documents e", "FROM {docs} d LEFT JOIN {docs} e"), docs=docs)
     out = resume.report(rows, YEAR, STOP, v.KEYWORDS, v.ALIASES)
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["term"], x["jd_count"].cast("string"), x["in_resume"].cast("string"))), "|")

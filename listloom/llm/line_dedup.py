@@ -121,24 +121,27 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.bool_or(short & (F.col("n0") >= 2)).alias("replaced"), F.bool_or(short & (F.col("n1") >= 1)).alias("inserted"), F.bool_or(~short & (F.col("n0") >= 1)).alias("deleted")
     )
     wanted = stored(wanted.filter("replaced or inserted or deleted").join(distinct.select("h", "first"), "h"), "neighbours")
+    # one number stands for a text and its place in the order: of a variant nothing else is stored or shuffled
+    wanted = stored(wanted.orderBy("first").withColumn("no", F.monotonically_increasing_id()), "numbered")
 
     # their texts, from the documents, at the place of the representative
-    wanted = wanted.select("h", "first", "first.*", "replaced", "inserted", "deleted")
+    wanted = wanted.select("h", "no", "first.*", "replaced", "inserted", "deleted")
     texts = _lines(docs, doc_id, text).withColumn("h", _hashes(line, n)).join(small(wanted, BROADCAST_ROWS), ["h", "doc", "row", "pos"]).dropDuplicates(["h"])
-    texts = stored(texts.select("h", "first", "line", "replaced", "inserted", "deleted"), "neighbour-texts")
+    texts = stored(texts.select("h", "no", "line", "replaced", "inserted", "deleted"), "neighbour-texts")
 
-    keys = texts.select("h", "first", "replaced", "inserted", "deleted", F.explode(_variant_keys(F.col("line"))).alias("k")).select("*", "k.role", "k.key").drop("k")
-    role = F.col("role")
+    keys = texts.select("no", "replaced", "inserted", "deleted", F.explode(_variant_keys(F.col("line"))).alias("k")).select("*", "k.role", "k.key").drop("k")
+    role, no = F.col("role"), F.col("no")
     keys = keys.filter(((role == 0) & F.col("replaced")) | ((role == 1) & F.col("deleted")) | ((role == 2) & F.col("inserted")))
-    keys = stored(keys.select("key", "role", "h", "first"), "variants")
-    at = F.struct("first", "h")
-    earliest = keys.groupBy("key").agg(*[F.min(F.when(role == r, at)).alias(f"e{r}") for r in (0, 1, 2)])
+    keys = stored(keys.select("key", "role", "no"), "variants")
+    earliest = keys.groupBy("key").agg(*[F.min(F.when(role == r, no)).alias(f"e{r}") for r in (0, 1, 2)], F.max(F.when(role == 0, no)).alias("last"))
+    # most keys are of one line and link nothing: only the others meet the variants again
+    linking = stored(earliest.filter("e0 < last or (e1 is not null and e2 is not null)").drop("last"), "linking-keys")
     # a variant with its place links its lines to each other; a whole line is linked to the lines it is a variant of
     other = F.when(role == 0, F.col("e0")).when(role == 1, F.col("e2")).otherwise(F.col("e1"))
-    linked = keys.join(earliest, "key").withColumn("other", other).filter(F.col("other.first") < F.col("first"))
-    linked = linked.groupBy("h").agg(F.min("other").alias("other")).select("h", F.col("other.h").alias("h2"))
-    a, b = texts.select("h", F.col("line").alias("a")), texts.select(F.col("h").alias("h2"), F.col("line").alias("b"))
-    near = linked.join(a, "h").join(b, "h2").filter(F.levenshtein("a", "b", 1) >= 0).select("h", F.lit(True).alias("near"))
+    linked = keys.join(small(linking, BROADCAST_ROWS), "key").withColumn("other", other).filter(F.col("other") < no)
+    linked = linked.groupBy("no").agg(F.min("other").alias("other"))
+    a, b = texts.select("no", "h", F.col("line").alias("a")), texts.select(no.alias("other"), F.col("line").alias("b"))
+    near = linked.join(a, "no").join(b, "other").filter(F.levenshtein("a", "b", 1) >= 0).select("h", F.lit(True).alias("near"))
 
     # every line of a dropped text, and every line but the first of an equal text
     groups = distinct.select("h", "first", "copies").join(near, "h", "left").filter((F.col("copies") > 1) | F.col("near"))

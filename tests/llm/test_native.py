@@ -189,6 +189,18 @@ def test_line_dedup_is_brute_force(spark):
     assert text == cut | {70: None}
 
 
+def test_line_dedup_stores_numbers_of_variants_and_joins_only_keys_that_link(spark, monkeypatch):
+    kept = {}
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    # near copies: each shares its first half with all others, two of them are one edit apart
+    lines = ["the same beginning of every line of this template " + random.Random(i).randbytes(20).hex() for i in range(30)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[7] + "."])], "doc_id long, text string")
+    assert {(r["doc"], r["pos"]) for r in line_dedup.repeated_lines(docs).collect()} == {(30, 0)}
+    assert dict(kept["variants"].dtypes) == {"key": "bigint", "role": "int", "no": "bigint"}
+    assert kept["variants"].count() > 1000 > 10 > kept["linking-keys"].count() > 0
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     long, script = "one line of more than five words", "\u6587" * 30
     rows = [(1, f"Les.\n{long}\n\n{script}\nNo 12"), (2, f"Les.\n{long}\n\n{script}\nNo 12"), (3, f"Des.\n{script[1:]}\nNo 13\n \nLes."), (4, "Les.\nLes.")]

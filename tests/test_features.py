@@ -33,6 +33,19 @@ def test_saved_searches_are_brute_force(spark, monkeypatch, few):
     assert got == want
 
 
+def test_saved_searches_store_words_and_counts_not_pieces_and_hits(spark, monkeypatch):
+    """What is stored grows with the distinct words and the times of a search, not with the listings' pieces or the hits; ids may repeat."""
+    kept = {}
+    stored = saved.stored
+    monkeypatch.setattr(saved, "stored", lambda df, label: kept.update({label: stored(df, label)}) or kept[label])
+    rows = spark.range(400).selectExpr("id % 100 AS id", "'acme ' || if(id % 4 = 0, 'inc analyst', 'ltd') AS hay", "CAST(array() AS array<string>) AS tags", "CAST(if(id % 2 = 0, '2024-01-02', '2024-01-03') AS timestamp_ntz) AS posted_at")
+    sets = spark.range(90).selectExpr("id AS set", "if(id % 2 = 0, '-inc', 'analyst \"inc\"') AS query", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id AS int)) AS since")
+    got = {r["set"]: r["new"] for r in saved.new_counts(rows, sets).collect()}
+    assert got == {k: (300 if k < 24 else 200 if k < 48 else 0) if k % 2 == 0 else (100 if k < 24 else 0) for k in range(90)}
+    assert kept["hits"].count() == 2 and kept["tokens"].count() == 4
+    assert kept["listings"].count() == 400 and "listing-keys" not in kept
+
+
 def test_plan_of_saved_searches_has_no_cross_join(spark):
     rows = spark.createDataFrame([(1, "a b", [])], "id long, hay string, tags array<string>").withColumn("posted_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     sets = spark.createDataFrame([(1, "a"), (2, "-b")], "set int, query string").withColumn("since", F.lit("2023-01-01").cast("timestamp_ntz"))

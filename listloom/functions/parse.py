@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,16 +52,35 @@ def _salary(found: Column, text: Column, country: Column) -> Column:
     ))
 
 
-def _map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for p in d.items() for x in p])
+def _map(d: dict[str, str]) -> Column:
+    """A fixed map, as one text: a node for each key and value would make every plan that many times larger."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in d.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _codes(table: dict[str, str]) -> dict[str, str]:
+    """Code by lower-case name or code."""
+    return {n.lower(): c for c, n in table.items()} | {c.lower(): c for c in table}
+
+
+def _part(names: Iterable[str]) -> str:
+    """Pattern of the first part that is one of these names, in a text of parts between commas of their own (",a,,b,"). Names
+    are told apart by their first letter."""
+    by: dict[str, list[str]] = {}
+    for n in names:
+        by.setdefault(n[0], []).append(re.escape(n[1:]))
+    return ",(?=[a-z])(" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in by.items()) + "),"
+
+
+def _named(parts: Column, table: dict[str, str]) -> Column:
+    """What the first part that ``table`` knows stands for, or null."""
+    return F.try_element_at(_map(table), F.regexp_extract(parts, _part(table), 1))
 
 
 def region_code(raw: Column, country: Column) -> Column:
     """A code stays, a full name is looked up, anything else is ''."""
 
     def of(table: dict[str, str]) -> Column:
-        names = {n.lower(): c for c, n in table.items()} | {c.lower(): c for c in table}
-        return F.try_element_at(_map(names), F.lower(F.trim(raw)))
+        return F.try_element_at(_map(_codes(table)), F.lower(F.trim(raw)))
 
     return F.coalesce(F.when(country == "CA", of(lx.PROVINCES)).otherwise(of(lx.STATES)), F.lit(""))
 
@@ -69,39 +90,25 @@ def regions_for(country: str) -> dict[str, str]:
     return lx.PROVINCES if country == "CA" else lx.STATES if country == "US" else lx.PROVINCES | lx.STATES
 
 
+_COUNTRIES = {"united states": "US", "united states of america": "US", "usa": "US", "us": "US", "u.s.": "US", "canada": "CA"}
+
+
 def location_of(text: Column, hint: Column | None = None) -> Column:
-    """struct<city, region, country> of "City, Region, Country" texts."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.get(F.transform(F.array(parts), lambda p: _location(p, F.lit("US") if hint is None else F.coalesce(hint, F.lit("US")))), F.lit(0))
-
-
-def _location(parts: Column, hint: Column) -> Column:
-    n = F.size(parts)
-    said = F.filter(
-        F.transform(
-            parts,
-            lambda p, i: F.when(F.lower(p).isin("united states", "united states of america", "usa", "us", "u.s."), "US").when(
-                (F.lower(p) == "canada") | ((F.lower(p) == "ca") & (i == n - 1) & (n >= 3)), "CA"
-            ),
-        ),
-        lambda c: c.isNotNull(),
-    )
-    explicit = F.size(said) > 0
-    rest = F.slice(parts, 2, 1000)
-    guess = F.filter(
-        F.transform(
-            rest,
-            lambda p: F.when((region_code(p, F.lit("CA")) != "") & (region_code(p, F.lit("US")) == ""), "CA").when(
-                (region_code(p, F.lit("US")) != "") & (region_code(p, F.lit("CA")) == ""), "US"
-            ),
-        ),
-        lambda c: c.isNotNull(),
-    )
-    country = F.coalesce(F.get(said, F.size(said) - 1), F.get(guess, F.lit(0)), hint)
-    codes = F.filter(
-        F.transform(rest, lambda p: F.when(explicit & (n >= 3) & (p == F.get(parts, n - 1)), "").otherwise(region_code(p, country))), lambda r: r != ""
-    )
-    return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"), F.coalesce(F.get(codes, F.lit(0)), F.lit("")).alias("region"), country.alias("country"))
+    """struct<city, region, country> of "City, Region, Country" texts. Parts are found by patterns in one text rather than
+    by functions over an array, which would be interpreted, and repeated wherever a step is used."""
+    clean = F.btrim(F.regexp_replace(text, "(?<! ) *+,[ ,]*+", ","), F.lit(" ,"))
+    city, last, three = F.substring_index(clean, ",", 1), F.substring_index(clean, ",", -1), F.substring_index(clean, ",", 2) != clean
+    line = F.concat(F.lit(","), F.replace(clean, F.lit(","), F.lit(",,")), F.lit(","))
+    said = F.coalesce(F.when(three & (F.lower(last) == "ca"), "CA"), _named(F.regexp_extract(F.lower(line), f"(?s).*({_part(_COUNTRIES)})", 1), _COUNTRIES))
+    rest = F.substr(line, F.length(city) + 3)
+    # the last part is no region if a country is named
+    rest = F.lower(F.when(three & said.isNotNull(), F.replace(rest, F.concat(F.lit(","), last, F.lit(",")), F.lit(""))).otherwise(rest))
+    # no name is one of both countries, so the first known one says both if no country is named
+    ca, us = _codes(lx.PROVINCES), _codes(lx.STATES)
+    first = _named(rest, {k: "CA" + c for k, c in ca.items()} | {k: "US" + c for k, c in us.items()})
+    country = F.coalesce(said, F.substr(first, F.lit(1), F.lit(2)), F.lit("US") if hint is None else F.coalesce(hint, F.lit("US")))
+    region = F.when(said.isNull(), F.substr(first, F.lit(3))).when(said == "CA", _named(rest, ca)).otherwise(_named(rest, us))
+    return F.struct(F.coalesce(city, F.lit("")).alias("city"), F.coalesce(region, F.lit("")).alias("region"), country.alias("country"))
 
 
 def remote_country(restrictions: Column) -> Column:

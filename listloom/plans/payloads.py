@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse, text
 from ..operators import identity, query, resume, tracker
 from ..sources import files, parsers
+from ..storage import once, stored
 from . import views as v
 from .catalog import _KEY, T_NOW, _with, register
 from .views import NOW, listings, now, tables
@@ -108,8 +109,9 @@ def _boards(df: DataFrame) -> dict[str, DataFrame]:
 
 @register("s09_boards", _with(f"SELECT s AS source, {_TITLE} AS title, {_CITY} AS city, {_REGION} AS region, 'Acme' AS company, {_URL} AS apply_url FROM L, (VALUES ('greenhouse'), ('lever'), ('ashby'), ('smartrecruiters'), ('workable'), ('recruitee')) t(s)"))
 def s09(spark, sf):
-    parts = {k: parsers.board(df, k, "Acme", now()) for k, df in _boards(_raw(spark, sf)).items()}
-    return parsers.union_sources(parts).select("source", "title", "city", "region", "company", "apply_url")
+    rows = stored(_raw(spark, sf).select("id", "title", "place", "url"), "boards")  # joined once, not once a board
+    bodies = {k: once(df, "body", F.col("body")) for k, df in _boards(rows).items()}
+    return parsers.boards(bodies, "Acme", now()).select("source", "title", "city", "region", "company", "apply_url")
 
 
 _ALIASED = """'{"Job ' || c_custkey || '": ["' || lower(c_mktsegment) || ' ' || c_custkey || '", "j' || c_custkey || '"], "none ' || c_custkey || '": []}'"""

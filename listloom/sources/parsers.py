@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse, text
 from ..operators import identity
 from ..operators.identity import OPTION
+from ..storage import once
 
 LISTING = ["title", "company", "city", "region", "country", "is_remote", "work_type", "employment_type", "industry", "description", "snippet", "apply_url", "posted_at", "salary", "source", "apply_options"]
 
@@ -24,7 +25,7 @@ def _salary(low: Column, high: Column, currency: Column, period: Column) -> Colu
     return F.when(low.isNotNull() | high.isNotNull(), F.struct(low.cast("double").alias("min"), high.cast("double").alias("max"), currency.alias("currency"), period.alias("period")))
 
 
-def _listing(df: DataFrame, source: str, now: Column, *, title, company, place, description, url, posted, salary=None, remote=None, hint=None, employment=None, options=None) -> DataFrame:
+def _listing(df: DataFrame, source: str | Column, now: Column, *, title, company, place, description, url, posted, salary=None, remote=None, hint=None, employment=None, options=None) -> DataFrame:
     """The common projection; rows without title or link go."""
     remote = F.coalesce(remote, F.lit(False)) if remote is not None else F.lit(False)
     body = F.concat_ws(" ", title, description)
@@ -40,12 +41,13 @@ def _listing(df: DataFrame, source: str, now: Column, *, title, company, place,
     return out.filter("title <> '' and apply_url is not null")
 
 
-def accepts(place: Column, remote: Column) -> Column:
-    """A board's posting is kept if it is remote or names a place in either country."""
+def accepts(place: Column, remote: Column, region: Column | None = None) -> Column:
+    """A board's posting is kept if it is remote or names a place in either country. ``region``: the place's, if it is
+    known already. What is cheap stands first; most postings need no pattern."""
     country = text.has(place, r"\b(canada|united states|usa|u\.s\.|us|ca)\b")
-    region = parse.location_of(place)["region"] != ""
     far = text.has(place, r"\bremote\b")
-    return F.coalesce(remote, F.lit(False)) | ((place.contains(",") | country | far) & (region | country | far))
+    region = parse.location_of(place)["region"] if region is None else region
+    return F.coalesce(remote, F.lit(False)) | (place.contains(",") & (region != "")) | country | far
 
 
 def adzuna(raw: DataFrame, country: str, now: Column) -> DataFrame:
@@ -131,16 +133,30 @@ _BOARDS = {
 }
 
 
-def board(raw: DataFrame, source: str, company: str, now: Column) -> DataFrame:
-    """An employer's own board."""
+def _postings(raw: DataFrame, source: str) -> DataFrame:
+    """A board's postings under common names."""
     schema, items, title, place, url, date, description, remote = _BOARDS[source]
-    j = _rows(raw, schema, items)
-    far = F.expr(remote) if remote else F.lit(False)
-    where = F.coalesce(F.expr(place), F.lit(""))
-    j = j.filter(accepts(where, far))
     posted = F.expr(date) if date.startswith("timestamp") else F.try_to_timestamp(F.substring(F.expr(date), 1, 19))
-    html = F.expr(description)
-    return _listing(j, source, now, title=F.expr(title), company=F.lit(company), place=parse.location_of(where), description=html, url=F.expr(url), posted=posted, remote=far)
+    return _rows(raw, schema, items).select(
+        F.lit(source).alias("source"), F.expr(title).alias("title"), F.coalesce(F.expr(place), F.lit("")).alias("location"), F.expr(url).alias("url"), posted.alias("posted"),
+        F.expr(description).alias("html"), (F.expr(remote) if remote else F.lit(False)).alias("far"),
+    )
+
+
+def _of_boards(postings: DataFrame, company: str, now: Column) -> DataFrame:
+    """Listings of boards' postings; places are parsed once for the filter and the columns."""
+    j = once(postings, "place", parse.location_of(F.col("location"))).filter(accepts(F.col("location"), F.col("far"), F.col("place.region")))
+    return _listing(j, F.col("source"), now, title=F.col("title"), company=F.lit(company), place=F.col("place"), description=F.col("html"), url=F.col("url"), posted=F.col("posted"), remote=F.col("far"))
+
+
+def board(raw: DataFrame, source: str, company: str, now: Column) -> DataFrame:
+    """An employer's own board."""
+    return _of_boards(_postings(raw, source), company, now)
+
+
+def boards(bodies: dict[str, DataFrame], company: str, now: Column) -> DataFrame:
+    """All boards of an employer, by source; postings meet before they are made listings, in one plan for all."""
+    return _of_boards(union_sources({source: _postings(raw, source) for source, raw in bodies.items()}), company, now)
 
 
 def feed(raw: DataFrame, now: Column) -> DataFrame:

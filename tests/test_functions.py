@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -172,3 +173,26 @@ def test_ngrams_are_made_once_for_each_text(spark, sf):
 
     plan = catalog.QUERIES["t09_ngrams"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 1
+
+
+def test_places_are_a_plain_loop(spark):
+    random.seed(13)
+    names = {c: {k.lower(): code for code, name in table.items() for k in (name, code)} for c, table in (("CA", lx.PROVINCES), ("US", lx.STATES))}
+    assert not names["CA"].keys() & names["US"].keys()
+    countries = dict.fromkeys(("united states", "united states of america", "usa", "us", "u.s."), "US") | {"canada": "CA"}
+
+    def place(t, hint):
+        parts = [p for p in (x.strip(" ") for x in (t or "").split(",")) if p]
+        n = len(parts)
+        said = [countries.get(p.lower()) or ("CA" if p.lower() == "ca" and i == n - 1 and n >= 3 else None) for i, p in enumerate(parts)]
+        said = [c for c in said if c]
+        guess = [c for p in parts[1:] for c in ("CA", "US") if p.lower() in names[c]]
+        country = said[-1] if said else guess[0] if guess else hint or "US"
+        codes = [names["CA" if country == "CA" else "US"].get(p.lower()) for p in parts[1:] if not (said and n >= 3 and p == parts[-1])]
+        return (parts[0] if parts else "", next((c for c in codes if c), ""), country)
+
+    known = ["Toronto", "Berlin", "St. John's", "", " ", "\t", "a\nb", "Ontario", "on", "ON", "Quebec", "Texas", "tx", "ca", "CA", "Canada", "US", "u.s.", "USA", "United States", "us of a", "Newfoundland and Labrador"]
+    texts = [None, "", ",", "Toronto, Canada, ON", "Toronto, on, Canada, ON", "Reno,CA,Canada,CA", "  a   ,, b ,"] + [random.choice([",", ", ", " , "]).join(random.choices(known, k=random.randrange(6))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t, random.choice([None, "CA", "US", "FR"])) for t in texts], "t string, h string")
+    for r in rows.select("*", parse.location_of(F.col("t"), F.col("h")).alias("x"), parse.location_of(F.col("t")).alias("y")).collect():
+        assert tuple(r["x"]) == place(r["t"], r["h"]) and tuple(r["y"]) == place(r["t"], None), r

@@ -271,3 +271,20 @@ def test_options_of_few_pages_groups_are_not_collected(spark, sf):
 
     plan = catalog.QUERIES["d04_options"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and "min_by" in plan  # the one is of at most 12
+
+
+def test_boards_read_listings_once_and_parse_a_place_once(spark, sf):
+    """No function over an array is interpreted for each posting, and the listings aren't joined again for each board."""
+    import __spark_entry__ as e
+
+    plan = e.queries()["s09_boards"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction") == 0 and plan.count("Join ") == 0
+    assert plan.count("(?<! ) *+,[ ,]*+") > 0 and all("(?<! ) *+,[ ,]*+" not in line for line in plan.splitlines() if "Filter " in line)
+
+
+def test_a_posting_is_kept_by_its_region_country_or_distance(spark):
+    places = ["Guelph, ON", "Berlin", "Berlin, Germany", "Austin, US", "Canada", "remote", "Remote, Germany", "Paris, Texas", "Texas", "", None]
+    rows = spark.createDataFrame([(p, r) for p in places for r in (None, False, True)], "p string, r boolean")
+    want = {p: p in ("Guelph, ON", "Austin, US", "Canada", "remote", "Remote, Germany", "Paris, Texas") for p in places}
+    for r in rows.select("*", parsers.accepts(F.col("p"), F.col("r")).alias("x")).collect():
+        assert bool(r["x"]) == (want[r["p"]] or bool(r["r"])), r

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .schedule import millis
 
 DAY_MS = 86_400_000
 # fixed values: answers after which a source isn't asked again in a run
@@ -55,7 +56,7 @@ def let_through(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     nothing does; a day that makes a call later than its first gap no longer depends on the day before, so rounds are few."""
     import pandas as pd
 
-    ms = F.unix_millis(F.col("at").cast("timestamp"))
+    ms = millis(F.col("at"))
     rows = requests.select("source", "at", "nth", ms.alias("ms"), F.floor(ms / DAY_MS).cast("long").alias("day")).join(F.broadcast(budgets.select("source", "daily", "runs", "gap")), "source")
     rows = stored(rows, "requests")
 

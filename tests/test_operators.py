@@ -288,3 +288,16 @@ def test_a_posting_is_kept_by_its_region_country_or_distance(spark):
     want = {p: p in ("Guelph, ON", "Austin, US", "Canada", "remote", "Remote, Germany", "Paris, Texas") for p in places}
     for r in rows.select("*", parsers.accepts(F.col("p"), F.col("r")).alias("x")).collect():
         assert bool(r["x"]) == (want[r["p"]] or bool(r["r"])), r
+
+
+@pytest.mark.parametrize("name", ["g03_allowances", "g04_next_call", "g03_budget_fold"])
+def test_times_are_rounded_to_milliseconds(spark, same_rows, tmp_path, name):
+    """The last half millisecond of an hour belongs to the next one; before 1970 slots are counted back from zero."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    first = "" if name == "g03_budget_fold" else "UNION ALL SELECT make_timestamp(-h * 3600000000 + d) FROM range(49) h(h), (VALUES (-501), (-500), (-499), (-1), (0), (499), (500)) d(d) UNION ALL SELECT NULL"
+    duckdb.sql(f"""COPY (SELECT row_number() OVER () - 20 AS event_id, ts, (row_number() OVER ()) % 40 AS user_id FROM (
+      SELECT make_timestamp(1704067200000000 + h * 3600000000 + d) AS ts FROM range(49) h(h), (VALUES (-501), (-500), (-499), (-1), (0), (499), (500)) d(d) {first})) TO '{tmp_path}/events.parquet'""")
+    same_rows(e.queries()[name], e.oracle_sql()[name], str(tmp_path))

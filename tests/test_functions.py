@@ -175,6 +175,30 @@ def test_ngrams_are_made_once_for_each_text(spark, sf):
     assert plan.count("array_distinct") == 1
 
 
+def test_ngrams_of_whole_texts(spark, same_rows, tmp_path):
+    """Words after the 1,200th count too; repeats, beginnings of other words, texts without words."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    texts = [" ".join(f"w{i}" for i in range(3000)), "a ab a abc a ab a", "a a a a a a a a", "b", "x1 x x1 x x10", " ()-- ", "", None, "Été (no) & ÉTÉ\tété\nx\u0085y\u00a0z", " ".join(random.choices(["a", "a1", "ab", "b"], k=2500))]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = {r["doc_id"]: r["n"] for r in e.queries()["t09_ngrams"](spark, str(tmp_path)).collect()}
+    assert got[0] == 6 * 3000 - 15 and got[2] == 6 and not got.keys() & {5, 6, 7}
+    same_rows(e.queries()["t09_ngrams"], e.oracle_sql()["t09_ngrams"], str(tmp_path))
+
+
+def test_normalize_takes_one_class_for_all_that_is_no_word(spark):
+    """A class within a class is matched seven times as slowly."""
+    df = spark.range(1).select(text.normalize(F.lit("a").cast("string")).alias("x"))
+    assert one(spark, text.normalize(F.col("t")), t="\x0bA\u0085\u2028b\x1c \t-c!?\n") == "a b c"
+    assert r"[^a-z0-9\s]" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_places_are_a_plain_loop(spark):
     random.seed(13)
     names = {c: {k.lower(): code for code, name in table.items() for k in (name, code)} for c, table in (("CA", lx.PROVINCES), ("US", lx.STATES))}

@@ -102,9 +102,12 @@ def source_portal(source: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in lx.SOURCE_PORTALS.items() for x in p]), source)
 
 
-def education(text: Column) -> Column:
-    """struct<degree, level> of the highest degree named, or null."""
-    return bound(edged(text), lambda e: F.coalesce(*[F.when(told(e, text, p), F.struct(F.lit(n).alias("degree"), F.lit(k).alias("level"))) for n, p, k in lx.EDUCATION]))
+def education(text: Column, low: Column | None = None) -> Column:
+    """struct<degree, level> of the highest degree named, or null. ``low`` is the text ``edged``, where that is at hand."""
+    def of(e: Column) -> Column:
+        return F.coalesce(*[F.when(told(e, text, p), F.struct(F.lit(n).alias("degree"), F.lit(k).alias("level"))) for n, p, k in lx.EDUCATION])
+
+    return bound(edged(text), of) if low is None else of(low)
 
 
 def soft_skills(text: Column) -> Column:

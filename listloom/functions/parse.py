@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import has, pattern
+from .text import bound, has, pattern
 
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&nbsp;", " "), ("&#39;", "'"), ("&apos;", "'"), ("&quot;", '"')]
 
@@ -154,7 +154,8 @@ def resume_years(text: Column, this_year: Column) -> Column:
         lambda s: s.cast("int"),
     )
     claim = F.array_max(F.filter(claims, lambda y: (y > 0) & (y <= 45)))
-    lines = F.filter(F.split(text, "\n"), lambda x: ~has(x, lx.SCHOOLING))
+    # only lines with a year are looked at for schools
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("[0-9]{4}")) & ~has(x, lx.SCHOOLING))
     texts = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit("(?i)" + lx.DATED_SPAN), F.lit(1))))
     spans = F.transform(
         texts,
@@ -170,5 +171,4 @@ def resume_years(text: Column, this_year: Column) -> Column:
         .otherwise(F.struct((m["total"] + m["e"] - m["s"]).alias("total"), x["a"].alias("s"), x["b"].alias("e"))),
         lambda m: F.least(F.lit(45), m["total"] + F.coalesce(m["e"] - m["s"], F.lit(0))),
     )
-    best = F.coalesce(claim, merged)
-    return F.when(best > 0, best)
+    return bound(F.coalesce(claim, merged), lambda best: F.when(best > 0, best))

@@ -31,11 +31,13 @@ def _hit(posting: Column, label: str, p: str, lists: Column | None, fields, low:
     """``fields`` of the entry's count in the posting (1 at least) if the posting or ``lists`` name it, else null. ``low`` is
     the posting ``edged``: patterns are only matched where their literal beginnings are found in it."""
 
+    listed = F.coalesce(F.array_contains(lists, label), F.lit(False)) if lists is not None else F.lit(False)
+
     def of(n: Column) -> Column:
-        listed = F.coalesce(F.array_contains(lists, label), F.lit(False)) if lists is not None else F.lit(False)
         return F.when((n > 0) | listed, F.struct(*fields(F.greatest(n, F.lit(1)))))
 
-    return bound(F.when(begun(low, p), classify.matches(posting, p)).when(posting.isNotNull(), 0), of)
+    # most entries end with the first test
+    return F.when(begun(low, p) | listed, bound(F.when(begun(low, p), classify.matches(posting, p)), of))
 
 
 def _ranked(label: str, nth: int, there: Column):
@@ -171,17 +173,23 @@ def keywords(postings: DataFrame, key: str, text: str, stop: list[str], exclude:
 def title_match(title: Column, resume: Column, stop: list[str] = (), aliases: dict[str, list[str]] | None = None) -> Column:
     """struct<ok, partial>: the title's words, without those of level, as a phrase or a variant of it; else most of them."""
     words = F.filter(F.split(normalize_title(title), " "), lambda w: (F.length(w) > 1) & ~w.isin([*lx.TITLE_LEVELS, *stop]))
-    phrase = F.array_join(words, " ")
-    ok = has_phrase(resume, phrase) | ((phrase != "") & F.exists(variants_of(phrase, aliases), lambda v: has_phrase(resume, v)))
-    share = F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: has_phrase(resume, w))), F.size(words)), F.lit(0.0))
-    return F.struct(ok.alias("ok"), (~ok & (share >= 0.6)).alias("partial"))
+
+    def of(words: Column, phrase: Column) -> Column:
+        ok = has_phrase(resume, phrase)
+        if aliases:
+            ok = ok | ((phrase != "") & F.exists(variants_of(phrase, aliases), lambda v: has_phrase(resume, v)))
+        share = F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: has_phrase(resume, w))), F.size(words)), F.lit(0.0))
+        return bound(ok, lambda ok: F.struct(ok.alias("ok"), (~ok & (share >= 0.6)).alias("partial")))
+
+    # each once, however often they are used
+    return bound(words, lambda w: bound(F.array_join(w, " "), lambda p: of(w, p)))
 
 
 def word_count(resume: Column) -> Column:
     return F.size(F.filter(F.split(resume, r"\s+"), lambda w: w != ""))
 
 
-def format_checks(resume: Column) -> dict[str, Column]:
+def format_checks(resume: Column, n_words: Column | None = None) -> dict[str, Column]:
     """R09."""
     lines = F.transform(F.split(resume, r"\r?\n"), lambda x: F.trim(x))
     heading = lambda p: F.exists(lines, lambda x: (F.length(x) < 40) & has(x, p))
@@ -189,7 +197,7 @@ def format_checks(resume: Column) -> dict[str, Column]:
         "email": F.regexp_like(resume, F.lit(lx.RESUME_EMAIL)),
         "phone": F.regexp_like(resume, F.lit(lx.RESUME_PHONE)),
         **{k: heading(p) for k, p in lx.RESUME_HEADINGS.items()},
-        "length": word_count(resume).between(300, 1200),
+        "length": (word_count(resume) if n_words is None else n_words).between(300, 1200),
         "bullets": F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(lx.RESUME_BULLET)))) >= 3,
         "numbers": F.regexp_count(resume, F.lit(pattern(lx.RESUME_NUMBER))) >= 3,
     }
@@ -197,7 +205,10 @@ def format_checks(resume: Column) -> dict[str, Column]:
 
 def format_tips(resume: Column) -> Column:
     """What to do about each check that fails."""
-    checks, n = format_checks(resume), word_count(resume)
+    return _format_tips(format_checks(resume), word_count(resume))
+
+
+def _format_tips(checks: dict[str, Column], n: Column) -> Column:
     said = {
         "email": F.lit("Give an email address at the top."), "phone": F.lit("Give a phone number as plain text."), "experience": F.lit("Add a heading such as Experience."),
         "education": F.lit("Add a heading such as Education."), "skills": F.lit("Add a heading such as Skills, with the tools of the posting that you know."),
@@ -241,13 +252,11 @@ def report(pairs: DataFrame, this_year: int, stop: list[str], roles: list[str] =
     texts = pairs.select(key, F.coalesce("title", F.lit("")).alias("title"), posting.alias("posting"), F.concat_ws("\n", F.coalesce("title", F.lit("")), posting).alias("jd"), F.coalesce("resume", F.lit("")).alias("resume"), own.alias("own"))
     jd, cv = F.col("jd"), F.col("resume")
     said = classify.tags(F.col("title"), F.col("posting"), list(roles), aliases or {}) if roles else None
-    degree, got = classify.education(jd), classify.education(cv)
     # used in several places, so it is computed once, before them
-    facts = texts.withColumns({"norm": normalize(cv), "low": edged(jd)}).select(
-        key, "title", hard_skills(jd, cv, F.col("own"), said, F.col("norm"), aliases, F.col("low")).cast(_TERM).alias("hard"), soft_skills(jd, cv, F.col("own"), F.col("low")).cast(_TERM).alias("soft"),
-        title_match(F.col("title"), F.col("norm"), stop, aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
-        degree["degree"].alias("asked_degree"), degree["level"].alias("_asked"), got["degree"].alias("degree"), got["level"].alias("_got"),
-        F.struct(*[c.alias(k) for k, c in format_checks(cv).items()]).alias("checks"), format_tips(cv).alias("_tips"), (F.length("posting") < SHORT_POSTING).alias("short_posting"),
+    facts = _facts(texts).select(
+        key, "title", hard_skills(jd, cv, F.col("own"), said, F.col("_norm"), aliases, F.col("_low")).cast(_TERM).alias("hard"), soft_skills(jd, cv, F.col("own"), F.col("_low")).cast(_TERM).alias("soft"),
+        title_match(F.col("title"), F.col("_norm"), stop, aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
+        *_degrees(), _checks().alias("checks"), "_n", (F.length("posting") < SHORT_POSTING).alias("short_posting"),
     )
     facts = stored(facts, "resume-facts")
     named = F.transform(F.concat("hard", "soft"), lambda x: x["term"])
@@ -261,16 +270,36 @@ def report(pairs: DataFrame, this_year: int, stop: list[str], roles: list[str] =
     return _scored(out)
 
 
+def _facts(texts: DataFrame) -> DataFrame:
+    """``texts`` (jd, resume) with what several facts are read from, computed once."""
+    jd, cv = F.col("jd"), F.col("resume")
+    return texts.withColumns({"_norm": normalize(cv), "_low": edged(jd), "_n": word_count(cv)}).withColumns({"_degree": classify.education(jd, F.col("_low")), "_has": classify.education(cv)})
+
+
+def _degrees() -> list[Column]:
+    return [F.col("_degree.degree").alias("asked_degree"), F.col("_degree.level").alias("_asked"), F.col("_has.degree").alias("degree"), F.col("_has.level").alias("_got")]
+
+
+def _checks() -> Column:
+    return F.struct(*[c.alias(k) for k, c in format_checks(F.col("resume"), F.col("_n")).items()])
+
+
 def analyze(pairs: DataFrame, this_year: int, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """The report of pairs (pair_id, title, posting, resume, terms) whose terms are given."""
-    jd, cv = F.concat_ws("\n", "title", "posting"), F.col("resume")
-    degree, got = classify.education(jd), classify.education(cv)
-    out = pairs.withColumn("_norm", normalize(cv)).withColumns({
-        "hard": hard_skills(jd, cv).cast(_TERM), "words": F.concat(soft_skills(jd, cv).cast(_TERM), F.col("terms").cast(_TERM)), "title_match": title_match(F.col("title"), F.col("_norm"), aliases=aliases),
-        "required": parse.required_years(jd), "have": parse.resume_years(cv, F.lit(this_year)), "asked_degree": degree["degree"], "_asked": degree["level"], "degree": got["degree"], "_got": got["level"],
-        "checks": F.struct(*[c.alias(k) for k, c in format_checks(cv).items()]), "_tips": format_tips(cv),
-    }).drop("_norm")
-    return _scored(out)
+    """The report of pairs (pair_id, title, posting, resume, terms) whose terms are given. Pairs of equal texts are read once:
+    their report is made for one of them, known by its digest, and met by all."""
+    read = ["title", "posting", "resume", "terms"]
+    known = pairs.withColumn("_same", F.sha2(F.to_json(F.struct(*read)), 256))
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = known.select("_same", *read).distinct().repartition(tasks, "_same")  # few rows, long work
+    jd, cv = F.col("jd"), F.col("resume")
+    out = _facts(each.withColumn("jd", F.concat_ws("\n", "title", "posting"))).select(
+        "_same", "title", hard_skills(jd, cv, low=F.col("_low")).cast(_TERM).alias("hard"), F.concat(soft_skills(jd, cv, low=F.col("_low")).cast(_TERM), F.col("terms").cast(_TERM)).alias("words"),
+        title_match(F.col("title"), F.col("_norm"), aliases=aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
+        *_degrees(), _checks().alias("checks"), "_n",
+    )
+    told = stored(_scored(out).drop("title"), "resume-reports")
+    return known.join(small(told, 20_000), "_same").drop("_same")
 
 
 def _scored(out: DataFrame) -> DataFrame:
@@ -288,7 +317,8 @@ def _scored(out: DataFrame) -> DataFrame:
     every = F.concat("hard", "words")
     matched = F.when(F.size(every) > 0, F.floor(F.size(F.filter(every, lambda x: x["in_resume"])) / F.size(every) * 100 + 0.5)).otherwise(0)
     out = out.withColumns({"keyword_match": matched.cast("int"), "experience_ok": exp, "education_ok": edu})
-    return out.withColumn("tips", F.concat(tips(exp, edu), F.col("_tips"))).drop("_tips", "_asked", "_got")
+    advice = _format_tips({k: F.col("checks")[k] for k in names}, F.col("_n"))
+    return out.withColumn("tips", F.concat(tips(exp, edu), advice)).drop("_n", "_asked", "_got")
 
 
 def tips(exp: Column, edu: Column) -> Column:

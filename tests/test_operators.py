@@ -301,3 +301,16 @@ def test_times_are_rounded_to_milliseconds(spark, same_rows, tmp_path, name):
     duckdb.sql(f"""COPY (SELECT row_number() OVER () - 20 AS event_id, ts, (row_number() OVER ()) % 40 AS user_id FROM (
       SELECT make_timestamp(1704067200000000 + h * 3600000000 + d) AS ts FROM range(49) h(h), (VALUES (-501), (-500), (-499), (-1), (0), (499), (500)) d(d) {first})) TO '{tmp_path}/events.parquet'""")
     same_rows(e.queries()[name], e.oracle_sql()[name], str(tmp_path))
+
+
+def test_reports_of_equal_texts_are_made_once(spark, monkeypatch):
+    """Pairs whose texts and terms are equal are analysed for one of them; empty texts and null differ."""
+    made = []
+    keep = resume.stored
+    monkeypatch.setattr(resume, "stored", lambda df, label: made.append(keep(df, label)) or made[-1])
+    terms = "array<struct<term:string,jd_count:int,in_resume:boolean>>"
+    texts = [("Cloud Engineer", "5 years of experience with Docker and Azure", "Experience\n2015 - 2019\nDocker"), ("Cloud Engineer", "", "Docker"), ("Cloud Engineer", None, "Docker"), ("Cloud Engineer", "Docker", None)]
+    df = spark.createDataFrame([(i, *texts[i % 4]) for i in range(400)], "pair_id long, title string, posting string, resume string").withColumn("terms", F.array().cast(terms))
+    got = [(r["pair_id"] % 4, r["score"], r["required"], r["have"], str(r["hard"]), str(r["tips"])) for r in resume.analyze(df, 2020).collect()]
+    assert len(got) == 400 and len(set(got)) == 4 and sum(t.count() for t in made) == 4
+    assert [x[2:4] for x in set(got) if x[0] == 0] == [(5, 4)]

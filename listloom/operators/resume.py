@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, parse
 from ..functions import lexicons as lx
-from ..functions.text import begun, bound, edged, entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
+from ..functions.text import beginnings, begun, bound, edged, entry, has, has_phrase, normalize, normalize_title, pattern, plain, variants
 from ..storage import small, stored
 
 _EMPTY = "array<string>"
@@ -256,24 +256,26 @@ def report(pairs: DataFrame, this_year: int, stop: list[str], roles: list[str] =
     facts = _facts(texts).select(
         key, "title", hard_skills(jd, cv, F.col("own"), said, F.col("_norm"), aliases, F.col("_low")).cast(_TERM).alias("hard"), soft_skills(jd, cv, F.col("own"), F.col("_low")).cast(_TERM).alias("soft"),
         title_match(F.col("title"), F.col("_norm"), stop, aliases).alias("title_match"), parse.required_years(jd).alias("required"), parse.resume_years(cv, F.lit(this_year)).alias("have"),
-        *_degrees(), _checks().alias("checks"), "_n", (F.length("posting") < SHORT_POSTING).alias("short_posting"),
+        *_degrees(), _checks().alias("checks"), "_n", (F.length("posting") < SHORT_POSTING).alias("short_posting"), "_norm",
     )
     facts = stored(facts, "resume-facts")
     named = F.transform(F.concat("hard", "soft"), lambda x: x["term"])
     rules = facts.select(key, F.transform(F.concat(named, F.array("title", *map(F.lit, lx.SAID_ANYWAY))), normalize).alias("exclude"), (lx.KEYWORDS - F.size("soft")).alias("most"))
     terms = keywords(texts, key, "jd", stop, rules=rules)
     listed = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "term", "count"))).alias("terms"))  # at most KEYWORDS
-    asked = texts.select(key, normalize(cv).alias("norm")).join(listed, key)
-    found = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["count"].cast("int").alias("jd_count"), known_in_resume(F.col("norm"), x["term"], aliases).alias("in_resume")))
-    out = facts.join(asked.select(F.col(key).alias("_key"), found.cast(_TERM).alias("_terms")), F.col(key) == F.col("_key"), "left").drop("_key")
-    out = out.withColumn("words", F.concat("soft", F.coalesce("_terms", F.array().cast(_TERM)))).drop("soft", "_terms")
+    found = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["count"].cast("int").alias("jd_count"), known_in_resume(F.col("_norm"), x["term"], aliases).alias("in_resume")))
+    out = facts.join(listed.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    out = out.withColumn("words", F.concat("soft", F.coalesce(found.cast(_TERM), F.array().cast(_TERM)))).drop("soft", "terms", "_norm")
     return _scored(out)
 
 
 def _facts(texts: DataFrame) -> DataFrame:
     """``texts`` (jd, resume) with what several facts are read from, computed once."""
     jd, cv = F.col("jd"), F.col("resume")
-    return texts.withColumns({"_norm": normalize(cv), "_low": edged(jd), "_n": word_count(cv)}).withColumns({"_degree": classify.education(jd, F.col("_low")), "_has": classify.education(cv)})
+    degrees = [p for _, p, _ in lx.EDUCATION]
+    named = [p for _, p in map(entry, [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS])]
+    texts = texts.withColumns({"_norm": normalize(cv), "_low": beginnings(edged(jd), [*named, *degrees]), "_low_cv": beginnings(edged(cv), degrees), "_n": word_count(cv)})
+    return texts.withColumns({"_degree": classify.education(jd, F.col("_low")), "_has": classify.education(cv, F.col("_low_cv"))})
 
 
 def _degrees() -> list[Column]:

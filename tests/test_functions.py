@@ -160,6 +160,24 @@ def test_patterns_are_tried_where_they_may_begin(spark):
     assert [(r["a"], r["c"], r["e"]) for r in rows] == [(r["b"], r["d"], r["f"]) for r in rows]
 
 
+def test_entries_are_looked_for_before_their_edges(spark):
+    """As many matches as with the edge first; one pass finds what patterns begin with."""
+    import re
+
+    random.seed(20)
+    named = [p for _, p in map(text.entry, [*lx.SKILLS, *lx.TOOLS, *lx.CERTIFICATIONS])]
+    words = [w for p in named for w in re.findall(r"[A-Za-z0-9]+", p)] + ["C#", "C++", ".NET", "Security+", "az-500", "K", "\u0130", "RN", "_", "+", "#", "++", ".", "x"]
+    texts = ["".join(w + random.choice(["", " ", " ", ".", "_", "-", "\n"]) for w in random.choices(words, k=12)) for _ in range(3000)]
+    for p in named:
+        old, new = re.compile(p, re.I | re.A), re.compile(text.pattern(p), re.A)
+        assert [len(list(old.finditer(t))) for t in texts] == [len(list(new.finditer(t))) for t in texts], p
+    every = [*named, *[p for _, p, _ in lx.EDUCATION]]
+    df = spark.createDataFrame([(t,) for t in texts[:300]], "t string").withColumn("e", text.edged(F.col("t"))).withColumn("b", text.beginnings(F.col("e"), every))
+    # the short text may say more, as patterns are matched afterwards, but never less
+    assert df.filter(F.array_contains(F.array(*[text.begun(F.col("e"), p) & ~text.begun(F.col("b"), p) for p in every]), True)).count() == 0
+    assert df.filter(F.length("b") < F.length("e")).count() > 200
+
+
 def test_listings_are_dealt_over_the_cores(spark, sf):
     """One row group is one task of a scan; the work on its rows isn't."""
     from listloom.plans import views
